@@ -192,9 +192,7 @@ def config_id_column(sources: Column, include: Column, exclude: Column, screenin
         return F.regexp_replace(value.cast("decimal(30,12)").cast("string"), r"\.?0+$", "")
 
     def quoted(text: Column) -> Column:
-        return F.substring(F.to_json(F.array(text)), 2, 1 << 30).substr(
-            F.lit(1), F.length(F.to_json(F.array(text))) - 2
-        )
+        return F.regexp_replace(F.to_json(F.array(text)), r"^\[|\]$", "")
 
     def band(b: Column) -> Column:
         return F.concat(

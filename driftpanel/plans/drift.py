@@ -44,10 +44,8 @@ def cost_as_of(calls: DataFrame, prices: DataFrame) -> DataFrame:
     on model and day; neither side needs to be small and a busy model is split by
     day. A call before the first price has no cost.
     """
-    horizon = calls.agg(F.max("micros").alias("last_micros"))
-    valid = price_validity(
-        prices.join(F.broadcast(horizon)), F.col("last_micros")  # one-row aggregate
-    ).select("model", "epoch_day", "effective_micros", "until", "price")
+    horizon = calls.agg(F.max("micros")).scalar()
+    valid = price_validity(prices, horizon).select("model", "epoch_day", "effective_micros", "until", "price")
     at = F.col("micros")
     placed = calls.withColumn("epoch_day", F.floor(at / DAY_MICROS))
     c, p = placed.alias("c"), valid.alias("p")

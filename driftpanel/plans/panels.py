@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from driftpanel.config import RunConfig, SCREENING_TEMPERATURE
@@ -95,11 +96,6 @@ def read_panels(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def has_panels(spark: SparkSession, path: str) -> bool:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
-
-
 def load_panel(spark: SparkSession, config: RunConfig, path: str) -> DataFrame | None:
     """The panel to grade, or null when one must be built.
 
@@ -107,11 +103,12 @@ def load_panel(spark: SparkSession, config: RunConfig, path: str) -> DataFrame |
     """
     if config.rebuild_panel:
         return None
-    found = None
-    if has_panels(spark, path):
+    try:
         found = active_panel(read_panels(spark, path), config.active_panel_id)
-        if found.isEmpty():
-            found = None
+    except AnalysisException:  # nothing stored yet
+        found = None
+    if found is not None and found.isEmpty():
+        found = None
     if found is None and config.active_panel_id:
         raise ValueError(f"panel {config.active_panel_id!r} does not exist")
     return found

@@ -31,7 +31,7 @@ def read_landing(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _mentions_remote(text: Column) -> Column:
+def mentions_remote(text: Column) -> Column:
     return F.contains(F.lower(text), F.lit("remote"))
 
 
@@ -94,7 +94,7 @@ def _greenhouse_posting(item: Column) -> Column:
         V.text_at(item, "$.title"), location, content, V.text_at(item, "$.absolute_url"),
         F.concat(F.lit("greenhouse:"), F.col("company")),
         rfc3339_epoch(V.text_at(item, "$.updated_at")),
-        _mentions_remote(location) | _mentions_remote(content),
+        mentions_remote(location) | mentions_remote(content),
     )
 
 

@@ -1,6 +1,6 @@
 """Registered queries and the SQL that states their expected result."""
 
-from driftpanel.queries import ledger_queries
+from driftpanel.queries import board_queries, ledger_queries, panel_queries
 from driftpanel.queries.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "ledger_queries"]
+__all__ = ["ORACLES", "QUERIES", "board_queries", "ledger_queries", "panel_queries"]

@@ -23,16 +23,24 @@ def well_typed(item: Column, *score_types: str) -> Column:
 def salvaged_reasoning(item: Column) -> Column:
     """The reasoning if it is text, whatever else is wrong with the item."""
     reasoning = V.at(item, "$.reasoning")
-    return F.when(V.json_type(reasoning) == V.TEXT, V.text_at(item, "$.reasoning")).otherwise("")
-
-
-def strict_item(item: Column) -> Column:
-    """Decodes one item; a malformed one gets an empty key and the sentinel."""
-    good = item.isNotNull() & well_typed(item, *V.NUMBERS)
-    return F.struct(
-        good.alias("well_formed"),
-        F.when(good, V.text_at(item, "$.key")).otherwise("").alias("job_key"),
-        F.when(good, V.number_at(item, "$.score")).otherwise(SENTINEL_SCORE).alias("emitted_score"),
-        salvaged_reasoning(item).alias("reasoning"),
-        F.to_json(item).alias("raw"),
-    )
+    return F.when(V.scalar_type(reasoning) == V.TEXT, V.text_at(item, "$.reasoning")).otherwise("")
+
+
+def strict_items(items: Column) -> Column:
+    """Decodes an array of items; a malformed one gets an empty key and the sentinel."""
+
+    def tested(item: Column) -> Column:
+        good = item.isNotNull() & well_typed(item, *V.NUMBERS)
+        return F.struct(good.alias("good"), item.alias("item"))
+
+    def decoded(pair: Column) -> Column:
+        good, item = pair["good"], pair["item"]
+        return F.struct(
+            good.alias("well_formed"),
+            F.when(good, V.text_at(item, "$.key")).otherwise("").alias("job_key"),
+            F.when(good, V.number_at(item, "$.score")).otherwise(SENTINEL_SCORE).alias("emitted_score"),
+            salvaged_reasoning(item).alias("reasoning"),
+            F.to_json(item).alias("raw"),
+        )
+
+    return F.transform(F.transform(items, tested), decoded)

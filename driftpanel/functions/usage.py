@@ -24,8 +24,8 @@ def itemised_usage(raw: Column) -> Column:
         + [V.has_type(V.at(prompt, "$.cached_tokens"), V.WHOLE),
            V.has_type(V.at(completion, "$.reasoning_tokens"), V.WHOLE)]
     )
-    has_prompt = readable & (V.json_type(prompt) == V.OBJECT)
-    has_completion = readable & (V.json_type(completion) == V.OBJECT)
+    has_prompt = readable & V.is_object(prompt)
+    has_completion = readable & V.is_object(completion)
     cached = V.whole_at(prompt, "$.cached_tokens")
     reasoning = V.whole_at(completion, "$.reasoning_tokens")
     return F.struct(

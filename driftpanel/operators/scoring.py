@@ -130,10 +130,10 @@ def with_bodies(requests: DataFrame, instructions: str, temperature: float) -> D
 
 
 def call_models(requests: DataFrame, registry: Mapping[str, Scorer], protocols: Sequence[str]) -> DataFrame:
-    """Routes the requests of each protocol to its scorer.
+    """Routes the requests of each protocol to its scorer and decodes the answers.
 
-    The raw answers are materialised once: asking a model again would cost money
-    and could give another answer.
+    The answers are materialised once: asking a model again would cost money and
+    could give another answer.
     """
     answered = [
         registry[protocol](requests.filter(F.col("protocol") == protocol)) for protocol in sorted(set(protocols))
@@ -141,7 +141,7 @@ def call_models(requests: DataFrame, registry: Mapping[str, Scorer], protocols:
     whole = answered[0]
     for part in answered[1:]:
         whole = whole.unionByName(part)
-    return cut_lineage(whole.drop("items", "message", "request"))
+    return cut_lineage(chat_calls(whole.drop("items", "message", "request")))
 
 
 def screen(postings: DataFrame, model: ModelConfig, registry: Mapping[str, Scorer],
@@ -155,18 +155,18 @@ def screen(postings: DataFrame, model: ModelConfig, registry: Mapping[str, Score
         raise ValueError(f"screening model {model.name!r} cannot be called")
     batched = assign_batches(postings, SCREENING_BATCH_SIZE)
     requests = with_bodies(for_models(batch_requests(batched), [model]), instructions, temperature)
-    calls = chat_calls(call_models(requests, registry, [model.protocol]))
-    lost = F.col("status").isNotNull() | F.col("error_kind").isNotNull() | F.col("failure").isNotNull()
-    checked = calls.withColumn(
-        "failure",
-        F.when(lost, F.raise_error(F.concat(F.lit("screening batch failed: "), F.col("batch_index").cast("string")))
-               .cast("string")),
-    )
-    return chat_items(checked).select(
+    calls = call_models(requests, registry, [model.protocol])
+    message = F.concat(F.lit("screening batch failed: "), F.col("batch_index").cast("string"))
+    whole = calls.withColumn("items", F.when(_lost(), F.raise_error(message)).otherwise(F.col("items")))
+    return chat_items(whole).select(
         F.col("job_key").alias("key"), "batch_index", "pos", F.col("emitted_score").alias("score")
     )
 
 
+def _lost() -> Column:
+    return F.col("status").isNotNull() | F.col("error_kind").isNotNull() | F.col("failure").isNotNull()
+
+
 def grade(postings: DataFrame, models: Sequence[ModelConfig], registry: Mapping[str, Scorer],
           instructions: str, temperature: float, batch_size: int) -> tuple[DataFrame, DataFrame]:
     """Scores the postings with every model: batch outcomes and events.
@@ -178,10 +178,7 @@ def grade(postings: DataFrame, models: Sequence[ModelConfig], registry: Mapping[
         raise ValueError("no model can be called")
     batched = assign_batches(postings, batch_size)
     requests = with_bodies(for_models(batch_requests(batched), usable), instructions, temperature)
-    calls = chat_calls(call_models(requests, registry, [m.protocol for m in usable])).withColumn(
-        "failed",
-        F.col("status").isNotNull() | F.col("error_kind").isNotNull() | F.col("failure").isNotNull(),
-    )
+    calls = call_models(requests, registry, [m.protocol for m in usable]).withColumn("failed", _lost())
     tried = attempted(calls, ["model"]).filter("attempted")
     kind = F.when(F.col("failure").isNotNull() & F.col("error_kind").isNull(), "decode").otherwise(F.col("error_kind"))
     outcomes = tried.select(

@@ -42,7 +42,7 @@ def _fields(item: Column, kind: str, *paths: str) -> list[Column]:
 def _greenhouse_well_typed(item: Column) -> Column:
     ranges = V.at(item, "$.pay_input_ranges")
     pay_ok = F.forall(
-        F.coalesce(V.list_at(item, "$.pay_input_ranges"), F.array().cast("array<variant>")),
+        F.coalesce(V.list_at(item, "$.pay_input_ranges"), _no_items()),
         lambda r: V.all_of(
             [V.has_type(r, V.OBJECT)]
             + _fields(r, V.TEXT, "$.title", "$.currency_type", "$.interval")
@@ -129,25 +129,34 @@ def _by_provider(per_provider: dict[str, Column]) -> Column:
     )
 
 
+def _no_items() -> Column:
+    return F.array().cast("array<variant>")
+
+
 def parse_payloads(landing: DataFrame) -> DataFrame:
-    """Landing rows of known providers with ``items`` and ``well_formed``."""
+    """Landing rows of known providers with ``items`` and ``well_formed``.
+
+    Items of a payload that does not decode are not to be used.
+    """
     parsed = landing.filter(F.col("provider").isin(*PROVIDERS)).withColumn(
         "document", F.try_parse_json("payload")
     )
     document = F.col("document")
     root_is_list = F.col("provider") == "lever"
     body = F.when(root_is_list, document).otherwise(V.at(document, "$.jobs"))
-    shaped = document.isNotNull() & V.has_type(body, V.ARRAY) & (
+    opened = parsed.withColumn("body", body)
+    shaped = document.isNotNull() & V.has_type(F.col("body"), V.ARRAY) & (
         root_is_list | V.has_type(document, V.OBJECT)
     )
-    items = F.coalesce(V.list_at(body, "$"), F.array().cast("array<variant>"))
-    with_items = parsed.withColumn("shaped", shaped).withColumn("items", items)
+    with_items = opened.withColumn("shaped", shaped).withColumn(
+        "items", F.coalesce(V.list_at(F.col("body"), "$"), _no_items())
+    )
     typed = _by_provider({
         "greenhouse": F.forall("items", _greenhouse_well_typed),
         "ashby": F.forall("items", _ashby_well_typed),
         "lever": F.forall("items", _lever_well_typed),
     })
-    return with_items.withColumn("well_formed", F.col("shaped") & typed).drop("shaped", "document")
+    return with_items.withColumn("well_formed", F.col("shaped") & typed).drop("shaped", "document", "body")
 
 
 def quarantined(parsed: DataFrame) -> DataFrame:
@@ -158,9 +167,9 @@ def quarantined(parsed: DataFrame) -> DataFrame:
 def fetched_counts(parsed: DataFrame) -> DataFrame:
     """Postings per provider and company as delivered, unlisted ones included."""
     return (
-        parsed.filter("well_formed")
-        .groupBy("provider", "company")
-        .agg(F.sum(F.size("items")).cast("bigint").alias("fetched"))
+        parsed.groupBy("provider", "company")
+        .agg(F.sum(F.when(F.col("well_formed"), F.size("items"))).cast("bigint").alias("fetched"))
+        .filter(F.col("fetched").isNotNull())
     )
 
 
@@ -171,10 +180,11 @@ def postings_of(parsed: DataFrame) -> DataFrame:
         "ashby": F.transform(F.filter("items", _is_listed), _ashby_posting),
         "lever": F.transform("items", _lever_posting),
     })
-    exploded = (
-        parsed.filter("well_formed")
-        .select(F.explode(postings).alias("posting"))
-        .select(*[F.col(f"posting.{name}") for name in _POSTING_FIELDS])
+    # A null array explodes to nothing; a filter would be pushed below the parsing
+    # and parse every payload twice.
+    usable = F.when(F.col("well_formed"), postings)
+    exploded = parsed.select(F.explode(usable).alias("posting")).select(
+        *[F.col(f"posting.{name}") for name in _POSTING_FIELDS]
     )
     return with_identity(exploded)
 

@@ -1,17 +1,17 @@
 """Model responses: envelopes, items, usage and expected scores.
 
 A response row holds the raw body of one call in ``response`` next to whatever
-identifies the call. Decoding adds a status per call and, exploded, one row per
-item with its position.
+identifies the call. Decoding a row adds ``failure`` (why the whole call is lost,
+or null) and ``items`` (empty when it is lost); nothing is shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from driftpanel.functions import variants as V
 from driftpanel.functions.expected import expected_score
-from driftpanel.functions.items import strict_item, well_typed
+from driftpanel.functions.items import strict_items, well_typed
 from driftpanel.functions.usage import itemised_usage
 
 # Reasons a whole call is lost.
@@ -20,61 +20,55 @@ EMPTY_RESPONSE = "empty"
 BAD_CONTENT = "content"
 
 
+def _no_items() -> Column:
+    return F.array().cast("array<variant>")
+
+
 def chat_calls(responses: DataFrame) -> DataFrame:
-    """One row per chat-completions call: content, logprobs, usage, items, failure."""
-    body = F.try_parse_json("response")
-    opened = responses.withColumn("body", body)
+    """One row per chat-completions call: usage, failure, logprobs, decoded items."""
+    kept = [c for c in responses.columns if c not in ("response", "items")]
+    opened = responses.select(*kept, F.try_parse_json("response").alias("body"))
     choice = V.at(F.col("body"), "$.choices[0]")
     parts = opened.select(
-        *responses.columns,
-        "body",
-        choice.alias("choice"),
-        V.text_at(choice, "$.message.content").alias("content"),
-        F.when(V.json_type(V.at(choice, "$.logprobs")) != V.ABSENT,
-               F.to_json(V.at(choice, "$.logprobs"))).alias("logprobs"),
-        itemised_usage(F.to_json(V.at(F.col("body"), "$.usage"))).alias("usage"),
+        *kept, "body", choice.alias("choice"), V.text_at(choice, "$.message.content").alias("content"),
+        V.at(choice, "$.logprobs").alias("tokens"), V.at(F.col("body"), "$.usage").alias("spent"),
     ).withColumn("inner", F.try_parse_json("content"))
-    typed = (
-        F.col("body").isNotNull()
-        & V.has_type(F.col("body"), V.OBJECT)
-        & V.has_type(V.at(F.col("body"), "$.choices"), V.ARRAY)
-        & V.has_type(F.col("choice"), V.OBJECT)
-        & V.has_type(V.at(F.col("choice"), "$.message"), V.OBJECT)
-        & V.has_type(V.at(F.col("choice"), "$.message.content"), V.TEXT)
+    body, inner = F.col("body"), F.col("inner")
+    typed = V.all_of([
+        body.isNotNull(), V.has_type(body, V.OBJECT), V.has_type(V.at(body, "$.choices"), V.ARRAY),
+        V.has_type(F.col("choice"), V.OBJECT), V.has_type(V.at(F.col("choice"), "$.message"), V.OBJECT),
+        V.has_type(V.at(F.col("choice"), "$.message.content"), V.TEXT),
+    ])
+    no_choices = F.coalesce(F.size(V.list_at(body, "$.choices")), F.lit(0)) <= 0
+    decodable = V.all_of([
+        inner.isNotNull(), V.has_type(inner, V.OBJECT), V.has_type(V.at(inner, "$.results"), V.ARRAY),
+    ])
+    failure = F.when(~typed, BAD_ENVELOPE).when(no_choices, EMPTY_RESPONSE).when(~decodable, BAD_CONTENT)
+    found = F.coalesce(V.list_at(inner, "$.results"), _no_items())
+    asked = F.coalesce(F.col("want_logprobs"), F.lit(False))
+    checked = parts.select(
+        *kept, "content", failure.alias("failure"), itemised_usage(F.to_json("spent")).alias("usage"),
+        F.when(asked & ~V.is_absent(F.col("tokens")), F.to_json("tokens")).alias("logprobs"),
+        strict_items(F.when(failure.isNull(), found).otherwise(_no_items())).alias("items"),
     )
-    decodable = (
-        F.col("inner").isNotNull()
-        & V.has_type(F.col("inner"), V.OBJECT)
-        & V.has_type(V.at(F.col("inner"), "$.results"), V.ARRAY)
-    )
-    choices = V.list_at(F.col("body"), "$.choices")
-    failure = (
-        F.when(~typed, BAD_ENVELOPE)
-        .when(F.coalesce(F.size(choices), F.lit(0)) <= 0, EMPTY_RESPONSE)
-        .when(~decodable, BAD_CONTENT)
-    )
-    items = F.coalesce(V.list_at(F.col("inner"), "$.results"), F.array().cast("array<variant>"))
-    return parts.withColumn("failure", failure).withColumn(
-        "items", F.when(F.col("failure").isNull(), items).otherwise(F.array().cast("array<variant>"))
-    ).drop("body", "choice", "inner")
+
+    def with_expected(item: Column) -> Column:
+        ev = F.when(
+            item["well_formed"] & F.col("logprobs").isNotNull(),
+            expected_score(F.col("content"), F.col("logprobs"), item["job_key"]),
+        )
+        return item.withField("ev_score", ev)
+
+    return checked.withColumn("items", F.transform("items", with_expected)).drop("content")
 
 
-def chat_items(calls: DataFrame, want_logprobs: str = "want_logprobs") -> DataFrame:
+def chat_items(calls: DataFrame) -> DataFrame:
     """One row per item of the calls that decoded, malformed items included."""
-    keep = [c for c in calls.columns if c not in ("items", "failure", "response")]
-    exploded = calls.filter(F.col("failure").isNull()).select(
-        *keep, F.posexplode("items").alias("pos", "item")
-    )
-    decoded = exploded.withColumn("d", strict_item(F.col("item")))
-    asked = F.coalesce(F.col(want_logprobs), F.lit(False))
-    return decoded.select(
-        *[c for c in keep if c not in ("content", "logprobs")],
-        "pos",
-        F.col("d.well_formed"), F.col("d.job_key"), F.col("d.emitted_score"),
-        F.when(F.col("d.well_formed") & asked,
-               expected_score(F.col("content"), F.col("logprobs"), F.col("d.job_key"))).alias("ev_score"),
-        F.col("d.reasoning"), F.col("d.raw"),
-        F.when(asked, F.col("logprobs")).alias("logprobs"),
+    kept = [c for c in calls.columns if c not in ("items", "failure")]
+    return calls.select(*kept, F.posexplode("items").alias("pos", "item")).select(
+        *kept, "pos",
+        *[F.col(f"item.{name}").alias(name)
+          for name in ("well_formed", "job_key", "emitted_score", "ev_score", "reasoning", "raw")],
     )
 
 
@@ -85,7 +79,7 @@ def candidate_calls(responses: DataFrame) -> DataFrame:
     parts = opened.withColumn("part", part).withColumn(
         "inner", F.try_parse_json(V.text_at(F.col("part"), "$.text"))
     )
-    items = F.coalesce(V.list_at(F.col("inner"), "$"), F.array().cast("array<variant>"))
+    items = F.coalesce(V.list_at(F.col("inner"), "$"), _no_items())
     usage = V.at(F.col("body"), "$.usageMetadata")
     typed = (
         F.col("body").isNotNull()

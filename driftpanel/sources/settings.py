@@ -58,11 +58,17 @@ def decoded(document: Column, schema: str) -> Column:
     return F.from_json(document, schema, {"mode": "FAILFAST"})
 
 
+def _labels(documents: DataFrame) -> list[str]:
+    """Columns that say where a document comes from; they stay with its rows."""
+    return [c for c in documents.columns if c != "document"]
+
+
 def source_companies(documents: DataFrame) -> DataFrame:
-    """Provider and company pairs of a sources document."""
-    return (
-        documents.select(F.explode(decoded(F.col("document"), SOURCES_TYPE)).alias("provider", "companies"))
-        .select("provider", F.explode("companies").alias("company"))
+    """Provider and company pairs of the sources documents."""
+    labels = _labels(documents)
+    by_provider = F.explode(decoded(F.col("document"), SOURCES_TYPE)).alias("provider", "companies")
+    return documents.select(*labels, by_provider).select(
+        *labels, "provider", F.explode("companies").alias("company")
     )
 
 
@@ -83,6 +89,7 @@ def keyword_lists(documents: DataFrame) -> DataFrame:
     rules = decoded(F.col("document"), KEYWORDS_TYPE)
     empty = F.array().cast("array<string>")
     return documents.select(
+        *_labels(documents),
         F.coalesce(rules["include"], empty).alias("include"),
         F.coalesce(rules["exclude"], empty).alias("exclude"),
     )
@@ -122,8 +129,8 @@ def model_catalogue(documents: DataFrame) -> DataFrame:
 
 
 def score_bands(documents: DataFrame) -> DataFrame:
-    return documents.select(F.inline(decoded(F.col("document"), BANDS_TYPE)))
+    return documents.select(*_labels(documents), F.inline(decoded(F.col("document"), BANDS_TYPE)))
 
 
 def band_targets(documents: DataFrame) -> DataFrame:
-    return documents.select(F.inline(decoded(F.col("document"), TARGETS_TYPE)))
+    return documents.select(*_labels(documents), F.inline(decoded(F.col("document"), TARGETS_TYPE)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from driftpanel.functions import variants as V
+from driftpanel.functions.binding import bind, bind_all
 
 
 def itemised_usage(raw: Column) -> Column:
@@ -14,8 +15,17 @@ def itemised_usage(raw: Column) -> Column:
     Each pair hangs on its own details object. A blob that cannot be read keeps
     only its raw text.
     """
-    v = F.try_parse_json(raw)
-    prompt, completion = V.at(v, "$.prompt_tokens_details"), V.at(v, "$.completion_tokens_details")
+    return bind_all(
+        lambda blob: bind_all(
+            lambda found: _counts(blob["raw"], blob["v"], found["prompt"], found["completion"]),
+            prompt=V.at(blob["v"], "$.prompt_tokens_details"),
+            completion=V.at(blob["v"], "$.completion_tokens_details"),
+        ),
+        raw=raw, v=F.try_parse_json(raw),
+    )
+
+
+def _counts(raw: Column, v: Column, prompt: Column, completion: Column) -> Column:
     readable = v.isNotNull() & V.all_of(
         [V.has_type(v, V.OBJECT)]
         + [V.has_type(V.at(v, f"$.{name}"), V.WHOLE)
@@ -24,16 +34,20 @@ def itemised_usage(raw: Column) -> Column:
         + [V.has_type(V.at(prompt, "$.cached_tokens"), V.WHOLE),
            V.has_type(V.at(completion, "$.reasoning_tokens"), V.WHOLE)]
     )
-    has_prompt = readable & V.is_object(prompt)
-    has_completion = readable & V.is_object(completion)
-    cached = V.whole_at(prompt, "$.cached_tokens")
-    reasoning = V.whole_at(completion, "$.reasoning_tokens")
-    return F.struct(
-        F.when(has_prompt, V.whole_at(v, "$.prompt_tokens") - cached).alias("input_uncached"),
-        F.when(has_prompt, cached).alias("cached_read"),
-        F.lit(None).cast("bigint").alias("cache_write"),
-        F.when(has_completion, V.whole_at(v, "$.completion_tokens") - reasoning).alias("output_tokens"),
-        F.when(has_completion, reasoning).alias("reasoning_tokens"),
-        F.when(readable, V.whole_at(v, "$.total_tokens")).otherwise(0).cast("double").alias("total"),
-        F.nullif(raw, F.lit("")).alias("raw"),
-    )
+
+    def counts(r: Column) -> Column:
+        cached = V.whole_at(prompt, "$.cached_tokens")
+        reasoning = V.whole_at(completion, "$.reasoning_tokens")
+        return F.struct(
+            F.when(r["prompt"], V.whole_at(v, "$.prompt_tokens") - cached).alias("input_uncached"),
+            F.when(r["prompt"], cached).alias("cached_read"),
+            F.lit(None).cast("bigint").alias("cache_write"),
+            F.when(r["completion"], V.whole_at(v, "$.completion_tokens") - reasoning).alias("output_tokens"),
+            F.when(r["completion"], reasoning).alias("reasoning_tokens"),
+            F.when(r["readable"], V.whole_at(v, "$.total_tokens")).otherwise(0).cast("double").alias("total"),
+            F.nullif(raw, F.lit("")).alias("raw"),
+        )
+
+    return bind(readable, lambda ok: bind_all(
+        counts, readable=ok, prompt=ok & V.is_object(prompt), completion=ok & V.is_object(completion),
+    ))

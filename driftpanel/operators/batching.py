@@ -39,6 +39,16 @@ def batch_sizes(batched: DataFrame) -> DataFrame:
     )
 
 
+def spread_batches(batched: DataFrame) -> DataFrame:
+    """Brings each batch together, in as many tasks as the cluster is set up for.
+
+    Requests are small but slow to answer, so tasks must not be merged by size, as
+    adaptive execution would. The aggregate that follows needs no other shuffle.
+    """
+    tasks = int(batched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return batched.repartition(tasks, "batch_index")
+
+
 def batch_requests(batched: DataFrame) -> DataFrame:
     """One row per batch with the user message. A batch holds at most its size."""
     placed = F.collect_list(F.struct(F.col("pos"), *[F.col(name) for name in PROMPT_FIELDS]))
@@ -46,7 +56,7 @@ def batch_requests(batched: DataFrame) -> DataFrame:
         F.array_sort(placed), lambda job: F.struct(*[job[name].alias(name) for name in PROMPT_FIELDS])
     )
     return (
-        batched.groupBy("batch_index")
+        spread_batches(batched).groupBy("batch_index")
         .agg(
             items.alias("items"),
             F.count("*").alias("jobs_sent"),

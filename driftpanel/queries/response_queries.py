@@ -12,14 +12,15 @@ from driftpanel.queries.registry import registered
 from driftpanel.queries.views import ledger, sql_over, table
 from driftpanel.sources.responses import candidate_calls, candidate_items, chat_calls, chat_items
 
-EVENT = F.col("event_id")
+def _event():
+    return F.col("event_id")
 
 
 def _usage_blob():
     """Six kinds of usage blob, by event."""
     k = F.col("tokens")
-    both, prompt_only = EVENT % 6 == 0, EVENT % 6 == 3
-    zeros = EVENT % 6 == 1
+    both, prompt_only = _event() % 6 == 0, _event() % 6 == 3
+    zeros = _event() % 6 == 1
     cached = F.when(both | prompt_only, F.floor(k / 2)).when(zeros, 0)
     reasoning = F.when(both, F.floor(k / 3)).when(zeros, 0)
     blob = F.to_json(F.struct(
@@ -27,7 +28,7 @@ def _usage_blob():
         F.when(cached.isNotNull(), F.struct(cached.alias("cached_tokens"))).alias("prompt_tokens_details"),
         F.when(reasoning.isNotNull(), F.struct(reasoning.alias("reasoning_tokens"))).alias("completion_tokens_details"),
     ))
-    return F.when(EVENT % 6 == 4, "").when(EVENT % 6 == 5, '{"prompt_tokens":"12","total_tokens":12}').otherwise(blob)
+    return F.when(_event() % 6 == 4, "").when(_event() % 6 == 5, '{"prompt_tokens":"12","total_tokens":12}').otherwise(blob)
 
 
 @registered(sql_over("ledger", body="""
@@ -50,7 +51,7 @@ def usage_itemised(spark, sf_dir):
 
 
 def _item_text():
-    ident = EVENT.cast("string")
+    ident = _event().cast("string")
 
     def item(template: str):
         return F.replace(F.replace(F.lit(template), F.lit("#"), ident), F.lit("@"), F.col("tokens").cast("string"))
@@ -65,7 +66,7 @@ def _item_text():
         '{"key":"k#","score":',
         '{"reasoning":"r#","score":null,"key":"k#","extra":[1]}',
     )
-    return F.element_at(F.array(*[item(kind) for kind in kinds]), (EVENT % 8 + 1).cast("int"))
+    return F.element_at(F.array(*[item(kind) for kind in kinds]), (_event() % 8 + 1).cast("int"))
 
 
 @registered(sql_over("ledger", body="""
@@ -96,28 +97,28 @@ def _tokens(*tokens):
 
 def _chat_responses(spark, sf_dir):
     """One response per event: a good item and one with a text for a score."""
-    ident, k = EVENT.cast("string"), F.col("tokens")
-    results = F.when(EVENT % 10 == 7, F.lit('{"other":1}'))
+    ident, k = _event().cast("string"), F.col("tokens")
+    results = F.when(_event() % 10 == 7, F.lit('{"other":1}'))
     head = F.concat(F.lit('{"results":[{"key":"k'), ident, F.lit('","score":'))
     tail = F.concat(
         F.lit(',"reasoning":"r'), ident, F.lit('"},{"key":"bad","score":"N/A","reasoning":"kept"}]}')
     )
     number = k.cast("string")
-    whole = F.concat(head, number, F.when(EVENT % 10 == 9, F.lit(',"reas')).otherwise(tail))
-    other = F.when(EVENT % 6 == 0, "about").otherwise((k + 1).cast("string"))
+    whole = F.concat(head, number, F.when(_event() % 10 == 9, F.lit(',"reas')).otherwise(tail))
+    other = F.when(_event() % 6 == 0, "about").otherwise((k + 1).cast("string"))
     logprobs = _tokens((head, ()), (number, ((number, -0.1), (other, -2.5))), (tail, ()))
     choice = F.struct(
         F.struct(F.coalesce(results, whole).alias("content")).alias("message"), logprobs.alias("logprobs")
     )
     body = F.to_json(F.struct(
-        F.when(EVENT % 10 == 8, F.array().cast(f"array<struct<a: int>>").cast("string"))
+        F.when(_event() % 10 == 8, F.array().cast(f"array<struct<a: int>>").cast("string"))
         .alias("unused"),
-        F.when(EVENT % 10 != 8, F.array(choice)).alias("choices"),
+        F.when(_event() % 10 != 8, F.array(choice)).alias("choices"),
         F.struct((150 + k).alias("total_tokens")).alias("usage"),
     ))
     return ledger(spark, sf_dir).select(
-        "event_id", (EVENT % 2 == 0).alias("want_logprobs"),
-        F.when(EVENT % 50 == 8, "<html>").otherwise(body).alias("response"),
+        "event_id", (_event() % 2 == 0).alias("want_logprobs"),
+        F.when(_event() % 50 == 8, "<html>").otherwise(body).alias("response"),
     )
 
 
@@ -157,14 +158,14 @@ def chat_call_failures(spark, sf_dir):
 def candidate_response_items(spark, sf_dir):
     """One item with a fractional score loses its whole call."""
     k = F.col("tokens")
-    second = F.when(EVENT % 10 == 9, '{"key":"z","score":1.5}').otherwise('{"key":"z","score":5}')
+    second = F.when(_event() % 10 == 9, '{"key":"z","score":1.5}').otherwise('{"key":"z","score":5}')
     text = F.concat(
-        F.lit('[{"key":"k'), EVENT.cast("string"), F.lit('","score":'), k.cast("string"),
+        F.lit('[{"key":"k'), _event().cast("string"), F.lit('","score":'), k.cast("string"),
         F.lit(',"reasoning":"r"},'), second, F.lit("]"),
     )
     candidate = F.struct(F.struct(F.array(F.struct(text.alias("text"))).alias("parts")).alias("content"))
     body = F.to_json(F.struct(
-        F.when(EVENT % 10 != 8, F.array(candidate)).alias("candidates"),
+        F.when(_event() % 10 != 8, F.array(candidate)).alias("candidates"),
         F.struct((9 + k).alias("totalTokenCount")).alias("usageMetadata"),
     ))
     calls = candidate_calls(ledger(spark, sf_dir).select("event_id", body.alias("response")))

@@ -180,13 +180,11 @@ def postings_of(parsed: DataFrame) -> DataFrame:
         "ashby": F.transform(F.filter("items", _is_listed), _ashby_posting),
         "lever": F.transform("items", _lever_posting),
     })
-    # A null array explodes to nothing; a filter would be pushed below the parsing
-    # and parse every payload twice.
+    # A filter here, or the one an inner explode implies, would be pushed below the
+    # parsing and parse every payload twice. The null arrays fall out afterwards.
     usable = F.when(F.col("well_formed"), postings)
-    exploded = parsed.select(F.explode(usable).alias("posting")).select(
-        *[F.col(f"posting.{name}") for name in _POSTING_FIELDS]
-    )
-    return with_identity(exploded)
+    exploded = parsed.select(F.explode_outer(usable).alias("posting")).filter(F.col("posting").isNotNull())
+    return with_identity(exploded.select(*[F.col(f"posting.{name}") for name in _POSTING_FIELDS]))
 
 
 def collect_boards(landing: DataFrame, sources: DataFrame) -> DataFrame:

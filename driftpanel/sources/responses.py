@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from driftpanel.functions import variants as V
-from driftpanel.functions.expected import expected_score
+from driftpanel.functions.binding import bind_all
+from driftpanel.functions.expected import expected_score_of, parsed_tokens
 from driftpanel.functions.items import strict_items, well_typed
 from driftpanel.functions.usage import itemised_usage
 
@@ -52,20 +53,36 @@ def chat_calls(responses: DataFrame) -> DataFrame:
         strict_items(F.when(failure.isNull(), found).otherwise(_no_items())).alias("items"),
     )
 
-    def with_expected(item: Column) -> Column:
-        ev = F.when(
-            item["well_formed"] & F.col("logprobs").isNotNull(),
-            expected_score(F.col("content"), F.col("logprobs"), item["job_key"]),
-        )
-        return item.withField("ev_score", ev)
+    def expected_in(call: Column) -> Column:
+        def with_expected(item: Column) -> Column:
+            ev = F.when(item["well_formed"], expected_score_of(call["content"], call["tokens"], item["job_key"]))
+            return item.withField("ev_score", ev)
 
-    return checked.withColumn("items", F.transform("items", with_expected)).drop("content")
+        return F.transform(call["items"], with_expected)
+
+    no_ev = F.transform("items", lambda item: item.withField("ev_score", F.lit(None).cast("double")))
+    with_ev = bind_all(
+        expected_in, content=F.col("content"), tokens=parsed_tokens(F.col("logprobs")), items=F.col("items")
+    )
+    return checked.withColumn(
+        "items", F.when(F.col("logprobs").isNull(), no_ev).otherwise(with_ev)
+    ).drop("content")
+
+
+def exploded(calls: DataFrame, kept: list[str]) -> DataFrame:
+    """One row per item with its position.
+
+    An inner explode lets the optimizer filter on the array's size below the
+    decoding, which would decode everything twice; the outer one does not.
+    """
+    rows = calls.select(*kept, F.posexplode_outer("items").alias("pos", "item"))
+    return rows.filter(F.col("pos").isNotNull())
 
 
 def chat_items(calls: DataFrame) -> DataFrame:
     """One row per item of the calls that decoded, malformed items included."""
     kept = [c for c in calls.columns if c not in ("items", "failure")]
-    return calls.select(*kept, F.posexplode("items").alias("pos", "item")).select(
+    return exploded(calls, kept).select(
         *kept, "pos",
         *[F.col(f"item.{name}").alias(name)
           for name in ("well_formed", "job_key", "emitted_score", "ev_score", "reasoning", "raw")],
@@ -100,6 +117,7 @@ def candidate_calls(responses: DataFrame) -> DataFrame:
     return (
         parts.withColumn("items", items)
         .withColumn("failure", failure)
+        .withColumn("items", F.when(F.col("failure").isNull(), F.col("items")).otherwise(_no_items()))
         .withColumn("total_tokens", V.whole_at(usage, "$.totalTokenCount").cast("double"))
         .withColumn("usage_raw", F.to_json(usage))
         .drop("body", "part", "inner")
@@ -109,13 +127,9 @@ def candidate_calls(responses: DataFrame) -> DataFrame:
 def candidate_items(calls: DataFrame) -> DataFrame:
     keep = [c for c in calls.columns if c not in ("items", "failure", "response")]
     item = F.col("item")
-    return (
-        calls.filter(F.col("failure").isNull())
-        .select(*keep, F.posexplode("items").alias("pos", "item"))
-        .select(
-            *keep, "pos",
-            V.text_at(item, "$.key").alias("job_key"),
-            V.whole_at(item, "$.score").cast("double").alias("emitted_score"),
-            V.text_at(item, "$.reasoning").alias("reasoning"),
-        )
+    return exploded(calls, keep).select(
+        *keep, "pos",
+        V.text_at(item, "$.key").alias("job_key"),
+        V.whole_at(item, "$.score").cast("double").alias("emitted_score"),
+        V.text_at(item, "$.reasoning").alias("reasoning"),
     )

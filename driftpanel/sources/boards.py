@@ -25,7 +25,7 @@ _POSTING_FIELDS = (
 
 def read_landing(spark: SparkSession, path: str) -> DataFrame:
     """One JSON file per fetch under ``provider=<p>/company=<c>/``."""
-    files = spark.read.option("wholetext", "true").option("basePath", path).text(path)
+    files = spark.read.option("basePath", path).text(path, wholetext=True)
     return files.select(
         F.col("provider").cast("string"), F.col("company").cast("string"), F.col("value").alias("payload")
     )

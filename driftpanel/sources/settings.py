@@ -50,7 +50,7 @@ MODEL_COLUMNS = (
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """A settings file as one row, ``document``; local or object store alike."""
-    return spark.read.option("wholetext", "true").text(path).withColumnRenamed("value", "document")
+    return spark.read.text(path, wholetext=True).withColumnRenamed("value", "document")
 
 
 def decoded(document: Column, schema: str) -> Column:

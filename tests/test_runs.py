@@ -1,11 +1,13 @@
 """Whole runs with the offline scorer."""
 
 import json
+import sys
 from dataclasses import replace
 from datetime import datetime, timezone
 
 import pandas as pd
 import pytest
+from pyspark import cloudpickle
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
@@ -16,6 +18,9 @@ from driftpanel.plans import panels
 from driftpanel.plans.runs import grade_run
 from driftpanel.streaming.landing import stream_landing, upsert_stream, version_path
 
+# Workers cannot import this file; the scorers below travel with their code.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 NOW = datetime(2026, 7, 29, 13, 0, tzinfo=timezone.utc)
 MODELS = tuple(ModelConfig(n, n + "-d", n == "g1", 1000, 60, "offline", "x") for n in ("screener", "g1", "g2"))
 CONFIG = RunConfig(

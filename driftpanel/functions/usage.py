@@ -49,5 +49,5 @@ def _counts(raw: Column, v: Column, prompt: Column, completion: Column) -> Colum
         )
 
     return bind(readable, lambda ok: bind_all(
-        counts, readable=ok, prompt=ok & V.is_object(prompt), completion=ok & V.is_object(completion),
+        counts, readable=ok, prompt=ok & (V.json_type(prompt) == V.OBJECT), completion=ok & (V.json_type(completion) == V.OBJECT),
     ))

@@ -23,31 +23,18 @@ def at(value: Column, path: str) -> Column:
     return F.try_variant_get(value, path, "variant")
 
 
-def scalar_type(value: Column) -> Column:
-    """Leading word of a scalar's type; a missing value and null are ``VOID``."""
-    return F.regexp_extract(F.coalesce(F.schema_of_variant(value), F.lit(ABSENT)), "^[A-Z]+", 0)
-
-
-def is_absent(value: Column) -> Column:
-    return value.isNull() | F.is_variant_null(value)
-
+def json_type(value: Column) -> Column:
+    """Leading word of the value's type; a missing value and null are ``VOID``.
 
-def is_object(value: Column) -> Column:
-    """Looks at the top level only; a type name would be built from everything below."""
-    return F.try_variant_get(value, "$", "map<string, variant>").isNotNull()
-
-
-def is_array(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "array<variant>").isNotNull()
+    Meant for single items and their fields: the type of a whole document would
+    spell out everything in it.
+    """
+    return F.regexp_extract(F.coalesce(F.schema_of_variant(value), F.lit(ABSENT)), "^[A-Z]+", 0)
 
 
 def has_type(value: Column, *kinds: str) -> Column:
     """True when the value is absent, null, or one of ``kinds``."""
-    if kinds == (OBJECT,):
-        return is_absent(value) | is_object(value)
-    if kinds == (ARRAY,):
-        return is_absent(value) | is_array(value)
-    return scalar_type(value).isin(ABSENT, *kinds)
+    return json_type(value).isin(ABSENT, *kinds)
 
 
 def all_of(conditions) -> Column:

@@ -87,7 +87,7 @@ def reachable(pool: DataFrame, seed: int, depth: int) -> DataFrame:
     further than the first ``n + s`` postings. ``depth`` is that sum.
     """
     phased = pool.select(
-        "score_band", "company", "stablekey",
+        "score_band", "company", "stablekey", "screening_score",
         F.explode(F.array(*[F.lit(p) for p in (FLOORS, TARGETS, BACKFILL)])).alias("phase"),
     )
     step = ("phase", "score_band")
@@ -148,14 +148,14 @@ class _Draw:
         if self.picks:
             pool = pool.filter(~F.col("stablekey").isin(*[pick.stablekey for pick in self.picks]))
         taken = round_robin(pool, wanted, self._companies(), self.max_per_company).select(
-            "stablekey", "company", "score_band", "phase", "turn"
+            "stablekey", "company", "score_band", "screening_score", "phase", "turn"
         ).collect()  # at most sum(wanted) rows, a panel's worth
         self.picks += sorted(taken, key=lambda pick: (top_first.index(pick.score_band), pick.turn))
 
 
 def draw_panel(pool: DataFrame, bands: Sequence[ScoreBand], targets: Sequence[BandTarget], size: int,
                max_per_company: int, seed: int) -> DataFrame:
-    """Picks of the panel in selection order: ``seq``, stablekey, company, score_band, phase.
+    """Picks of the panel in selection order, ``seq``, with their band, score and phase.
 
     Floors first, then what is missing to the targets, then any band until the
     panel is full; the top band always comes first. With a company cap a band
@@ -182,11 +182,12 @@ def draw_panel(pool: DataFrame, bands: Sequence[ScoreBand], targets: Sequence[Ba
     for name in top_first:
         draw.take(BACKFILL, {name: size - len(draw.picks)}, top_first)
     rows = [
-        (seq, pick.stablekey, pick.company, pick.score_band, pick.phase)
+        (seq, pick.stablekey, pick.company, pick.score_band, pick.screening_score, pick.phase)
         for seq, pick in enumerate(draw.picks[:size], start=1)
     ]
     return spark.createDataFrame(
-        rows, "seq int, stablekey string, company string, score_band string, phase int"
+        rows,
+        "seq int, stablekey string, company string, score_band string, screening_score double, phase int",
     )
 
 

@@ -160,22 +160,23 @@ def live_span(jobs: DataFrame, now_epoch: Column) -> DataFrame:
 def contributor_effect(ledger: DataFrame) -> DataFrame:
     """Cell means by contributor and model, and what the two margins leave unexplained.
 
-    The margins come from the cells' sums, so the ledger is read once.
+    The margins come from the cells' sums, not from the ledger again.
     """
     cells = ledger.groupBy("contributor_id", "model").agg(
         F.sum(exact(F.col("score"))).alias("total"), F.count("score").alias("n")
     )
 
-    def mean_over(*keys: str) -> Column:
-        window = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    def mean_over(key: str) -> Column:
+        window = Window.partitionBy(key)
         return F.sum("total").over(window).cast("double") / F.sum("n").over(window)
 
     cell = F.col("total").cast("double") / F.col("n")
+    overall = cells.agg(F.sum("total").cast("double") / F.sum("n")).scalar()
     return cells.select(
         "contributor_id", "model", "n", cell.alias("cell_mean"),
         mean_over("contributor_id").alias("contributor_mean"),
         mean_over("model").alias("model_mean"),
-        (cell - mean_over("contributor_id") - mean_over("model") + mean_over()).alias("interaction"),
+        (cell - mean_over("contributor_id") - mean_over("model") + overall).alias("interaction"),
     )
 
 

@@ -32,10 +32,10 @@ def draw_from(postings: DataFrame, scores: DataFrame, config: RunConfig, seed: i
     pool = banded_pool(postings, scores, config.bands)
     picks = draw_panel(
         pool, config.bands, config.targets, config.panel_size, config.max_per_company, seed
-    ).select("seq", "stablekey", "score_band")
-    few = F.broadcast(picks.select("stablekey"))
+    ).drop("company", "phase")
+    few = F.broadcast(picks.select("stablekey"))  # at most a panel's worth of rows
     chosen = dedupe_newest(postings.join(few, "stablekey", "left_semi"), POSTING_COLUMNS)
-    return chosen.join(F.broadcast(picks), "stablekey").join(scores, "key")
+    return chosen.join(F.broadcast(picks), "stablekey")
 
 
 def panel_rows(drawn: DataFrame, seed: int, built_at: Column) -> DataFrame:
@@ -52,9 +52,13 @@ def panel_rows(drawn: DataFrame, seed: int, built_at: Column) -> DataFrame:
 
 
 def store_panel(rows: DataFrame, path: str) -> None:
-    """One write job for the whole panel, into its own partition."""
+    """One write job for the whole panel, into its own partition.
+
+    ``repartition`` rather than ``coalesce``: only the panel's few rows, not the work
+    that finds them, belong in one task.
+    """
     (
-        rows.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        rows.repartition(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("panel_id").parquet(path)
     )
 

@@ -320,12 +320,7 @@ def jobs_upsert(spark, sf_dir):
            count(*) FILTER (WHERE posted_at >= {CUT}) AS recent, count(*) FILTER (WHERE is_remote) AS matched
     FROM postings GROUP BY company"""))
 def funnel_counts(spark, sf_dir):
-    rows = postings(spark, sf_dir)
-    counts = rows.groupBy("company").agg(
-        F.count("*").alias("collected"), F.count_if(F.col("posted_at") >= CUT).alias("recent"),
-        F.count_if("is_remote").alias("matched"),
+    return postings(spark, sf_dir).groupBy("company").agg(
+        F.count("*").alias("collected"), F.countDistinct("composite_key").alias("live_keys"),
+        F.count_if(F.col("posted_at") >= CUT).alias("recent"), F.count_if("is_remote").alias("matched"),
     )
-    live = liveness.live_keys(rows.select("company", "composite_key").distinct()).join(
-        rows.select("company", "composite_key").distinct(), "composite_key"
-    ).groupBy("company").agg(F.count("*").alias("live_keys"))
-    return counts.join(live, "company")

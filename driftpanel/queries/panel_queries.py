@@ -64,7 +64,7 @@ def draw_sql(seed: int, targets, size: int, cap: int) -> str:
         parts.append(f"""
         {name} AS MATERIALIZED (
             SELECT * FROM (
-                SELECT stablekey, company, score_band, {phase} AS phase, {len(steps)} AS step,
+                SELECT stablekey, company, score_band, screening_score, {phase} AS phase, {len(steps)} AS step,
                        row_number() OVER (ORDER BY rr, md5('{seed}:{phase}:{band}:' || company), company) AS turn
                 FROM (
                     SELECT p.*, row_number() OVER (PARTITION BY p.company
@@ -88,8 +88,8 @@ def draw_sql(seed: int, targets, size: int, cap: int) -> str:
     return ", ".join(["", *parts]) + f""",
         picks AS MATERIALIZED (
             SELECT * FROM (
-                SELECT stablekey, company, score_band, phase, row_number() OVER (ORDER BY step, turn) AS seq
-                FROM ({selected('stablekey, company, score_band, phase, step, turn')}))
+                SELECT stablekey, company, score_band, screening_score, phase, row_number() OVER (ORDER BY step, turn) AS seq
+                FROM ({selected('stablekey, company, score_band, screening_score, phase, step, turn')}))
             WHERE seq <= {size})"""
 
 
@@ -97,7 +97,7 @@ def _panel_sql(seed: int, targets, size: int, cap: int, columns: str) -> str:
     return sql_over("postings", body=POOL_SQL + draw_sql(seed, targets, size, cap) + f" SELECT {columns} FROM picks")
 
 
-PICKS = "seq, stablekey, company, score_band, phase"
+PICKS = "seq, stablekey, company, score_band, screening_score, phase"
 
 
 def _draw(spark, sf_dir, targets, size, cap, seed):
@@ -123,7 +123,7 @@ def panel_draw_truncated(spark, sf_dir):
 
 
 @registered(sql_over("postings", body=POOL_SQL + draw_sql(OTHER_SEED, DEFAULT_TARGETS, DEFAULT_PANEL_SIZE, 0) + f"""
-    SELECT 'panel-{OTHER_SEED}-20260730T080000Z' AS panel_id, stablekey, picks.score_band, screening_score, key, title,
+    SELECT 'panel-{OTHER_SEED}-20260730T080000Z' AS panel_id, stablekey, picks.score_band, picks.screening_score, key, title,
            url, posted_at, is_remote
     FROM picks JOIN pool USING (stablekey)"""))
 def active_panel_stored(spark, sf_dir):
@@ -281,7 +281,7 @@ def _built(spark, sf_dir):
 
 
 @registered(sql_over("postings", body=BUILT_SQL + draw_sql(SEED, DEFAULT_TARGETS, DEFAULT_PANEL_SIZE, 3) + f"""
-    SELECT 'panel-{SEED}-20260729T143005Z' AS panel_id, stablekey, picks.score_band, screening_score, url
+    SELECT 'panel-{SEED}-20260729T143005Z' AS panel_id, stablekey, picks.score_band, picks.screening_score, url
     FROM picks JOIN pool USING (stablekey)"""))
 def panel_build(spark, sf_dir):
     """Screen, draw, store and read back; the seed comes from the moment of the build."""

@@ -12,12 +12,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from driftpanel.functions import variants as V
+from driftpanel.functions.binding import bind
 from driftpanel.functions.keys import with_identity
 from driftpanel.functions.moments import millis_to_epoch, rfc3339_epoch
 
 # Providers that can be decoded. Fixed values.
 PROVIDERS = ("greenhouse", "ashby", "lever")
 
+BROKEN = "_corrupt_record"
 _POSTING_FIELDS = (
     "title", "company", "location", "description", "url", "source", "posted_at", "is_remote",
 )
@@ -42,7 +44,7 @@ def _fields(item: Column, kind: str, *paths: str) -> list[Column]:
 def _greenhouse_well_typed(item: Column) -> Column:
     ranges = V.at(item, "$.pay_input_ranges")
     pay_ok = F.forall(
-        F.coalesce(V.list_at(item, "$.pay_input_ranges"), _no_items()),
+        F.coalesce(V.list_at(item, "$.pay_input_ranges"), F.array().cast("array<variant>")),
         lambda r: V.all_of(
             [V.has_type(r, V.OBJECT)]
             + _fields(r, V.TEXT, "$.title", "$.currency_type", "$.interval")
@@ -129,8 +131,23 @@ def _by_provider(per_provider: dict[str, Column]) -> Column:
     )
 
 
-def _no_items() -> Column:
-    return F.array().cast("array<variant>")
+def _opened(payload: Column) -> Column:
+    """The payload's items and whether its outer shape is right.
+
+    One streaming pass; only items become VARIANTs. A bare ``null`` is an empty
+    payload.
+    """
+    def of_list(items: Column) -> Column:
+        return F.struct(items.alias("items"), (items.isNotNull() | is_null).alias("shaped"))
+
+    def of_object(body: Column) -> Column:
+        whole = body.isNotNull() & body[BROKEN].isNull()
+        return F.struct(body["jobs"].alias("items"), (whole | is_null).alias("shaped"))
+
+    is_null = F.trim(payload) == "null"
+    return F.when(F.col("provider") == "lever", bind(F.from_json(payload, "array<variant>"), of_list)).otherwise(
+        bind(F.from_json(payload, f"jobs array<variant>, {BROKEN} string"), of_object)
+    )
 
 
 def parse_payloads(landing: DataFrame) -> DataFrame:
@@ -138,25 +155,18 @@ def parse_payloads(landing: DataFrame) -> DataFrame:
 
     Items of a payload that does not decode are not to be used.
     """
-    parsed = landing.filter(F.col("provider").isin(*PROVIDERS)).withColumn(
-        "document", F.try_parse_json("payload")
-    )
-    document = F.col("document")
-    root_is_list = F.col("provider") == "lever"
-    body = F.when(root_is_list, document).otherwise(V.at(document, "$.jobs"))
-    opened = parsed.withColumn("body", body)
-    shaped = document.isNotNull() & V.has_type(F.col("body"), V.ARRAY) & (
-        root_is_list | V.has_type(document, V.OBJECT)
-    )
-    with_items = opened.withColumn("shaped", shaped).withColumn(
-        "items", F.coalesce(V.list_at(F.col("body"), "$"), _no_items())
+    known = landing.filter(F.col("provider").isin(*PROVIDERS))
+    opened = known.withColumn("opened", _opened(F.col("payload"))).select(
+        *landing.columns,
+        F.coalesce("opened.items", F.array().cast("array<variant>")).alias("items"),
+        F.col("opened.shaped").alias("shaped"),
     )
     typed = _by_provider({
         "greenhouse": F.forall("items", _greenhouse_well_typed),
         "ashby": F.forall("items", _ashby_well_typed),
         "lever": F.forall("items", _lever_well_typed),
     })
-    return with_items.withColumn("well_formed", F.col("shaped") & typed).drop("shaped", "document", "body")
+    return opened.withColumn("well_formed", F.col("shaped") & typed).drop("shaped")
 
 
 def quarantined(parsed: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 A response row holds the raw body of one call in ``response`` next to whatever
 identifies the call. Decoding a row adds ``failure`` (why the whole call is lost,
-or null) and ``items`` (empty when it is lost); nothing is shuffled.
+or null) and ``items`` (empty when it is lost); nothing is shuffled. Envelopes are
+read with a schema in one streaming pass; only items become VARIANTs, because only
+their types need a second look.
 """
 
 from __future__ import annotations
@@ -20,37 +22,50 @@ BAD_ENVELOPE = "envelope"
 EMPTY_RESPONSE = "empty"
 BAD_CONTENT = "content"
 
+BROKEN = "_corrupt_record"
+CHAT_ENVELOPE = (
+    "choices array<struct<message: struct<content: string>, logprobs: string>>, usage string, "
+    f"{BROKEN} string"
+)
+CHAT_CONTENT = f"results array<variant>, {BROKEN} string"
+CANDIDATES_ENVELOPE = (
+    "candidates array<struct<content: struct<parts: array<struct<text: string>>>>>, "
+    f"usageMetadata string, {BROKEN} string"
+)
+
 
 def _no_items() -> Column:
     return F.array().cast("array<variant>")
 
 
+def _is_null_text(text: Column) -> Column:
+    return F.trim(text) == "null"
+
+
+def _broken(parsed: Column) -> Column:
+    return parsed.isNull() | parsed[BROKEN].isNotNull()
+
+
 def chat_calls(responses: DataFrame) -> DataFrame:
     """One row per chat-completions call: usage, failure, logprobs, decoded items."""
     kept = [c for c in responses.columns if c not in ("response", "items")]
-    opened = responses.select(*kept, F.try_parse_json("response").alias("body"))
-    choice = V.at(F.col("body"), "$.choices[0]")
-    parts = opened.select(
-        *kept, "body", choice.alias("choice"), V.text_at(choice, "$.message.content").alias("content"),
-        V.at(choice, "$.logprobs").alias("tokens"), V.at(F.col("body"), "$.usage").alias("spent"),
-    ).withColumn("inner", F.try_parse_json("content"))
-    body, inner = F.col("body"), F.col("inner")
-    typed = V.all_of([
-        body.isNotNull(), V.has_type(body, V.OBJECT), V.has_type(V.at(body, "$.choices"), V.ARRAY),
-        V.has_type(F.col("choice"), V.OBJECT), V.has_type(V.at(F.col("choice"), "$.message"), V.OBJECT),
-        V.has_type(V.at(F.col("choice"), "$.message.content"), V.TEXT),
-    ])
-    no_choices = F.coalesce(F.size(V.list_at(body, "$.choices")), F.lit(0)) <= 0
-    decodable = V.all_of([
-        inner.isNotNull(), V.has_type(inner, V.OBJECT), V.has_type(V.at(inner, "$.results"), V.ARRAY),
-    ])
-    failure = F.when(~typed, BAD_ENVELOPE).when(no_choices, EMPTY_RESPONSE).when(~decodable, BAD_CONTENT)
-    found = F.coalesce(V.list_at(inner, "$.results"), _no_items())
+    body, choice, inner = F.col("body"), F.col("choice"), F.col("inner")
+    opened = (
+        responses.withColumn("body", F.from_json("response", CHAT_ENVELOPE))
+        .withColumn("choice", F.get(body["choices"], 0))
+        .withColumn("content", F.coalesce(choice["message"]["content"], F.lit("")))
+        .withColumn("inner", F.from_json("content", CHAT_CONTENT))
+    )
+    failure = (
+        F.when(_broken(body), BAD_ENVELOPE)
+        .when(F.coalesce(F.size(body["choices"]), F.lit(0)) <= 0, EMPTY_RESPONSE)
+        .when(_broken(inner) & ~_is_null_text(F.col("content")), BAD_CONTENT)
+    )
     asked = F.coalesce(F.col("want_logprobs"), F.lit(False))
-    checked = parts.select(
-        *kept, "content", failure.alias("failure"), itemised_usage(F.to_json("spent")).alias("usage"),
-        F.when(asked & ~V.is_absent(F.col("tokens")), F.to_json("tokens")).alias("logprobs"),
-        strict_items(F.when(failure.isNull(), found).otherwise(_no_items())).alias("items"),
+    found = F.when(failure.isNull(), F.coalesce(inner["results"], _no_items())).otherwise(_no_items())
+    checked = opened.select(
+        *kept, "content", failure.alias("failure"), itemised_usage(body["usage"]).alias("usage"),
+        F.when(asked, choice["logprobs"]).alias("logprobs"), strict_items(found).alias("items"),
     )
 
     def expected_in(call: Column) -> Column:
@@ -91,36 +106,24 @@ def chat_items(calls: DataFrame) -> DataFrame:
 
 def candidate_calls(responses: DataFrame) -> DataFrame:
     """Calls in the candidates/parts shape; one bad item loses the whole call."""
-    opened = responses.withColumn("body", F.try_parse_json("response"))
-    part = V.at(F.col("body"), "$.candidates[0].content.parts[0]")
-    parts = opened.withColumn("part", part).withColumn(
-        "inner", F.try_parse_json(V.text_at(F.col("part"), "$.text"))
-    )
-    items = F.coalesce(V.list_at(F.col("inner"), "$"), _no_items())
-    usage = V.at(F.col("body"), "$.usageMetadata")
-    typed = (
-        F.col("body").isNotNull()
-        & V.has_type(F.col("body"), V.OBJECT)
-        & V.has_type(V.at(F.col("body"), "$.candidates"), V.ARRAY)
-        & V.has_type(V.at(F.col("part"), "$.text"), V.TEXT)
-    )
-    decodable = (
-        F.col("inner").isNotNull()
-        & V.has_type(F.col("inner"), V.ARRAY)
-        & F.forall("items", lambda item: well_typed(item, V.WHOLE))
+    kept = [c for c in responses.columns if c not in ("response", "items")]
+    body, part = F.col("body"), F.col("part")
+    opened = (
+        responses.withColumn("body", F.from_json("response", CANDIDATES_ENVELOPE))
+        .withColumn("part", F.get(F.get(body["candidates"], 0)["content"]["parts"], 0))
+        .withColumn("found", F.from_json(part["text"], "array<variant>"))
     )
+    unreadable = F.col("found").isNull() & ~F.coalesce(_is_null_text(part["text"]), F.lit(False))
     failure = (
-        F.when(~typed, BAD_ENVELOPE)
-        .when(F.col("part").isNull(), EMPTY_RESPONSE)
-        .when(~decodable, BAD_CONTENT)
+        F.when(_broken(body), BAD_ENVELOPE)
+        .when(part.isNull(), EMPTY_RESPONSE)
+        .when(unreadable, BAD_CONTENT)
+        .when(~F.forall("found", lambda item: well_typed(item, V.WHOLE)), BAD_CONTENT)
     )
-    return (
-        parts.withColumn("items", items)
-        .withColumn("failure", failure)
-        .withColumn("items", F.when(F.col("failure").isNull(), F.col("items")).otherwise(_no_items()))
-        .withColumn("total_tokens", V.whole_at(usage, "$.totalTokenCount").cast("double"))
-        .withColumn("usage_raw", F.to_json(usage))
-        .drop("body", "part", "inner")
+    total = F.coalesce(F.get_json_object(body["usageMetadata"], "$.totalTokenCount").try_cast("int"), F.lit(0))
+    return opened.withColumn("failure", failure).select(
+        *kept, "failure", total.cast("double").alias("total_tokens"), body["usageMetadata"].alias("usage_raw"),
+        F.when(F.col("failure").isNull(), F.coalesce("found", _no_items())).otherwise(_no_items()).alias("items"),
     )
 
 

@@ -56,6 +56,7 @@ def loop_draw(pool, bands, targets, size, cap, seed):
 
 def spark_draw(spark, pool, bands, targets, size, cap, seed):
     df = spark.createDataFrame(pool, "score_band string, company string, stablekey string").repartition(3)
+    df = df.withColumn("screening_score", F.lit(1.0))
     drawn = panel.draw_panel(df, bands, targets, size, cap, seed)
     return [(r.stablekey, r.score_band, r.phase) for r in drawn.orderBy("seq").collect()]
 
@@ -143,6 +144,7 @@ def test_reachable_is_bounded_by_the_panel_not_the_pool(spark):
     pool = spark.range(60000).select(
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("c"), (F.col("id") % 997).cast("string"))).alias("company"),
         F.concat(F.lit("k"), F.col("id").cast("string")).alias("stablekey"), F.lit("viable").alias("score_band"),
+        F.lit(90.0).alias("screening_score"),
     )
     depth = 12
     assert panel.reachable(pool, 1, depth).count() <= 3 * depth * depth

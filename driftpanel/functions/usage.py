@@ -21,7 +21,7 @@ def itemised_usage(raw: Column) -> Column:
             prompt=V.at(blob["v"], "$.prompt_tokens_details"),
             completion=V.at(blob["v"], "$.completion_tokens_details"),
         ),
-        raw=raw, v=F.try_parse_json(raw),
+        raw=raw, v=F.try_parse_json(F.nullif(raw, F.lit(""))),
     )
 
 

@@ -52,17 +52,23 @@ def maintain(seen: DataFrame, postings: DataFrame, now: Column, delete: bool) ->
     return delete_aged(bump_last_seen(split, now), delete).drop("action")
 
 
-def upsert_jobs(stored: DataFrame, scored: DataFrame, now: Column) -> DataFrame:
-    """Next snapshot of the jobs table.
+def first_per_posting(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row per composite key, the one with the least url.
+
+    A posting scored by many models folds on the map side.
+    """
+    first = F.min_by(F.struct(*columns), F.struct("url", "title")).alias("first")
+    return rows.groupBy("composite_key").agg(first).select("composite_key", "first.*")
+
+
+def upsert_jobs(stored: DataFrame, incoming: DataFrame, now: Column) -> DataFrame:
+    """Next snapshot of the jobs table; both sides have one row per composite key.
 
     Content and ``first_seen`` keep the first value ever stored; ``last_seen``
-    moves to ``now`` for every posting in this load. Repeats within a load fold
-    before the join, so a posting scored by many models meets it once.
+    moves to ``now`` for every posting in this load.
     """
     content = [F.col(name) for name in WRITE_ONCE]
-    incoming = scored.groupBy("composite_key").agg(
-        F.min_by(F.struct(*content), F.struct("url", "payload")).alias("new")
-    )
+    incoming = incoming.select("composite_key", F.struct(*content).alias("new"))
     old = stored.select(
         "composite_key", F.struct(*content).alias("old"), "first_seen", F.col("last_seen").alias("old_seen")
     )

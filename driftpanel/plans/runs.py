@@ -13,9 +13,9 @@ from driftpanel.functions.payload import html_safe_bytes, job_payload
 from driftpanel.operators.ledger import (
     append_run, call_id, event_rows, read_snapshot, rebuild_calls, write_snapshot,
 )
-from driftpanel.operators.liveness import candidates, upsert_jobs
+from driftpanel.operators.liveness import candidates, first_per_posting, upsert_jobs
 from driftpanel.operators.scoring import Scorer, grade
-from driftpanel.plans.panels import load_or_build
+from driftpanel.plans.panels import POSTING_COLUMNS, load_or_build
 from driftpanel.session import configure, cut_lineage
 
 CALL_KEY = ("run_id", "model", "batch_index")
@@ -23,8 +23,12 @@ PANEL_OFF = -1
 
 
 def job_rows(postings: DataFrame) -> DataFrame:
-    """Postings as rows of the jobs table, without the liveness columns."""
-    payload = postings.withColumn("payload", job_payload())
+    """Postings as rows of the jobs table, without the liveness columns.
+
+    Repeats of a posting fold first, so its payload is built once.
+    """
+    distinct = first_per_posting(postings, (*POSTING_COLUMNS, "stablekey"))
+    payload = distinct.withColumn("payload", job_payload())
     return payload.select(
         "composite_key", "stablekey", F.timestamp_seconds("posted_at").alias("posted_at"),
         "source", "title", "company", "url", "payload",

@@ -62,7 +62,8 @@ def job(key, title):
 
 
 def test_upsert_is_write_once(spark):
-    scored = spark.createDataFrame([job("k1", "b"), job("k1", "b"), job("k2", "z")], JOB)
+    repeated = spark.createDataFrame([job("k1", "c"), job("k1", "b"), job("k2", "z")], JOB)
+    scored = liveness.first_per_posting(repeated, liveness.WRITE_ONCE)
     empty = spark.createDataFrame([], JOB + ", first_seen timestamp, last_seen timestamp")
     first = liveness.upsert_jobs(empty, scored, F.lit(moment(24)))
     second = liveness.upsert_jobs(first, spark.createDataFrame([job("k1", "changed"), job("k3", "n")], JOB), F.lit(NOW))

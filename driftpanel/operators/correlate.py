@@ -1,11 +1,17 @@
-"""Tying the results of a batch back to its postings."""
+"""Tying the results of a batch back to its postings.
+
+``correlate`` works on stored postings and results as tables and makes no
+assumption about the size of a batch. ``correlate_calls`` serves a grading run,
+where the batch size bounds both sides.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from driftpanel.functions.binding import bind, bind_all
 from driftpanel.functions.items import SENTINEL_SCORE
 from driftpanel.operators.ordering import position_in_group
 
@@ -50,3 +56,56 @@ def correlate(jobs: DataFrame, results: DataFrame, batch: Sequence[str],
         position_in_group(leftover, batch, "pos", "place").drop("pos"), [*batch, "place"]
     )
     return matched.unionByName(paired.select(*event(paired=True)))
+
+
+def pair_in_call(jobs: Column, items: Column) -> Column:
+    """The same pairing for one call, whose postings and items are arrays in one row.
+
+    A call holds at most a batch, so no shuffle is needed. ``jobs`` are structs with
+    ``key``, ``items`` structs with ``job_key``. Gives structs of ``job``,
+    ``result_pos`` (counted from zero), ``item`` and ``by_key``.
+    """
+
+    def claim_of(keys: Column, job: Column) -> Column:
+        hit = F.when(job["key"] != "", F.array_position(keys, job["key"]))
+        return F.coalesce(hit, F.lit(0)).cast("int")
+
+    def pairs(call: Column) -> Column:
+        claims = call["claims"]
+        slots = F.transform(call["items"], lambda _, at: at + 1)
+        return bind(
+            F.filter(slots, lambda slot: ~F.array_contains(claims, slot)),
+            lambda free: F.filter(F.transform(call["jobs"], one_pair(call, free)), lambda p: p["item"].isNotNull()),
+        )
+
+    def one_pair(call: Column, free: Column):
+        def pair(job: Column, at: Column) -> Column:
+            claim = F.get(call["claims"], at)
+            unmatched_before = F.size(F.filter(F.slice(call["claims"], F.lit(1), at), lambda c: c == 0))
+            slot = F.when(claim > 0, claim).otherwise(F.get(free, unmatched_before))
+            return F.struct(
+                job.alias("job"), (slot - 1).alias("result_pos"),
+                F.get(call["items"], slot - 1).alias("item"), (claim > 0).alias("by_key"),
+            )
+
+        return pair
+
+    keys = F.transform(items, lambda item: item["job_key"])
+    claims = bind(keys, lambda bound: F.transform(jobs, lambda job: claim_of(bound, job)))
+    return bind_all(pairs, jobs=jobs, items=items, claims=claims)
+
+
+def correlate_calls(calls: DataFrame, call_columns: Sequence[str], job_columns: Sequence[str],
+                    item_columns: Sequence[str]) -> DataFrame:
+    """Events of calls that carry their postings (``jobs``) and their items (``items``)."""
+    paired = calls.select(*call_columns, F.explode_outer(pair_in_call(F.col("jobs"), F.col("items"))).alias("p"))
+    by_key = F.col("p.by_key")
+    return paired.filter(F.col("p").isNotNull()).select(
+        *call_columns, F.col("p.job.pos").alias("job_pos"), F.col("p.job.key").alias("key"),
+        *[F.col(f"p.job.{name}").alias(name) for name in job_columns],
+        "p.result_pos",
+        F.when(by_key, F.col("p.item.emitted_score")).otherwise(SENTINEL_SCORE).alias("emitted_score"),
+        F.when(by_key, F.col("p.item.ev_score")).alias("ev_score"),
+        *[F.col(f"p.item.{name}").alias(name) for name in item_columns],
+        "p.by_key",
+    )

@@ -18,7 +18,7 @@ from driftpanel.functions.payload import chat_request
 from driftpanel.functions.quota import batch_outcome, error_class, estimate_ratio
 from driftpanel.operators.audit import attempted
 from driftpanel.operators.batching import assign_batches, batch_requests
-from driftpanel.operators.correlate import correlate
+from driftpanel.operators.correlate import correlate_calls
 from driftpanel.operators.ledger import call_id
 from driftpanel.session import cut_lineage
 from driftpanel.sources.responses import chat_calls, chat_items
@@ -189,13 +189,12 @@ def grade(postings: DataFrame, models: Sequence[ModelConfig], registry: Mapping[
         "token_estimate", F.col("usage.total").alias("actual_tokens"),
         estimate_ratio(F.col("token_estimate"), F.col("usage.total")).alias("est_ratio"),
     )
-    items = chat_items(tried.filter(~F.col("failed")))
-    batch = ["model", "batch_index"]
-    names = F.array(*[F.lit(m.name) for m in usable])
     carried = [c for c in postings.columns if c != "key"]
-    jobs = batched.withColumn("model", F.explode(names)).select("model", "batch_index", "pos", "key", *carried)
-    events = correlate(
-        jobs, items, batch, carried,
-        ["emitted_score", "ev_score", "reasoning", "raw", "logprobs", "deployment", "temperature_sent", "usage"],
+    jobs = batched.groupBy("batch_index").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "key", *carried))).alias("jobs")  # at most a batch
     )
-    return outcomes, events.withColumn("call_id", call_id(*batch))
+    answered = tried.filter(~F.col("failed")).join(jobs, "batch_index")
+    call = ["model", "batch_index"]
+    facts = [*call, "deployment", "temperature_sent", "usage", "logprobs"]
+    events = correlate_calls(answered, facts, carried, ["reasoning", "raw"])
+    return outcomes, events.withColumn("call_id", call_id(*call))

@@ -2,7 +2,9 @@ import random
 
 import pytest
 
-from driftpanel.operators.correlate import correlate
+from pyspark.sql import functions as F
+
+from driftpanel.operators.correlate import correlate, correlate_calls
 
 JOBS = "b int, pos int, key string"
 RESULTS = "b int, pos int, job_key string, emitted_score double, ev_score double, raw string"
@@ -16,6 +18,20 @@ def run(spark, jobs, results):
     return {(r.b, r.job_pos): (r.result_pos, r.emitted_score, r.ev_score, r.raw) for r in events.collect()}
 
 
+def run_calls(spark, jobs, results):
+    """The same batches as one row per call."""
+    grouped = spark.createDataFrame(jobs, JOBS).groupBy("b").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "key"))).alias("jobs")
+    )
+    answers = spark.createDataFrame(results, RESULTS).groupBy("b").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "job_key", "emitted_score", "ev_score", "raw"))).alias("items")
+    )
+    nothing = F.array().cast("array<struct<pos: int, job_key: string, emitted_score: double, ev_score: double, raw: string>>")
+    calls = grouped.join(answers, "b", "left").withColumn("items", F.coalesce("items", nothing))
+    events = correlate_calls(calls, ["b"], [], ["raw"])
+    return {(r.b, r.job_pos): (r.result_pos, r.emitted_score, r.ev_score, r.raw) for r in events.collect()}
+
+
 def by_hand(jobs, results):
     """One batch after the other, row by row."""
     out = {}
@@ -49,6 +65,7 @@ def by_hand(jobs, results):
 ])
 def test_cases(spark, jobs, results, want):
     assert run(spark, jobs, results) == want == by_hand(jobs, results)
+    assert run_calls(spark, jobs, results) == want
 
 
 def test_random_batches(spark):
@@ -63,3 +80,4 @@ def test_random_batches(spark):
             for i in range(rng.randrange(0, size + 2))
         ]
     assert run(spark, jobs, results) == by_hand(jobs, results)
+    assert run_calls(spark, jobs, results) == by_hand(jobs, results)

@@ -15,6 +15,12 @@ WRITE_ONCE = (
 )
 
 
+def seen_postings(jobs: DataFrame) -> DataFrame:
+    """What liveness needs of the jobs table; a ledger does not track applications."""
+    applied = F.col("has_applied") if "has_applied" in jobs.columns else F.lit(False).alias("has_applied")
+    return jobs.select("composite_key", "stablekey", "posted_at", "last_seen", applied)
+
+
 def live_keys(postings: DataFrame) -> DataFrame:
     return postings.select("composite_key").distinct()
 
@@ -52,6 +58,12 @@ def maintain(seen: DataFrame, postings: DataFrame, now: Column, delete: bool) ->
     return delete_aged(bump_last_seen(split, now), delete).drop("action")
 
 
+def maintain_jobs(jobs: DataFrame, postings: DataFrame, now: Column, delete: bool) -> DataFrame:
+    """``maintain`` on whole rows of the jobs table."""
+    tracked = jobs if "has_applied" in jobs.columns else jobs.withColumn("has_applied", F.lit(False))
+    return maintain(tracked, postings, now, delete).select(*jobs.columns)
+
+
 def first_per_posting(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row per composite key, the one with the least url.
 

@@ -13,7 +13,9 @@ from driftpanel.functions.payload import html_safe_bytes, job_payload
 from driftpanel.operators.ledger import (
     append_run, call_id, event_rows, read_snapshot, rebuild_calls, write_snapshot,
 )
-from driftpanel.operators.liveness import candidates, first_per_posting, upsert_jobs
+from driftpanel.operators.liveness import (
+    candidates, first_per_posting, maintain_jobs, seen_postings, upsert_jobs,
+)
 from driftpanel.operators.scoring import Scorer, grade
 from driftpanel.plans.panels import POSTING_COLUMNS, load_or_build
 from driftpanel.session import configure, cut_lineage
@@ -68,20 +70,27 @@ def run_summary(spark: SparkSession, run_id: str, config: RunConfig, batch_size:
     )
 
 
-def grade_run(spark: SparkSession, config: RunConfig, collected, seen: DataFrame, stored_jobs: DataFrame,
-              registry: Mapping[str, Scorer], now: datetime, root: str, run_id: str) -> dict[str, DataFrame]:
+def grade_run(spark: SparkSession, config: RunConfig, collected, stored_jobs: DataFrame, registry: Mapping[str, Scorer],
+              now: datetime, root: str, run_id: str) -> dict[str, DataFrame]:
     """Runs the whole flow and writes its tables under ``root``.
 
     ``collected`` is a function returning the postings of all boards; it is not
-    called when a stored panel makes collecting pointless. Every table is written
+    called when a stored panel makes collecting pointless. When it is, the stored jobs
+    that are still live are touched, and aged ones go if the settings say so. Every table is written
     per run, so a repeated attempt replaces its own rows and nothing else.
     """
     configure(spark)
     config.validate()
 
+    moment = F.lit(now).cast("timestamp")
+    jobs = stored_jobs
+
     def matched() -> DataFrame:
+        nonlocal jobs
+        current = collected()
+        jobs = maintain_jobs(stored_jobs, current, moment, config.delete_aged)
         return candidates(
-            collected(), seen, config.rescore_every_run, config.include, config.exclude
+            current, seen_postings(stored_jobs), config.rescore_every_run, config.include, config.exclude
         )
 
     panel_size = PANEL_OFF
@@ -104,8 +113,7 @@ def grade_run(spark: SparkSession, config: RunConfig, collected, seen: DataFrame
     append_run(
         run_summary(spark, run_id, config, batch_size, panel_size).drop("run_id"), f"{root}/runs", run_id
     )
-    moment = F.lit(now).cast("timestamp")
-    write_snapshot(upsert_jobs(stored_jobs, job_rows(events), moment), f"{root}/jobs", run_id)
+    write_snapshot(upsert_jobs(jobs, job_rows(events), moment), f"{root}/jobs", run_id)
     return {
         "jobs": read_snapshot(spark, f"{root}/jobs", run_id),
         "calls": spark.read.parquet(f"{root}/scoring_calls"),

@@ -43,17 +43,14 @@ def postings(spark):
     return with_identity(rows)
 
 
-def empty_tables(spark):
-    seen = spark.createDataFrame([], "composite_key string")
-    stored = spark.createDataFrame(
+def no_jobs(spark):
+    return spark.createDataFrame(
         [], "composite_key string, stablekey string, posted_at timestamp, source string, title string, company string, url string, "
             "payload string, description_chars int, payload_chars int, first_seen timestamp, last_seen timestamp",
     )
-    return seen, stored
 
 
 def test_two_runs_share_a_panel(spark, postings, tmp_path):
-    seen, stored = empty_tables(spark)
     calls = []
 
     def collected():
@@ -61,8 +58,8 @@ def test_two_runs_share_a_panel(spark, postings, tmp_path):
         return postings
 
     root = str(tmp_path)
-    first = grade_run(spark, CONFIG, collected, seen, stored, OFFLINE, NOW, root, "r1")
-    second = grade_run(spark, CONFIG, collected, seen, first["jobs"], OFFLINE, NOW.replace(day=30), root, "r2")
+    first = grade_run(spark, CONFIG, collected, no_jobs(spark), OFFLINE, NOW, root, "r1")
+    second = grade_run(spark, CONFIG, collected, first["jobs"], OFFLINE, NOW.replace(day=30), root, "r2")
     assert len(calls) == 1  # a stored panel makes collecting pointless
     assert second["events"].count() == 2 * 2 * 12
     assert second["jobs"].count() == 12
@@ -80,15 +77,24 @@ def test_two_runs_share_a_panel(spark, postings, tmp_path):
 
 
 def test_run_without_a_panel(spark, postings, tmp_path):
-    seen, stored = empty_tables(spark)
     config = replace(CONFIG, panel_enabled=False, models=MODELS[:2])
-    out = grade_run(spark, config, lambda: postings, seen, stored, OFFLINE, NOW, str(tmp_path), "r1")
+    out = grade_run(spark, config, lambda: postings, no_jobs(spark), OFFLINE, NOW, str(tmp_path), "r1")
     assert out["events"].count() == 54 and out["runs"].first().panel_size == -1
+    # Two days on only a third of the postings is live: those are touched, the rest age out.
+    later = replace(config, rescore_every_run=False, delete_aged=True)
+    fewer = postings.filter(F.col("posted_at") < 20000)
+    fresh = fewer.withColumn("posted_at", F.col("posted_at") + 1)
+    current = fewer.unionByName(with_identity(fresh.drop("key", "stablekey", "composite_key")))
+    again = grade_run(spark, later, lambda: current, out["jobs"], OFFLINE, NOW.replace(day=31, hour=14), str(tmp_path), "r2")
+    assert again["events"].filter("run_id = 'r2'").count() == 18
+    rows = again["jobs"].collect()
+    assert len(rows) == 36 and {r.last_seen.day for r in rows} == {31}
+    assert sorted(r.first_seen.day for r in rows) == [29] * 18 + [31] * 18
 
 
 def test_refused_run(spark, postings, tmp_path):
     with pytest.raises(ValueError):
-        grade_run(spark, replace(CONFIG, run_mode="floor"), lambda: postings, None, None, OFFLINE, NOW, str(tmp_path), "r")
+        grade_run(spark, replace(CONFIG, run_mode="floor"), lambda: postings, no_jobs(spark), OFFLINE, NOW, str(tmp_path), "r")
 
 
 def test_panels(spark, postings, tmp_path):

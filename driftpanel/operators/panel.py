@@ -20,6 +20,9 @@ from driftpanel.config import BandTarget, ScoreBand
 from driftpanel.session import cut_lineage
 
 FLOORS, TARGETS, BACKFILL = 1, 2, 3
+POOL_COLUMNS = ("score_band", "company", "stablekey", "screening_score")
+# Largest reach for which the companies of a draw are broadcast.
+BROADCAST_DEPTH = 10_000
 # Below this a ranked filter also runs before the shuffle, so no task ever sees
 # more than the kept rows of a company.
 GROUP_LIMIT_SETTING = "spark.sql.optimizer.windowGroupLimitThreshold"
@@ -87,7 +90,7 @@ def reachable(pool: DataFrame, seed: int, depth: int) -> DataFrame:
     further than the first ``n + s`` postings. ``depth`` is that sum.
     """
     phased = pool.select(
-        "score_band", "company", "stablekey", "screening_score",
+        *POOL_COLUMNS,
         F.explode(F.array(*[F.lit(p) for p in (FLOORS, TARGETS, BACKFILL)])).alias("phase"),
     )
     step = ("phase", "score_band")
@@ -98,13 +101,16 @@ def reachable(pool: DataFrame, seed: int, depth: int) -> DataFrame:
             Window.partitionBy(*step).orderBy("company_hash", "company")))
         .filter(F.col("_rank") <= depth).drop("_rank")
     )
-    postings = (
-        phased.withColumn("job_hash", _shuffled(seed, "stablekey"))
+    # Three phases, a few bands, ``depth`` companies each: small by the panel's size,
+    # so most of the pool is dropped where it is read.
+    few = F.broadcast(companies) if depth <= BROADCAST_DEPTH else companies
+    return (
+        phased.join(few, [*step, "company"])
+        .withColumn("job_hash", _shuffled(seed, "stablekey"))
         .withColumn("_rank", F.row_number().over(
             Window.partitionBy(*step, "company").orderBy("job_hash", "stablekey")))
         .filter(F.col("_rank") <= depth).drop("_rank")
     )
-    return postings.join(companies, [*step, "company"])
 
 
 def round_robin(candidates: DataFrame, wanted: Mapping[str, int], taken_by_company: Mapping[str, int],
@@ -169,7 +175,10 @@ def draw_panel(pool: DataFrame, bands: Sequence[ScoreBand], targets: Sequence[Ba
     threshold = int(spark.conf.get(GROUP_LIMIT_SETTING, "1000"))
     if depth >= threshold:
         spark.conf.set(GROUP_LIMIT_SETTING, str(depth + 1))
-    draw = _Draw(cut_lineage(reachable(pool, seed, depth)), max_per_company)
+    # The pool is read for its companies and for its postings; deduplicating it twice
+    # would cost more than writing its four narrow columns.
+    narrow = cut_lineage(pool.select(*POOL_COLUMNS))
+    draw = _Draw(cut_lineage(reachable(narrow, seed, depth)), max_per_company)
 
     def groups(names: Sequence[str]) -> list[list[str]]:
         return [[name] for name in names] if max_per_company > 0 else [list(names)]

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftpanel.llm import licenses, personal_data
 from driftpanel.llm.common import sha256_of, table
 from driftpanel.llm.contamination import decontaminate
+from driftpanel.llm.language import identify
+from driftpanel.llm.piece_sampling import encode
 from driftpanel.llm.quality import repetition_coverage
 from driftpanel.llm.suffix_tree import suffix_tree_scores
+from driftpanel.llm.token_files import token_counts
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -24,6 +28,44 @@ def query(sql: str | None = None):
     return add
 
 
+@query()
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = identify(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "declared", "language", F.round("posterior", 6).alias("posterior"), "known_share", "kept")
+
+
+@query()
+def pages_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over web pages: markup language, address suffix and hosts as evidence."""
+    text = F.regexp_replace("html", r"(?s)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]*>", " ")
+    declared = F.nullif(F.regexp_extract("html", r"<html[^>]*\blang=[\"']?([A-Za-z]+)", 1), F.lit(""))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", text.alias("text"), declared.alias("declared"))
+    found = identify(pages, "page_id", "text", "declared", "url")
+    return found.select(F.col("id").alias("page_id"), "declared", "language", F.round("posterior", 6).alias("posterior"), "kept")
+
+
+@query()
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op5_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = encode(table(spark, sf_dir, "documents"))
+    return found.select(F.col("key").alias("doc_id"), F.size("pieces").cast("long").alias("n_pieces"),
+                        F.xxhash64("pieces").alias("pieces_hash"), "lossless")
+
+
+@query()
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.digest(personal_data.find_personal_data(table(spark, sf_dir, "documents")))
+
+
+@query()
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan_licenses(table(spark, sf_dir, "documents")))
+
+
 @query()
 def op4_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree_scores(table(spark, sf_dir, "documents"))

@@ -125,6 +125,16 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(U))
 
 
+def unshift(n: int) -> np.ndarray:
+    """What a span's difference of prefixes is multiplied with, by its start."""
+    return _Powers.of(n)[1]
+
+
+def plain_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """As span_hash, but neither mixed nor told apart by length: for tables that spread keys themselves."""
+    return (prefix[ends] - prefix[starts]) * unshift(len(prefix) - 1)[starts]
+
+
 def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, lower: bool = True) -> Words:
     if lower:
         data = LOWER[data]

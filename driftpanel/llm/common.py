@@ -40,6 +40,21 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[theirs].alias(ours) for ours, theirs in columns.items()])
 
 
+def keyed(df: DataFrame, id_column: str, text: str) -> DataFrame:
+    """(id, row, text): the id may be null or stand on several texts, `row` is a hash of the text."""
+    return df.select(df[id_column].cast("long").alias("id"), F.xxhash64(df[text]).alias("row"), df[text].alias("text"))
+
+
+def same_row(df: DataFrame, keys: DataFrame, id_column: str, text: str) -> Column:
+    """Joins rows with their (id, row)."""
+    return df[id_column].cast("long").eqNullSafe(keys["id"]) & (F.xxhash64(df[text]) == keys["row"])
+
+
+def without(df: DataFrame, keys: DataFrame, id_column: str, text: str) -> DataFrame:
+    """Rows whose (id, row) isn't among the keys."""
+    return df.join(keys, same_row(df, keys, id_column, text), "left_anti")
+
+
 def sha256_of(parts: Column) -> Column:
     """SHA-256 of an array of strings joined by commas, in lower-case hex."""
     return F.sha2(F.concat_ws(",", parts), 256)

@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftpanel.llm import textscan as ts
-from driftpanel.llm.common import only, prepared, sha256_of, stored
+from driftpanel.llm.bitmap import bitmap, may_hold
+from driftpanel.llm.common import keyed, prepared, stored, without
 
 WINDOW = 10
 K = 5
-BITS = 24  # of the bitmap: 2 MB
 U = np.uint64
 SALT = 0x5851F42D4C957F2D
 
@@ -82,7 +82,7 @@ def around(found: ts.Words, rows: np.ndarray, at: np.ndarray) -> tuple[np.ndarra
 
 def texts_of(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, ts.Words]:
     found = ts.words(*ts.utf8(batch.column("text")), ts.ALNUM)
-    return batch.column("id").cast(pa.int64()), found.span_hash(found.offsets[:-1], found.offsets[1:]), found
+    return batch.column("id").cast(pa.int64()), batch.column("row").to_numpy(), found
 
 
 def emit(ids: pa.Array, texts: np.ndarray, found: ts.Words, kind: int, rows: np.ndarray, at: np.ndarray,
@@ -96,7 +96,7 @@ def emit(ids: pa.Array, texts: np.ndarray, found: ts.Words, kind: int, rows: np.
         # 0 stands for no window.
         flat, first = np.where(inside, hashes, U(0)).ravel(), np.arange(len(fps) + 1) * hashes.shape[1]
     return pa.RecordBatch.from_arrays(
-        [ids.take(pa.array(rows)), pa.array(ts.signed(texts[rows])), pa.array(found.counts[rows]),
+        [ids.take(pa.array(rows)), pa.array(texts[rows]), pa.array(found.counts[rows]),
          pa.array(np.full(len(rows), kind, np.int32)), pa.array(ts.signed(fps)),
          pa.array(at - found.first[rows]), ts.list_column(ts.signed(flat), first)], NAMES)
 
@@ -111,8 +111,7 @@ def text_scanner(shorts: tuple[int, ...], known) -> Callable:
             every = np.arange(len(texts))
             yield emit(ids, texts, found, -1, every, found.first[:-1], np.zeros(len(every), U))
             for kind, rows, at, fps in fingerprints(found, shorts):
-                bit = fps & U((1 << BITS) - 1)
-                may = (bits[(bit >> U(3)).astype(np.int64)] >> (bit & U(7)).astype(np.uint8)) & 1 > 0
+                may = may_hold(bits, fps)
                 if may.any():
                     yield emit(ids, texts, found, kind, rows[may], at[may], fps[may])
 
@@ -129,23 +128,13 @@ def item_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield emit(ids, texts, found, kind, rows[keep], at[keep], fps[keep])
 
 
-def bitmap(fps: DataFrame) -> np.ndarray:
-    """A bitmap of the fingerprints, folded on the cluster to 2^(BITS - 6) words at most."""
-    low = F.col("fp").bitwiseAND((1 << BITS) - 1)
-    words = (fps.groupBy(F.shiftright(low, 6).cast("int").alias("word"))
-             .agg(F.bit_or(F.expr("shiftleft(1L, cast(fp & 63 as int))")).alias("bits")).toPandas())
-    out = np.zeros(1 << (BITS - 6), np.int64)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    return out.view(np.uint8)
-
-
 def window_hits(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """docs and items have (id, text). Returns the texts (id, row, n_words), their hit windows
+    """docs and items have (id, row, text). Returns the texts (id, row, n_words), their hit windows
     (id, row, at, n, window) and the items of the windows (window, item)."""
     spark = docs.sparkSession
     theirs = stored(items.mapInArrow(item_scan, HIT), "winnow-items")
     shorts = tuple(r[0] for r in theirs.filter("kind > 0").select("kind").distinct().collect())  # nine at most
-    known = spark.sparkContext.broadcast(bitmap(theirs))
+    known = spark.sparkContext.broadcast(bitmap(theirs, "fp"))
     ours = stored(docs.mapInArrow(text_scanner(shorts, known), HIT), "winnow-texts")
     prints = theirs.select("kind", "fp", F.col("ctx").alias("their_ctx")).distinct()
     # Extension: the windows around a hit, compared at the same place.
@@ -161,11 +150,18 @@ def window_hits(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame
     return ours.filter("kind = -1").select("id", "row", "n_words"), stored(windows, "winnow-windows"), by_item
 
 
+def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents, as they are, without those that hold a window of an item."""
+    prepared(docs.sparkSession)
+    _, windows, _ = window_hits(keyed(docs, doc_id, text), keyed(items, "item_id", "text"))
+    return without(docs, windows.select("id", "row").distinct(), doc_id, text)
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text",
                   item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Per document: n_words, n_hit (words inside windows of items), items (ids sorted as strings)."""
     prepared(docs.sparkSession)
-    texts, windows, by_item = window_hits(only(docs, id=doc_id, text=text), only(items, id=item_id, text=item_text))
+    texts, windows, by_item = window_hits(keyed(docs, doc_id, text), keyed(items, item_id, item_text))
     # Words in the union of a text's spans: what each adds beyond the furthest end so far.
     n_hit = F.expr(
         "aggregate(spans, named_struct('to', 0L, 'n', 0L), (a, s) -> named_struct("

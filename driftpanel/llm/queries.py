@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from driftpanel.llm import licenses, personal_data
 from driftpanel.llm.common import sha256_of, table
 from driftpanel.llm.contamination import decontaminate
+from driftpanel.llm.jaccard_join import jaccard_groups
 from driftpanel.llm.language import identify
+from driftpanel.llm.line_dedup import dedup_lines
 from driftpanel.llm.piece_sampling import encode
 from driftpanel.llm.quality import repetition_coverage
 from driftpanel.llm.suffix_tree import suffix_tree_scores
@@ -66,6 +68,12 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan_licenses(table(spark, sf_dir, "documents")))
 
 
+@query()
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_lines", "n_equal", "n_near", F.sha2("text", 256).alias("text_sha256"))
+
+
 @query()
 def op4_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree_scores(table(spark, sf_dir, "documents"))
@@ -76,6 +84,12 @@ def op6_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_coverage(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_groups(table(spark, sf_dir, "documents"), n=3, percent=90)
+    return found.select(F.col("id").alias("doc_id"), F.col("n_grams").alias("n_shingles"), F.col("group_id").alias("component_id"))
+
+
 @query()
 def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

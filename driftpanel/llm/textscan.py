@@ -30,6 +30,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 GRAM_BASE = 0xD1342543DE82EF95
+GRAM_INVERSE = pow(GRAM_BASE, -1, 1 << 64)
 BYTE = mix(np.arange(1, 257, dtype=U) * U(0xA24BAED4963EE407))
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -223,6 +224,30 @@ def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.repeat(np.arange(len(offsets) - 1), per_row)
 
 
+class Sequence:
+    """Hashes of any run of words, and of a run without one word, from prefix sums."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        n = len(hashes) + 1
+        self.up, self.down = np.full(n, GRAM_BASE, U), np.full(n, GRAM_INVERSE, U)
+        self.up[0] = self.down[0] = 1
+        np.cumprod(self.up, out=self.up)
+        np.cumprod(self.down, out=self.down)
+        self.prefix = np.zeros(n, U)
+        np.cumsum(hashes * self.up[:-1], out=self.prefix[1:])
+
+    def _plain(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return (self.prefix[ends] - self.prefix[starts]) * self.down[starts]
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix(self._plain(starts, ends) + (ends - starts).astype(U))
+
+    def without(self, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """As if the word at `at` weren't there."""
+        rest = self._plain(starts, at) + self._plain(at + 1, ends) * self.up[at - starts]
+        return mix(rest + (ends - starts - 1).astype(U))
+
+
 def signed(values: np.ndarray) -> np.ndarray:
     """As Spark's long."""
     return np.ascontiguousarray(values).view(np.int64)

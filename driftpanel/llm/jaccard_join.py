@@ -419,7 +419,9 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     kept = (rows.join(stays, F.col("group") == F.col("theirs"), "left")
             .filter(F.col("group").isNull() | (F.struct("id", "row") == F.col("stays")))
             .select("id", "row", (F.col("group").isNotNull() & (F.col("times") > 1)).alias("again")))
-    joined = docs.join(kept, same_row(docs, kept, doc_id, text)).select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), "id", "row", "again")
-    alone = joined.filter(~F.col("again")).select("doc.*")
-    repeated = joined.filter("again").dropDuplicates(["id", "row"]).select("doc.*")
+    # The documents' own columns may have the keys' names.
+    doc = F.struct(*[docs[c] for c in docs.columns]).alias("doc")
+    joined = docs.join(kept, same_row(docs, kept, doc_id, text)).select(doc, *[kept[c].alias(f"kept_{c}") for c in kept.columns])
+    alone = joined.filter(~F.col("kept_again")).select("doc.*")
+    repeated = joined.filter("kept_again").dropDuplicates(["kept_id", "kept_row"]).select("doc.*")
     return alone.union(repeated)

@@ -73,7 +73,7 @@ TEXTS = (
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 RARE = 0.2  # share of files that may hold a word of the index
-PICKED = 12  # rarest licence words of a file that are looked up
+PICKED = 48  # rarest licence words of a file that are looked up
 VOTES = 3  # of them must agree on a place
 VOCABULARY = sorted({w for _, text, _ in TEXTS for w in text.split()})
 

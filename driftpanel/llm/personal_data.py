@@ -86,10 +86,10 @@ KINDS = (
     Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]", octets, 0.5, "ip|address|host|server|login"),
     Kind("card", r"[0-9](?:[\x20-]?+[0-9])++", r"[0-9][\x20-]?[0-9][\x20-]?[0-9]", luhn, 0.6, "card|visa|credit|payment|account"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", phone_digits, 0.6, "phone|call|tel|mobile|fax"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    Kind("iban", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b",
          "[A-Z]{2}[0-9]{2}", mod97, 0.7, "iban|bank|account|transfer", 0.5),
     # Nothing confirms these numbers but the words nearby.
-    Kind("national_id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "[0-9]-[0-9]",
+    Kind("national_id", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "[0-9]-[0-9]",
          lambda m: ~F.substring(m, 1, 3).isin("000", "666"), 0.3, "ssn|social security|national id|tax id", 0.5),
 )
 

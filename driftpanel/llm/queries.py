@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftpanel.llm import licenses, personal_data
+from driftpanel.llm import licenses, oracles, personal_data
 from driftpanel.llm.common import sha256_of, table
 from driftpanel.llm.contamination import decontaminate
 from driftpanel.llm.jaccard_join import jaccard_groups
@@ -58,7 +58,7 @@ def op5_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.xxhash64("pieces").alias("pieces_hash"), "lossless")
 
 
-@query()
+@query(oracles.private())
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.digest(personal_data.find_personal_data(table(spark, sf_dir, "documents")))
 
@@ -79,18 +79,19 @@ def op4_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree_scores(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(oracles.repetition())
 def op6_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition_coverage(table(spark, sf_dir, "documents"))
+    found = repetition_coverage(table(spark, sf_dir, "documents"))
+    return found.drop("gram_share", "line_share")
 
 
-@query()
+@query(oracles.jaccard(3, 90))
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_groups(table(spark, sf_dir, "documents"), n=3, percent=90)
     return found.select(F.col("id").alias("doc_id"), F.col("n_grams").alias("n_shingles"), F.col("group_id").alias("component_id"))
 
 
-@query()
+@query(oracles.WINNOWING)
 def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(

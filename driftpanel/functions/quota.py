@@ -16,8 +16,8 @@ def token_budget(tpm: Column) -> Column:
 
 
 def request_interval(rpm: Column) -> Column:
-    """Seconds between requests, rounded up."""
-    return F.ceil(F.lit(60.0) / (rpm * F.lit(DERATE))).cast("bigint")
+    """Seconds between requests, rounded up; null without a request quota."""
+    return F.when(rpm > 0, F.ceil(F.lit(60.0) / (rpm * F.lit(DERATE))).cast("bigint"))
 
 
 def token_estimate(description_bytes: Column) -> Column:

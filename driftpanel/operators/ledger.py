@@ -55,8 +55,14 @@ def append_run(rows: DataFrame, path: str, run_id: str) -> None:
 
 
 def write_snapshot(rows: DataFrame, path: str, run_id: str) -> None:
-    """Writes the next version of a table next to the one being read."""
-    rows.write.mode("errorifexists").parquet(f"{path}/version={run_id}")
+    """Writes the next version of a table next to the one being read.
+
+    A repeated attempt replaces its own version, unless that is what it reads.
+    """
+    version = f"{path}/version={run_id}"
+    if any(f"/version={run_id}/" in file for file in rows.inputFiles()):
+        raise ValueError(f"{version} is being read")
+    rows.write.mode("overwrite").parquet(version)
 
 
 def read_snapshot(spark: SparkSession, path: str, run_id: str) -> DataFrame:

@@ -11,7 +11,6 @@ and seed always give the same panel, and another seed another one.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Row, Window, functions as F
@@ -21,11 +20,6 @@ from driftpanel.session import cut_lineage
 
 FLOORS, TARGETS, BACKFILL = 1, 2, 3
 POOL_COLUMNS = ("score_band", "company", "stablekey", "screening_score")
-# Largest reach for which the companies of a draw are broadcast.
-BROADCAST_DEPTH = 10_000
-# Below this a ranked filter also runs before the shuffle, so no task ever sees
-# more than the kept rows of a company.
-GROUP_LIMIT_SETTING = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
 def dedupe_newest(postings: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -101,11 +95,10 @@ def reachable(pool: DataFrame, seed: int, depth: int) -> DataFrame:
             Window.partitionBy(*step).orderBy("company_hash", "company")))
         .filter(F.col("_rank") <= depth).drop("_rank")
     )
-    # Three phases, a few bands, ``depth`` companies each: small by the panel's size,
-    # so most of the pool is dropped where it is read.
-    few = F.broadcast(companies) if depth <= BROADCAST_DEPTH else companies
+    # Three phases, a few bands, ``depth`` companies each; Spark broadcasts them while
+    # they are few.
     return (
-        phased.join(few, [*step, "company"])
+        phased.join(companies, [*step, "company"])
         .withColumn("job_hash", _shuffled(seed, "stablekey"))
         .withColumn("_rank", F.row_number().over(
             Window.partitionBy(*step, "company").orderBy("job_hash", "stablekey")))
@@ -113,16 +106,19 @@ def reachable(pool: DataFrame, seed: int, depth: int) -> DataFrame:
     )
 
 
-def round_robin(candidates: DataFrame, wanted: Mapping[str, int], taken_by_company: Mapping[str, int],
+def round_robin(candidates: DataFrame, wanted: Mapping[str, int], picked: DataFrame,
                 max_per_company: int) -> DataFrame:
-    """Up to ``wanted`` postings per band, one per company and round."""
+    """Up to ``wanted`` postings per band, one per company and round.
+
+    ``picked`` has the ``company`` of each posting selected so far.
+    """
     rounds = Window.partitionBy("score_band", "company").orderBy("job_hash", "stablekey")
     ranked = candidates.withColumn("round", F.row_number().over(rounds))
     if max_per_company > 0:
-        taken = F.lit(0)
-        for company, count in taken_by_company.items():
-            taken = F.when(F.col("company") == company, count).otherwise(taken)
-        ranked = ranked.filter(F.col("round") <= max_per_company - taken)
+        taken = picked.groupBy("company").agg(F.count("*").alias("taken"))
+        ranked = ranked.join(taken, "company", "left").filter(
+            F.col("round") <= max_per_company - F.coalesce("taken", F.lit(0))
+        ).drop("taken")
     turn = Window.partitionBy("score_band").orderBy("round", "company_hash", "company")
     limit = F.lit(0)
     for band, count in wanted.items():
@@ -138,8 +134,9 @@ class _Draw:
         self.max_per_company = max_per_company
         self.picks: list[Row] = []
 
-    def _companies(self) -> Counter:
-        return Counter(pick.company for pick in self.picks)
+    def _picked(self) -> DataFrame:
+        rows = [(pick.stablekey, pick.company) for pick in self.picks]
+        return self.candidates.sparkSession.createDataFrame(rows, "stablekey string, company string")
 
     def in_band(self, band: str) -> int:
         return sum(pick.score_band == band for pick in self.picks)
@@ -151,9 +148,10 @@ class _Draw:
         pool = self.candidates.filter(
             (F.col("phase") == phase) & F.col("score_band").isin(*wanted)
         )
+        picked = self._picked()
         if self.picks:
-            pool = pool.filter(~F.col("stablekey").isin(*[pick.stablekey for pick in self.picks]))
-        taken = round_robin(pool, wanted, self._companies(), self.max_per_company).select(
+            pool = pool.join(picked.select("stablekey"), "stablekey", "left_anti")
+        taken = round_robin(pool, wanted, picked, self.max_per_company).select(
             "stablekey", "company", "score_band", "screening_score", "phase", "turn"
         ).collect()  # at most sum(wanted) rows, a panel's worth
         self.picks += sorted(taken, key=lambda pick: (top_first.index(pick.score_band), pick.turn))
@@ -172,9 +170,6 @@ def draw_panel(pool: DataFrame, bands: Sequence[ScoreBand], targets: Sequence[Ba
     top_first = [band.name for band in reversed(ascending(bands))]
     goal = {t.band: t for t in targets}
     depth = size + sum(max(t.target, 0) + max(t.floor, 0) for t in targets)
-    threshold = int(spark.conf.get(GROUP_LIMIT_SETTING, "1000"))
-    if depth >= threshold:
-        spark.conf.set(GROUP_LIMIT_SETTING, str(depth + 1))
     # The pool is read for its companies and for its postings; deduplicating it twice
     # would cost more than writing its four narrow columns.
     narrow = cut_lineage(pool.select(*POOL_COLUMNS))

@@ -31,11 +31,8 @@ RESPONSE_FIELDS = (
     T.StructField("error_kind", T.StringType()),
 )
 MODEL_TYPE = (
-    "struct<name: string, deployment: string, want_logprobs: boolean, tpm: int, rpm: int, "
-    "protocol: string, base_url: string>"
+    "model string, deployment string, want_logprobs boolean, protocol string, tpm int, rpm int"
 )
-# Longest list of models that is spelled out in a plan.
-MAX_MODELS = 1000
 
 
 def from_batches(score: Callable[[pd.DataFrame], pd.DataFrame]) -> Scorer:
@@ -100,25 +97,9 @@ def eligible(model: ModelConfig, protocols: Sequence[str]) -> bool:
 
 
 def for_models(requests: DataFrame, models: Sequence[ModelConfig]) -> DataFrame:
-    """One row per model and batch. The models are configuration, a bounded list."""
-    if len(models) > MAX_MODELS:
-        raise ValueError(f"{len(models)} models configured, at most {MAX_MODELS}")
-    literals = [
-        F.struct(
-            F.lit(m.name).alias("name"), F.lit(m.deployment).alias("deployment"),
-            F.lit(m.want_logprobs).alias("want_logprobs"), F.lit(m.tpm).alias("tpm"),
-            F.lit(m.rpm).alias("rpm"), F.lit(m.protocol).alias("protocol"),
-            F.lit(m.base_url).alias("base_url"),
-        )
-        for m in models
-    ]
-    listed = F.array(*literals).cast(f"array<{MODEL_TYPE}>")
-    return requests.withColumn("m", F.explode(listed)).select(
-        *requests.columns,
-        F.col("m.name").alias("model"), F.col("m.deployment").alias("deployment"),
-        F.col("m.want_logprobs").alias("want_logprobs"), F.col("m.protocol").alias("protocol"),
-        F.col("m.tpm").alias("tpm"), F.col("m.rpm").alias("rpm"),
-    )
+    """One row per model and batch: every model is asked every batch."""
+    rows = [(m.name, m.deployment, m.want_logprobs, m.protocol, m.tpm, m.rpm) for m in models]
+    return requests.crossJoin(requests.sparkSession.createDataFrame(rows, MODEL_TYPE))
 
 
 def with_bodies(requests: DataFrame, instructions: str, temperature: float) -> DataFrame:

@@ -101,8 +101,10 @@ def batch_size_effect(ledger: DataFrame, calls: DataFrame) -> DataFrame:
     spent = calls.groupBy("batch_size").agg(
         F.count("*").alias("calls"), F.sum("tokens").alias("tokens")
     )
-    return scored.join(spent, "batch_size").withColumn(
-        "derived_tokens_per_job", F.col("tokens") / (F.col("calls") * F.col("batch_size"))
+    # A batch size without a score, or without a call, is a finding too.
+    both = scored.join(spent, "batch_size", "full_outer").fillna(0, ["events", "calls", "tokens"])
+    return both.withColumn(
+        "derived_tokens_per_job", F.when(F.col("calls") > 0, F.col("tokens") / (F.col("calls") * F.col("batch_size")))
     )
 
 
@@ -118,17 +120,21 @@ def ev_coverage(ledger: DataFrame) -> DataFrame:
 
 
 def loss_rates(events: DataFrame, sent: DataFrame) -> DataFrame:
-    """Share of uncorrelated and of dropped results per model and batch size."""
+    """Share of uncorrelated and of dropped results per model and batch size.
+
+    A model all of whose calls failed has no events; it is the worst case, not a missing one.
+    """
     kept = events.groupBy("model", "batch_size").agg(
         F.count("*").alias("events"), F.count_if(F.col("emitted_score") == -2).alias("sentinels")
     )
     asked = sent.groupBy("model", "batch_size").agg(
         F.sum("jobs_sent").alias("jobs_sent"), F.sum("scores_parsed").alias("scores_parsed")
     )
-    return kept.join(asked, ["model", "batch_size"]).select(
+    counts = ["events", "sentinels", "jobs_sent", "scores_parsed"]
+    return kept.join(asked, ["model", "batch_size"], "full_outer").fillna(0, counts).select(
         "model", "batch_size", "events", "sentinels",
         (F.col("jobs_sent") - F.col("scores_parsed")).alias("dropped"),
-        (F.col("sentinels") / F.col("events")).alias("sentinel_rate"),
+        F.when(F.col("events") > 0, F.col("sentinels") / F.col("events")).alias("sentinel_rate"),
     )
 
 

@@ -85,7 +85,7 @@ def active_panel(panels: DataFrame, pinned: str = "") -> DataFrame:
 
 def build_panel(postings: DataFrame, config: RunConfig, registry: Mapping[str, Scorer],
                 now: datetime, path: str) -> DataFrame:
-    """Screens, draws and stores a panel; a short one is kept."""
+    """Screens, draws and stores a panel, and gives its rows; a short one is kept."""
     seed = config.seed(now)
     screened = screen(
         postings, config.screener(), registry, config.instructions, SCREENING_TEMPERATURE
@@ -93,7 +93,12 @@ def build_panel(postings: DataFrame, config: RunConfig, registry: Mapping[str, S
     scores = last_scores(screened, ("batch_index", "pos"))
     drawn = draw_from(postings, scores, config, seed)
     store_panel(panel_rows(drawn, seed, F.lit(now).cast("timestamp")), path)
-    return read_panels(postings.sparkSession, path)
+    spark = postings.sparkSession
+    return read_panels(spark, path).filter(F.col("panel_id") == _id_of(spark, seed, now))
+
+
+def _id_of(spark: SparkSession, seed: int, now: datetime) -> str:
+    return spark.range(1).select(panel_id(F.lit(seed), F.lit(now).cast("timestamp"))).first()[0]
 
 
 def read_panels(spark: SparkSession, path: str) -> DataFrame:
@@ -109,7 +114,9 @@ def load_panel(spark: SparkSession, config: RunConfig, path: str) -> DataFrame |
         return None
     try:
         found = active_panel(read_panels(spark, path), config.active_panel_id)
-    except AnalysisException:  # nothing stored yet
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":  # anything but "nothing stored yet"
+            raise
         found = None
     if found is not None and found.isEmpty():
         found = None
@@ -123,6 +130,5 @@ def load_or_build(spark: SparkSession, config: RunConfig, postings, registry: Ma
     """``postings`` is called only if a panel must be built, which skips collecting."""
     loaded = load_panel(spark, config, path)
     if loaded is None:
-        panels = build_panel(postings(), config, registry, now, path)
-        loaded = active_panel(panels, "")
+        loaded = active_panel(build_panel(postings(), config, registry, now, path))
     return loaded

@@ -54,13 +54,15 @@ def landing(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(doc % 3 == 1, F.to_json(F.struct(F.array(ashby).alias("jobs"))))
         .otherwise(F.to_json(F.array(lever)))
     )
-    cut = F.when(doc % 13 == 0, F.substring(payload, 1, 60)).otherwise(payload)
-    return docs.select(
+    whole = docs.select(
         "doc_id",
         F.element_at(F.array(F.lit("greenhouse"), F.lit("ashby"), F.lit("lever")), (doc % 3 + 1).cast("int"))
         .alias("provider"),
-        "company", cut.alias("payload"),
+        "company", payload.alias("payload"),
     )
+    # Payloads that broke off on the way arrive beside the whole ones.
+    broken = whole.filter(doc % 13 == 0).withColumn("payload", F.substring("payload", 1, 60))
+    return whole.union(broken)
 
 
 DECODED_SQL = f"""
@@ -74,7 +76,7 @@ DECODED_SQL = f"""
                CASE doc_id % 3 WHEN 0 THEN contains(lower(location), 'remote') OR contains(lower(description), 'remote')
                     ELSE doc_id % 2 = 0 END AS remote
         FROM text_postings
-        WHERE doc_id % 13 <> 0 AND NOT (doc_id % 3 = 1 AND doc_id % 7 = 0))"""
+        WHERE NOT (doc_id % 3 = 1 AND doc_id % 7 = 0))"""
 
 
 @registered(sql_over("text_postings", body=DECODED_SQL))
@@ -97,17 +99,19 @@ def quarantined_payloads(spark, sf_dir):
 
 
 @registered("""
-    SELECT source AS company, count(*) AS listed FROM documents
-    WHERE doc_id % 13 <> 0 AND doc_id % 3 = 1 AND doc_id % 7 <> 0 GROUP BY ALL""")
+    SELECT CASE doc_id % 3 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'ashby' ELSE 'lever' END AS provider,
+           source AS company, count(*) AS listed FROM documents
+    WHERE NOT (doc_id % 3 = 1 AND doc_id % 7 = 0) GROUP BY ALL""")
 def listed_only(spark, sf_dir):
-    rows = landing(spark, sf_dir).filter(F.col("provider") == "ashby")
-    return postings_of(parse_payloads(rows)).groupBy("company").agg(F.count("*").alias("listed"))
+    """Only one provider marks postings as unlisted; all are decoded."""
+    rows = postings_of(parse_payloads(landing(spark, sf_dir)))
+    return rows.groupBy(F.substring_index("source", ":", 1).alias("provider"), "company").agg(F.count("*").alias("listed"))
 
 
 @registered("""
     SELECT CASE doc_id % 3 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'ashby' ELSE 'lever' END AS provider,
            source AS company, count(*) AS fetched
-    FROM documents WHERE doc_id % 13 <> 0 GROUP BY ALL""")
+    FROM documents GROUP BY ALL""")
 def fetched_per_company(spark, sf_dir):
     return fetched_counts(parse_payloads(landing(spark, sf_dir)))
 
@@ -117,18 +121,20 @@ def stable_and_composite_keys(spark, sf_dir):
     return postings(spark, sf_dir).select("order_id", "key", "stablekey", "composite_key")
 
 
-INCLUDE, EXCLUDE = ("the", "ein", "on."), ("Ou", "x.*", "ée")
+INCLUDE, EXCLUDE = ("the", "ein", "on."), ("Licen", "x.*", "éeç")
 
 
 @registered(sql_over("text_postings", body="""
     SELECT doc_id FROM text_postings
     WHERE is_remote
-      AND (contains(lower(title || ' ' || location), 'the') OR contains(lower(title || ' ' || location), 'ein')
-           OR contains(lower(title || ' ' || location), 'on.'))
-      AND NOT (contains(lower(title || ' ' || location), 'ou') OR contains(lower(title || ' ' || location), 'x.*')
-           OR contains(lower(title || ' ' || location), 'ée'))"""))
+      AND (contains(lower(description || ' ' || location), 'the') OR contains(lower(description || ' ' || location), 'ein')
+           OR contains(lower(description || ' ' || location), 'on.'))
+      AND NOT (contains(lower(description || ' ' || location), 'licen') OR contains(lower(description || ' ' || location), 'x.*')
+           OR contains(lower(description || ' ' || location), 'éeç'))"""))
 def keyword_filter(spark, sf_dir):
-    return filter_postings(text_postings(spark, sf_dir), INCLUDE, EXCLUDE).select("doc_id")
+    """Over whole texts: each document is its own title."""
+    rows = text_postings(spark, sf_dir).withColumn("title", F.col("description"))
+    return filter_postings(rows, INCLUDE, EXCLUDE).select("doc_id")
 
 
 @registered("""

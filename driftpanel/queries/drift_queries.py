@@ -18,22 +18,20 @@ def _rounded(df, *columns):
 
 PRICES_SQL = f"""
     , prices AS (
-        SELECT model, epoch_us(CAST(day AS TIMESTAMP)) AS effective_micros, round({exact_mean('value')}, 4) AS price
-        FROM (SELECT event_type AS model, strftime(ts, '%Y-%m-%d') AS day, value FROM events)
-        WHERE CAST(substr(day, 9) AS INT) % 3 = 2 GROUP BY ALL)"""
+        SELECT model, epoch_us(CAST(week AS TIMESTAMP)) AS effective_micros, round({exact_mean('value')}, 4) AS price
+        FROM (SELECT event_type AS model, date_trunc('week', ts + INTERVAL 5 DAY) AS week, value FROM events) GROUP BY ALL)"""
 
 
 @registered(sql_over("ledger", body=PRICES_SQL + """
     SELECT l.event_id, l.model, p.price, round(l.tokens * p.price, 4) AS cost
     FROM ledger l ASOF LEFT JOIN prices p ON l.model = p.model AND l.micros >= p.effective_micros"""))
 def cost_asof(spark, sf_dir):
-    """Cost per call at the price in force; prices change every third day."""
+    """Cost per call at the price in force; prices change weekly, and the first days have none."""
     rows = ledger(spark, sf_dir)
     prices = (
         spark.read.parquet(f"{sf_dir}/events.parquet")
-        .select(F.col("event_type").alias("model"), F.to_date("ts").alias("date"), "value")
-        .filter(F.dayofmonth("date") % 3 == 2)
-        .groupBy("model", F.unix_micros(F.col("date").cast("timestamp")).alias("effective_micros"))
+        .select(F.col("event_type").alias("model"), F.date_trunc("week", F.col("ts") + F.expr("interval 5 days")).alias("week"), "value")
+        .groupBy("model", F.unix_micros(F.col("week").cast("timestamp")).alias("effective_micros"))
         .agg(F.round(drift.mean_of("value"), 4).alias("price"))
     )
     return drift.cost_as_of(rows.select("event_id", "model", "micros", "tokens"), prices).select(
@@ -79,12 +77,16 @@ def host_gap(spark, sf_dir):
 
 @registered(sql_over("ledger", "valid_ledger", body=f"""
     , s AS (SELECT batch_size, count(score) AS events, {exact_mean('score')} AS mean_score FROM valid_ledger GROUP BY 1),
-    c AS (SELECT batch_size, count(*) AS calls, CAST(sum(tokens) AS BIGINT) AS tokens FROM ledger GROUP BY 1)
-    SELECT batch_size, events, round(mean_score, 6) AS mean_score, calls, tokens,
+    l AS (SELECT batch_size, tokens FROM ledger UNION ALL SELECT 20, tokens FROM ledger WHERE event_id % 11 = 0),
+    c AS (SELECT batch_size, count(*) AS calls, CAST(sum(tokens) AS BIGINT) AS tokens FROM l GROUP BY 1)
+    SELECT batch_size, coalesce(events, 0) AS events, round(mean_score, 6) AS mean_score, calls, tokens,
            round(tokens::DOUBLE / (calls * batch_size), 6) AS derived_tokens_per_job
-    FROM s JOIN c USING (batch_size)"""))
+    FROM s FULL JOIN c USING (batch_size)"""))
 def batch_size_effect(spark, sf_dir):
-    effect = drift.batch_size_effect(valid_ledger(spark, sf_dir), ledger(spark, sf_dir))
+    """Some calls are of a batch size that never got a score."""
+    calls = ledger(spark, sf_dir).select("batch_size", "tokens", "event_id")
+    lost = calls.filter("event_id % 11 = 0").withColumn("batch_size", F.lit(20))
+    effect = drift.batch_size_effect(valid_ledger(spark, sf_dir), calls.union(lost))
     return _rounded(effect, "mean_score", "derived_tokens_per_job")
 
 
@@ -101,13 +103,19 @@ def ev_coverage(spark, sf_dir):
     SELECT model, batch_size, count(*) AS events, count(*) FILTER (WHERE emitted_score = -2) AS sentinels,
            CAST(sum(event_id % 13 = 0) AS BIGINT) AS dropped,
            round(count(*) FILTER (WHERE emitted_score = -2) / count(*), 6) AS sentinel_rate
-    FROM ledger GROUP BY ALL"""))
+    FROM ledger GROUP BY ALL
+    UNION ALL
+    SELECT 'mute-' || model, batch_size, 0, 0, count(*), NULL FROM ledger WHERE user_id % 10 = 3 GROUP BY ALL"""))
 def loss_rates(spark, sf_dir):
+    """Some models sent postings and got nothing back."""
     rows = ledger(spark, sf_dir)
     sent = rows.select(
         "model", "batch_size", F.lit(1).alias("jobs_sent"), F.when(F.col("event_id") % 13 == 0, 0).otherwise(1).alias("scores_parsed")
     )
-    return _rounded(drift.loss_rates(rows, sent), "sentinel_rate")
+    mute = rows.filter("user_id % 10 = 3").select(
+        F.concat(F.lit("mute-"), "model").alias("model"), "batch_size", F.lit(1).alias("jobs_sent"), F.lit(0).alias("scores_parsed")
+    )
+    return _rounded(drift.loss_rates(rows, sent.union(mute)), "sentinel_rate")
 
 
 @registered("""

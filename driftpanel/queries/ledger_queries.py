@@ -79,7 +79,7 @@ def export_csv(spark, sf_dir):
     return read.fillna("", ["reasoning"])
 
 
-HALF = 1705276800000000  # 2024-01-15 in microseconds
+HALF = 1706486400000000  # 2024-01-29 in microseconds; not every user has later events
 
 
 @registered(sql_over("ledger", body=f"""
@@ -87,7 +87,7 @@ HALF = 1705276800000000  # 2024-01-15 in microseconds
         SELECT *, row_number() OVER (PARTITION BY user_id, micros < {HALF} ORDER BY micros DESC, event_id DESC) AS rn
         FROM ledger),
     old AS (SELECT * FROM w WHERE rn = 1 AND micros < {HALF}),
-    new AS (SELECT * FROM w WHERE rn = 1 AND micros >= {HALF} AND user_id % 3 <> 0)
+    new AS (SELECT * FROM w WHERE rn = 1 AND micros >= {HALF})
     SELECT composite_key AS stablekey, user_id AS posted_at, score, model AS title, false AS has_applied FROM new
     UNION ALL
     SELECT composite_key, user_id, score, model, user_id % 4 = 0
@@ -105,7 +105,7 @@ def latest_score_upsert(spark, sf_dir):
         latest.latest_scores(rows.filter(F.col("micros") < HALF), keys, content)
         .withColumn("has_applied", F.col("posted_at") % 4 == 0).withColumn("last_seen", now)
     )
-    fresh = rows.filter((F.col("micros") >= HALF) & (F.col("user_id") % 3 != 0))
+    fresh = rows.filter(F.col("micros") >= HALF)
     return latest.overwrite_latest(stored, fresh, now).select(
         "stablekey", "posted_at", "score", "title", "has_applied"
     )

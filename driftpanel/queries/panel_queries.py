@@ -226,16 +226,16 @@ def batch_token_estimate(spark, sf_dir):
 
 
 @registered(sql_over("postings", body=POOL_SQL + draw_sql(SEED, DEFAULT_TARGETS, DEFAULT_PANEL_SIZE, 0) + """
-    SELECT company, count(*) AS selected,
-           (SELECT count(*) FROM pool p WHERE p.company = picks.company
-              AND p.stablekey NOT IN (SELECT stablekey FROM picks)) AS remaining
-    FROM picks GROUP BY company"""))
+    SELECT company, count(*) FILTER (stablekey IN (SELECT stablekey FROM picks)) AS selected,
+           count(*) FILTER (stablekey NOT IN (SELECT stablekey FROM picks)) AS remaining
+    FROM pool GROUP BY company"""))
 def company_counts_and_remaining(spark, sf_dir):
     rows = postings(spark, sf_dir)
     pool = panel.banded_pool(rows, _scores(rows), DEFAULT_BANDS)
     picks = panel.draw_panel(pool, DEFAULT_BANDS, DEFAULT_TARGETS, DEFAULT_PANEL_SIZE, 0, SEED)
     left = panel.remaining_pool(pool, picks).groupBy("company").agg(F.count("*").alias("remaining"))
-    return panel.company_counts(picks).join(left, "company", "left").fillna(0, ["remaining"])
+    both = panel.company_counts(picks).join(left, "company", "full_outer")
+    return both.fillna(0, ["selected", "remaining"])
 
 
 SCREENER = ModelConfig("screener", "screener-a", False, 200000, 60, "offline", "offline:")

@@ -183,7 +183,7 @@ def ev_score(spark, sf_dir):
     """Expected scores behind text with letters of several bytes."""
     ident = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     n, kind = F.length("text") % 101, F.length("text") % 4
-    note = F.translate(F.substring("text", 1, 30), '"\\', "")
+    note = F.translate("text", '"\\\n\t', "")
     first = F.concat(F.lit('{"key":"j'), ident, F.lit('","note":"'), note, F.lit('"'))
     label = F.lit(',"score":')
     number = F.when(kind == 2, F.lit("7x")).otherwise(n.cast("string"))

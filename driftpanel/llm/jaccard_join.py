@@ -10,8 +10,8 @@ to classes first. Then by size:
 * Large sets: inverted lists over the rarest n-grams of each set, as many as a partner
   can't avoid. List by list, a few hubs are compared with all members; lists whose
   members are not yet one group go on with new hubs, taken from the smallest groups,
-  four times as many each round, until every pair is compared or in one group. Sets are
-  compared whole.
+  eight times as many each round, until every pair is compared or in one group. Pairs that
+  the sets' sizes or parity bits rule out are left aside; the others are compared whole.
 
 The boundary between small and large is the size at which enumeration stops being the
 cheaper of the two for the sizes that occur. How rare an n-gram is, is estimated by
@@ -40,9 +40,10 @@ from driftpanel.llm.common import keyed, prepared, same_row, stored
 U = np.uint64
 COUNTERS = 22  # bits
 CHUNK = 16  # bits of the counters sent together
+BITS = 1024  # places of a set's parities
 HISTOGRAM = 200
 MOST_SUBSETS = 2000  # a set with more is never small
-ROUND = 4  # times as many hubs each round
+HUBS, ROUND = 3, 8  # hubs of the first round, and how many times as many each next one has
 Arrow = Iterator[pa.RecordBatch]
 
 
@@ -71,6 +72,22 @@ def segment_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return run[first[1:]] - run[first[:-1]]
 
 
+def parities(values: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Of each row's set, whether an odd number of its n-grams falls on each of BITS places.
+
+    Two sets differ in at least as many n-grams as their parities differ in places.
+    """
+    size, out = len(first) - 1, []
+    rows = np.repeat(np.arange(size), np.diff(first))
+    place = (values & U(BITS - 1)).astype(np.int64)
+    for begin in range(0, size, 2000):
+        end = min(begin + 2000, size)
+        at = slice(first[begin], first[end])
+        counts = np.bincount((rows[at] - begin) * BITS + place[at], minlength=(end - begin) * BITS)
+        out += [x.tobytes() for x in np.packbits((counts & 1).astype(np.uint8).reshape(-1, BITS), axis=1)]
+    return pa.array(out, pa.binary())
+
+
 def needed(s: int, t: int, percent: int) -> int:
     """The least intersection with which sizes s and t link."""
     return -(-percent * (s + t) // (100 + percent))
@@ -143,6 +160,22 @@ def segment_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return run[first[1:]] - run[first[:-1]]
 
 
+def parities(values: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Of each row's set, whether an odd number of its n-grams falls on each of BITS places.
+
+    Two sets differ in at least as many n-grams as their parities differ in places.
+    """
+    size, out = len(first) - 1, []
+    rows = np.repeat(np.arange(size), np.diff(first))
+    place = (values & U(BITS - 1)).astype(np.int64)
+    for begin in range(0, size, 2000):
+        end = min(begin + 2000, size)
+        at = slice(first[begin], first[end])
+        counts = np.bincount((rows[at] - begin) * BITS + place[at], minlength=(end - begin) * BITS)
+        out += [x.tobytes() for x in np.packbits((counts & 1).astype(np.uint8).reshape(-1, BITS), axis=1)]
+    return pa.array(out, pa.binary())
+
+
 def needed(s: int, t: int, percent: int) -> int:
     """The least intersection with which sizes s and t link."""
     return -(-percent * (s + t) // (100 + percent))
@@ -182,7 +215,7 @@ def boundary(sizes: dict[int, int], percent: int) -> int:
     return best
 
 
-SETS = "id long, row long, n long, cls long, chunk int, counters binary"
+SETS = "id long, row long, n long, cls long, bits binary, chunk int, counters binary"
 SET_NAMES = [x.split()[0] for x in SETS.split(", ")]
 
 
@@ -197,13 +230,14 @@ def sketch(n: int):
             size = len(first) - 1
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("row"), pa.array(np.diff(first)), pa.array(ts.signed(set_hash(values, first))),
-                 pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], SET_NAMES)
+                 parities(values, first), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], SET_NAMES)
         if not counters.any():
             return
-        parts = [x.tobytes() for x in counters.reshape(-1, 1 << CHUNK)]
+        width = np.uint16 if counters.max() < 1 << 16 else np.uint32
+        parts = [x.tobytes() for x in counters.astype(width).reshape(-1, 1 << CHUNK)]
         none = pa.nulls(len(parts), pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [none, none, none, none, pa.array(np.arange(len(parts), dtype=np.int32)), pa.array(parts, pa.binary())], SET_NAMES)
+            [none, none, none, none, pa.nulls(len(parts), pa.binary()), pa.array(np.arange(len(parts), dtype=np.int32)), pa.array(parts, pa.binary())], SET_NAMES)
 
     return scan
 
@@ -213,10 +247,11 @@ def folded(batches: Arrow) -> Arrow:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for chunk, raw in zip(batch.column("chunk").to_pylist(), batch.column("counters"), strict=True):
-            own = np.frombuffer(raw.as_buffer(), np.uint32).astype(np.uint64)
+            data = raw.as_buffer()
+            own = np.frombuffer(data, np.uint16 if data.size == 2 << CHUNK else np.uint32).astype(np.uint64)
             total[chunk] = total[chunk] + own if chunk in total else own
     for chunk, counters in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([np.log2(counters + 1.0).astype(np.uint8).tobytes()], pa.binary())],
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([np.minimum(255, 8 * np.log2(counters + 1.0)).astype(np.uint8).tobytes()], pa.binary())],
                                          ["chunk", "levels"])
 
 
@@ -293,6 +328,21 @@ def set_texts(n: int, held):
     return scan
 
 
+def may_link(percent: int):
+    """Pairs whose sizes and parities don't rule a link out."""
+
+    def scan(batches: Arrow) -> Arrow:
+        for batch in batches:
+            size = [batch.column(c).to_numpy().astype(np.int64) for c in ("n", "hn")]
+            bits = [np.frombuffer(b"".join(batch.column(c).to_pylist()), U).reshape(-1, BITS // 64) for c in ("bits", "hbits")]
+            apart = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64)
+            total = size[0] + size[1]
+            keep = pa.array((total - apart) // 2 >= -(-percent * total // (100 + percent)))
+            yield batch.select(["a", "b"]).filter(keep)
+
+    return scan
+
+
 def compared(n: int, percent: int):
     """Pairs of texts whose sets link."""
 
@@ -324,57 +374,60 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(
             F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b")
-        after = stored(small.distinct(), "edges")
-        # Stars: no node hangs on two others, none that others hang on hangs itself.
-        twice = after.groupBy("a").count().filter("count > 1").limit(1)
-        chained = after.select(F.col("a").alias("b")).join(after.select("b"), "b", "left_semi").limit(1)
-        edges = after
-        if twice.isEmpty() and chained.isEmpty():
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
-                edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-
-
-def large_links(texts: DataFrame, entries: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links (a, b) that join the groups of large sets. entries has (gram, cls, n)."""
+        edges = stored(small.distinct(), "edges")
+        # All stars: no node hangs on two others, none that others hang on hangs itself.
+        twice = edges.groupBy("a").count().filter("count > 1").select("a")
+        chained = edges.select(F.col("b").alias("a")).join(edges.select("a"), "a", "left_semi")
+        if twice.union(chained).isEmpty():
+            roots = edges.select("b").distinct()
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots.select(F.col("b").alias("node"), F.col("b").alias("root")))
+
+
+def merged(texts: DataFrame, entries: DataFrame, parity: DataFrame, links: DataFrame, n: int, percent: int) -> DataFrame:
+    """Groups (node, root) of the links and of those found in the lists. entries has (gram, cls, n), parity (cls, n, bits)."""
     spark = texts.sparkSession
-    once = entries.groupBy("gram", "cls").agg(F.max("n").alias("n"))
     # Lists of one member are left out.
-    once = stored(once, "list-entries")
-    shared = once.groupBy("gram").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi").select("gram")
-    members = stored(once.join(shared, "gram"), "list-members")
-    wanted = stored(members.select("cls").distinct(), "list-classes")
-    held = spark.sparkContext.broadcast(bitmap(wanted, "cls"))
-    texts = stored(texts.mapInArrow(set_texts(n, held), "cls long, text string").groupBy("cls").agg(F.min("text").alias("text"))
-                   .join(wanted, "cls", "left_semi"), "list-texts")
-    links = spark.createDataFrame([], "a long, b long")
+    own = Window.partitionBy("gram")
+    members = (entries.withColumn("lo", F.min("cls").over(own)).withColumn("hi", F.max("cls").over(own))
+               .filter("lo <> hi").select("gram", "cls", "n").distinct())
+    members = stored(members, "list-members")
+    groups = components(links)
     done = spark.createDataFrame([], "a long, b long")
     left = members.withColumn("hub", F.lit(False))
-    hubs = 1
+    hubs = HUBS
     while True:
-        groups = components(links).withColumnRenamed("node", "cls") if not links.isEmpty() else spark.createDataFrame([], "cls long, root long")
-        now = left.join(groups, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        now = left.join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         open_lists = (now.filter("not hub").groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
                       .filter("lo <> hi").select("gram"))
         now = stored(now.join(open_lists, "gram"), "open-lists")
         if now.isEmpty():
-            return links
+            return groups
         # Hubs: members not yet compared with all others, of the groups with fewest members in the list.
         weight = now.filter("not hub").groupBy("gram", "root").agg(F.count("*").alias("weight"))
         rank = F.row_number().over(Window.partitionBy("gram").orderBy("weight", "cls"))
         chosen = stored(now.filter("not hub").join(weight, ["gram", "root"]).withColumn("rank", rank).filter(F.col("rank") <= hubs)
                         .select("gram", F.col("cls").alias("h"), F.col("n").alias("hn"), F.col("root").alias("hroot")), "hubs")
         fits = (100 * F.least("n", "hn") >= percent * F.greatest("n", "hn")) & (F.col("root") != F.col("hroot"))
-        pairs = (now.join(chosen, "gram").filter(fits).select(F.least("cls", "h").alias("a"), F.greatest("cls", "h").alias("b")).distinct()
-                 .join(done, ["a", "b"], "left_anti"))
-        pairs = stored(pairs, "pairs")
-        judged = stored(pairs.join(texts.withColumnRenamed("cls", "a"), "a")
-                        .join(texts.select(F.col("cls").alias("b"), F.col("text").alias("other")), "b")
+        # Earlier hubs have met the whole list.
+        met = (now.filter("not hub").join(chosen, "gram").filter(fits)
+               .select(F.least("cls", "h").alias("a"), F.greatest("cls", "h").alias("b")).distinct()
+               .join(done, ["a", "b"], "left_anti"))
+        theirs = parity.select(F.col("cls").alias("b"), F.col("n").alias("hn"), F.col("bits").alias("hbits"))
+        pairs = stored(met.join(parity.withColumnRenamed("cls", "a"), "a").join(theirs, "b").select("a", "b", "n", "hn", "bits", "hbits")
+                       .mapInArrow(may_link(percent), "a long, b long"), "pairs")
+        ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "pair-classes")
+        held = spark.sparkContext.broadcast(bitmap(ends, "cls"))
+        own_texts = (texts.mapInArrow(set_texts(n, held), "cls long, text string").groupBy("cls").agg(F.min("text").alias("text"))
+                     .join(ends, "cls", "left_semi"))
+        own_texts = stored(own_texts, "pair-texts")
+        judged = stored(pairs.join(own_texts.withColumnRenamed("cls", "a"), "a")
+                        .join(own_texts.select(F.col("cls").alias("b"), F.col("text").alias("other")), "b")
                         .select("a", "b", "text", "other").mapInArrow(compared(n, percent), "a long, b long, link boolean"), "judged")
-        links = stored(links.union(judged.filter("link").select("a", "b")), "links")
+        groups = components(groups.toDF("a", "b").union(judged.filter("link").select("a", "b")))
         done = done.union(judged.filter("not link").select("a", "b"))
         used = chosen.select("gram", F.col("h").alias("cls"), F.lit(True).alias("used"))
-        left = stored(now.select("gram", "cls", "n", "hub").join(used, ["gram", "cls"], "left")
-                      .select("gram", "cls", "n", (F.col("hub") | F.coalesce("used", F.lit(False))).alias("hub")), "lists")
+        left = (now.select("gram", "cls", "n", "hub").join(used, ["gram", "cls"], "left")
+                .select("gram", "cls", "n", (F.col("hub") | F.coalesce("used", F.lit(False))).alias("hub")))
         hubs *= ROUND
 
 
@@ -393,17 +446,15 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     held = spark.sparkContext.broadcast(levels)
 
     whole = rows.select("text")
-    by_key = whole.mapInArrow(keys(n, percent, small), "key long, cls long, lesser boolean").distinct()
+    by_key = stored(whole.mapInArrow(keys(n, percent, small), "key long, cls long, lesser boolean").distinct(), "subset-keys")
     hub = by_key.groupBy("key").agg(F.min(F.when(F.col("lesser"), F.col("cls"))).alias("hub"), F.min("cls").alias("lo"), F.max("cls").alias("hi"))
     hub = hub.filter("hub is not null and lo <> hi").select("key", "hub")
     small_links = by_key.join(hub, "key").filter("cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct()
 
     entries = whole.mapInArrow(lists(n, percent, small, held), "gram long, cls long, n long")
-    links = stored(small_links.union(large_links(whole, entries, n, percent)), "all-links")
-    if links.isEmpty():
-        grouped = sets.withColumn("root", F.col("cls"))
-    else:
-        grouped = sets.join(components(links), F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls"))
+    parity = stored(found.filter("chunk is null and n > 0").groupBy("cls").agg(F.max("n").alias("n"), F.max("bits").alias("bits")), "parities")
+    groups = merged(whole, entries, parity, small_links, n, percent)
+    grouped = sets.join(groups, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls"))
     grouped = grouped.select("id", "row", "n", F.when(F.col("n") > 0, F.col("root")).alias("root"))
     least = grouped.filter("root is not null").groupBy(F.col("root").alias("their_root")).agg(F.min("id").alias("least"))
     return (grouped.join(least, F.col("root") == F.col("their_root"), "left")

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from driftpanel.llm import textscan as ts
 from driftpanel.llm.bitmap import bitmap, may_hold
 from driftpanel.llm.common import prepared, stored
+from driftpanel.operators.ordering import position_overall
 
 LEAST_WORDS = 8
 U = np.uint64
@@ -87,18 +88,26 @@ def texts_of(held):
 
 
 def variants(batches: Arrow) -> Arrow:
-    """Keys of each line's deletion neighbourhood; kind 0: the line itself, 1: a word left out, 2: with its place."""
+    """Keys of each line's deletion neighbourhood; kind 0: the line itself, 1: a word left out, 2: with its place.
+
+    A line that shares its first half with another is only edited behind it, and the
+    other way round.
+    """
     for batch in ts.slices(batches, "text", 1 << 20):
         x = Lines(batch.column("text"), 1)
         line = np.repeat(np.arange(len(x.size)), x.size)
-        at = np.arange(len(line)) - np.repeat(np.concatenate([[0], np.cumsum(x.size)])[:-1] - x.first, x.size)
-        rest = x.words.without(x.first[line], x.last[line], at)
-        placed = ts.mix(rest ^ ts.mix((at - x.first[line] + 1).astype(U)))
+        place = np.arange(len(line)) - np.repeat(np.concatenate([[0], np.cumsum(x.size)])[:-1], x.size)
+        half = ((x.size - 1) // 2)[line]
+        head, tail = (batch.column(c).to_numpy(zero_copy_only=False)[x.row][line] for c in ("head", "tail"))
+        want = head & (place >= half) | tail & (place < x.size[line] - half)
+        line, place = line[want], place[want]
+        rest = x.words.without(x.first[line], x.last[line], x.first[line] + place)
+        placed = ts.mix(rest ^ ts.mix((place + 1).astype(U)))
         kind = np.repeat(np.array([0, 1, 2], np.int32), [len(x.size), len(line), len(line)])
         rows = pa.array(np.concatenate([x.row, x.row[line], x.row[line]]))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ts.signed(np.concatenate([x.hash, rest, placed]))), pa.array(kind), batch.column("hash").take(rows),
-             batch.column("place").take(rows)], ["key", "kind", "hash", "place"])
+            [pa.array(ts.signed(np.concatenate([x.hash, rest, placed]))), pa.array(kind), batch.column("rank").take(rows)],
+            ["key", "kind", "rank"])
 
 
 def one_edit(a: list, b: list) -> bool:
@@ -124,26 +133,33 @@ LOWER = bytes(ts.LOWER)
 def near_lines(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """Hashes of lines with an earlier line one edit away. classes has (hash, place, keys)."""
     spark = rows.sparkSession
-    halves = classes.select("hash", F.explode("keys").alias("key"))
+    # Keys of first and last halves take turns.
+    halves = classes.select("hash", F.posexplode("keys").alias("side", "key"))
     shared = halves.groupBy("key").agg(F.min("hash").alias("a"), F.max("hash").alias("b")).filter("a <> b").select("key")
-    hashes = stored(halves.join(shared, "key").select("hash").distinct(), "line-candidates")
-    held = spark.sparkContext.broadcast(bitmap(hashes, "hash"))
+    sides = (halves.join(shared, "key").groupBy("hash")
+             .agg(F.bool_or(F.col("side") % 2 == 0).alias("head"), F.bool_or(F.col("side") % 2 == 1).alias("tail")))
+    sides = stored(sides, "line-candidates")
+    held = spark.sparkContext.broadcast(bitmap(sides, "hash"))
+    # A number for each candidate's place: one long to compare.
+    candidates = classes.join(sides, "hash").select("hash", "place", "head", "tail")
+    ranked = position_overall(candidates, [F.col("place"), F.col("hash")], "rank")
     texts = rows.select("text").mapInArrow(texts_of(held), "hash long, text string").groupBy("hash").agg(F.min("text").alias("text"))
-    lines = stored(texts.join(hashes, "hash").join(classes.select("hash", "place"), "hash"), "line-texts")
-    keys = stored(lines.mapInArrow(variants, "key long, kind int, hash long, place struct<id:long,line:int,row:long>"), "line-variants")
+    lines = stored(texts.join(ranked, "hash"), "line-texts")
+    keys = lines.select("text", "rank", "head", "tail").mapInArrow(variants, "key long, kind int, rank long")
     # Kind 2 meets kind 2; kind 1 meets kind 0 and the other way round.
     side = keys.withColumn("space", F.col("kind") == 2)
-    seen = F.struct("place", "hash")
     first = (side.groupBy("space", "key").agg(
-        F.count("*").alias("n"), F.min(F.when(F.col("kind") != 1, seen)).alias("whole"), F.min(F.when(F.col("kind") == 1, seen)).alias("part"))
+        F.count("*").alias("n"), F.min(F.when(F.col("kind") != 1, F.col("rank"))).alias("whole"),
+        F.min(F.when(F.col("kind") == 1, F.col("rank"))).alias("part"))
         .filter("n > 1 and whole is not null"))
     met = side.join(first, ["space", "key"])
     earlier = F.when(F.col("kind") == 0, F.col("part")).otherwise(F.col("whole"))
-    links = (met.withColumn("earlier", earlier)
-             .filter((F.col("earlier.place.id") < F.col("place.id")) | (F.col("earlier.place.id") == F.col("place.id")) & (F.col("earlier.place.line") < F.col("place.line")))
-             .select("hash", F.col("earlier.hash").alias("earlier_hash")).distinct())
-    pairs = (links.join(lines.select("hash", "text"), "hash")
-             .join(lines.select(F.col("hash").alias("earlier_hash"), F.col("text").alias("earlier_text")), "earlier_hash"))
+    links = met.select("rank", earlier.alias("earlier")).filter("earlier < rank").distinct()
+    one = lines.select("rank", "hash", "place", "text")
+    other = lines.select(F.col("rank").alias("earlier"), F.col("place").alias("earlier_place"), F.col("text").alias("earlier_text"))
+    # The ranks of lines with the same id and number differ, but neither is earlier.
+    before = (F.col("earlier_place.id") < F.col("place.id")) | (F.col("earlier_place.line") < F.col("place.line"))
+    pairs = links.join(one, "rank").join(other, "earlier").filter(before)
     return stored(pairs.select("hash", "text", "earlier_text").mapInArrow(verified, "hash long").distinct(), "near-lines")
 
 

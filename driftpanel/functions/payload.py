@@ -70,10 +70,6 @@ def display_score(ev: Column, emitted: Column) -> Column:
     return F.coalesce(ev, emitted)
 
 
-def prompt_item() -> Column:
-    return F.struct(*[F.col(name) for name in PROMPT_FIELDS])
-
-
 def user_message(items: Column) -> Column:
     return F.concat(F.lit(PROMPT_PREFIX), html_safe_json(F.to_json(items)))
 
@@ -100,3 +96,27 @@ def chat_request(model: Column, instructions: Column, message: Column, temperatu
             F.when(want_logprobs, TOP_LOGPROBS).alias("top_logprobs"),
         )
     )
+
+
+# Fixed value: the answer asked of a candidates/parts endpoint.
+CANDIDATE_SCHEMA = {
+    "type": "array",
+    "items": {
+        "type": "object",
+        "properties": {"key": {"type": "string"}, "score": {"type": "integer"}, "reasoning": {"type": "string"}},
+        "required": ["key", "score", "reasoning"],
+        "propertyOrdering": ["key", "score", "reasoning"],
+    },
+}
+
+
+def candidate_request(instructions: Column, message: Column) -> Column:
+    """Request body for a candidates/parts endpoint; it takes no temperature."""
+    parts = F.array(*[F.struct(text.alias("text")) for text in (instructions, message)])
+    return F.to_json(F.struct(
+        F.array(F.struct(parts.alias("parts"))).alias("contents"),
+        F.struct(
+            F.lit("application/json").alias("responseMimeType"),
+            F.parse_json(F.lit(json.dumps(CANDIDATE_SCHEMA))).alias("responseSchema"),
+        ).alias("generationConfig"),
+    ))

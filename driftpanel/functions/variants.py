@@ -10,6 +10,8 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
+from driftpanel.functions.binding import bind
+
 ABSENT = "VOID"
 TEXT = "STRING"
 WHOLE = "BIGINT"
@@ -23,6 +25,25 @@ def at(value: Column, path: str) -> Column:
     return F.try_variant_get(value, path, "variant")
 
 
+def fields(value: Column, *names: str) -> Column:
+    """Struct of an object's fields, whatever the case of their names; null where absent.
+
+    An object is opened once. Of names that differ in case only, the one that sorts
+    last counts, so the lower-case one where it is there.
+    """
+    entries = F.map_entries(F.try_variant_get(value, "$", "map<string, variant>"))
+
+    def is_named(name: str):
+        return lambda entry: F.lower(entry["key"]) == name
+
+    def named(found: Column) -> Column:
+        return F.struct(*[
+            F.try_element_at(F.filter(found, is_named(name)), F.lit(-1))["value"].alias(name) for name in names
+        ])
+
+    return bind(entries, named)
+
+
 def json_type(value: Column) -> Column:
     """Leading word of the value's type; a missing value and null are ``VOID``.
 

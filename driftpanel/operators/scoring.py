@@ -3,25 +3,27 @@
 A scorer answers requests: it takes a DataFrame with one row per call and adds
 ``response`` (the raw body), ``status`` (null when fine) and ``error_kind``.
 ``from_batches`` turns a plain function on pandas frames into one; it runs inside
-the tasks, a few calls at a time.
+the tasks, a few calls at a time. A ``Route`` adds how a protocol's requests are
+written and its answers read; a plain scorer speaks the chat shape.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from driftpanel.config import ModelConfig, SCREENING_BATCH_SIZE
-from driftpanel.functions.payload import chat_request
+from driftpanel.functions.payload import candidate_request, chat_request
 from driftpanel.functions.quota import batch_outcome, error_class, estimate_ratio
 from driftpanel.operators.audit import attempted
 from driftpanel.operators.batching import assign_batches, batch_requests
 from driftpanel.operators.correlate import correlate_calls
 from driftpanel.operators.ledger import call_id
 from driftpanel.session import cut_lineage
-from driftpanel.sources.responses import chat_calls, chat_items
+from driftpanel.sources.responses import candidate_answers, chat_calls, chat_items
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -35,6 +37,36 @@ MODEL_TYPE = (
 )
 
 
+def chat_body(instructions: str, temperature: float) -> Column:
+    return chat_request(
+        F.col("model"), F.lit(instructions), F.col("message"), F.lit(float(temperature)), F.col("want_logprobs")
+    )
+
+
+def candidate_body(instructions: str, temperature: float) -> Column:
+    return candidate_request(F.lit(instructions), F.col("message"))
+
+
+@dataclass(frozen=True)
+class Route:
+    """How a protocol is spoken: who answers, how requests are written, how answers are read."""
+
+    scorer: Scorer
+    body: Callable[[str, float], Column] = chat_body
+    decode: Callable[[DataFrame], DataFrame] = chat_calls
+
+
+Registry = Mapping[str, "Scorer | Route"]
+
+
+def candidates_route(scorer: Scorer) -> Route:
+    return Route(scorer, candidate_body, candidate_answers)
+
+
+def route_of(entry: Scorer | Route) -> Route:
+    return entry if isinstance(entry, Route) else Route(entry)
+
+
 def from_batches(score: Callable[[pd.DataFrame], pd.DataFrame]) -> Scorer:
     """Wraps ``score(requests) -> response, status, error_kind`` row by row aligned."""
 
@@ -102,30 +134,28 @@ def for_models(requests: DataFrame, models: Sequence[ModelConfig]) -> DataFrame:
     return requests.crossJoin(requests.sparkSession.createDataFrame(rows, MODEL_TYPE))
 
 
-def with_bodies(requests: DataFrame, instructions: str, temperature: float) -> DataFrame:
-    body = chat_request(
-        F.col("model"), F.lit(instructions), F.col("message"), F.lit(float(temperature)),
-        F.col("want_logprobs"),
-    )
-    return requests.withColumn("temperature_sent", F.lit(float(temperature))).withColumn("request", body)
-
-
-def call_models(requests: DataFrame, registry: Mapping[str, Scorer], protocols: Sequence[str]) -> DataFrame:
-    """Routes the requests of each protocol to its scorer and decodes the answers.
+def call_models(requests: DataFrame, registry: Registry, protocols: Sequence[str],
+                instructions: str, temperature: float) -> DataFrame:
+    """Writes the requests of each protocol, has its scorer answer them and decodes the answers.
 
     The answers are materialised once: asking a model again would cost money and
     could give another answer.
     """
-    answered = [
-        registry[protocol](requests.filter(F.col("protocol") == protocol)) for protocol in sorted(set(protocols))
-    ]
-    whole = answered[0]
-    for part in answered[1:]:
-        whole = whole.unionByName(part)
-    return cut_lineage(chat_calls(whole.drop("items", "message", "request")))
+    sent = requests.withColumn("temperature_sent", F.lit(float(temperature)))
+
+    def answered(protocol: str) -> DataFrame:
+        route = route_of(registry[protocol])
+        own = sent.filter(F.col("protocol") == protocol).withColumn("request", route.body(instructions, temperature))
+        return route.decode(route.scorer(own).drop("items", "message", "request"))
+
+    first, *others = sorted(set(protocols))
+    whole = answered(first)
+    for protocol in others:
+        whole = whole.unionByName(answered(protocol))
+    return cut_lineage(whole)
 
 
-def screen(postings: DataFrame, model: ModelConfig, registry: Mapping[str, Scorer],
+def screen(postings: DataFrame, model: ModelConfig, registry: Registry,
            instructions: str, temperature: float) -> DataFrame:
     """Provisional scores by job key: ``key, batch_index, pos, score``.
 
@@ -135,8 +165,8 @@ def screen(postings: DataFrame, model: ModelConfig, registry: Mapping[str, Score
     if not eligible(model, list(registry)):
         raise ValueError(f"screening model {model.name!r} cannot be called")
     batched = assign_batches(postings, SCREENING_BATCH_SIZE)
-    requests = with_bodies(for_models(batch_requests(batched), [model]), instructions, temperature)
-    calls = call_models(requests, registry, [model.protocol])
+    requests = for_models(batch_requests(batched), [model])
+    calls = call_models(requests, registry, [model.protocol], instructions, temperature)
     message = F.concat(F.lit("screening batch failed: "), F.col("batch_index").cast("string"))
     whole = calls.withColumn("items", F.when(_lost(), F.raise_error(message)).otherwise(F.col("items")))
     return chat_items(whole).select(
@@ -148,29 +178,41 @@ def _lost() -> Column:
     return F.col("status").isNotNull() | F.col("error_kind").isNotNull() | F.col("failure").isNotNull()
 
 
-def grade(postings: DataFrame, models: Sequence[ModelConfig], registry: Mapping[str, Scorer],
-          instructions: str, temperature: float, batch_size: int) -> tuple[DataFrame, DataFrame]:
+def refused(spark: SparkSession, models: Sequence[ModelConfig], protocols: Sequence[str]) -> DataFrame:
+    """Models that are not asked, ``model, deployment, reason``."""
+    rows = [(m.name, m.deployment, m.tpm, m.rpm, m.protocol, m.base_url) for m in models]
+    listed = spark.createDataFrame(rows, "model string, deployment string, tpm int, rpm int, protocol string, base_url string")
+    reason = refusal(F.struct("tpm", "rpm", "protocol", "base_url"), protocols)
+    return listed.select("model", "deployment", reason.alias("reason")).filter(F.col("reason").isNotNull())
+
+
+def grade(postings: DataFrame, models: Sequence[ModelConfig], registry: Registry,
+          instructions: str, temperature: float, batch_size: int,
+          carry: Sequence[str] = ("stablekey", "composite_key")) -> tuple[DataFrame, DataFrame]:
     """Scores the postings with every model: batch outcomes and events.
 
-    Batches after a model's first failure count as never tried.
+    Batches after a model's first failure give no events; their outcomes say so with
+    ``attempted`` false. Events carry the ``carry`` columns of their posting, keys
+    rather than texts, as there is an event for each posting and model.
     """
     usable = [model for model in models if eligible(model, list(registry))]
     if not usable:
         raise ValueError("no model can be called")
     batched = assign_batches(postings, batch_size)
-    requests = with_bodies(for_models(batch_requests(batched), usable), instructions, temperature)
-    calls = call_models(requests, registry, [m.protocol for m in usable]).withColumn("failed", _lost())
-    tried = attempted(calls, ["model"]).filter("attempted")
+    requests = for_models(batch_requests(batched), usable)
+    calls = call_models(requests, registry, [m.protocol for m in usable], instructions, temperature).withColumn("failed", _lost())
+    marked = attempted(calls, ["model"])
+    tried = marked.filter("attempted")
     kind = F.when(F.col("failure").isNotNull() & F.col("error_kind").isNull(), "decode").otherwise(F.col("error_kind"))
-    outcomes = tried.select(
-        "model", "deployment", "batch_index", "jobs_sent",
+    outcomes = marked.select(
+        "model", "deployment", "batch_index", "attempted", "jobs_sent",
         F.when(F.col("failed"), 0).otherwise(F.size("items")).alias("scores_parsed"),
         batch_outcome(F.col("failed"), F.size("items"), F.col("jobs_sent")).alias("outcome"),
         error_class(F.col("status"), kind).alias("error_class"),
         "token_estimate", F.col("usage.total").alias("actual_tokens"),
         estimate_ratio(F.col("token_estimate"), F.col("usage.total")).alias("est_ratio"),
     )
-    carried = [c for c in postings.columns if c != "key"]
+    carried = [c for c in carry if c in postings.columns]
     jobs = batched.groupBy("batch_index").agg(
         F.array_sort(F.collect_list(F.struct("pos", "key", *carried))).alias("jobs")  # at most a batch
     )

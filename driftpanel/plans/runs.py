@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -11,12 +10,13 @@ from driftpanel.config import RunConfig
 from driftpanel.functions.keys import composite_key
 from driftpanel.functions.payload import html_safe_bytes, job_payload
 from driftpanel.operators.ledger import (
-    append_run, call_id, event_rows, read_snapshot, rebuild_calls, write_snapshot,
+    append_run, call_id, event_rows, failed_calls, read_snapshot, rebuild_calls, write_snapshot,
 )
 from driftpanel.operators.liveness import (
     candidates, first_per_posting, maintain_jobs, seen_postings, upsert_jobs,
 )
-from driftpanel.operators.scoring import Scorer, grade
+from driftpanel.operators.latest import export_rows
+from driftpanel.operators.scoring import Registry, grade, refused
 from driftpanel.plans.panels import POSTING_COLUMNS, load_or_build
 from driftpanel.session import configure, cut_lineage
 
@@ -70,14 +70,31 @@ def run_summary(spark: SparkSession, run_id: str, config: RunConfig, batch_size:
     )
 
 
-def grade_run(spark: SparkSession, config: RunConfig, collected, stored_jobs: DataFrame, registry: Mapping[str, Scorer],
+class CallsFailed(RuntimeError):
+    """Some calls of a run failed; its tables are written all the same."""
+
+
+def run_totals(outcomes: DataFrame, events: DataFrame) -> DataFrame:
+    """Per model: scores received and events stored, calls made and failed."""
+    tried = outcomes.filter("attempted")
+    received = tried.groupBy("model").agg(
+        F.sum("scores_parsed").alias("expected"), F.count_if(F.col("outcome") == "failed").alias("failed_calls"),
+        F.count("*").alias("total_calls"),
+    )
+    stored = events.groupBy("model").agg(F.count("*").alias("actual"))
+    return received.join(stored, "model", "full_outer").fillna(0).select(
+        "model", "expected", "actual", "failed_calls", "total_calls")
+
+
+def grade_run(spark: SparkSession, config: RunConfig, collected, stored_jobs: DataFrame, registry: Registry,
               now: datetime, root: str, run_id: str) -> dict[str, DataFrame]:
     """Runs the whole flow and writes its tables under ``root``.
 
     ``collected`` is a function returning the postings of all boards; it is not
     called when a stored panel makes collecting pointless. When it is, the stored jobs
     that are still live are touched, and aged ones go if the settings say so. Every table is written
-    per run, so a repeated attempt replaces its own rows and nothing else.
+    per run, so a repeated attempt replaces its own rows and nothing else. At the end the totals and the
+    models that were not asked are recorded, the export sheet is written, and failed calls are an error.
     """
     configure(spark)
     config.validate()
@@ -113,13 +130,33 @@ def grade_run(spark: SparkSession, config: RunConfig, collected, stored_jobs: Da
     append_run(
         run_summary(spark, run_id, config, batch_size, panel_size).drop("run_id"), f"{root}/runs", run_id
     )
-    write_snapshot(upsert_jobs(jobs, job_rows(events), moment), f"{root}/jobs", run_id)
+    append_run(refused(spark, config.graders(), list(registry)), f"{root}/refused_models", run_id)
+    # The postings come from where they are; the events only say which got a score.
+    scored = postings.join(events.select("composite_key").distinct(), "composite_key", "left_semi")
+    write_snapshot(upsert_jobs(jobs, job_rows(scored), moment), f"{root}/jobs", run_id)
+    mine = lambda name: spark.read.parquet(f"{root}/{name}").filter(F.col("run_id") == run_id)
+    persisted = mine("scoring_events").join(mine("scoring_calls").select("call_id", "model"), "call_id")
+    append_run(run_totals(mine("batch_outcomes"), persisted), f"{root}/run_totals", run_id)
+    tables = run_tables(spark, root, run_id)
+    exported = tables["jobs"].withColumn("posted_at", F.unix_seconds("posted_at"))
+    write_sheet(export_rows(exported, tables["events"], tables["calls"]), f"{root}/export")
+    failed = failed_calls(mine("batch_outcomes").filter("attempted"), F.col("outcome") == "failed").first()
+    if failed["failed_calls"]:
+        raise CallsFailed(f"{failed['failed_calls']} of {failed['total_calls']} calls failed")
+    return tables
+
+
+def run_tables(spark: SparkSession, root: str, run_id: str) -> dict[str, DataFrame]:
+    """What a run has written, and what earlier ones have."""
     return {
         "jobs": read_snapshot(spark, f"{root}/jobs", run_id),
         "calls": spark.read.parquet(f"{root}/scoring_calls"),
         "events": spark.read.parquet(f"{root}/scoring_events"),
         "outcomes": spark.read.parquet(f"{root}/batch_outcomes"),
         "runs": spark.read.parquet(f"{root}/runs"),
+        "totals": spark.read.parquet(f"{root}/run_totals"),
+        # Often empty, so its columns are named.
+        "refused": spark.read.schema("model string, deployment string, reason string, run_id string").parquet(f"{root}/refused_models"),
     }
 
 

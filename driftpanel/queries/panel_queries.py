@@ -295,5 +295,5 @@ def panel_build(spark, sf_dir):
     FROM n, (VALUES ('grader-a'), ('grader-b')) m(model)"""))
 def grade_run_events(spark, sf_dir):
     """Every posting graded by every model that can be called, in batches of five."""
-    _, events = grade(postings(spark, sf_dir), GRADERS, REGISTRY, "score these", 1.0, 5)
+    _, events = grade(postings(spark, sf_dir), GRADERS, REGISTRY, "score these", 1.0, 5, carry=("order_id",))
     return events.select("model", "batch_index", "order_id", "emitted_score", "reasoning")

@@ -12,9 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from driftpanel.functions import variants as V
-from driftpanel.functions.binding import bind_all
+from driftpanel.functions.binding import bind, bind_all
 from driftpanel.functions.expected import expected_score_of, parsed_tokens
-from driftpanel.functions.items import strict_items, well_typed
+from driftpanel.functions.items import named_fields, strict_items, well_typed
 from driftpanel.functions.usage import itemised_usage
 
 # Reasons a whole call is lost.
@@ -129,10 +129,29 @@ def candidate_calls(responses: DataFrame) -> DataFrame:
 
 def candidate_items(calls: DataFrame) -> DataFrame:
     keep = [c for c in calls.columns if c not in ("items", "failure", "response")]
-    item = F.col("item")
-    return exploded(calls, keep).select(
+    found = exploded(calls, keep).withColumn("found", named_fields(F.col("item")))
+    return found.select(
         *keep, "pos",
-        V.text_at(item, "$.key").alias("job_key"),
-        V.whole_at(item, "$.score").cast("double").alias("emitted_score"),
-        V.text_at(item, "$.reasoning").alias("reasoning"),
+        V.text_at(F.col("found.key"), "$").alias("job_key"),
+        V.whole_at(F.col("found.score"), "$").cast("double").alias("emitted_score"),
+        V.text_at(F.col("found.reasoning"), "$").alias("reasoning"),
+    )
+
+
+def candidate_answers(responses: DataFrame) -> DataFrame:
+    """Like ``chat_calls``, for the candidates/parts shape: no itemised usage, no logprobs."""
+    calls = candidate_calls(responses)
+    kept = [c for c in calls.columns if c not in ("items", "failure", "total_tokens", "usage_raw")]
+    unknown = F.lit(None).cast("bigint")
+    counts = [unknown.alias(name) for name in (
+        "input_uncached", "cached_read", "cache_write", "output_tokens", "reasoning_tokens")]
+    items = F.transform("items", lambda item: bind(named_fields(item), lambda found: F.struct(
+        F.lit(True).alias("well_formed"), V.text_at(found["key"], "$").alias("job_key"),
+        V.whole_at(found["score"], "$").cast("double").alias("emitted_score"),
+        V.text_at(found["reasoning"], "$").alias("reasoning"), F.to_json(item).alias("raw"),
+        F.lit(None).cast("double").alias("ev_score"),
+    )))
+    return calls.select(
+        *kept, "failure", F.struct(*counts, F.col("total_tokens").alias("total"), F.col("usage_raw").alias("raw")).alias("usage"),
+        F.lit(None).cast("string").alias("logprobs"), items.alias("items"),
     )

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from driftpanel.config import BandTarget, ModelConfig, RunConfig
 from driftpanel.functions.keys import with_identity
-from driftpanel.operators.scoring import from_batches, grade, offline_scorer, screen
+from driftpanel.operators.ledger import read_snapshot, write_snapshot
+from driftpanel.operators.scoring import candidates_route, from_batches, grade, offline_scorer, screen
 from driftpanel.plans import panels
-from driftpanel.plans.runs import grade_run
+from driftpanel.plans.runs import CallsFailed, grade_run
 from driftpanel.streaming.landing import stream_landing, upsert_stream, version_path
 
 # Workers cannot import this file; the scorers below travel with their code.
@@ -142,7 +143,8 @@ def test_pandas_scorer_and_stop_after_failure(spark, postings):
 
     scorer = from_batches(lambda frame: answer(frame, reply))
     outcomes, events = grade(postings.limit(20), MODELS[1:], {"offline": scorer}, "i", 0.0, 4)
-    tried = {(r.model, r.batch_index): (r.outcome, r.error_class, r.scores_parsed) for r in outcomes.collect()}
+    tried = {(r.model, r.batch_index): (r.outcome, r.error_class, r.scores_parsed) for r in outcomes.filter("attempted").collect()}
+    assert sorted((r.model, r.batch_index) for r in outcomes.filter("not attempted").collect()) == [("g1", 3), ("g1", 4)]
     assert sorted(b for m, b in tried if m == "g1") == [0, 1, 2]
     assert tried["g1", 2] == ("failed", "http_5xx", 0)
     assert tried["g2", 1] == ("partial", "", 2) and sorted(b for m, b in tried if m == "g2") == [0, 1, 2, 3, 4]
@@ -179,3 +181,52 @@ def test_landing_stream(spark, tmp_path):
     drain()
     assert spark.read.parquet(version_path(root, 0)).count() == 2
     assert sorted(r.title for r in spark.read.parquet(version_path(root, 1)).collect()) == ["dev", "ops", "qa"]
+
+
+def test_candidates_route_and_failed_calls(spark, postings, tmp_path):
+    def reply(request):
+        parts = json.loads(request)["contents"][0]["parts"]
+        keys = [job["key"] for job in json.loads(parts[1]["text"].split("\n", 1)[1])]
+        return json.dumps({"candidates": [{"content": {"parts": [{"text": json.dumps(
+            [{"key": k, "score": 70, "reasoning": "c"} for k in keys])}]}}], "usageMetadata": {"totalTokenCount": 9}})
+
+    def candidates(frame):
+        return pd.DataFrame({"response": [reply(r) for r in frame.request], "status": None, "error_kind": None})
+
+    def failing(frame):
+        return pd.DataFrame({"response": None, "status": [500] * len(frame), "error_kind": None})
+
+    models = (MODELS[0], replace(MODELS[1], protocol="candidates"), replace(MODELS[2], tpm=0))
+    config = replace(CONFIG, panel_enabled=False, models=models)
+    registry = {**OFFLINE, "candidates": candidates_route(from_batches(candidates))}
+    for _ in range(2):  # a repeated attempt leaves the same tables
+        out = grade_run(spark, config, lambda: postings, no_jobs(spark), registry, NOW, str(tmp_path), "r1")
+        assert {(r.emitted_score, r.reasoning) for r in out["events"].collect()} == {(70.0, "c")}
+        assert [(r.model, r.expected, r.actual, r.failed_calls) for r in out["totals"].collect()] == [("g1", 54, 54, 0)]
+        assert [(r.model, r.reason) for r in out["refused"].collect()] == [("g2", "missing tpm/rpm")]
+        sheet = spark.read.option("header", "true").csv(f"{tmp_path}/export")
+        assert sheet.count() == out["jobs"].select("stablekey").distinct().count()
+    registry["candidates"] = candidates_route(from_batches(failing))
+    with pytest.raises(CallsFailed, match="of 14 calls failed|of 1 calls failed"):
+        grade_run(spark, config, lambda: postings, no_jobs(spark), registry, NOW, str(tmp_path), "r2")
+    assert spark.read.parquet(f"{tmp_path}/batch_outcomes").filter("run_id = 'r2' and outcome = 'failed'").count() > 0
+
+
+def test_a_version_that_is_read_is_not_replaced(spark, tmp_path):
+    rows = spark.range(3)
+    write_snapshot(rows, str(tmp_path / "t"), "a")
+    write_snapshot(rows.limit(2), str(tmp_path / "t"), "a")
+    with pytest.raises(ValueError):
+        write_snapshot(read_snapshot(spark, str(tmp_path / "t"), "a"), str(tmp_path / "t"), "a")
+
+
+def test_a_build_gives_its_own_panel_and_damage_is_an_error(spark, postings, tmp_path):
+    path = str(tmp_path / "panels")
+    panels.build_panel(postings, replace(CONFIG, panel_seed=1), OFFLINE, NOW, path)
+    earlier = panels.load_or_build(
+        spark, replace(CONFIG, panel_seed=2, rebuild_panel=True), lambda: postings, OFFLINE, NOW.replace(hour=2), path)
+    assert {r.panel_id for r in earlier.collect()} == {"panel-2-20260729T020000Z"}
+    broken = str(tmp_path / "broken")
+    spark.range(1).write.parquet(broken)
+    with pytest.raises(PySparkException):
+        panels.load_panel(spark, CONFIG, broken)

@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry_point
 from conftest import SF_DIR
+from driftpanel.queries import ORACLES, QUERIES
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
           "conversations").split()
@@ -19,17 +20,19 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(entry_point.queries()) == set(entry_point.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry_point.queries()) and set(ORACLES) <= set(entry_point.oracle_sql())
+    assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
 
 
 def test_entry(spark):
     assert entry_point.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(entry_point.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    df = entry_point.queries()[name](spark, SF_DIR)
-    cursor = duck.execute(entry_point.oracle_sql()[name])
+    df = QUERIES[name](spark, SF_DIR)
+    cursor = duck.execute(ORACLES[name])
     wanted = [column[0] for column in cursor.description]
     assert sorted(df.columns) == sorted(wanted)
     got = sorted((tuple(row) for row in df.select(*wanted).collect()), key=repr)

@@ -155,3 +155,11 @@ def test_reachable_is_bounded_by_the_panel_not_the_pool(spark):
 def test_default_targets_fill_the_default_panel():
     assert sum(t.target for t in DEFAULT_TARGETS) == 30
     assert {t.band for t in DEFAULT_TARGETS} == {b.name for b in DEFAULT_BANDS}
+
+
+def test_a_large_capped_panel_leaves_the_session_as_it_was(spark):
+    before = dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")
+    pool = [("high", f"c{i}", f"k{i}") for i in range(2500)]
+    drawn = spark_draw(spark, pool, BANDS, (BandTarget("high", 1000, 500),), 2000, 1, 3)
+    assert len({key for key, _, _ in drawn}) == 2000
+    assert before == (dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))

@@ -11,7 +11,7 @@ to classes first. Then by size:
   can't avoid. List by list, a few hubs are compared with all members; lists whose
   members are not yet one group go on with new hubs, taken from the smallest groups,
   eight times as many each round, until every pair is compared or in one group. Pairs that
-  the sets' sizes or parity bits rule out are left aside; the others are compared whole.
+  the sets' sizes, the n-gram's places or parity bits rule out are left aside; the others are compared whole.
 
 The boundary between small and large is the size at which enumeration stops being the
 cheaper of the two for the sizes that occur. How rare an n-gram is, is estimated by
@@ -263,7 +263,7 @@ def ordered(values: np.ndarray, first: np.ndarray, levels: np.ndarray) -> np.nda
 
 
 def lists(n: int, percent: int, small: int, held):
-    """List entries (gram, class) of sets that are large or can link with a large one, each class once per batch."""
+    """List entries (gram, class, size, the gram's place, how frequent the n-grams are) of sets that are large or can link with a large one, each class once per batch."""
 
     def scan(batches: Arrow) -> Arrow:
         levels = held.value
@@ -277,9 +277,11 @@ def lists(n: int, percent: int, small: int, held):
             rows = np.repeat(np.arange(len(size)), size)
             place = np.arange(len(values)) - first[rows]
             take = want[rows] & (place < prefix_size(size, percent)[rows])
+            known = ts.sums(levels[(values >> U(64 - COUNTERS)).astype(np.int64)], first) * 1000 // np.maximum(size, 1)
             rows, grams = rows[take], values[order[take]]
-            yield pa.RecordBatch.from_arrays([pa.array(ts.signed(grams)), pa.array(ts.signed(cls[rows])), pa.array(size[rows])],
-                                             ["gram", "cls", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ts.signed(grams)), pa.array(ts.signed(cls[rows])), pa.array(size[rows]), pa.array(place[take]), pa.array(known[rows])],
+                ["gram", "cls", "n", "place", "known"])
 
     return scan
 
@@ -384,12 +386,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def merged(texts: DataFrame, entries: DataFrame, parity: DataFrame, links: DataFrame, n: int, percent: int) -> DataFrame:
-    """Groups (node, root) of the links and of those found in the lists. entries has (gram, cls, n), parity (cls, n, bits)."""
+    """Groups (node, root) of the links and of those found in the lists. entries has (gram, cls, n, place, known), parity (cls, n, bits)."""
     spark = texts.sparkSession
     # Lists of one member are left out.
     own = Window.partitionBy("gram")
     members = (entries.withColumn("lo", F.min("cls").over(own)).withColumn("hi", F.max("cls").over(own))
-               .filter("lo <> hi").select("gram", "cls", "n").distinct())
+               .filter("lo <> hi").select("gram", "cls", "n", "place", "known").distinct())
     members = stored(members, "list-members")
     groups = components(links)
     done = spark.createDataFrame([], "a long, b long")
@@ -402,12 +404,16 @@ def merged(texts: DataFrame, entries: DataFrame, parity: DataFrame, links: DataF
         now = stored(now.join(open_lists, "gram"), "open-lists")
         if now.isEmpty():
             return groups
-        # Hubs: members not yet compared with all others, of the groups with fewest members in the list.
+        # Hubs: members not yet compared with all others, of the groups with fewest members in the list; of these the
+        # ones of the most frequent n-grams, as what copies were made from has nothing of its own.
         weight = now.filter("not hub").groupBy("gram", "root").agg(F.count("*").alias("weight"))
-        rank = F.row_number().over(Window.partitionBy("gram").orderBy("weight", "cls"))
+        rank = F.row_number().over(Window.partitionBy("gram").orderBy("weight", F.desc("known"), "cls"))
         chosen = stored(now.filter("not hub").join(weight, ["gram", "root"]).withColumn("rank", rank).filter(F.col("rank") <= hubs)
-                        .select("gram", F.col("cls").alias("h"), F.col("n").alias("hn"), F.col("root").alias("hroot")), "hubs")
-        fits = (100 * F.least("n", "hn") >= percent * F.greatest("n", "hn")) & (F.col("root") != F.col("hroot"))
+                        .select("gram", F.col("cls").alias("h"), F.col("n").alias("hn"), F.col("place").alias("hplace"), F.col("root").alias("hroot")), "hubs")
+        # In the list of a pair's first common n-gram, what follows must hold the whole intersection.
+        follows = F.least(F.col("n") - F.col("place"), F.col("hn") - F.col("hplace"))
+        fits = ((100 * F.least("n", "hn") >= percent * F.greatest("n", "hn")) & (F.col("root") != F.col("hroot"))
+                & ((100 + percent) * follows >= percent * (F.col("n") + F.col("hn"))))
         # Earlier hubs have met the whole list.
         met = (now.filter("not hub").join(chosen, "gram").filter(fits)
                .select(F.least("cls", "h").alias("a"), F.greatest("cls", "h").alias("b")).distinct()
@@ -426,8 +432,8 @@ def merged(texts: DataFrame, entries: DataFrame, parity: DataFrame, links: DataF
         groups = components(groups.toDF("a", "b").union(judged.filter("link").select("a", "b")))
         done = done.union(judged.filter("not link").select("a", "b"))
         used = chosen.select("gram", F.col("h").alias("cls"), F.lit(True).alias("used"))
-        left = (now.select("gram", "cls", "n", "hub").join(used, ["gram", "cls"], "left")
-                .select("gram", "cls", "n", (F.col("hub") | F.coalesce("used", F.lit(False))).alias("hub")))
+        left = (now.select("gram", "cls", "n", "place", "known", "hub").join(used, ["gram", "cls"], "left")
+                .select("gram", "cls", "n", "place", "known", (F.col("hub") | F.coalesce("used", F.lit(False))).alias("hub")))
         hubs *= ROUND
 
 
@@ -451,7 +457,7 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     hub = hub.filter("hub is not null and lo <> hi").select("key", "hub")
     small_links = by_key.join(hub, "key").filter("cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct()
 
-    entries = whole.mapInArrow(lists(n, percent, small, held), "gram long, cls long, n long")
+    entries = whole.mapInArrow(lists(n, percent, small, held), "gram long, cls long, n long, place long, known long")
     parity = stored(found.filter("chunk is null and n > 0").groupBy("cls").agg(F.max("n").alias("n"), F.max("bits").alias("bits")), "parities")
     groups = merged(whole, entries, parity, small_links, n, percent)
     grouped = sets.join(groups, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls"))

@@ -54,15 +54,14 @@ def landing(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(doc % 3 == 1, F.to_json(F.struct(F.array(ashby).alias("jobs"))))
         .otherwise(F.to_json(F.array(lever)))
     )
-    whole = docs.select(
+    # Payloads that broke off on the way arrive beside the whole ones.
+    arrived = F.when(doc % 13 == 0, F.array(payload, F.substring(payload, 1, 60))).otherwise(F.array(payload))
+    return docs.select(
         "doc_id",
         F.element_at(F.array(F.lit("greenhouse"), F.lit("ashby"), F.lit("lever")), (doc % 3 + 1).cast("int"))
         .alias("provider"),
-        "company", payload.alias("payload"),
+        "company", F.explode_outer(arrived).alias("payload"),
     )
-    # Payloads that broke off on the way arrive beside the whole ones.
-    broken = whole.filter(doc % 13 == 0).withColumn("payload", F.substring("payload", 1, 60))
-    return whole.union(broken)
 
 
 DECODED_SQL = f"""

@@ -37,7 +37,7 @@ SHARPNESS = 1.0  # weight of a piece: (rank + RANK_SHIFT) ** -SHARPNESS
 RANK_SHIFT = 10.0
 LONG = 64  # bytes; longer segments are filtered on their own
 FEW = 8  # segments so few are sampled one by one
-STEP = 4 << 20
+STEP = 2 << 20
 U = np.uint64
 Arrow = Iterator[pa.RecordBatch]
 

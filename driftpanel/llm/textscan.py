@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-STEP = 4 << 20  # bytes of text looked at together
+STEP = 2 << 20  # bytes of text looked at together
 
 
 def mix(x: np.ndarray) -> np.ndarray:

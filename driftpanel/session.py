@@ -16,6 +16,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Duplicate JSON keys are legal input: the last one counts.
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # Rows reach Python in small batches: texts and requests are long.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     # A run rewrites only its own partitions.
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }

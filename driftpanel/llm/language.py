@@ -1,7 +1,7 @@
 """Language identification by fusing evidence.
 
 A text's likelihood comes from byte trigrams counted per declared language in a bounded
-sample of declared rows (SAMPLE, those of the least id hashes). What declarations are
+sample of declared rows (SAMPLE different ones, those of the least hashes). What declarations are
 worth, P(declared | language), how languages divide on an address suffix, and each
 host's prior, smoothed towards its domain's and that towards all rows', are grouped
 aggregates over all rows, counting what the text alone says. The posterior is their
@@ -88,7 +88,10 @@ def shares(log: np.ndarray) -> np.ndarray:
 
 def fitted(rows: DataFrame) -> Model:
     """rows has (id, text, declared)."""
-    sample = rows.filter("declared is not null").orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(SAMPLE)
+    tagged = rows.filter("declared is not null").select(F.xxhash64("id", "text").alias("h"), "declared", "text")
+    # Only hashes meet in one task; the texts stay where they are.
+    most = tagged.select("h").distinct().orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
+    sample = tagged.filter(F.col("h") <= F.lit(most)).groupBy("h").agg(F.min("declared").alias("declared"), F.min("text").alias("text"))
 
     def count(batches: Arrow) -> Arrow:
         for batch in ts.slices(batches, "text"):

@@ -10,7 +10,7 @@ to classes first. Then by size:
 * Large sets: inverted lists over the rarest n-grams of each set, as many as a partner
   can't avoid. List by list, a few hubs are compared with all members; lists whose
   members are not yet one group go on with new hubs, taken from the smallest groups,
-  eight times as many each round, until every pair is compared or in one group. Pairs that
+  64 times as many each round, until every pair is compared or in one group. Pairs that
   the sets' sizes, the n-gram's places or parity bits rule out are left aside; the others are compared whole.
 
 The boundary between small and large is the size at which enumeration stops being the
@@ -43,7 +43,7 @@ CHUNK = 16  # bits of the counters sent together
 BITS = 1024  # places of a set's parities
 HISTOGRAM = 200
 MOST_SUBSETS = 2000  # a set with more is never small
-HUBS, ROUND = 3, 8  # hubs of the first round, and how many times as many each next one has
+HUBS, ROUND = 3, 64  # hubs of the first round, and how many times as many each next one has
 Arrow = Iterator[pa.RecordBatch]
 
 
@@ -130,91 +130,6 @@ def boundary(sizes: dict[int, int], percent: int) -> int:
     return best
 
 
-SETS = 2000  # of one set, whatever the cost
-ROUND = 4
-Arrow = Iterator[pa.RecordBatch]
-
-
-def gram_sets(text: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-gram hashes, sorted by row and hash; and each row's first."""
-    found = ts.words(*ts.utf8(text), ts.SPACED)
-    rows, counts = found.rows, found.counts
-    at = ts.gram_starts(found.first, n)
-    row, value = [rows[at]], [ts.gram_hashes(found.hashes, at, n)]
-    for size in range(1, n):  # the whole of a shorter text
-        few = np.flatnonzero(counts == size)
-        row.append(few)
-        value.append(ts.gram_hashes(found.hashes, found.first[few], size))
-    row, value = ts.distinct_sets(np.concatenate(row), np.concatenate(value))
-    return value, np.searchsorted(row, np.arange(len(counts) + 1))
-
-
-def set_hash(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Of each row's set."""
-    return ts.mix(segment_sums(ts.mix(values ^ U(0xC2B2AE3D27D4EB4F)), first) + np.diff(first).astype(U))
-
-
-def segment_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    run = np.zeros(len(values) + 1, U)
-    np.cumsum(values, out=run[1:])
-    return run[first[1:]] - run[first[:-1]]
-
-
-def parities(values: np.ndarray, first: np.ndarray) -> pa.Array:
-    """Of each row's set, whether an odd number of its n-grams falls on each of BITS places.
-
-    Two sets differ in at least as many n-grams as their parities differ in places.
-    """
-    size, out = len(first) - 1, []
-    rows = np.repeat(np.arange(size), np.diff(first))
-    place = (values & U(BITS - 1)).astype(np.int64)
-    for begin in range(0, size, 2000):
-        end = min(begin + 2000, size)
-        at = slice(first[begin], first[end])
-        counts = np.bincount((rows[at] - begin) * BITS + place[at], minlength=(end - begin) * BITS)
-        out += [x.tobytes() for x in np.packbits((counts & 1).astype(np.uint8).reshape(-1, BITS), axis=1)]
-    return pa.array(out, pa.binary())
-
-
-def needed(s: int, t: int, percent: int) -> int:
-    """The least intersection with which sizes s and t link."""
-    return -(-percent * (s + t) // (100 + percent))
-
-
-def partners(s: int, percent: int) -> range:
-    """Sizes not below s that can link with s."""
-    return range(s, 100 * s // percent + 1)
-
-
-def subsets(s: int, percent: int) -> int:
-    """Keys that a set of size s emits."""
-    total = sum(math.comb(s, needed(s, t, percent)) for t in partners(s, percent))
-    for r in range(-(-percent * s // 100), s):
-        if r > 0 and s in partners(r, percent):
-            total += math.comb(s, needed(r, s, percent))
-    return total
-
-
-def prefix_size(s: np.ndarray, percent: int) -> np.ndarray:
-    """So many of a set's n-grams that a partner shares one of them, in any order."""
-    return s - -(-s * percent // 100) + 1
-
-
-def boundary(sizes: dict[int, int], percent: int) -> int:
-    """The largest size that is enumerated: up to it, all keys together cost less than lists do."""
-    best = 0
-    for s in range(1, 200):
-        if subsets(s, percent) > MOST_SUBSETS:
-            break
-        # A list entry is sent, sorted, and its pair's two sets compared.
-        lists = int(prefix_size(np.array([s]), percent)[0]) + 2 * s
-        if subsets(s, percent) <= 4 * lists or not sizes.get(s):
-            best = s
-        else:
-            break
-    return best
-
-
 SETS = "id long, row long, n long, cls long, bits binary, chunk int, counters binary"
 SET_NAMES = [x.split()[0] for x in SETS.split(", ")]
 

@@ -1,10 +1,10 @@
 """Licence scans with a positional index of rare licence words.
 
-The words of the licence texts below that at most `RARE` of all files hold are the
-index, with their places in the texts. A file is looked up by its rarest licence words
-(highest IDF, over all files); where several of them stand at the same distance from
-their places in one licence text, that text is a candidate, and its mandatory phrases
-must stand in the file. The index is as large as the texts below, whatever the corpus.
+The words of the licence texts below are the index, with their places in the texts,
+however many files hold them. A file is looked up by its rarest licence words (highest
+IDF, over all files); where several of them stand at the same distance from their places
+in one licence text, that text is a candidate, and its mandatory phrases must stand in
+the file. The index is as large as the texts below, whatever the corpus.
 
 Column expressions only; one pass counts the files that hold each licence word, a
 second scans. Null and empty texts have no words and no labels. Rows don't meet beyond
@@ -72,7 +72,6 @@ TEXTS = (
 )
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-RARE = 0.2  # share of files that may hold a word of the index
 PICKED = 48  # rarest licence words of a file that are looked up
 VOTES = 3  # of them must agree on a place
 VOCABULARY = sorted({w for _, text, _ in TEXTS for w in text.split()})
@@ -97,22 +96,20 @@ def stand_at(words: Column, phrase: str) -> Column:
         F.array().cast("array<int>"))
 
 
-def rare_words(words: DataFrame) -> dict[str, int]:
-    """Licence words in at most RARE of the files, with the number of files; as many as the texts above have at most."""
+def files_of(words: DataFrame) -> dict[str, int]:
+    """How many files hold each licence word."""
     listed = F.array(*[F.lit(w) for w in VOCABULARY])
-    held = words.select(F.explode_outer(F.array_intersect("words", listed)).alias("word"))
-    counts = words.groupBy().agg(F.count("*").alias("files")).first()["files"]
-    found = {r["word"]: r["count"] for r in held.filter("word is not null").groupBy("word").count().collect()}
-    return {w: found.get(w, 0) for w in VOCABULARY if found.get(w, 0) <= RARE * counts}
+    held = words.select(F.explode(F.array_intersect("words", listed)).alias("word"))
+    found = {r["word"]: r["count"] for r in held.groupBy("word").count().collect()}
+    return {w: found.get(w, 0) for w in VOCABULARY}
 
 
-def index_of(rare: dict[str, int]) -> dict[str, list[tuple[int, int]]]:
+def index_of() -> dict[str, list[tuple[int, int]]]:
     """word -> (text, place) of its places in the licence texts."""
     index: dict[str, list[tuple[int, int]]] = {}
     for t, (_, text, _) in enumerate(TEXTS):
         for place, word in enumerate(text.split()):
-            if word in rare:
-                index.setdefault(word, []).append((t, place))
+            index.setdefault(word, []).append((t, place))
     return index
 
 
@@ -120,46 +117,43 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """Per row: n_words, places (of the phrases), base_labels, text_labels, score."""
     prepared(docs.sparkSession)
     named = only(docs, doc_id=doc_id, text=text).select("doc_id", words_of(F.col("text")).alias("words"))
-    rare = rare_words(named)
-    index = index_of(rare)
-    order = sorted(index, key=lambda w: (rare[w], w))  # highest IDF first
+    files = files_of(named)
+    index = index_of()
+    order = sorted(index, key=lambda w: (files[w], w))  # highest IDF first
 
     places = [stand_at(F.col("words"), phrase) for phrase, _ in PHRASES]
     seen = named.select("doc_id", "words", F.array(*places).alias("by_phrase"))
     # Candidates: (text, begin) on which enough different picked words agree.
-    if order:
-        postings = F.create_map(*[x for w in order for x in (F.lit(w), F.array(*[
-            F.struct(F.lit(t).alias("text"), F.lit(p).alias("place")) for t, p in index[w]]))])
-        picked = F.slice(F.array_intersect(F.array(*[F.lit(w) for w in order]), F.col("words")), 1, PICKED)
-        seen = seen.withColumn("picked", picked)
-        at = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.array_contains(F.col("picked"), F.get(F.col("words"), i)))
-        votes = F.flatten(F.transform(at, lambda i: F.transform(
-            F.element_at(postings, F.get(F.col("words"), i)), lambda p: F.struct(p["text"].alias("text"), (i - p["place"]).alias("begin")))))
-        # A word stands once at each distance, so equal votes are of different words or of a
-        # word's several places; runs of the sorted votes are counted in one go.
-        start = F.struct(F.lit(-1).alias("text"), F.lit(0).alias("begin"), F.lit(0).alias("n"),
-                         F.array().cast("array<struct<text:int,n:int>>").alias("done"))
-
-        def step(a: Column, v: Column) -> Column:
-            same = (a["text"] == v["text"]) & (a["begin"] == v["begin"])
-            closed = F.when(a["n"] >= VOTES, F.array_union(a["done"], F.array(F.struct(a["text"].alias("text"), a["n"].alias("n"))))).otherwise(a["done"])
-            return F.struct(v["text"].alias("text"), v["begin"].alias("begin"), F.when(same, a["n"] + 1).otherwise(1).alias("n"),
-                            F.when(same, a["done"]).otherwise(closed).alias("done"))
-
-        last = F.struct(F.lit(-1).alias("text"), F.lit(0).alias("begin"))
-        ended = F.concat(F.array_sort(votes), F.array(last))
-        found = F.when(F.size("picked") >= VOTES, F.aggregate(ended, start, step, lambda a: a["done"])).otherwise(
-            F.array().cast("array<struct<text:int,n:int>>"))
-        texts = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(min(PICKED, sum(w in rare for w in text.split()))).alias("most"),
-                                   F.lit([f" {p} " for p in must]).alias("must")) for label, text, must in TEXTS])
-        spaced = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
-        verified = bind(spaced, lambda s: F.filter("found", lambda c: F.forall(
-            F.get(texts, c["text"])["must"], lambda p: F.contains(s, p))))
-        seen = seen.withColumn("found", found).withColumn("found", F.when(F.size("found") > 0, verified).otherwise(F.col("found")))
-        labels = F.transform("found", lambda c: F.get(texts, c["text"])["label"])
-        share = F.array_max(F.transform("found", lambda c: F.least(F.lit(1.0), c["n"] / F.get(texts, c["text"])["most"])))
-    else:
-        labels, share = F.array().cast("array<string>"), F.lit(None).cast("double")
+    postings = F.create_map(*[x for w in order for x in (F.lit(w), F.array(*[
+        F.struct(F.lit(t).alias("text"), F.lit(p).alias("place")) for t, p in index[w]]))])
+    picked = F.slice(F.array_intersect(F.array(*[F.lit(w) for w in order]), F.col("words")), 1, PICKED)
+    seen = seen.withColumn("picked", picked)
+    at = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.array_contains(F.col("picked"), F.get(F.col("words"), i)))
+    votes = F.flatten(F.transform(at, lambda i: F.transform(
+        F.element_at(postings, F.get(F.col("words"), i)), lambda p: F.struct(p["text"].alias("text"), (i - p["place"]).alias("begin")))))
+    # A word stands once at each distance, so equal votes are of different words or of a
+    # word's several places; runs of the sorted votes are counted in one go.
+    start = F.struct(F.lit(-1).alias("text"), F.lit(0).alias("begin"), F.lit(0).alias("n"),
+                     F.array().cast("array<struct<text:int,n:int>>").alias("done"))
+
+    def step(a: Column, v: Column) -> Column:
+        same = (a["text"] == v["text"]) & (a["begin"] == v["begin"])
+        closed = F.when(a["n"] >= VOTES, F.array_union(a["done"], F.array(F.struct(a["text"].alias("text"), a["n"].alias("n"))))).otherwise(a["done"])
+        return F.struct(v["text"].alias("text"), v["begin"].alias("begin"), F.when(same, a["n"] + 1).otherwise(1).alias("n"),
+                        F.when(same, a["done"]).otherwise(closed).alias("done"))
+
+    last = F.struct(F.lit(-1).alias("text"), F.lit(0).alias("begin"))
+    ended = F.concat(F.array_sort(votes), F.array(last))
+    found = F.when(F.size("picked") >= VOTES, F.aggregate(ended, start, step, lambda a: a["done"])).otherwise(
+        F.array().cast("array<struct<text:int,n:int>>"))
+    texts = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(min(PICKED, len(text.split()))).alias("most"),
+                               F.lit([f" {p} " for p in must]).alias("must")) for label, text, must in TEXTS])
+    spaced = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
+    verified = bind(spaced, lambda s: F.filter("found", lambda c: F.forall(
+        F.get(texts, c["text"])["must"], lambda p: F.contains(s, p))))
+    seen = seen.withColumn("found", found).withColumn("found", F.when(F.size("found") > 0, verified).otherwise(F.col("found")))
+    labels = F.transform("found", lambda c: F.get(texts, c["text"])["label"])
+    share = F.array_max(F.transform("found", lambda c: F.least(F.lit(1.0), c["n"] / F.get(texts, c["text"])["most"])))
     base_labels = F.filter(F.array(*[F.when(F.size(F.get("by_phrase", F.lit(k))) > 0, F.lit(label)) for k, (_, label) in enumerate(PHRASES)]),
                            lambda x: x.isNotNull())
     every = F.flatten("by_phrase")

@@ -547,3 +547,12 @@ def test_licences(spark, empty):
     assert found[3]["labels"] == "mit-text" and found[4]["labels"] == "" and found[5]["labels"] == "isc-text,mit-text"
     assert found[9]["labels"] == "" and found[6]["score"] == 0
     assert licenses.scan_licenses(empty).count() == 0
+
+
+def test_licences_that_most_files_hold(spark):
+    mit = licenses.TEXTS[0][1]
+    docs = spark.createDataFrame([(i, f"{mit} file {i}" if i % 4 else "nothing") for i in range(12)], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in licenses.digest(licenses.scan_licenses(docs)).collect()}
+    assert all(found[i]["labels"] == ("mit-text" if i % 4 else "") for i in range(12))
+    # What stands beside a file doesn't change its labels.
+    assert licenses.digest(licenses.scan_licenses(docs.filter("doc_id = 1"))).first()["labels"] == "mit-text"

@@ -1,10 +1,11 @@
 """Licence scans with a positional index of rare licence words.
 
 The words of the licence texts below are the index, with their places in the texts,
-however many files hold them. A file is looked up by its rarest licence words (highest
-IDF, over all files); where several of them stand at the same distance from their places
-in one licence text, that text is a candidate, and its mandatory phrases must stand in
-the file. The index is as large as the texts below, whatever the corpus.
+however many files hold them. A licence text is looked for where the rarest word (highest
+IDF, over all files) of its mandatory phrases stands, as no file has the phrases without
+it; the phrases must stand in the file. Then all of the file's licence words vote: several
+of them must stand at the same distance from their places in the text. The index is as
+large as the texts below, whatever the corpus.
 
 Column expressions only; one pass counts the files that hold each licence word, a
 second scans. Null and empty texts have no words and no labels. Rows don't meet beyond
@@ -72,8 +73,7 @@ TEXTS = (
 )
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-PICKED = 48  # rarest licence words of a file that are looked up
-VOTES = 3  # of them must agree on a place
+VOTES = 3  # words that must agree on a place
 VOCABULARY = sorted({w for _, text, _ in TEXTS for w in text.split()})
 
 
@@ -119,18 +119,28 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     named = only(docs, doc_id=doc_id, text=text).select("doc_id", words_of(F.col("text")).alias("words"))
     files = files_of(named)
     index = index_of()
-    order = sorted(index, key=lambda w: (files[w], w))  # highest IDF first
+    # The word of each text's mandatory phrases with the highest IDF.
+    rarest = [min(" ".join(must).split(), key=lambda w: (files[w], w)) for _, _, must in TEXTS]
 
     places = [stand_at(F.col("words"), phrase) for phrase, _ in PHRASES]
     seen = named.select("doc_id", "words", F.array(*places).alias("by_phrase"))
-    # Candidates: (text, begin) on which enough different picked words agree.
-    postings = F.create_map(*[x for w in order for x in (F.lit(w), F.array(*[
+    # Texts whose rarest word and then mandatory phrases stand in the file.
+    texts = F.array(*[F.struct(F.lit(t).alias("text"), F.lit(label).alias("label"), F.lit(word).alias("rarest"), F.lit(len(text.split())).alias("most"),
+                               F.lit([f" {p} " for p in must]).alias("must")) for t, ((label, text, must), word) in enumerate(zip(TEXTS, rarest, strict=True))])
+    seen = seen.withColumn("picked", F.array_intersect(F.array(*[F.lit(w) for w in sorted(set(rarest))]), F.col("words")))
+    spaced = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
+    verified = bind(spaced, lambda s: F.transform(F.filter(texts, lambda t: F.array_contains(F.col("picked"), t["rarest"]) & F.forall(
+        t["must"], lambda p: F.contains(s, p))), lambda t: t["text"]))
+    none = F.array().cast("array<int>")
+    seen = seen.withColumn("verified", F.when(F.size("picked") > 0, verified).otherwise(none))
+    # Of these, (text, begin) on which enough words agree.
+    listed = F.array(*[F.lit(w) for w in VOCABULARY])
+    postings = F.create_map(*[x for w in VOCABULARY for x in (F.lit(w), F.array(*[
         F.struct(F.lit(t).alias("text"), F.lit(p).alias("place")) for t, p in index[w]]))])
-    picked = F.slice(F.array_intersect(F.array(*[F.lit(w) for w in order]), F.col("words")), 1, PICKED)
-    seen = seen.withColumn("picked", picked)
-    at = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.array_contains(F.col("picked"), F.get(F.col("words"), i)))
+    at = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.array_contains(listed, F.get(F.col("words"), i)))
     votes = F.flatten(F.transform(at, lambda i: F.transform(
-        F.element_at(postings, F.get(F.col("words"), i)), lambda p: F.struct(p["text"].alias("text"), (i - p["place"]).alias("begin")))))
+        F.filter(F.element_at(postings, F.get(F.col("words"), i)), lambda p: F.array_contains(F.col("verified"), p["text"])),
+        lambda p: F.struct(p["text"].alias("text"), (i - p["place"]).alias("begin")))))
     # A word stands once at each distance, so equal votes are of different words or of a
     # word's several places; runs of the sorted votes are counted in one go.
     start = F.struct(F.lit(-1).alias("text"), F.lit(0).alias("begin"), F.lit(0).alias("n"),
@@ -144,14 +154,9 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
     last = F.struct(F.lit(-1).alias("text"), F.lit(0).alias("begin"))
     ended = F.concat(F.array_sort(votes), F.array(last))
-    found = F.when(F.size("picked") >= VOTES, F.aggregate(ended, start, step, lambda a: a["done"])).otherwise(
+    found = F.when(F.size("verified") > 0, F.aggregate(ended, start, step, lambda a: a["done"])).otherwise(
         F.array().cast("array<struct<text:int,n:int>>"))
-    texts = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(min(PICKED, len(text.split()))).alias("most"),
-                               F.lit([f" {p} " for p in must]).alias("must")) for label, text, must in TEXTS])
-    spaced = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
-    verified = bind(spaced, lambda s: F.filter("found", lambda c: F.forall(
-        F.get(texts, c["text"])["must"], lambda p: F.contains(s, p))))
-    seen = seen.withColumn("found", found).withColumn("found", F.when(F.size("found") > 0, verified).otherwise(F.col("found")))
+    seen = seen.withColumn("found", found)
     labels = F.transform("found", lambda c: F.get(texts, c["text"])["label"])
     share = F.array_max(F.transform("found", lambda c: F.least(F.lit(1.0), c["n"] / F.get(texts, c["text"])["most"])))
     base_labels = F.filter(F.array(*[F.when(F.size(F.get("by_phrase", F.lit(k))) > 0, F.lit(label)) for k, (_, label) in enumerate(PHRASES)]),

@@ -556,3 +556,13 @@ def test_licences_that_most_files_hold(spark):
     assert all(found[i]["labels"] == ("mit-text" if i % 4 else "") for i in range(12))
     # What stands beside a file doesn't change its labels.
     assert licenses.digest(licenses.scan_licenses(docs.filter("doc_id = 1"))).first()["labels"] == "mit-text"
+
+
+def test_all_licences_of_a_file(spark):
+    notices = "\n\n".join(text for _, text, _ in licenses.TEXTS)
+    texts = [notices, *["released under the mit license"] * 30, *[f"filler text number {i}" for i in range(30)]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r for r in licenses.digest(licenses.scan_licenses(docs)).collect()}
+    labels = sorted({label for label, _, _ in licenses.TEXTS} | {"mit", "apache-2"})
+    assert found[0]["labels"] == ",".join(labels)
+    assert found[1]["labels"] == "mit,mit-notice" and found[40]["labels"] == ""

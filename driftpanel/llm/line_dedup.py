@@ -1,9 +1,11 @@
 r"""Line deduplication over a deletion neighbourhood.
 
-Lines (\n-split) of at least LEAST_WORDS words are compared by their words, lower-cased;
-shorter ones stay as they are. A line goes if an earlier one, by document id and place,
-equals it or is one word's insertion, deletion or substitution away. Lines with the same
-id and place are not earlier than each other; null ids come last.
+Lines (\n-split) are compared by their words, lower-cased. A line of `equal_from` or more
+words goes if an earlier one, by document id and place, equals it: 1 compares every line
+with a word. A line of at least LEAST_WORDS words also goes if an earlier one as long is one
+word's insertion, deletion or substitution away; of shorter lines a word is too large a
+part for that. Lines with the same id and place are not earlier than each other; null
+ids come last.
 
 Equal lines are folded first. Of the distinct ones, those that share half of their
 words with no other can't be near another and are left aside: two lines within one edit
@@ -30,7 +32,7 @@ from driftpanel.llm.bitmap import bitmap, may_hold
 from driftpanel.llm.common import prepared, stored
 from driftpanel.operators.ordering import position_overall
 
-LEAST_WORDS = 8
+LEAST_WORDS = 8  # of lines that are compared for one edit
 U = np.uint64
 LAST = (1 << 63) - 1  # where null ids sort
 Arrow = Iterator[pa.RecordBatch]
@@ -56,19 +58,23 @@ class Lines:
 PLACES = "id long, row long, line int, hash long, keys array<long>"
 
 
-def places(batches: Arrow) -> Arrow:
-    """Every line with the keys of its halves."""
-    for batch in ts.slices(batches, "text"):
-        x = Lines(batch.column("text"))
-        half, less = x.size // 2, (x.size - 1) // 2
-        keys = np.stack([x.words.of(x.first, x.first + half), ~x.words.of(x.last - half, x.last),
-                         x.words.of(x.first, x.first + less), ~x.words.of(x.last - less, x.last)], axis=1)
-        n = np.where(half == less, 2, 4)
-        flat = keys.ravel()[(np.arange(4)[None, :] < n[:, None]).ravel()]
-        at = pa.array(x.row)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("id").take(at), batch.column("row").take(at), pa.array(x.number.astype(np.int32)), pa.array(ts.signed(x.hash)),
-             ts.list_column(ts.signed(flat), np.concatenate([[0], np.cumsum(n)]))], ["id", "row", "line", "hash", "keys"])
+def places(equal_from: int):
+    """Every line; the ones compared for one edit have the keys of their halves."""
+
+    def scan(batches: Arrow) -> Arrow:
+        for batch in ts.slices(batches, "text"):
+            x = Lines(batch.column("text"), equal_from)
+            half, less = x.size // 2, (x.size - 1) // 2
+            keys = np.stack([x.words.of(x.first, x.first + half), ~x.words.of(x.last - half, x.last),
+                             x.words.of(x.first, x.first + less), ~x.words.of(x.last - less, x.last)], axis=1)
+            n = np.where(x.size < LEAST_WORDS, 0, np.where(half == less, 2, 4))
+            flat = keys.ravel()[(np.arange(4)[None, :] < n[:, None]).ravel()]
+            at = pa.array(x.row)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").take(at), batch.column("row").take(at), pa.array(x.number.astype(np.int32)), pa.array(ts.signed(x.hash)),
+                 ts.list_column(ts.signed(flat), np.concatenate([[0], np.cumsum(n)]))], ["id", "row", "line", "hash", "keys"])
+
+    return scan
 
 
 def texts_of(held):
@@ -163,13 +169,14 @@ def near_lines(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return stored(pairs.select("hash", "text", "earlier_text").mapInArrow(verified, "hash long").distinct(), "near-lines")
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: Column | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: Column | None = None,
+                equal_from: int = LEAST_WORDS) -> DataFrame:
     """Per row: id, text without the lines that go, n_lines (compared ones), n_equal and n_near (gone as equal
     to or one edit from an earlier line); `carry` travels along as it is."""
     prepared(docs.sparkSession)
     rows = docs.select(docs[doc_id].cast("long").alias("id"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("row"),
                        (carry if carry is not None else F.lit(None).cast("int")).alias("carry"))
-    found = stored(rows.select("id", "row", "text").mapInArrow(places, PLACES), "line-places")
+    found = stored(rows.select("id", "row", "text").mapInArrow(places(equal_from), PLACES), "line-places")
     place = F.struct(F.coalesce("id", F.lit(LAST)).alias("id"), "line", "row").alias("place")
     classes = stored(found.select("hash", place, "keys").groupBy("hash").agg(F.min("place").alias("place"), F.first("keys").alias("keys")), "line-classes")
     near = near_lines(rows, classes)

@@ -70,7 +70,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dedup_lines(table(spark, sf_dir, "documents"))
+    found = dedup_lines(table(spark, sf_dir, "documents"), equal_from=1)
     return found.select(F.col("id").alias("doc_id"), "n_lines", "n_equal", "n_near", F.sha2("text", 256).alias("text_sha256"))
 
 

@@ -1,5 +1,7 @@
 """The pipeline's stages in a row, and every text query against its SQL."""
 
+import hashlib
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -62,3 +64,11 @@ def test_stages_of_nothing(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF_DIR).count() > 100
+
+
+def test_short_lines_are_compared(spark, tmp_path):
+    texts = ["Share this on Facebook\nfirst", "own line\nshare THIS on facebook", "First\n\nAll rights reserved", "all rights reserved", "share this on facebook now"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r for r in QUERIES["op3_line_dedup"](spark, str(tmp_path)).collect()}
+    assert [(found[i]["n_lines"], found[i]["n_equal"], found[i]["n_near"]) for i in range(5)] == [(2, 0, 0), (2, 1, 0), (2, 1, 0), (1, 1, 0), (1, 0, 0)]
+    assert found[1]["text_sha256"] == hashlib.sha256(b"own line").hexdigest()

@@ -32,12 +32,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that stood before, in any document, or nearly so.
 
-    A document all of whose compared lines go is a copy, and goes with them. `n_chars`
-    follows the text.
+    Every line with a word is compared. A document goes when lines of it go and no word is
+    left in the others; so does one whose whole text equals an earlier one. `n_chars` follows
+    the text.
     """
-    found = dedup_lines(docs, carry=whole(docs))
+    found = dedup_lines(docs, carry=whole(docs), equal_from=1)
     gone = F.col("n_equal") + F.col("n_near")
-    left = found.filter((F.col("n_lines") == 0) | (gone < F.col("n_lines")))
+    left = found.filter((gone == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     changed = {"text": F.col("text"), "n_chars": F.when(gone > 0, F.length("text").cast("long")).otherwise(F.col("carry.n_chars"))}
     return left.select(*[changed.get(c, F.col(f"carry.`{c}`")).alias(c) for c in docs.columns])
 

@@ -72,3 +72,13 @@ def test_short_lines_are_compared(spark, tmp_path):
     found = {r["doc_id"]: r for r in QUERIES["op3_line_dedup"](spark, str(tmp_path)).collect()}
     assert [(found[i]["n_lines"], found[i]["n_equal"], found[i]["n_near"]) for i in range(5)] == [(2, 0, 0), (2, 1, 0), (2, 1, 0), (1, 1, 0), (1, 0, 0)]
     assert found[1]["text_sha256"] == hashlib.sha256(b"own line").hexdigest()
+
+
+def test_documents_with_other_text_stay(spark):
+    shared = "one two three four five six seven eight nine ten eleven twelve"
+    verse = "\n".join(f"short line {i}" for i in range(200))
+    texts = [f"{shared}\nthe first", f"{shared}\n{verse}", f"{shared}\n{verse}", shared, None, " \n"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    found = {r["doc_id"]: r for r in corpus_pipeline.line_dedup(spark, docs, SF_DIR).collect()}
+    assert {i: r["text"] for i, r in found.items()} == {0: texts[0], 1: verse, 4: None, 5: " \n"}
+    assert found[1]["n_chars"] == len(verse)

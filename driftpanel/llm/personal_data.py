@@ -4,7 +4,8 @@ Column expressions only. A span's place is the sum of the lengths of what stands
 it, taken from the text split at the matches. The patterns are written so that no text,
 however long, is scanned more than a few times: possessive loops, and a start only at the
 first character of a run or where the last match ended, as the rest of a run can't match
-when its beginning doesn't.
+when its beginning doesn't. Words nearby are those of the NEAR characters before and after
+a span, whatever else was found in them.
 
 Null and empty texts have no spans. Rows don't meet, so repeated rows give repeated
 results; other columns are not looked at.
@@ -22,7 +23,7 @@ from driftpanel.functions.binding import bind
 from driftpanel.llm.common import only, prepared, sha256_of
 
 BLOCK = 256  # matches summed together, for linear work on texts with very many
-NEAR = 48  # characters before a span that are looked at for context words
+NEAR = 48  # characters before and after a span that are looked at for context words
 
 
 def digits(m: Column) -> Column:
@@ -99,8 +100,8 @@ SPAN = "array<struct<start:long,place:int,kind:string,end:long,score:double>>"
 def spans_of(text: Column, place: int, kind: Kind) -> Column:
     """Spans of one kind, in order."""
 
-    def span(match: Column, gap: Column, start: Column) -> Column:
-        near = F.lower(F.substring(gap, -NEAR, NEAR)).rlike(rf"\b(?:{kind.context})")
+    def span(match: Column, window: Column, start: Column) -> Column:
+        near = F.lower(window).rlike(rf"\b(?:{kind.context})")
         return F.struct(start.alias("start"), F.lit(place).alias("place"), F.lit(kind.name).alias("kind"),
                         (start + F.length(match)).alias("end"), (F.lit(kind.score) + F.when(near, 0.3).otherwise(0.0)).alias("score"),
                         match.alias("match"))
@@ -109,13 +110,26 @@ def spans_of(text: Column, place: int, kind: Kind) -> Column:
         gaps, matches = x["gaps"], x["matches"]
         steps = F.zip_with(matches, F.slice(gaps, F.lit(1), F.size(matches)), lambda m, g: (F.length(m) + F.length(g)).cast("long"))
         block = lambda i: F.floor(i / BLOCK).cast("int")
+        end, begin = lambda s: F.substring(s, -NEAR, NEAR), lambda s: F.substring(s, 1, NEAR)
+        # The text next to each gap, for gaps shorter than NEAR: matches aren't empty, so
+        # NEAR of them with their gaps are enough, and NEAR characters of each.
+        lefts = F.transform(matches, lambda m, j: end(F.concat(end(F.get(gaps, j)), m)))
+        rights = F.transform(matches, lambda m, j: begin(F.concat(m, begin(F.get(gaps, j + 1)))))
+
+        def window(i: Column, left: Column, right: Column) -> Column:
+            before, after = F.get(gaps, i), F.get(gaps, i + 1)
+            more = F.array_join(F.slice(left, F.greatest(i - NEAR, F.lit(0)) + 1, F.least(i, F.lit(NEAR))), "")
+            rest = F.array_join(F.slice(right, i + 2, F.lit(NEAR)), "")
+            return F.concat(F.when(F.length(before) >= NEAR, end(before)).otherwise(end(F.concat(more, before))), F.lit("\n"),
+                            F.when(F.length(after) >= NEAR, begin(after)).otherwise(begin(F.concat(after, rest))))
 
         def with_steps(s: Column) -> Column:
             blocks = F.sequence(F.lit(0), block(F.size(s)))
             before = F.aggregate(blocks, F.array(F.lit(0).cast("long")), lambda a, k: F.concat(
                 a, F.array(F.get(a, k) + summed(F.slice(s, k * BLOCK + 1, F.lit(BLOCK))))))
-            return bind(before, lambda p: F.transform(matches, lambda m, i: span(m, F.get(gaps, i), (
-                F.get(p, block(i)) + summed(F.slice(s, block(i) * BLOCK + 1, i % BLOCK)) + F.length(F.get(gaps, i))))))
+            beside = F.struct(before.alias("p"), lefts.alias("left"), rights.alias("right"))
+            return bind(beside, lambda b: F.transform(matches, lambda m, i: span(m, window(i, b["left"], b["right"]), (
+                F.get(b["p"], block(i)) + summed(F.slice(s, block(i) * BLOCK + 1, i % BLOCK)) + F.length(F.get(gaps, i))))))
 
         return bind(steps, with_steps)
 

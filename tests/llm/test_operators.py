@@ -521,6 +521,21 @@ def test_checksums_and_context(spark):
     assert found == {0: "iban:5:32", 1: "", 2: "national_id:4:15", 3: "", 4: "", 5: "iban:0:22"}
 
 
+def test_context_on_both_sides_and_across_spans(spark):
+    texts = ["SSN: 123-45-6789, 987-65-4321", "123-45-6789 (SSN)", "ssn 666-45-6789 123-45-6789", "123-45-6789" + " " * 48 + "ssn", "ssn" + " " * 46 + "123-45-6789",
+             "social 123-45-6789 security"]
+    texts += ["".join(RANDOM.choice(["123-45-6789", "666-45-6789", "ssn", " ", "  ", " tax id ", " é " * 8, "😀 ", " " * 30, ", "]) for _ in range(RANDOM.randrange(1, 25)))
+              for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in personal_data.digest(personal_data.find_personal_data(docs)).collect()}
+    near = re.compile(r"\b(?:ssn|social security|national id|tax id)", re.ASCII)
+    for i, text in enumerate(texts):
+        spans = [m.span() for m in re.finditer(r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", text, re.ASCII) if not m.group().startswith("666")
+                 and (near.search(text[max(0, m.start() - 48) : m.start()].lower()) or near.search(text[m.end() : m.end() + 48].lower()))]
+        assert [x for x in found[i].split(",") if x.startswith("national_id")] == [f"national_id:{a}:{b}" for a, b in spans], text
+    assert found[0] == "national_id:5:16,national_id:18:29" and found[1] == "national_id:0:11" and found[3] == found[5] == ""
+
+
 def test_very_long_texts_take_linear_time(spark):
     texts = ["a" * 300_000, "1" * 300_000, "1.2.3" * 60_000, "+1" + "(" * 300_000, "a@b " * 50_000]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

@@ -6,6 +6,7 @@ import string
 
 from driftpanel.llm import personal_data
 from driftpanel.llm.quality import GRAM_SHARE, LEAST_WORDS, LINE_SHARE, WINDOW, WINDOW_PERCENT
+from driftpanel.llm.vector_codes import ENTRIES, PARTS, ROUNDS, SCALE
 
 LOWER = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
 SPACED = r"[^\x20\x09-\x0D]+"
@@ -115,3 +116,71 @@ SELECT doc_id, {count},
   sha256(coalesce(string_agg(kind || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, place) FILTER (place < {personal_data.BASE_KINDS}), '')) AS base_sha256,
   coalesce(string_agg(kind || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, place), '') AS spans
 FROM texts LEFT JOIN spans USING (doc_id) GROUP BY doc_id"""
+
+
+EXACT = r"""
+WITH texts AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS x FROM documents)
+SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = min(doc_id) OVER same AS kept, sha256(x) AS text_sha256
+FROM texts WINDOW same AS (PARTITION BY x)"""
+
+
+SOURCE_AUDIT = rf"""
+WITH docs AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+terms AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, lang, source, unnest(w) AS term FROM docs) GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n) AS n FROM terms GROUP BY ALL HAVING sum(docs) >= 30),
+langs AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY ALL),
+used AS (SELECT lang, source, term, n FROM terms SEMI JOIN kept USING (lang, term)),
+totals AS (SELECT lang, source, sum(n) AS total FROM used GROUP BY ALL),
+groups AS (SELECT d.lang, d.source, coalesce(t.total, 0) AS total FROM (SELECT DISTINCT lang, source FROM docs) d LEFT JOIN totals t USING (lang, source)),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(u.n, 0) AS n,
+    1 + (1000000000::HUGEINT * (coalesce(u.n, 0) + 5)) // (g.total + 5 * l.v)::HUGEINT AS p,
+    1 + (1000000000::HUGEINT * (k.n + 5)) // (l.total + 5 * l.v)::HUGEINT AS q
+  FROM groups g JOIN langs l USING (lang) JOIN kept k USING (lang) LEFT JOIN used u ON u.lang = g.lang AND u.source = g.source AND u.term = k.term),
+far AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN far f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM shares WHERE n > 0 AND p > q)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM found
+QUALIFY part = 'pair' OR rank <= 50"""
+
+
+def vector_codes(parts: int = PARTS, entries: int = ENTRIES, scale: int = SCALE, rounds: int = ROUNDS) -> str:
+    """The same codebooks by comparing every part with every entry."""
+
+    def assigned(books: str) -> str:
+        gap = "list_sum(list_transform(range(1, len(v) + 1), lambda i: (v[i] - x[i]) * (v[i] - x[i])))"
+        return (f"SELECT vec_id, part, min(d) AS d, arg_min(entry, (d, entry)) AS entry, any_value(v) AS v "
+                f"FROM (SELECT vec_id, c.part, b.entry, v, {gap} AS d FROM cut c JOIN {books} b ON b.part = c.part) GROUP BY vec_id, part")
+
+    def after(k: int) -> str:
+        means = ("SELECT part, entry, list(m ORDER BY i) AS x FROM (SELECT part, entry, i, "
+                 "(sum(c) - ((sum(c) % count(*)) + count(*)) % count(*)) // count(*) AS m "
+                 f"FROM (SELECT part, entry, unnest(v) AS c, generate_subscripts(v, 1) AS i FROM a{k}) GROUP BY ALL) GROUP BY part, entry")
+        return f"""
+a{k} AS MATERIALIZED ({assigned(f'b{k}')}),
+b{k + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM b{k} b LEFT JOIN ({means}) m ON m.part = b.part AND m.entry = b.entry)"""
+
+    return f"""
+WITH fine AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+cut AS MATERIALIZED (
+  SELECT vec_id, part, list_slice(v, part * (len(v) // {parts}) + 1, (part + 1) * (len(v) // {parts})) AS v
+  FROM (SELECT vec_id, v, unnest(range({parts})) AS part FROM fine)),
+b0 AS (
+  SELECT part, entry, v AS x FROM cut JOIN (
+    SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM fine ORDER BY vec_id LIMIT {entries}) USING (vec_id)),
+{",".join(after(k) for k in range(rounds))},
+last AS MATERIALIZED ({assigned(f'b{rounds}')}),
+coded AS (
+  SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM last GROUP BY vec_id),
+digest AS (
+  SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY part, entry, i)) AS s
+  FROM (SELECT part, entry, unnest(x) AS c, generate_subscripts(x, 1) AS i FROM b{rounds}))
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, (SELECT s FROM digest) AS codebooks_sha256
+FROM coded JOIN fine USING (vec_id)"""

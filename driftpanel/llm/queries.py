@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from driftpanel.llm import licenses, oracles, personal_data
 from driftpanel.llm.common import sha256_of, table
 from driftpanel.llm.contamination import decontaminate
+from driftpanel.llm.exact_dedup import deduplicate
 from driftpanel.llm.jaccard_join import jaccard_groups
 from driftpanel.llm.language import identify
 from driftpanel.llm.line_dedup import dedup_lines
 from driftpanel.llm.piece_sampling import encode
 from driftpanel.llm.quality import repetition_coverage
+from driftpanel.llm.source_audit import audit_sources
 from driftpanel.llm.suffix_tree import suffix_tree_scores
 from driftpanel.llm.token_files import token_counts
+from driftpanel.llm.vector_codes import coded
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -97,3 +100,19 @@ def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         sha256_of(F.col("items")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query(oracles.SOURCE_AUDIT)
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_sources(table(spark, sf_dir, "documents"))
+
+
+@query(oracles.vector_codes())
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coded(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+@query(oracles.EXACT)
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = deduplicate(spark, f"{sf_dir}/documents.parquet")
+    return found.select(F.col("id").alias("doc_id"), "keep_id", F.col("n").alias("group_size"), "kept", F.col("digest").alias("text_sha256"))

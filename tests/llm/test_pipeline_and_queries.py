@@ -19,7 +19,7 @@ def test_query(spark, name):
     assert len(found)
     if name in ORACLES:
         con = duckdb.connect()
-        for table in ("documents", "benchmark"):
+        for table in ("documents", "benchmark", "embeddings"):
             con.execute(f"create view {table} as select * from '{SF_DIR}/{table}.parquet'")
         expected = con.execute(ORACLES[name]).fetch_df()
         columns = sorted(expected.columns)

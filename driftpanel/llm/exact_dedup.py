@@ -35,6 +35,8 @@ STATE_SETTINGS = {
     # All state partitions of an executor share one write buffer and cache.
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # Small stores are many: none reserves megabytes for its logs ahead.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 

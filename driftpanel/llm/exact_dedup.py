@@ -110,9 +110,11 @@ def deduplicate(spark: SparkSession, path: str, checkpoint: str | None = None, i
     hits = held.filter("n > 1")
     first = hits.filter("kept").select("digest", F.col("content").alias("kept_content"))
     unlike = hits.filter("not kept").join(first, "digest").filter("content <> kept_content").select("digest")
-    clashes = stored(unlike.distinct(), "dedup-clashes")
+    # Written as joined, so that one digest's many rows can be split over tasks.
+    clashes = stored(unlike, "dedup-clashes")
     if clashes.isEmpty():
         return held.drop("content")
+    clashes = clashes.distinct()
     return held.join(clashes, "digest", "left_anti").drop("content").unionByName(by_content(held.join(clashes, "digest", "left_semi")))
 
 

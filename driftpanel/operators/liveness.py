@@ -58,12 +58,6 @@ def maintain(seen: DataFrame, postings: DataFrame, now: Column, delete: bool) ->
     return delete_aged(bump_last_seen(split, now), delete).drop("action")
 
 
-def maintain_jobs(jobs: DataFrame, postings: DataFrame, now: Column, delete: bool) -> DataFrame:
-    """``maintain`` on whole rows of the jobs table."""
-    tracked = jobs if "has_applied" in jobs.columns else jobs.withColumn("has_applied", F.lit(False))
-    return maintain(tracked, postings, now, delete).select(*jobs.columns)
-
-
 def first_per_posting(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row per composite key, the one with the least url.
 
@@ -73,28 +67,6 @@ def first_per_posting(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     return rows.groupBy("composite_key").agg(first).select("composite_key", "first.*")
 
 
-def upsert_jobs(stored: DataFrame, incoming: DataFrame, now: Column) -> DataFrame:
-    """Next snapshot of the jobs table; both sides have one row per composite key.
-
-    Content and ``first_seen`` keep the first value ever stored; ``last_seen``
-    moves to ``now`` for every posting in this load.
-    """
-    content = [F.col(name) for name in WRITE_ONCE]
-    incoming = incoming.select("composite_key", F.struct(*content).alias("new"))
-    old = stored.select(
-        "composite_key", F.struct(*content).alias("old"), "first_seen", F.col("last_seen").alias("old_seen")
-    )
-    joined = old.join(incoming, "composite_key", "full_outer")
-    kept = F.coalesce(F.col("old"), F.col("new"))
-    return joined.select(
-        "composite_key",
-        *[kept[name].alias(name) for name in WRITE_ONCE],
-        F.coalesce(F.col("first_seen"), now).alias("first_seen"),
-        F.when(F.col("new").isNotNull(), F.greatest(now, F.col("old_seen")))
-        .otherwise(F.col("old_seen")).alias("last_seen"),
-    )
-
-
 def candidates(postings: DataFrame, seen: DataFrame, rescore_all: bool,
                include: Sequence[str], exclude: Sequence[str]) -> DataFrame:
     """Postings to score: all live ones or only the fresh ones, then filtered."""

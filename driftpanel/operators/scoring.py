@@ -3,70 +3,41 @@
 A scorer answers requests: it takes a DataFrame with one row per call and adds
 ``response`` (the raw body), ``status`` (null when fine) and ``error_kind``.
 ``from_batches`` turns a plain function on pandas frames into one; it runs inside
-the tasks, a few calls at a time. A ``Route`` adds how a protocol's requests are
-written and its answers read; a plain scorer speaks the chat shape.
+the tasks, a few calls at a time. Requests arrive with their body in ``request`` and the
+call's facts, without the texts it was built from.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping, Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from driftpanel.config import ModelConfig, SCREENING_BATCH_SIZE
-from driftpanel.functions.payload import candidate_request, chat_request
+from driftpanel.functions.payload import candidate_request
 from driftpanel.functions.quota import batch_outcome, error_class, estimate_ratio
 from driftpanel.operators.audit import attempted
 from driftpanel.operators.batching import assign_batches, batch_requests
 from driftpanel.operators.correlate import correlate_calls
 from driftpanel.operators.ledger import call_id
-from driftpanel.session import cut_lineage
-from driftpanel.sources.responses import candidate_answers, chat_calls, chat_items
-
-Scorer = Callable[[DataFrame], DataFrame]
+from driftpanel.operators.waves import Landing, Registry, Route, Scorer, ask_in_waves, for_models, stored_requests
+from driftpanel.sources.responses import candidate_answers, chat_items
 
 RESPONSE_FIELDS = (
     T.StructField("response", T.StringType()),
     T.StructField("status", T.IntegerType()),
     T.StructField("error_kind", T.StringType()),
 )
-MODEL_TYPE = (
-    "model string, deployment string, want_logprobs boolean, protocol string, tpm int, rpm int"
-)
-
-
-def chat_body(instructions: str, temperature: float) -> Column:
-    return chat_request(
-        F.col("model"), F.lit(instructions), F.col("message"), F.lit(float(temperature)), F.col("want_logprobs")
-    )
-
 
 def candidate_body(instructions: str, temperature: float) -> Column:
     return candidate_request(F.lit(instructions), F.col("message"))
 
 
-@dataclass(frozen=True)
-class Route:
-    """How a protocol is spoken: who answers, how requests are written, how answers are read."""
-
-    scorer: Scorer
-    body: Callable[[str, float], Column] = chat_body
-    decode: Callable[[DataFrame], DataFrame] = chat_calls
-
-
-Registry = Mapping[str, "Scorer | Route"]
-
-
 def candidates_route(scorer: Scorer) -> Route:
     return Route(scorer, candidate_body, candidate_answers)
 
 
-def route_of(entry: Scorer | Route) -> Route:
-    return entry if isinstance(entry, Route) else Route(entry)
-
-
 def from_batches(score: Callable[[pd.DataFrame], pd.DataFrame]) -> Scorer:
     """Wraps ``score(requests) -> response, status, error_kind`` row by row aligned."""
 
@@ -82,37 +53,6 @@ def from_batches(score: Callable[[pd.DataFrame], pd.DataFrame]) -> Scorer:
     return scorer
 
 
-def offline_score(key: Column, salt: Column) -> Column:
-    """A repeatable stand-in score from 0 to 100."""
-    digits = F.substring(F.md5(F.concat_ws(":", salt, key)), 1, 6)
-    return (F.conv(digits, 16, 10).cast("bigint") % 101).cast("double")
-
-
-def offline_scorer(requests: DataFrame) -> DataFrame:
-    """Answers every request without a network, as column expressions."""
-    results = F.transform(
-        "items",
-        lambda job: F.struct(
-            job["key"].alias("key"),
-            offline_score(job["key"], F.col("model")).alias("score"),
-            F.concat(F.lit("offline "), job["title"]).alias("reasoning"),
-        ),
-    )
-    total = F.floor(F.col("token_estimate")).cast("bigint")
-    body = F.to_json(F.struct(
-        F.array(F.struct(F.struct(F.to_json(F.struct(results.alias("results"))).alias("content"))
-                         .alias("message"))).alias("choices"),
-        F.struct(
-            total.alias("prompt_tokens"), F.lit(0).alias("completion_tokens"), total.alias("total_tokens"),
-        ).alias("usage"),
-    ))
-    return (
-        requests.withColumn("response", body)
-        .withColumn("status", F.lit(None).cast("int"))
-        .withColumn("error_kind", F.lit(None).cast("string"))
-    )
-
-
 def refusal(model: Column, protocols: Sequence[str]) -> Column:
     """Why a model is not scored, or null."""
     return (
@@ -123,40 +63,14 @@ def refusal(model: Column, protocols: Sequence[str]) -> Column:
 
 
 def eligible(model: ModelConfig, protocols: Sequence[str]) -> bool:
+    """The same rule for one model on the driver."""
     return (
         model.tpm > 0 and model.rpm > 0 and model.protocol in protocols and model.base_url != ""
     )
 
 
-def for_models(requests: DataFrame, models: Sequence[ModelConfig]) -> DataFrame:
-    """One row per model and batch: every model is asked every batch."""
-    rows = [(m.name, m.deployment, m.want_logprobs, m.protocol, m.tpm, m.rpm) for m in models]
-    return requests.crossJoin(requests.sparkSession.createDataFrame(rows, MODEL_TYPE))
-
-
-def call_models(requests: DataFrame, registry: Registry, protocols: Sequence[str],
-                instructions: str, temperature: float) -> DataFrame:
-    """Writes the requests of each protocol, has its scorer answer them and decodes the answers.
-
-    The answers are materialised once: asking a model again would cost money and
-    could give another answer.
-    """
-    sent = requests.withColumn("temperature_sent", F.lit(float(temperature)))
-
-    def answered(protocol: str) -> DataFrame:
-        route = route_of(registry[protocol])
-        own = sent.filter(F.col("protocol") == protocol).withColumn("request", route.body(instructions, temperature))
-        return route.decode(route.scorer(own).drop("items", "message", "request"))
-
-    first, *others = sorted(set(protocols))
-    whole = answered(first)
-    for protocol in others:
-        whole = whole.unionByName(answered(protocol))
-    return cut_lineage(whole)
-
-
 def screen(postings: DataFrame, model: ModelConfig, registry: Registry,
-           instructions: str, temperature: float) -> DataFrame:
+           instructions: str, temperature: float, landing: Landing | None = None) -> DataFrame:
     """Provisional scores by job key: ``key, batch_index, pos, score``.
 
     A lost call fails the job: bands must not rest on part of the postings.
@@ -164,20 +78,15 @@ def screen(postings: DataFrame, model: ModelConfig, registry: Registry,
     """
     if not eligible(model, list(registry)):
         raise ValueError(f"screening model {model.name!r} cannot be called")
-    batched = assign_batches(postings, SCREENING_BATCH_SIZE)
-    requests = for_models(batch_requests(batched), [model])
-    calls = call_models(requests, registry, [model.protocol], instructions, temperature)
+    requests = stored_requests(batch_requests(assign_batches(postings, SCREENING_BATCH_SIZE)))
+    calls = ask_in_waves(requests, [model], registry, instructions, temperature, landing)
     message = F.concat(F.lit("screening batch failed: "), F.col("batch_index").cast("string"))
-    whole = calls.withColumn("items", F.when(_lost(), F.raise_error(message)).otherwise(F.col("items")))
+    whole = calls.withColumn("items", F.when(F.col("failed"), F.raise_error(message)).otherwise(F.col("items")))
     return chat_items(whole).select(
         F.col("job_key").alias("key"), "batch_index", "pos", F.col("emitted_score").alias("score")
     )
 
 
-def _lost() -> Column:
-    return F.col("status").isNotNull() | F.col("error_kind").isNotNull() | F.col("failure").isNotNull()
-
-
 def refused(spark: SparkSession, models: Sequence[ModelConfig], protocols: Sequence[str]) -> DataFrame:
     """Models that are not asked, ``model, deployment, reason``."""
     rows = [(m.name, m.deployment, m.tpm, m.rpm, m.protocol, m.base_url) for m in models]
@@ -188,36 +97,39 @@ def refused(spark: SparkSession, models: Sequence[ModelConfig], protocols: Seque
 
 def grade(postings: DataFrame, models: Sequence[ModelConfig], registry: Registry,
           instructions: str, temperature: float, batch_size: int,
-          carry: Sequence[str] = ("stablekey", "composite_key")) -> tuple[DataFrame, DataFrame]:
+          carry: Sequence[str] = ("stablekey", "composite_key"),
+          landing: Landing | None = None) -> tuple[DataFrame, DataFrame]:
     """Scores the postings with every model: batch outcomes and events.
 
     Batches after a model's first failure give no events; their outcomes say so with
-    ``attempted`` false. Events carry the ``carry`` columns of their posting, keys
-    rather than texts, as there is an event for each posting and model.
+    ``attempted`` false, and ``asked`` says whether a call was spent on them all the same.
+    Events carry the ``carry`` columns of their posting, keys rather than texts, as there
+    is an event for each posting and model.
     """
     usable = [model for model in models if eligible(model, list(registry))]
     if not usable:
         raise ValueError("no model can be called")
-    batched = assign_batches(postings, batch_size)
-    requests = for_models(batch_requests(batched), usable)
-    calls = call_models(requests, registry, [m.protocol for m in usable], instructions, temperature).withColumn("failed", _lost())
+    carried = [c for c in carry if c in postings.columns]
+    requests = stored_requests(batch_requests(assign_batches(postings, batch_size), carried))
+    calls = ask_in_waves(requests, usable, registry, instructions, temperature, landing)
     marked = attempted(calls, ["model"])
-    tried = marked.filter("attempted")
     kind = F.when(F.col("failure").isNotNull() & F.col("error_kind").isNull(), "decode").otherwise(F.col("error_kind"))
     outcomes = marked.select(
-        "model", "deployment", "batch_index", "attempted", "jobs_sent",
+        "model", "deployment", "batch_index", "attempted", F.lit(True).alias("asked"), "jobs_sent",
         F.when(F.col("failed"), 0).otherwise(F.size("items")).alias("scores_parsed"),
         batch_outcome(F.col("failed"), F.size("items"), F.col("jobs_sent")).alias("outcome"),
         error_class(F.col("status"), kind).alias("error_class"),
         "token_estimate", F.col("usage.total").alias("actual_tokens"),
         estimate_ratio(F.col("token_estimate"), F.col("usage.total")).alias("est_ratio"),
     )
-    carried = [c for c in carry if c in postings.columns]
-    jobs = batched.groupBy("batch_index").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "key", *carried))).alias("jobs")  # at most a batch
-    )
-    answered = tried.filter(~F.col("failed")).join(jobs, "batch_index")
+    never = for_models(requests.select("batch_index", "jobs_sent", "token_estimate"), usable).join(
+        calls.select("model", "batch_index"), ["model", "batch_index"], "left_anti")
+    outcomes = outcomes.unionByName(
+        never.select("model", "deployment", "batch_index", F.lit(False).alias("attempted"), F.lit(False).alias("asked"),
+                     "jobs_sent", F.lit(0).alias("scores_parsed"), "token_estimate"),
+        allowMissingColumns=True)
+    answered = marked.filter("attempted and not failed").join(requests.select("batch_index", "jobs"), "batch_index")
     call = ["model", "batch_index"]
     facts = [*call, "deployment", "temperature_sent", "usage", "logprobs"]
-    events = correlate_calls(answered, facts, carried, ["reasoning", "raw"])
+    events = correlate_calls(answered, facts, [c for c in carried if c != "key"], ["reasoning", "raw"])
     return outcomes, events.withColumn("call_id", call_id(*call))

@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from driftpanel.config import RunConfig, SCREENING_TEMPERATURE
 from driftpanel.functions.keys import panel_id
 from driftpanel.functions.payload import job_payload
-from driftpanel.operators.panel import banded_pool, dedupe_newest, draw_panel, last_scores
-from driftpanel.operators.scoring import Scorer, screen
+from driftpanel.operators.panel import banded_pool, dedupe_newest, draw_panel, last_scores, unscored
+from driftpanel.operators.scoring import screen
+from driftpanel.operators.waves import Landing, Scorer
+from driftpanel.session import cut_lineage
 
 SNAPSHOT_TYPE = (
     "key string, title string, company string, location string, description string, url string, "
@@ -84,13 +86,18 @@ def active_panel(panels: DataFrame, pinned: str = "") -> DataFrame:
 
 
 def build_panel(postings: DataFrame, config: RunConfig, registry: Mapping[str, Scorer],
-                now: datetime, path: str) -> DataFrame:
-    """Screens, draws and stores a panel, and gives its rows; a short one is kept."""
+                now: datetime, path: str, landing: Landing | None = None, counts: dict | None = None) -> DataFrame:
+    """Screens, draws and stores a panel, and gives its rows; a short one is kept.
+
+    ``counts`` receives how many postings had no screening score and so were left out.
+    """
     seed = config.seed(now)
     screened = screen(
-        postings, config.screener(), registry, config.instructions, SCREENING_TEMPERATURE
+        postings, config.screener(), registry, config.instructions, SCREENING_TEMPERATURE, landing
     )
-    scores = last_scores(screened, ("batch_index", "pos"))
+    scores = cut_lineage(last_scores(screened, ("batch_index", "pos")))
+    if counts is not None:
+        counts["unscored"] = unscored(dedupe_newest(postings, ("key",)), scores).count()
     drawn = draw_from(postings, scores, config, seed)
     store_panel(panel_rows(drawn, seed, F.lit(now).cast("timestamp")), path)
     spark = postings.sparkSession
@@ -126,9 +133,9 @@ def load_panel(spark: SparkSession, config: RunConfig, path: str) -> DataFrame |
 
 
 def load_or_build(spark: SparkSession, config: RunConfig, postings, registry: Mapping[str, Scorer],
-                  now: datetime, path: str) -> DataFrame:
+                  now: datetime, path: str, landing: Landing | None = None, counts: dict | None = None) -> DataFrame:
     """``postings`` is called only if a panel must be built, which skips collecting."""
     loaded = load_panel(spark, config, path)
     if loaded is None:
-        loaded = active_panel(build_panel(postings(), config, registry, now, path))
+        loaded = active_panel(build_panel(postings(), config, registry, now, path, landing, counts))
     return loaded

@@ -4,21 +4,19 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from driftpanel.config import RunConfig
 from driftpanel.functions.keys import composite_key
 from driftpanel.functions.payload import html_safe_bytes, job_payload
-from driftpanel.operators.ledger import (
-    append_run, call_id, event_rows, failed_calls, read_snapshot, rebuild_calls, write_snapshot,
-)
-from driftpanel.operators.liveness import (
-    candidates, first_per_posting, maintain_jobs, seen_postings, upsert_jobs,
-)
+from driftpanel.operators.jobs_table import JobsTable
+from driftpanel.operators.ledger import append_run, call_id, event_rows, rebuild_calls
+from driftpanel.operators.liveness import candidates, first_per_posting
 from driftpanel.operators.latest import export_rows
-from driftpanel.operators.scoring import Registry, grade, refused
+from driftpanel.operators.scoring import grade, refused
+from driftpanel.operators.waves import ANSWER_TYPE, Landing, Registry
 from driftpanel.plans.panels import POSTING_COLUMNS, load_or_build
-from driftpanel.session import configure, cut_lineage
+from driftpanel.session import configure, cut_lineage, written_once
 
 CALL_KEY = ("run_id", "model", "batch_index")
 PANEL_OFF = -1
@@ -74,54 +72,98 @@ class CallsFailed(RuntimeError):
     """Some calls of a run failed; its tables are written all the same."""
 
 
-def run_totals(outcomes: DataFrame, events: DataFrame) -> DataFrame:
-    """Per model: scores received and events stored, calls made and failed."""
-    tried = outcomes.filter("attempted")
-    received = tried.groupBy("model").agg(
-        F.sum("scores_parsed").alias("expected"), F.count_if(F.col("outcome") == "failed").alias("failed_calls"),
-        F.count("*").alias("total_calls"),
+class EventsLost(RuntimeError):
+    """Some graded events are not in the ledger."""
+
+
+def run_totals(outcomes: DataFrame, graded: DataFrame, stored: DataFrame) -> DataFrame:
+    """Per model: events graded and events stored, calls made and failed.
+
+    ``expected`` counts events, not answers: an answer may serve several postings or none.
+    """
+    calls = outcomes.filter("attempted").groupBy("model").agg(
+        F.count_if(F.col("outcome") == "failed").alias("failed_calls"), F.count("*").alias("total_calls"),
     )
-    stored = events.groupBy("model").agg(F.count("*").alias("actual"))
-    return received.join(stored, "model", "full_outer").fillna(0).select(
+    expected = graded.groupBy("model").agg(F.count("*").alias("expected"))
+    actual = stored.groupBy("model").agg(F.count("*").alias("actual"))
+    return calls.join(expected, "model", "full_outer").join(actual, "model", "full_outer").fillna(0).select(
         "model", "expected", "actual", "failed_calls", "total_calls")
 
 
-def grade_run(spark: SparkSession, config: RunConfig, collected, stored_jobs: DataFrame, registry: Registry,
-              now: datetime, root: str, run_id: str) -> dict[str, DataFrame]:
+def counted(df: DataFrame, step: str) -> tuple[DataFrame, Observation]:
+    """The same rows, counted by whatever job passes over them first."""
+    seen = Observation(step)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+
+
+class Funnel:
+    """How many rows each step of a run let through, gathered while the steps run."""
+
+    def __init__(self) -> None:
+        self.counts: dict[str, int] = {}
+        self._waiting: dict[str, Observation] = {}
+
+    def watch(self, step: str, df: DataFrame) -> DataFrame:
+        watched, self._waiting[step] = counted(df, step)
+        return watched
+
+    def seen(self, step: str) -> int:
+        """Of a step that some job has passed over."""
+        self.counts[step] = self._waiting.pop(step).get["rows"]
+        return self.counts[step]
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(sorted(self.counts.items()), "step string, rows bigint")
+
+
+def grade_run(spark: SparkSession, config: RunConfig, collected, registry: Registry, now: datetime, root: str,
+              run_id: str, stop_on_failed_calls: bool = False) -> dict[str, DataFrame]:
     """Runs the whole flow and writes its tables under ``root``.
 
     ``collected`` is a function returning the postings of all boards; it is not
     called when a stored panel makes collecting pointless. When it is, the stored jobs
     that are still live are touched, and aged ones go if the settings say so. Every table is written
-    per run, so a repeated attempt replaces its own rows and nothing else. At the end the totals and the
-    models that were not asked are recorded, the export sheet is written, and failed calls are an error.
+    per run, so a repeated attempt replaces its own rows and nothing else; answers that have landed are
+    not asked for again. The models that can't be asked are recorded first. At the end the totals, the
+    funnel and the export sheet are written. A model whose calls fail stops, which is no error unless
+    ``stop_on_failed_calls`` is set; events that did not reach the ledger are one.
     """
     configure(spark)
     config.validate()
+    append_run(refused(spark, config.graders(), list(registry)), f"{root}/refused_models", run_id)
 
     moment = F.lit(now).cast("timestamp")
-    jobs = stored_jobs
+    table = JobsTable(spark, f"{root}/jobs")
+    funnel, current = Funnel(), None
 
     def matched() -> DataFrame:
-        nonlocal jobs
-        current = collected()
-        jobs = maintain_jobs(stored_jobs, current, moment, config.delete_aged)
-        return candidates(
-            current, seen_postings(stored_jobs), config.rescore_every_run, config.include, config.exclude
-        )
+        nonlocal current
+        # Decoded once; who needs only keys reads only keys.
+        current = written_once(funnel.watch("collected", collected()), "collected")
+        funnel.seen("collected")
+        if hasattr(collected, "counts"):
+            funnel.counts.update(collected.counts())
+        # Batching passes over the postings several times; choosing and counting happen in one pass before.
+        chosen = written_once(funnel.watch("matched", candidates(
+            current, table.seen(), config.rescore_every_run, config.include, config.exclude)), "matched")
+        funnel.seen("matched")
+        return chosen
 
     panel_size = PANEL_OFF
     if config.panel_enabled:
-        postings = load_or_build(spark, config, matched, registry, now, f"{root}/panel_jobs")
+        screening = Landing(f"{root}/answers", f"{run_id}-screening")
+        postings = load_or_build(
+            spark, config, matched, registry, now, f"{root}/panel_jobs", screening, funnel.counts)
         postings = postings.drop("panel_id", "score_band", "screening_score").withColumn(
             "composite_key", composite_key(F.col("stablekey"), F.col("posted_at"))
         )
-        panel_size = postings.count()
+        panel_size = funnel.counts["panel"] = postings.count()
     else:
         postings = matched()
     batch_size = config.batch_size(now)
     outcomes, graded = grade(
-        postings, config.graders(), registry, config.instructions, config.temperature, batch_size
+        postings, config.graders(), registry, config.instructions, config.temperature, batch_size,
+        landing=Landing(f"{root}/answers", run_id),
     )
     events = cut_lineage(ledger_events(graded, run_id))
     append_run(ledger_calls(events, config, now), f"{root}/scoring_calls", run_id)
@@ -130,31 +172,36 @@ def grade_run(spark: SparkSession, config: RunConfig, collected, stored_jobs: Da
     append_run(
         run_summary(spark, run_id, config, batch_size, panel_size).drop("run_id"), f"{root}/runs", run_id
     )
-    append_run(refused(spark, config.graders(), list(registry)), f"{root}/refused_models", run_id)
     # The postings come from where they are; the events only say which got a score.
     scored = postings.join(events.select("composite_key").distinct(), "composite_key", "left_semi")
-    write_snapshot(upsert_jobs(jobs, job_rows(scored), moment), f"{root}/jobs", run_id)
+    table.advance(run_id, moment, written_once(job_rows(scored), "scored"), current, config.delete_aged)
     mine = lambda name: spark.read.parquet(f"{root}/{name}").filter(F.col("run_id") == run_id)
     persisted = mine("scoring_events").join(mine("scoring_calls").select("call_id", "model"), "call_id")
-    append_run(run_totals(mine("batch_outcomes"), persisted), f"{root}/run_totals", run_id)
-    tables = run_tables(spark, root, run_id)
+    append_run(run_totals(mine("batch_outcomes"), events, persisted), f"{root}/run_totals", run_id)
+    append_run(funnel.rows(spark), f"{root}/funnel", run_id)
+    tables = run_tables(spark, root)
     exported = tables["jobs"].withColumn("posted_at", F.unix_seconds("posted_at"))
     write_sheet(export_rows(exported, tables["events"], tables["calls"]), f"{root}/export")
-    failed = failed_calls(mine("batch_outcomes").filter("attempted"), F.col("outcome") == "failed").first()
-    if failed["failed_calls"]:
-        raise CallsFailed(f"{failed['failed_calls']} of {failed['total_calls']} calls failed")
+
+    totals = mine("run_totals").agg(*[F.sum(c).alias(c) for c in ("expected", "actual", "failed_calls", "total_calls")]).first()
+    if totals["expected"] != totals["actual"]:
+        raise EventsLost(f"{totals['actual']} of {totals['expected']} events are stored")
+    if stop_on_failed_calls and totals["failed_calls"]:
+        raise CallsFailed(f"{totals['failed_calls']} of {totals['total_calls']} calls failed")
     return tables
 
 
-def run_tables(spark: SparkSession, root: str, run_id: str) -> dict[str, DataFrame]:
-    """What a run has written, and what earlier ones have."""
+def run_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """What runs under this root have written."""
     return {
-        "jobs": read_snapshot(spark, f"{root}/jobs", run_id),
+        "jobs": JobsTable(spark, f"{root}/jobs").read(),
         "calls": spark.read.parquet(f"{root}/scoring_calls"),
         "events": spark.read.parquet(f"{root}/scoring_events"),
         "outcomes": spark.read.parquet(f"{root}/batch_outcomes"),
         "runs": spark.read.parquet(f"{root}/runs"),
         "totals": spark.read.parquet(f"{root}/run_totals"),
+        "funnel": spark.read.parquet(f"{root}/funnel"),
+        "answers": spark.read.schema(ANSWER_TYPE + ", run_id string, wave int").parquet(f"{root}/answers"),
         # Often empty, so its columns are named.
         "refused": spark.read.schema("model string, deployment string, reason string, run_id string").parquet(f"{root}/refused_models"),
     }

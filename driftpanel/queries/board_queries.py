@@ -9,11 +9,11 @@ from driftpanel.functions.pay import pay_period, salary
 from driftpanel.functions.payload import html_safe_bytes, job_payload
 from driftpanel.operators import liveness
 from driftpanel.operators.filters import filter_postings
-from driftpanel.operators.ledger import read_snapshot, write_snapshot
+from driftpanel.operators.jobs_table import JobsTable
 from driftpanel.plans.runs import job_rows
 from driftpanel.queries.registry import registered
 from driftpanel.queries.views import SITE, postings, sql_over, table, text_postings
-from driftpanel.session import scratch_path
+from driftpanel.session import scratch_path, written_once
 from driftpanel.sources.boards import (
     collect_boards, fetched_counts, mentions_remote, parse_payloads, postings_of, quarantined,
 )
@@ -301,20 +301,12 @@ FIRST_LOAD, SECOND_LOAD = 1000000000, 1000086400
            CASE WHEN url2 IS NULL THEN {FIRST_LOAD} ELSE {SECOND_LOAD} END AS last_epoch
     FROM k"""))
 def jobs_upsert(spark, sf_dir):
-    """Two loads into the jobs table, each a new version read back."""
-    root = scratch_path(spark, "jobs")
-    rows = job_rows(postings(spark, sf_dir).withColumn("load", F.col("order_id") % 3))
+    """Two loads into the jobs table, read back."""
+    jobs = JobsTable(spark, scratch_path(spark, "jobs"), 16)
     loads = postings(spark, sf_dir).withColumn("load", F.col("order_id") % 3)
-    empty = spark.createDataFrame([], rows.schema.add("first_seen", "timestamp").add("last_seen", "timestamp"))
-    first = liveness.upsert_jobs(
-        empty, job_rows(loads.filter("load < 2")), F.timestamp_seconds(F.lit(FIRST_LOAD))
-    )
-    write_snapshot(first, root, "1")
-    second = liveness.upsert_jobs(
-        read_snapshot(spark, root, "1"), job_rows(loads.filter("load >= 1")), F.timestamp_seconds(F.lit(SECOND_LOAD))
-    )
-    write_snapshot(second, root, "2")
-    return read_snapshot(spark, root, "2").select(
+    jobs.advance("1", F.timestamp_seconds(F.lit(FIRST_LOAD)), written_once(job_rows(loads.filter("load < 2")), "load"))
+    jobs.advance("2", F.timestamp_seconds(F.lit(SECOND_LOAD)), written_once(job_rows(loads.filter("load >= 1")), "load"))
+    return jobs.read().select(
         "composite_key", "url", F.unix_seconds("first_seen").alias("first_epoch"),
         F.unix_seconds("last_seen").alias("last_epoch"),
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -11,11 +12,14 @@ from driftpanel.config import (
 )
 from driftpanel.operators import panel
 from driftpanel.operators.batching import assign_batches, batch_requests, batch_sizes
-from driftpanel.operators.scoring import grade, offline_scorer, screen
+from driftpanel.operators.scoring import candidates_route, grade, screen
+from driftpanel.operators.waves import STARTS
 from driftpanel.plans.panels import (
     active_panel, build_panel, draw_from, panel_rows, read_panels, store_panel,
 )
+from driftpanel.plans.runs import grade_run
 from driftpanel.queries.registry import registered
+from driftpanel.queries.standin import failing_from, offline_candidates, offline_scorer
 from driftpanel.queries.views import postings, sql_over, text_postings
 from driftpanel.session import scratch_path
 
@@ -297,3 +301,65 @@ def grade_run_events(spark, sf_dir):
     """Every posting graded by every model that can be called, in batches of five."""
     _, events = grade(postings(spark, sf_dir), GRADERS, REGISTRY, "score these", 1.0, 5, carry=("order_id",))
     return events.select("model", "batch_index", "order_id", "emitted_score", "reasoning")
+
+
+FAILS_FROM = 20
+PROTOCOLS = (
+    ModelConfig("grader-a", "host-1", False, 200000, 60, "offline", "offline:"),
+    ModelConfig("grader-b", "host-2", False, 200000, 60, "candidates", "offline:"),
+)
+BOTH = {"offline": failing_from(offline_scorer, FAILS_FROM, "grader-a"), "candidates": candidates_route(offline_candidates)}
+
+
+@registered(sql_over("postings", body=f"""
+    , b AS (SELECT place // 4 AS batch_index, count(*) AS jobs_sent
+            FROM (SELECT row_number() OVER (ORDER BY stablekey, posted_at, url) - 1 AS place FROM postings) GROUP BY 1),
+    w AS (SELECT min(start) AS stop FROM (VALUES {', '.join(f'({start})' for start in STARTS[1:8])}) s(start) WHERE start > {FAILS_FROM})
+    SELECT m.model, b.batch_index, b.jobs_sent, m.model = 'grader-b' OR b.batch_index < stop AS asked,
+           m.model = 'grader-b' OR b.batch_index <= {FAILS_FROM} AS attempted,
+           CASE WHEN m.model = 'grader-b' OR b.batch_index < {FAILS_FROM} THEN 'ok' WHEN b.batch_index < stop THEN 'failed' END AS outcome
+    FROM b, w, (VALUES ('grader-a'), ('grader-b')) m(model)"""))
+def waves_of_calls(spark, sf_dir):
+    """Two protocols; one model fails, and nothing is asked of it after the wave it failed in."""
+    outcomes, _ = grade(postings(spark, sf_dir), PROTOCOLS, BOTH, "score these", 1.0, 4)
+    return outcomes.select("model", "batch_index", F.col("jobs_sent").cast("bigint").alias("jobs_sent"), "asked", "attempted", "outcome")
+
+
+RUN_BATCH = 20
+
+
+@registered(sql_over("postings", body=f"""
+    , m AS (SELECT * FROM postings WHERE is_remote AND contains(lower(title || ' ' || location), 'high')),
+    n AS (SELECT (SELECT count(*) FROM postings) AS collected, count(*) AS matched, count(DISTINCT composite_key) AS jobs,
+                 CAST(ceil(count(*) / {RUN_BATCH}) AS BIGINT) AS calls FROM m),
+    g AS (SELECT unnest(['grader-a', 'grader-b']) AS model)
+    SELECT 'funnel' AS stored, 'collected' AS name, collected AS n FROM n
+    UNION ALL SELECT 'funnel', 'matched', matched FROM n
+    UNION ALL SELECT 'jobs', '', jobs FROM n
+    UNION ALL SELECT unnest(['answers', 'calls', 'outcomes']), model, calls FROM n, g
+    UNION ALL SELECT unnest(['events', 'expected', 'actual']), model, matched FROM n, g
+    UNION ALL SELECT 'refused', unnest(['grader-idle', 'grader-nowhere', 'grader-other']), 1
+    UNION ALL SELECT 'runs', 'main', {RUN_BATCH}"""))
+def run_repeated(spark, sf_dir):
+    """A whole run, repeated under its id: all its tables, as one attempt leaves them."""
+    root = scratch_path(spark, "run")
+    config = RunConfig(
+        models=(SCREENER, *GRADERS), screening_model="screener", panel_enabled=False, include=("HIGH",),
+        contributor_id="me", batch_size_override=RUN_BATCH)
+    for _ in range(2):
+        t = grade_run(spark, config, lambda: postings(spark, sf_dir), REGISTRY, BUILT_AT, root, "r1")
+    events = t["events"].join(t["calls"].select("call_id", "model"), "call_id")
+
+    def per_model(stored: str, rows, n=None):
+        return rows.groupBy(F.col("model").alias("name")).agg((n if n is not None else F.count("*")).alias("n")).select(
+            F.lit(stored).alias("stored"), "name", F.col("n").cast("bigint").alias("n"))
+
+    parts = [
+        t["funnel"].select(F.lit("funnel").alias("stored"), F.col("step").alias("name"), F.col("rows").alias("n")),
+        t["jobs"].agg(F.count("*").alias("n")).select(F.lit("jobs").alias("stored"), F.lit("").alias("name"), "n"),
+        *[per_model(name, t[name]) for name in ("answers", "calls", "outcomes", "refused")],
+        per_model("events", events),
+        *[per_model(name, t["totals"], F.sum(name)) for name in ("expected", "actual")],
+        t["runs"].select(F.lit("runs").alias("stored"), F.col("run_kind").alias("name"), F.col("batch_size").cast("bigint").alias("n")),
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)

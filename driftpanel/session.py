@@ -53,3 +53,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise once in the shared folder; survives the loss of executors."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written_once(df: DataFrame, name: str) -> DataFrame:
+    """The same as files in the shared folder, so that later readers take only their columns."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from driftpanel.functions import variants as V
 from driftpanel.functions.binding import bind
@@ -197,7 +197,34 @@ def postings_of(parsed: DataFrame) -> DataFrame:
     return with_identity(exploded.select(*[F.col(f"posting.{name}") for name in _POSTING_FIELDS]))
 
 
-def collect_boards(landing: DataFrame, sources: DataFrame) -> DataFrame:
-    """Postings of every configured company whose provider is known."""
+def collect_boards(landing: DataFrame, sources: DataFrame, seen: Observation | None = None) -> DataFrame:
+    """Postings of every configured company whose provider is known.
+
+    ``seen`` counts payloads, those in quarantine and the postings delivered, in the pass
+    that decodes them.
+    """
     wanted = sources.select("provider", "company").distinct()
-    return postings_of(parse_payloads(landing.join(wanted, ["provider", "company"], "left_semi")))
+    parsed = parse_payloads(landing.join(wanted, ["provider", "company"], "left_semi"))
+    if seen is not None:
+        delivered = F.when(F.col("well_formed"), F.size("items")).otherwise(0)
+        parsed = parsed.observe(
+            seen, F.count(F.lit(1)).alias("payloads"), F.count_if(~F.col("well_formed")).alias("quarantined"),
+            F.coalesce(F.sum(delivered), F.lit(0)).cast("bigint").alias("fetched"),
+        )
+    return postings_of(parsed)
+
+
+class Boards:
+    """Collecting for a run: called for the postings, asked afterwards for its counts."""
+
+    def __init__(self, landing: DataFrame, sources: DataFrame):
+        self._landing, self._sources, self._seen = landing, sources, None
+
+    def __call__(self) -> DataFrame:
+        self._seen = Observation("boards")
+        return collect_boards(self._landing, self._sources, self._seen)
+
+    def counts(self) -> dict[str, int]:
+        """What the pass over the payloads counted; it must have been run."""
+        unknown = self._sources.filter(~F.col("provider").isin(*PROVIDERS)).count()
+        return {**self._seen.get, "unknown_provider": unknown}

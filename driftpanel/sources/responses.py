@@ -9,6 +9,8 @@ their types need a second look.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from driftpanel.functions import variants as V
@@ -46,27 +48,16 @@ def _broken(parsed: Column) -> Column:
     return parsed.isNull() | parsed[BROKEN].isNotNull()
 
 
-def chat_calls(responses: DataFrame) -> DataFrame:
-    """One row per chat-completions call: usage, failure, logprobs, decoded items."""
-    kept = [c for c in responses.columns if c not in ("response", "items")]
+@cache
+def _chat_columns() -> dict[str, Column]:
+    """The decoder's expressions; they are large, and many small sets of answers are decoded."""
     body, choice, inner = F.col("body"), F.col("choice"), F.col("inner")
-    opened = (
-        responses.withColumn("body", F.from_json("response", CHAT_ENVELOPE))
-        .withColumn("choice", F.get(body["choices"], 0))
-        .withColumn("content", F.coalesce(choice["message"]["content"], F.lit("")))
-        .withColumn("inner", F.from_json("content", CHAT_CONTENT))
-    )
     failure = (
         F.when(_broken(body), BAD_ENVELOPE)
         .when(F.coalesce(F.size(body["choices"]), F.lit(0)) <= 0, EMPTY_RESPONSE)
         .when(_broken(inner) & ~_is_null_text(F.col("content")), BAD_CONTENT)
     )
-    asked = F.coalesce(F.col("want_logprobs"), F.lit(False))
-    found = F.when(failure.isNull(), F.coalesce(inner["results"], _no_items())).otherwise(_no_items())
-    checked = opened.select(
-        *kept, "content", failure.alias("failure"), itemised_usage(body["usage"]).alias("usage"),
-        F.when(asked, choice["logprobs"]).alias("logprobs"), strict_items(found).alias("items"),
-    )
+    found = F.when(F.col("failure").isNull(), F.coalesce(inner["results"], _no_items())).otherwise(_no_items())
 
     def expected_in(call: Column) -> Column:
         def with_expected(item: Column) -> Column:
@@ -79,9 +70,28 @@ def chat_calls(responses: DataFrame) -> DataFrame:
     with_ev = bind_all(
         expected_in, content=F.col("content"), tokens=parsed_tokens(F.col("logprobs")), items=F.col("items")
     )
-    return checked.withColumn(
-        "items", F.when(F.col("logprobs").isNull(), no_ev).otherwise(with_ev)
-    ).drop("content")
+    return {
+        "body": F.from_json("response", CHAT_ENVELOPE),
+        "choice": F.get(body["choices"], 0),
+        "content": F.coalesce(choice["message"]["content"], F.lit("")),
+        "inner": F.from_json("content", CHAT_CONTENT),
+        "failure": failure,
+        "usage": itemised_usage(body["usage"]).alias("usage"),
+        "logprobs": F.when(F.coalesce(F.col("want_logprobs"), F.lit(False)), choice["logprobs"]).alias("logprobs"),
+        "strict": strict_items(found).alias("items"),
+        "items": F.when(F.col("logprobs").isNull(), no_ev).otherwise(with_ev),
+    }
+
+
+def chat_calls(responses: DataFrame) -> DataFrame:
+    """One row per chat-completions call: usage, failure, logprobs, decoded items."""
+    kept = [c for c in responses.columns if c not in ("response", "items")]
+    decoder = _chat_columns()
+    opened = responses
+    for step in ("body", "choice", "content", "inner", "failure"):
+        opened = opened.withColumn(step, decoder[step])
+    checked = opened.select(*kept, "content", "failure", decoder["usage"], decoder["logprobs"], decoder["strict"])
+    return checked.withColumn("items", decoder["items"]).drop("content")
 
 
 def exploded(calls: DataFrame, kept: list[str]) -> DataFrame:
@@ -104,15 +114,9 @@ def chat_items(calls: DataFrame) -> DataFrame:
     )
 
 
-def candidate_calls(responses: DataFrame) -> DataFrame:
-    """Calls in the candidates/parts shape; one bad item loses the whole call."""
-    kept = [c for c in responses.columns if c not in ("response", "items")]
+@cache
+def _candidate_columns() -> dict[str, Column]:
     body, part = F.col("body"), F.col("part")
-    opened = (
-        responses.withColumn("body", F.from_json("response", CANDIDATES_ENVELOPE))
-        .withColumn("part", F.get(F.get(body["candidates"], 0)["content"]["parts"], 0))
-        .withColumn("found", F.from_json(part["text"], "array<variant>"))
-    )
     unreadable = F.col("found").isNull() & ~F.coalesce(_is_null_text(part["text"]), F.lit(False))
     failure = (
         F.when(_broken(body), BAD_ENVELOPE)
@@ -121,10 +125,25 @@ def candidate_calls(responses: DataFrame) -> DataFrame:
         .when(~F.forall("found", lambda item: well_typed(item, V.WHOLE)), BAD_CONTENT)
     )
     total = F.coalesce(F.get_json_object(body["usageMetadata"], "$.totalTokenCount").try_cast("int"), F.lit(0))
-    return opened.withColumn("failure", failure).select(
-        *kept, "failure", total.cast("double").alias("total_tokens"), body["usageMetadata"].alias("usage_raw"),
-        F.when(F.col("failure").isNull(), F.coalesce("found", _no_items())).otherwise(_no_items()).alias("items"),
-    )
+    return {
+        "body": F.from_json("response", CANDIDATES_ENVELOPE),
+        "part": F.get(F.get(body["candidates"], 0)["content"]["parts"], 0),
+        "found": F.from_json(part["text"], "array<variant>"),
+        "failure": failure,
+        "total_tokens": total.cast("double").alias("total_tokens"),
+        "usage_raw": body["usageMetadata"].alias("usage_raw"),
+        "items": F.when(F.col("failure").isNull(), F.coalesce("found", _no_items())).otherwise(_no_items()).alias("items"),
+    }
+
+
+def candidate_calls(responses: DataFrame) -> DataFrame:
+    """Calls in the candidates/parts shape; one bad item loses the whole call."""
+    kept = [c for c in responses.columns if c not in ("response", "items")]
+    decoder = _candidate_columns()
+    opened = responses
+    for step in ("body", "part", "found", "failure"):
+        opened = opened.withColumn(step, decoder[step])
+    return opened.select(*kept, "failure", decoder["total_tokens"], decoder["usage_raw"], decoder["items"])
 
 
 def candidate_items(calls: DataFrame) -> DataFrame:
@@ -138,10 +157,8 @@ def candidate_items(calls: DataFrame) -> DataFrame:
     )
 
 
-def candidate_answers(responses: DataFrame) -> DataFrame:
-    """Like ``chat_calls``, for the candidates/parts shape: no itemised usage, no logprobs."""
-    calls = candidate_calls(responses)
-    kept = [c for c in calls.columns if c not in ("items", "failure", "total_tokens", "usage_raw")]
+@cache
+def _candidate_answer_columns() -> list[Column]:
     unknown = F.lit(None).cast("bigint")
     counts = [unknown.alias(name) for name in (
         "input_uncached", "cached_read", "cache_write", "output_tokens", "reasoning_tokens")]
@@ -151,7 +168,14 @@ def candidate_answers(responses: DataFrame) -> DataFrame:
         V.text_at(found["reasoning"], "$").alias("reasoning"), F.to_json(item).alias("raw"),
         F.lit(None).cast("double").alias("ev_score"),
     )))
-    return calls.select(
-        *kept, "failure", F.struct(*counts, F.col("total_tokens").alias("total"), F.col("usage_raw").alias("raw")).alias("usage"),
+    return [
+        F.struct(*counts, F.col("total_tokens").alias("total"), F.col("usage_raw").alias("raw")).alias("usage"),
         F.lit(None).cast("string").alias("logprobs"), items.alias("items"),
-    )
+    ]
+
+
+def candidate_answers(responses: DataFrame) -> DataFrame:
+    """Like ``chat_calls``, for the candidates/parts shape: no itemised usage, no logprobs."""
+    calls = candidate_calls(responses)
+    kept = [c for c in calls.columns if c not in ("items", "failure", "total_tokens", "usage_raw")]
+    return calls.select(*kept, "failure", *_candidate_answer_columns())

@@ -1,7 +1,7 @@
 """The landing zone as a stream: new payload files flow into the jobs table.
 
-Each micro-batch is the same pass as the daily run; the jobs table gets a new
-version per micro-batch. A replayed micro-batch writes the same version again.
+Each micro-batch is the same pass as the daily run and one load of the jobs table. A
+replayed micro-batch is a load that is there already, so it changes nothing.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from driftpanel.operators.liveness import upsert_jobs
+from driftpanel.operators.jobs_table import JobsTable
 from driftpanel.plans.runs import job_rows
 from driftpanel.sources.boards import parse_payloads, postings_of
 
@@ -21,23 +21,12 @@ def stream_landing(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(LANDING_SCHEMA).json(path)
 
 
-def version_path(root: str, batch_id: int) -> str:
-    return f"{root}/version={batch_id}"
-
-
 def upsert_stream(landing: DataFrame, root: str, checkpoint: str, now=F.current_timestamp) -> StreamingQuery:
     """Keeps the jobs table current until the stream is stopped; drains what is there."""
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         incoming = job_rows(postings_of(parse_payloads(batch)))
-        if batch_id > 0:
-            stored = spark.read.parquet(version_path(root, batch_id - 1))
-        else:
-            stored = spark.createDataFrame(
-                [], incoming.schema.add("first_seen", "timestamp").add("last_seen", "timestamp")
-            )
-        upsert_jobs(stored, incoming, now()).write.mode("overwrite").parquet(version_path(root, batch_id))
+        JobsTable(batch.sparkSession, root).advance(f"batch-{batch_id}", now(), incoming)
 
     return (
         landing.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)

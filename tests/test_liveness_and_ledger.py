@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftpanel.operators import latest, ledger, liveness
+from driftpanel.operators.jobs_table import JobsTable
 from driftpanel.plans.runs import write_sheet
 
 NOW = datetime(2026, 7, 29, 13, 0, tzinfo=timezone.utc)
@@ -61,13 +62,13 @@ def job(key, title):
     return ("s", moment(500), "src", title, "c", "u" + title, "{}", 1, 2, key)
 
 
-def test_upsert_is_write_once(spark):
+def test_upsert_is_write_once(spark, tmp_path):
     repeated = spark.createDataFrame([job("k1", "c"), job("k1", "b"), job("k2", "z")], JOB)
     scored = liveness.first_per_posting(repeated, liveness.WRITE_ONCE)
-    empty = spark.createDataFrame([], JOB + ", first_seen timestamp, last_seen timestamp")
-    first = liveness.upsert_jobs(empty, scored, F.lit(moment(24)))
-    second = liveness.upsert_jobs(first, spark.createDataFrame([job("k1", "changed"), job("k3", "n")], JOB), F.lit(NOW))
-    rows = {r.composite_key: r for r in second.collect()}
+    table = JobsTable(spark, str(tmp_path))
+    table.advance("1", F.lit(moment(24)), scored)
+    table.advance("2", F.lit(NOW), spark.createDataFrame([job("k1", "changed"), job("k3", "n")], JOB))
+    rows = {r.composite_key: r for r in table.read().collect()}
     assert sorted(rows) == ["k1", "k2", "k3"]
     assert rows["k1"].title == "b"
     assert (rows["k1"].first_seen, rows["k1"].last_seen) == (moment(24).replace(tzinfo=None), NOW.replace(tzinfo=None))

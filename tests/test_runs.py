@@ -2,6 +2,9 @@
 
 import json
 import sys
+import time
+import uuid
+from collections import Counter
 from dataclasses import replace
 from datetime import datetime, timezone
 
@@ -13,11 +16,15 @@ from pyspark.sql import functions as F
 
 from driftpanel.config import BandTarget, ModelConfig, RunConfig
 from driftpanel.functions.keys import with_identity
-from driftpanel.operators.ledger import read_snapshot, write_snapshot
-from driftpanel.operators.scoring import candidates_route, from_batches, grade, offline_scorer, screen
+from driftpanel.operators.jobs_table import JobsTable
+from driftpanel.operators.scoring import candidates_route, from_batches, grade, screen
+from driftpanel.operators.waves import STARTS, Landing
 from driftpanel.plans import panels
-from driftpanel.plans.runs import CallsFailed, grade_run
-from driftpanel.streaming.landing import stream_landing, upsert_stream, version_path
+from driftpanel.plans import runs
+from driftpanel.plans.runs import CallsFailed, EventsLost, grade_run, run_totals
+from driftpanel.queries.standin import offline_scorer
+from driftpanel.sources.boards import Boards
+from driftpanel.streaming.landing import stream_landing, upsert_stream
 
 # Workers cannot import this file; the scorers below travel with their code.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -44,13 +51,6 @@ def postings(spark):
     return with_identity(rows)
 
 
-def no_jobs(spark):
-    return spark.createDataFrame(
-        [], "composite_key string, stablekey string, posted_at timestamp, source string, title string, company string, url string, "
-            "payload string, description_chars int, payload_chars int, first_seen timestamp, last_seen timestamp",
-    )
-
-
 def test_two_runs_share_a_panel(spark, postings, tmp_path):
     calls = []
 
@@ -59,8 +59,8 @@ def test_two_runs_share_a_panel(spark, postings, tmp_path):
         return postings
 
     root = str(tmp_path)
-    first = grade_run(spark, CONFIG, collected, no_jobs(spark), OFFLINE, NOW, root, "r1")
-    second = grade_run(spark, CONFIG, collected, first["jobs"], OFFLINE, NOW.replace(day=30), root, "r2")
+    grade_run(spark, CONFIG, collected, OFFLINE, NOW, root, "r1")
+    second = grade_run(spark, CONFIG, collected, OFFLINE, NOW.replace(day=30), root, "r2")
     assert len(calls) == 1  # a stored panel makes collecting pointless
     assert second["events"].count() == 2 * 2 * 12
     assert second["jobs"].count() == 12
@@ -79,14 +79,14 @@ def test_two_runs_share_a_panel(spark, postings, tmp_path):
 
 def test_run_without_a_panel(spark, postings, tmp_path):
     config = replace(CONFIG, panel_enabled=False, models=MODELS[:2])
-    out = grade_run(spark, config, lambda: postings, no_jobs(spark), OFFLINE, NOW, str(tmp_path), "r1")
+    out = grade_run(spark, config, lambda: postings, OFFLINE, NOW, str(tmp_path), "r1")
     assert out["events"].count() == 54 and out["runs"].first().panel_size == -1
     # Two days on only a third of the postings is live: those are touched, the rest age out.
     later = replace(config, rescore_every_run=False, delete_aged=True)
     fewer = postings.filter(F.col("posted_at") < 20000)
     fresh = fewer.withColumn("posted_at", F.col("posted_at") + 1)
     current = fewer.unionByName(with_identity(fresh.drop("key", "stablekey", "composite_key")))
-    again = grade_run(spark, later, lambda: current, out["jobs"], OFFLINE, NOW.replace(day=31, hour=14), str(tmp_path), "r2")
+    again = grade_run(spark, later, lambda: current, OFFLINE, NOW.replace(day=31, hour=14), str(tmp_path), "r2")
     assert again["events"].filter("run_id = 'r2'").count() == 18
     rows = again["jobs"].collect()
     assert len(rows) == 36 and {r.last_seen.day for r in rows} == {31}
@@ -95,7 +95,7 @@ def test_run_without_a_panel(spark, postings, tmp_path):
 
 def test_refused_run(spark, postings, tmp_path):
     with pytest.raises(ValueError):
-        grade_run(spark, replace(CONFIG, run_mode="floor"), lambda: postings, no_jobs(spark), OFFLINE, NOW, str(tmp_path), "r")
+        grade_run(spark, replace(CONFIG, run_mode="floor"), lambda: postings, OFFLINE, NOW, str(tmp_path), "r")
 
 
 def test_panels(spark, postings, tmp_path):
@@ -179,8 +179,9 @@ def test_landing_stream(spark, tmp_path):
     drain()
     land("2.json", "ops", "qa")
     drain()
-    assert spark.read.parquet(version_path(root, 0)).count() == 2
-    assert sorted(r.title for r in spark.read.parquet(version_path(root, 1)).collect()) == ["dev", "ops", "qa"]
+    table = JobsTable(spark, root)
+    assert table.manifest().load == "batch-1" and table.manifest().number == 1
+    assert sorted(r.title for r in table.read().collect()) == ["dev", "ops", "qa"]
 
 
 def test_candidates_route_and_failed_calls(spark, postings, tmp_path):
@@ -200,7 +201,7 @@ def test_candidates_route_and_failed_calls(spark, postings, tmp_path):
     config = replace(CONFIG, panel_enabled=False, models=models)
     registry = {**OFFLINE, "candidates": candidates_route(from_batches(candidates))}
     for _ in range(2):  # a repeated attempt leaves the same tables
-        out = grade_run(spark, config, lambda: postings, no_jobs(spark), registry, NOW, str(tmp_path), "r1")
+        out = grade_run(spark, config, lambda: postings, registry, NOW, str(tmp_path), "r1")
         assert {(r.emitted_score, r.reasoning) for r in out["events"].collect()} == {(70.0, "c")}
         assert [(r.model, r.expected, r.actual, r.failed_calls) for r in out["totals"].collect()] == [("g1", 54, 54, 0)]
         assert [(r.model, r.reason) for r in out["refused"].collect()] == [("g2", "missing tpm/rpm")]
@@ -208,16 +209,134 @@ def test_candidates_route_and_failed_calls(spark, postings, tmp_path):
         assert sheet.count() == out["jobs"].select("stablekey").distinct().count()
     registry["candidates"] = candidates_route(from_batches(failing))
     with pytest.raises(CallsFailed, match="of 14 calls failed|of 1 calls failed"):
-        grade_run(spark, config, lambda: postings, no_jobs(spark), registry, NOW, str(tmp_path), "r2")
+        grade_run(spark, config, lambda: postings, registry, NOW, str(tmp_path), "r2", stop_on_failed_calls=True)
     assert spark.read.parquet(f"{tmp_path}/batch_outcomes").filter("run_id = 'r2' and outcome = 'failed'").count() > 0
 
 
-def test_a_version_that_is_read_is_not_replaced(spark, tmp_path):
-    rows = spark.range(3)
-    write_snapshot(rows, str(tmp_path / "t"), "a")
-    write_snapshot(rows.limit(2), str(tmp_path / "t"), "a")
+def counting(tmp_path, reply):
+    """A scorer that notes every call it is asked for, in a file of its own."""
+    noted = tmp_path / "noted"
+    noted.mkdir()
+
+    def score(frame):
+        for row in frame.itertuples():
+            (noted / f"{row.model}-{row.batch_index}-{uuid.uuid4().hex}").touch()
+        return answer(frame, reply)
+
+    def calls():
+        return sorted((m, int(b)) for m, b, _ in (f.name.rsplit("-", 2) for f in noted.iterdir()))
+
+    return from_batches(score), calls
+
+
+def whole(model, batch, keys):
+    return body([{"key": k, "score": 50, "reasoning": "r"} for k in keys]), None, None
+
+
+def test_a_failed_model_is_not_asked_on(spark, postings, tmp_path):
+    def reply(model, batch, keys):
+        return (None, 503, None) if model == "g1" and batch == 6 else whole(model, batch, keys)
+
+    scorer, calls = counting(tmp_path, reply)
+    outcomes, events = grade(postings, MODELS[1:], {"offline": scorer}, "i", 0.0, 1)
+    events.count()
+    outcomes.count()
+    assert STARTS[:4] == (0, 8, 72, 584)
+    # The wave of batch 6 ends with batch 7; the other model is asked everything, nobody anything twice.
+    assert calls() == sorted([("g1", b) for b in range(8)] + [("g2", b) for b in range(60)])
+    rows = {(r.model, r.batch_index): r for r in outcomes.collect()}
+    assert len(rows) == 120
+    assert all(r.attempted == (m == "g2" or b <= 6) and r.asked == (m == "g2" or b < 8) for (m, b), r in rows.items())
+    assert rows["g1", 30].outcome is None and rows["g1", 6].outcome == "failed"
+    assert {r.model: r["count"] for r in events.groupBy("model").count().collect()} == {"g1": 6, "g2": 60}
+
+
+def test_a_lost_job_asks_nothing_twice(spark, postings, tmp_path):
+    broken = tmp_path / "broken"
+    broken.touch()
+
+    def reply(model, batch, keys):
+        if batch == 13 and broken.exists():
+            time.sleep(3)  # others end before
+            raise RuntimeError("lost")
+        return whole(model, batch, keys)
+
+    scorer, calls = counting(tmp_path, reply)
+    landing = Landing(str(tmp_path / "answers"), "r1")
+    ask = lambda: grade(postings, MODELS[1:2], {"offline": scorer}, "i", 0.0, 4, landing=landing)
+    with pytest.raises(PySparkException):
+        ask()
+    asked = calls()
+    assert ("g1", 13) in asked and len(asked) > 5
+    broken.unlink()
+    _, events = ask()
+    assert events.count() == 60
+    again = Counter(calls())
+    # Only calls whose task was lost are repeated: the one that broke and those that shared its task.
+    assert set(again) == {("g1", b) for b in range(15)}
+    repeated = [call for call, n in again.items() if n > 1]
+    assert ("g1", 13) in repeated and len(repeated) <= 8
+    _, events = ask()
+    assert events.count() == 60 and Counter(calls()) == again  # a third attempt asks nothing
+
+
+def test_answers_stay(spark, postings, tmp_path):
+    config = replace(CONFIG, panel_enabled=False, models=MODELS[:2])
+    out = grade_run(spark, config, lambda: postings, OFFLINE, NOW, str(tmp_path), "r1")
+    answers = out["answers"].collect()
+    assert len(answers) == 14 and {a.run_id for a in answers} == {"r1"} and {a.wave for a in answers} == {0, 1}
+    assert json.loads(answers[0].response)["choices"] and answers[0].asked_at
+
+
+def test_nobody_to_ask(spark, postings, tmp_path):
+    """The reasons are recorded although the run can't go on."""
+    config = replace(CONFIG, panel_enabled=False, models=(replace(MODELS[0], rpm=0), replace(MODELS[1], base_url="")), screening_model="")
     with pytest.raises(ValueError):
-        write_snapshot(read_snapshot(spark, str(tmp_path / "t"), "a"), str(tmp_path / "t"), "a")
+        grade_run(spark, config, lambda: postings, OFFLINE, NOW, str(tmp_path), "r1")
+    rows = spark.read.parquet(f"{tmp_path}/refused_models").collect()
+    assert sorted((r.model, r.reason) for r in rows) == [("g1", "missing base url"), ("screener", "missing tpm/rpm")]
+
+
+def test_totals_count_events(spark):
+    """An answer that serves two postings gives two events; an answer that serves none gives none."""
+    outcomes = spark.createDataFrame([("m", True, "ok", 6), ("n", True, "failed", 0)], "model string, attempted boolean, outcome string, scores_parsed int")
+    graded = spark.createDataFrame([("m",)] * 5, "model string")
+    stored = spark.createDataFrame([("m",)] * 4, "model string")
+    rows = {r.model: tuple(r)[1:] for r in run_totals(outcomes, graded, stored).collect()}
+    assert rows == {"m": (5, 4, 0, 1), "n": (0, 0, 1, 1)}
+
+
+def test_lost_events_are_an_error(spark, postings, tmp_path, monkeypatch):
+    write = runs.append_run
+    monkeypatch.setattr(runs, "append_run", lambda rows, path, run: write(
+        rows.limit(3) if path.endswith("scoring_events") else rows, path, run))
+    config = replace(CONFIG, panel_enabled=False, models=MODELS[:2])
+    with pytest.raises(EventsLost, match="3 of 54"):
+        grade_run(spark, config, lambda: postings, OFFLINE, NOW, str(tmp_path), "r1")
+
+
+def test_funnel_of_a_run(spark, tmp_path):
+    def lever(*texts):
+        return json.dumps([{"text": t, "workplaceType": "remote", "createdAt": 1000 * i} for i, t in enumerate(texts)])
+
+    landing = spark.createDataFrame(
+        [("lever", "A", lever("dev", "ops", "dev two")), ("lever", "B", "{"), ("lever", "other", lever("dev"))],
+        "provider string, company string, payload string")
+    sources = spark.createDataFrame([("lever", "A"), ("lever", "B"), ("workday", "C")], "provider string, company string")
+    config = replace(CONFIG, panel_enabled=False, models=MODELS[:2])
+    out = grade_run(spark, config, Boards(landing, sources), OFFLINE, NOW, str(tmp_path), "r1")
+    assert {r.step: r["rows"] for r in out["funnel"].collect()} == {
+        "payloads": 2, "quarantined": 1, "fetched": 3, "unknown_provider": 1, "collected": 3, "matched": 2}
+    assert out["events"].count() == 2 and out["jobs"].count() == 2
+
+
+def test_funnel_of_a_panel_build(spark, postings, tmp_path):
+    def some(frame):
+        return answer(frame, lambda m, b, keys: whole(m, b, keys[:1]))
+
+    out = grade_run(spark, CONFIG, lambda: postings, {"offline": from_batches(some)}, NOW, str(tmp_path), "r1")
+    rows = {r.step: r["rows"] for r in out["funnel"].collect()}
+    assert rows == {"collected": 60, "matched": 54, "panel": 12, "unscored": 27}
 
 
 def test_a_build_gives_its_own_panel_and_damage_is_an_error(spark, postings, tmp_path):

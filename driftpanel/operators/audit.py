@@ -10,7 +10,6 @@ from driftpanel.functions.quota import request_interval, token_budget
 from driftpanel.operators.ordering import previous_value, trailing_sum
 
 MINUTE_MICROS = 60_000_000
-SPACING_SLICE_MICROS = 3_600_000_000
 
 
 def token_audit(calls: DataFrame, span_micros: int = MINUTE_MICROS) -> DataFrame:
@@ -31,7 +30,7 @@ def token_audit(calls: DataFrame, span_micros: int = MINUTE_MICROS) -> DataFrame
 
 def spacing_audit(calls: DataFrame, order: Sequence[str]) -> DataFrame:
     """Gap to the model's previous call, against its request interval."""
-    spaced = previous_value(calls, ["model"], "micros", order, "previous_micros", SPACING_SLICE_MICROS)
+    spaced = previous_value(calls, ["model"], "micros", order, "previous_micros")
     gap = F.col("micros") - F.col("previous_micros")
     return (
         spaced.withColumn("gap_micros", gap)

@@ -68,48 +68,68 @@ def position_overall(rows: DataFrame, order: Sequence[str | Column], out: str) -
     )
 
 
-def trailing_sum(rows: DataFrame, group: Sequence[str], micros: str, value: str, out: str,
-                 span_micros: int, slices_per_span: int = 10) -> DataFrame:
-    """Sum of ``value`` over the half-open span ``(t - span, t]`` per group.
+def sorted_slices(rows: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The rows with the number of their slice in the order of group and ``order``.
 
-    Time is cut into slices of several spans. The tail of each slice is copied
-    into the next one, so a slice alone can answer for its own rows.
+    Slices hold about equally many rows, however these crowd together in time or in
+    one group; rows equal in group and order share one. They are materialised once, so
+    that the borders are the same for every consumer.
     """
-    width = span_micros * slices_per_span
-    home = F.floor(F.col(micros) / width)
-    in_tail = F.col(micros) > (home + 1) * width - span_micros
-    sliced = rows.withColumn("_home", home).withColumn(
-        "_slice",
-        F.explode(F.when(in_tail, F.array(home, home + 1)).otherwise(F.array(home))),
-    )
-    window = (
-        Window.partitionBy(*group, "_slice").orderBy(micros).rangeBetween(-(span_micros - 1), 0)
-    )
-    return (
-        sliced.withColumn(out, F.sum(value).over(window))
-        .filter(F.col("_slice") == F.col("_home"))
-        .drop("_slice", "_home")
-    )
+    ranged = rows.repartitionByRange(*group, *order)
+    return cut_lineage(ranged.withColumn("_part", F.spark_partition_id()))
 
 
-def previous_value(rows: DataFrame, group: Sequence[str], micros: str, order: Sequence[str], out: str,
-                   width_micros: int) -> DataFrame:
-    """``micros`` of the row before, per group, across time slices.
+def carried_over(totals: DataFrame, group: Sequence[str], value: str, carry: Column) -> DataFrame:
+    """``carry``, over the group's earlier slices, for the slices that go on with a group.
 
-    Within a slice it is a lag; the first row of a slice takes the latest moment
-    of the slices before it, of which there is one row each.
+    In sorted slices only the first group of a slice has earlier ones: at most one row a
+    slice is left, which may be broadcast.
     """
-    sliced = rows.withColumn("_slice", F.floor(F.col(micros) / width_micros))
-    keys = [*group, "_slice"]
-    lasts = (
-        sliced.groupBy(*keys).agg(F.max(micros).alias("_last"))
-        .withColumn("_carry", F.lag("_last").over(Window.partitionBy(*group).orderBy("_slice")))
-        .drop("_last")
-    )
-    inside = F.lag(micros).over(Window.partitionBy(*keys).orderBy(micros, *order))
-    return (
-        sliced.withColumn("_inside", inside)
-        .join(lasts, keys)
-        .withColumn(out, F.coalesce("_inside", "_carry"))
-        .drop("_slice", "_inside", "_carry")
-    )
+    before = totals.select("_part", *group, carry.alias(value))
+    return F.broadcast(before.filter(F.col(value).isNotNull()))
+
+
+def same_group(left: DataFrame, right: DataFrame, group: Sequence[str]) -> Column:
+    match = left["_part"] == right["_part"]
+    for name in group:
+        match = match & left[name].eqNullSafe(right[name])
+    return match
+
+
+def trailing_sum(rows: DataFrame, group: Sequence[str], micros: str, value: str, out: str,
+                 span_micros: int) -> DataFrame:
+    """Sum of ``value`` over the half-open span ``(t - span, t]`` per group.
+
+    Each row adds its value at its moment and takes it away one span later, so the sum is
+    one running total: linear in the rows, however many of them share a span.
+    """
+    leaves = rows.select(
+        *group, (F.col(micros) + span_micros).alias(micros), (-F.col(value)).alias("_delta"), F.lit(False).alias("_asks"))
+    marks = rows.withColumn("_delta", F.col(value)).withColumn("_asks", F.lit(True)).unionByName(
+        leaves, allowMissingColumns=True)
+    sliced = sorted_slices(marks, group, [micros])
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = sliced.groupBy("_part", *group).agg(F.sum("_delta").alias("_total"))
+    carry = carried_over(totals, group, "_before", F.sum("_total").over(earlier))
+    # Rows of the same moment count for each other.
+    running = Window.partitionBy("_part", *group).orderBy(micros).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = sliced.withColumn("_inside", F.sum("_delta").over(running)).filter("_asks")
+    total = F.col("_inside") + F.coalesce(F.col("_before"), F.lit(0))
+    return summed.join(carry, same_group(summed, carry, group), "left").select(
+        *[summed[c] for c in rows.columns], total.alias(out))
+
+
+def previous_value(rows: DataFrame, group: Sequence[str], micros: str, order: Sequence[str], out: str) -> DataFrame:
+    """``micros`` of the row before, per group.
+
+    Within a slice it is a lag; the first row of a slice takes the latest moment of the
+    slice before it that has rows of the group.
+    """
+    sliced = sorted_slices(rows, group, [micros, *order])
+    lasts = sliced.groupBy("_part", *group).agg(F.max(micros).alias("_last"))
+    latest = F.lag("_last").over(Window.partitionBy(*group).orderBy("_part"))
+    carry = carried_over(lasts, group, "_carry", latest)
+    inside = F.lag(micros).over(Window.partitionBy("_part", *group).orderBy(micros, *order))
+    lagged = sliced.withColumn("_inside", inside)
+    return lagged.join(carry, same_group(lagged, carry, group), "left").select(
+        *[lagged[c] for c in rows.columns], F.coalesce("_inside", "_carry").alias(out))

@@ -4,16 +4,16 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from driftpanel.operators.correlate import correlate, correlate_calls
+from driftpanel.operators.correlate import batch_chunks, correlate, correlate_calls
 
 JOBS = "b int, pos int, key string"
 RESULTS = "b int, pos int, job_key string, emitted_score double, ev_score double, raw string"
 
 
-def run(spark, jobs, results):
+def run(spark, jobs, results, in_row=256):
     events = correlate(
         spark.createDataFrame(jobs, JOBS), spark.createDataFrame(results, RESULTS), ["b"], [],
-        ["emitted_score", "ev_score", "raw"],
+        ["emitted_score", "ev_score", "raw"], in_row,
     )
     return {(r.b, r.job_pos): (r.result_pos, r.emitted_score, r.ev_score, r.raw) for r in events.collect()}
 
@@ -79,5 +79,22 @@ def test_random_batches(spark):
             (batch, i, rng.choice(keys), float(rng.randrange(100)), rng.choice([None, 1.5]), f"r{i}")
             for i in range(rng.randrange(0, size + 2))
         ]
-    assert run(spark, jobs, results) == by_hand(jobs, results)
+    wanted = by_hand(jobs, results)
+    for in_row in (256, 16, 2):  # no batch, one batch, and most batches go beyond a row
+        assert run(spark, jobs, results, in_row) == wanted
     assert run_calls(spark, jobs, results) == by_hand(jobs, results)
+
+
+def test_one_shuffle_and_bounded_rows(spark):
+    """Two scans and one shuffle gather both sides; a large batch is spread over rows."""
+    jobs = spark.range(5000).selectExpr("0 as b", "cast(id as int) as pos", "'' as key")
+    results = spark.range(5000).selectExpr("0 as b", "cast(id as int) as pos", "'' as job_key", "1.0D as emitted_score", "cast(null as double) as ev_score")
+    chunks = batch_chunks(jobs, results, ["b"], [], [], 64)
+    plan = chunks._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Range (") == 2
+    sizes = chunks.select(F.size("jobs").alias("j"), F.size("items").alias("i")).collect()
+    assert len(sizes) == 79 and all(max(r.j, r.i) <= 64 for r in sizes)
+    events = correlate(jobs, results, ["b"], [], [], 64)
+    assert events.filter("job_pos = result_pos and emitted_score = -2").count() == 5000
+    small = correlate(jobs.withColumn("b", F.col("pos")), results.withColumn("b", F.col("pos")), ["b"], [], [], 5000)
+    assert "Exchange" not in small._jdf.queryExecution().executedPlan().toString()

@@ -267,6 +267,38 @@ def loaded(model: str, cache: dict) -> Pieces:
 _CACHE: dict = {}
 
 
+def segmented(texts: pa.Array, keys: pa.Array, pieces: Pieces, seed: int) -> tuple[pa.Array, pa.Array]:
+    """Each text's piece ids, and whether they spell it."""
+    data, offsets = ts.utf8(texts)
+    ids, first = encoded(data, offsets, keys.to_numpy().view(U), pieces, seed)
+    back, ends = decoded(ids, first, pieces)
+    same = np.diff(ends) == np.diff(offsets)
+    if len(back) == len(data):
+        same &= ts.sums(back != data, offsets) == 0
+    else:
+        same &= [bytes(back[ends[i] : ends[i + 1]]) == bytes(data[offsets[i] : offsets[i + 1]]) for i in range(len(same))]
+    return ts.list_column(ids, first), pa.array(same)
+
+
+def with_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str = MODEL, seed: int = 0) -> DataFrame:
+    """The documents with `pieces`, `n_pieces` and `lossless`, as `encode` gives them; Python sees keys and texts alone."""
+    prepared(docs.sparkSession)
+    kind = T.StructType([T.StructField("pieces", T.ArrayType(T.IntegerType())), T.StructField("lossless", T.BooleanType())])
+
+    def run(texts: pa.Array, keys: pa.Array) -> pa.Array:
+        pieces = loaded(model, _CACHE)
+        batch = pa.RecordBatch.from_arrays([texts, keys], ["text", "key"])
+        parts = [pa.StructArray.from_arrays(segmented(part.column("text"), part.column("key"), pieces, seed), ["pieces", "lossless"])
+                 for part in ts.slices(iter([batch]), "text", STEP)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("pieces", pa.list_(pa.int32())), ("lossless", pa.bool_())]))
+
+    found = F.arrow_udf(run, kind)(docs[text], F.xxhash64(docs[key]))
+    own = [docs[c] for c in docs.columns]
+    return docs.select(*own, found.alias("_found")).select(
+        *[F.col(f"`{c}`") for c in docs.columns], F.col("_found.pieces").alias("pieces"),
+        F.size("_found.pieces").alias("n_pieces"), F.col("_found.lossless").alias("lossless"))
+
+
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str = MODEL, seed: int = 0,
            carry: Column | None = None) -> DataFrame:
     """Per row: key, pieces (ids), lossless (whether decoding gave the text back); `carry` travels along as it is."""
@@ -279,16 +311,8 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
     def run(batches: Arrow) -> Arrow:
         pieces = loaded(model, _CACHE)
         for batch in ts.slices(batches, "text", STEP):
-            data, offsets = ts.utf8(batch.column("text"))
-            keys = batch.column("row_key").to_numpy().view(U)
-            ids, first = encoded(data, offsets, keys, pieces, seed)
-            back, ends = decoded(ids, first, pieces)
-            same = np.diff(ends) == np.diff(offsets)
-            if len(back) == len(data):
-                same &= ts.sums(back != data, offsets) == 0
-            else:
-                same &= [bytes(back[ends[i] : ends[i + 1]]) == bytes(data[offsets[i] : offsets[i + 1]]) for i in range(len(same))]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("carry"), ts.list_column(ids, first), pa.array(same)],
+            ids, same = segmented(batch.column("text"), batch.column("row_key"), pieces, seed)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("carry"), ids, same],
                                              ["key", "carry", "pieces", "lossless"])
 
     return rows.mapInArrow(run, out)

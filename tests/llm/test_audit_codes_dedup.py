@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftpanel.llm import exact_dedup, source_audit, vector_codes
+from driftpanel.llm import exact_dedup, piece_sampling, source_audit, vector_codes
 from driftpanel.llm.queries import ORACLES, QUERIES
 
 RANDOM = random.Random(11)
@@ -270,3 +270,15 @@ def test_dedup_runs_no_python(spark):
     assert "Arrow" not in plan and "Python" not in plan
     rows = exact_dedup.located(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), "doc_id", "text", exact_dedup.sha256)
     assert "Python" not in rows._jdf.queryExecution().toString()
+
+
+def test_pieces_beside_documents(spark):
+    """As `encode` gives them; other columns, whatever their names, stay as they are."""
+    texts = ["one two", "", None, "日本語 text\n\nmore", "x" * 5000, "one two"]
+    docs = spark.createDataFrame([(k if k else None, t, "kept", [k]) for k, t in enumerate(texts)], "doc_id long, text string, `key` string, carry array<int>")
+    found = piece_sampling.with_pieces(docs)
+    assert found.columns == ["doc_id", "text", "key", "carry", "pieces", "n_pieces", "lossless"]
+    rows = sorted((r["doc_id"] or 0, r["pieces"], r["lossless"]) for r in found.collect())
+    assert rows == sorted((r["key"] or 0, r["pieces"], r["lossless"]) for r in piece_sampling.encode(docs).collect())
+    assert all(r[2] for r in rows) and rows[1][1] == [] and rows[0][1] != []
+    assert piece_sampling.with_pieces(docs.limit(0)).isEmpty()

@@ -17,16 +17,24 @@ from driftpanel.llm.contamination import clean
 from driftpanel.llm.jaccard_join import one_of_each
 from driftpanel.llm.language import identify
 from driftpanel.llm.line_dedup import dedup_lines
-from driftpanel.llm.piece_sampling import encode
+from driftpanel.llm.piece_sampling import with_pieces
 
 
-def whole(docs: DataFrame):
-    return F.struct(*[docs[c] for c in docs.columns])
+def besides(docs: DataFrame, *left_out: str):
+    """A document's other columns, as one."""
+    return F.struct(*[docs[c] for c in docs.columns if c not in left_out])
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that can be told, by text, declared language and source."""
-    return identify(docs, "doc_id", "text", "lang", "source", carry=whole(docs)).filter("kept").select("carry.*")
+    """Documents in a language that can be told, by text, declared language and source.
+
+    Documents that agree in what is looked at are judged alike, so the few that are rejected
+    are taken out by that; the others never travel.
+    """
+    looked_at = F.xxhash64("text", "lang", "source")
+    found = identify(docs, "doc_id", "text", "lang", "source", carry=looked_at)
+    rejected = stored(found.filter(~F.col("kept")).select("id", F.col("carry").alias("looked_at")).distinct(), "rejected")
+    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["id"]) & (looked_at == rejected["looked_at"]), "left_anti")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +44,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     left in the others; so does one whose whole text equals an earlier one. `n_chars` follows
     the text.
     """
-    found = dedup_lines(docs, carry=whole(docs), equal_from=1)
+    found = dedup_lines(docs, carry=besides(docs, "text"), equal_from=1)
     gone = F.col("n_equal") + F.col("n_near")
     left = found.filter((gone == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     changed = {"text": F.col("text"), "n_chars": F.when(gone > 0, F.length("text").cast("long")).otherwise(F.col("carry.n_chars"))}
@@ -55,7 +63,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def sampled_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a sampled segmentation; `lossless` says that decoding gives the text back."""
-    return encode(docs, carry=whole(docs)).select("carry.*", "pieces", F.size("pieces").alias("n_pieces"), "lossless")
+    return with_pieces(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -8,6 +8,7 @@ of documents.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,11 +21,29 @@ from driftpanel.llm.line_dedup import dedup_lines
 from driftpanel.llm.piece_sampling import with_pieces
 
 
+# The stages' Python workers live on through all of them. What they free goes back to the
+# machine at once, instead of staying with each of them for its largest batch so far.
+FRUGAL = {
+    "MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": "262144", "MALLOC_TRIM_THRESHOLD_": "262144",
+    "ARROW_DEFAULT_MEMORY_POOL": "system", "OMP_NUM_THREADS": "1", "OPENBLAS_NUM_THREADS": "1",
+}
+
+
+def frugal(stage: Callable) -> Callable:
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.sparkContext.environment.update(FRUGAL)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 def besides(docs: DataFrame, *left_out: str):
     """A document's other columns, as one."""
     return F.struct(*[docs[c] for c in docs.columns if c not in left_out])
 
 
+@frugal
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that can be told, by text, declared language and source.
 
@@ -37,6 +56,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["id"]) & (looked_at == rejected["looked_at"]), "left_anti")
 
 
+@frugal
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that stood before, in any document, or nearly so.
 
@@ -51,16 +71,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return left.select(*[changed.get(c, F.col(f"carry.`{c}`")).alias(c) for c in docs.columns])
 
 
+@frugal
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
     return one_of_each(docs, n=5, percent=80)
 
 
+@frugal
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no ten words in a row with a benchmark item."""
     return clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+@frugal
 def sampled_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a sampled segmentation; `lossless` says that decoding gives the text back."""
     return with_pieces(docs)

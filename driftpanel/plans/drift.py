@@ -8,10 +8,13 @@ tasks finish.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 EXACT = "decimal(18,6)"
 DAY_MICROS = 86_400_000_000
+TOKEN_KINDS = ("input_uncached", "cached_read", "cache_write", "output_tokens", "reasoning_tokens")
 
 
 def exact(value: Column) -> Column:
@@ -26,10 +29,10 @@ def spread_of(value: str) -> Column:
     return F.stddev_samp(value)
 
 
-def price_validity(prices: DataFrame, last_micros: Column) -> DataFrame:
+def price_validity(prices: DataFrame, last_micros: Column, keys: Sequence[str] = ("model",)) -> DataFrame:
     """One row per price and day it is valid on, up to ``last_micros``."""
-    by_model = Window.partitionBy("model").orderBy("effective_micros")
-    bounded = prices.withColumn("until", F.lead("effective_micros").over(by_model)).withColumn(
+    by_key = Window.partitionBy(*keys).orderBy("effective_micros")
+    bounded = prices.withColumn("until", F.lead("effective_micros").over(by_key)).withColumn(
         "last", F.coalesce(F.col("until") - 1, F.greatest(last_micros, F.col("effective_micros")))
     )
     first_day = F.floor(F.col("effective_micros") / DAY_MICROS)
@@ -37,28 +40,57 @@ def price_validity(prices: DataFrame, last_micros: Column) -> DataFrame:
     return bounded.withColumn("epoch_day", F.explode(F.sequence(first_day, last_day))).drop("last")
 
 
-def cost_as_of(calls: DataFrame, prices: DataFrame) -> DataFrame:
+def cost_as_of(calls: DataFrame, prices: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:
     """Cost of each call at the price in force when it was made.
 
     Prices are spread over the days they hold, so the as-of join is an equi-join
-    on model and day; neither side needs to be small and a busy model is split by
+    on the keys and day; neither side needs to be small and a busy model is split by
     day. A call before the first price has no cost.
     """
     horizon = calls.agg(F.max("micros")).scalar()
-    valid = price_validity(prices, horizon).select("model", "epoch_day", "effective_micros", "until", "price")
+    valid = price_validity(prices, horizon, keys).select(*keys, "epoch_day", "effective_micros", "until", "price")
     at = F.col("micros")
     placed = calls.withColumn("epoch_day", F.floor(at / DAY_MICROS))
     c, p = placed.alias("c"), valid.alias("p")
     hit = (
-        (F.col("c.model") == F.col("p.model")) & (F.col("c.epoch_day") == F.col("p.epoch_day"))
+        (F.col("c.epoch_day") == F.col("p.epoch_day"))
         & (F.col("p.effective_micros") <= F.col("c.micros"))
         & (F.col("p.until").isNull() | (F.col("c.micros") < F.col("p.until")))
     )
+    for key in keys:
+        hit = (F.col(f"c.{key}") == F.col(f"p.{key}")) & hit
     return c.join(p, hit, "left").select(
         "c.*", F.col("p.price").alias("price"), (F.col("c.tokens") * F.col("p.price")).alias("cost")
     ).drop("epoch_day")
 
 
+def cost_by_kind(calls: DataFrame, prices: DataFrame, call: Sequence[str],
+                 kinds: Sequence[str] = TOKEN_KINDS) -> DataFrame:
+    """Cost of each kind of token of each call; prices hold per model and kind.
+
+    A count that the provider did not itemise is null and stays so: its cost is not
+    known. Tokens of a kind without a price have no cost either, unless there are none.
+    """
+    lines = calls.select(*call, "model", "micros", *kinds).unpivot(
+        [*call, "model", "micros"], list(kinds), "kind", "tokens")
+    priced = cost_as_of(lines, prices, ("model", "kind"))
+    return priced.withColumn("cost", F.when(F.col("tokens") == 0, 0.0).otherwise(F.col("cost")))
+
+
+def call_costs(lines: DataFrame, call: Sequence[str]) -> DataFrame:
+    """Per call: what is known of its cost, and how many kinds are missing from that.
+
+    ``cost`` is null unless every kind is known and priced.
+    """
+    known = F.coalesce(F.sum(exact(F.col("cost"))).cast("double"), F.lit(0.0))
+    summed = lines.groupBy(*call).agg(
+        known.alias("known_cost"), F.count_if(F.col("tokens").isNull()).alias("unknown_kinds"),
+        F.count_if(F.col("tokens").isNotNull() & F.col("cost").isNull()).alias("unpriced_kinds"),
+    )
+    complete = (F.col("unknown_kinds") == 0) & (F.col("unpriced_kinds") == 0)
+    return summed.withColumn("cost", F.when(complete, F.col("known_cost")))
+
+
 def drift_by_day(ledger: DataFrame) -> DataFrame:
     """Daily mean per model, against the day before and the first day."""
     daily = ledger.groupBy("model", "day").agg(

@@ -22,23 +22,84 @@ PRICES_SQL = f"""
         FROM (SELECT event_type AS model, date_trunc('week', ts + INTERVAL 5 DAY) AS week, value FROM events) GROUP BY ALL)"""
 
 
+def _prices(spark, sf_dir):
+    """Weekly prices per model; the first days have none."""
+    week = F.date_trunc("week", F.col("ts") + F.expr("interval 5 days"))
+    return (
+        spark.read.parquet(f"{sf_dir}/events.parquet")
+        .groupBy(F.col("event_type").alias("model"), F.unix_micros(week.cast("timestamp")).alias("effective_micros"))
+        .agg(F.round(drift.mean_of("value"), 4).alias("price"))
+    )
+
+
 @registered(sql_over("ledger", body=PRICES_SQL + """
     SELECT l.event_id, l.model, p.price, round(l.tokens * p.price, 4) AS cost
     FROM ledger l ASOF LEFT JOIN prices p ON l.model = p.model AND l.micros >= p.effective_micros"""))
 def cost_asof(spark, sf_dir):
     """Cost per call at the price in force; prices change weekly, and the first days have none."""
-    rows = ledger(spark, sf_dir)
-    prices = (
-        spark.read.parquet(f"{sf_dir}/events.parquet")
-        .select(F.col("event_type").alias("model"), F.date_trunc("week", F.col("ts") + F.expr("interval 5 days")).alias("week"), "value")
-        .groupBy("model", F.unix_micros(F.col("week").cast("timestamp")).alias("effective_micros"))
-        .agg(F.round(drift.mean_of("value"), 4).alias("price"))
-    )
-    return drift.cost_as_of(rows.select("event_id", "model", "micros", "tokens"), prices).select(
+    rows = ledger(spark, sf_dir).select("event_id", "model", "micros", "tokens")
+    return drift.cost_as_of(rows, _prices(spark, sf_dir)).select(
         "event_id", "model", "price", F.round("cost", 4).alias("cost")
     )
 
 
+# Share of the model's price that a kind of token costs; writing to the cache has none.
+KIND_SHARES = {"input_uncached": 1.0, "cached_read": 0.5, "output_tokens": 2.0, "reasoning_tokens": 2.0}
+KIND_TOKENS_SQL = """
+    , kinds AS (
+        SELECT event_id, model, micros, unnest([
+            {'kind': 'input_uncached', 'tokens': CASE WHEN event_id % 3 <> 0 THEN tokens END},
+            {'kind': 'cached_read', 'tokens': CASE WHEN event_id % 3 <> 0 THEN tokens // 2 END},
+            {'kind': 'cache_write', 'tokens': CASE WHEN event_id % 5 = 0 THEN 1 WHEN event_id % 5 = 1 THEN 0 END},
+            {'kind': 'output_tokens', 'tokens': tokens + 1},
+            {'kind': 'reasoning_tokens', 'tokens': CASE WHEN event_id % 2 = 0 THEN tokens // 4 ELSE 0 END}], recursive := true)
+        FROM ledger),
+    shares(kind, share) AS (VALUES ('input_uncached', 1.0::DOUBLE), ('cached_read', 0.5::DOUBLE), ('output_tokens', 2.0::DOUBLE),
+                                   ('reasoning_tokens', 2.0::DOUBLE)),
+    kind_prices AS (SELECT model, kind, effective_micros, price * share AS price FROM prices, shares),
+    lines AS (
+        SELECT k.*, p.price, CASE WHEN tokens = 0 THEN 0.0::DOUBLE ELSE tokens * p.price END AS cost
+        FROM kinds k ASOF LEFT JOIN kind_prices p ON k.model = p.model AND k.kind = p.kind AND k.micros >= p.effective_micros)"""
+
+
+def _cost_lines(spark, sf_dir):
+    event, tokens = F.col("event_id"), F.col("tokens")
+    calls = ledger(spark, sf_dir).select(
+        "event_id", "model", "micros",
+        F.when(event % 3 != 0, tokens).alias("input_uncached"),
+        F.when(event % 3 != 0, F.floor(tokens / 2)).alias("cached_read"),
+        F.when(event % 5 == 0, 1).when(event % 5 == 1, 0).cast("bigint").alias("cache_write"),
+        (tokens + 1).alias("output_tokens"),
+        F.when(event % 2 == 0, F.floor(tokens / 4)).otherwise(0).cast("bigint").alias("reasoning_tokens"),
+    )
+    shares = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(v).alias("share")) for k, v in KIND_SHARES.items()]))
+    prices = _prices(spark, sf_dir).select("*", shares.alias("s")).select(
+        "model", "s.kind", "effective_micros", (F.col("price") * F.col("s.share")).alias("price"))
+    return drift.cost_by_kind(calls, prices, ["event_id"])
+
+
+@registered(sql_over("ledger", body=PRICES_SQL + KIND_TOKENS_SQL + """
+    SELECT event_id, kind, tokens, round(price, 6) AS price, round(cost, 6) AS cost FROM lines"""))
+def cost_by_token_kind(spark, sf_dir):
+    """Each kind of token at its own price; what was not itemised has no cost."""
+    return _cost_lines(spark, sf_dir).select(
+        "event_id", "kind", "tokens", F.round("price", 6).alias("price"), F.round("cost", 6).alias("cost"))
+
+
+@registered(sql_over("ledger", body=PRICES_SQL + KIND_TOKENS_SQL + """
+    , sums AS (
+        SELECT event_id, coalesce(CAST(sum(CAST(cost AS DECIMAL(18,6))) AS DOUBLE), 0) AS known_cost,
+               count(*) FILTER (WHERE tokens IS NULL) AS unknown_kinds,
+               count(*) FILTER (WHERE tokens IS NOT NULL AND cost IS NULL) AS unpriced_kinds
+        FROM lines GROUP BY event_id)
+    SELECT event_id, known_cost, unknown_kinds, unpriced_kinds,
+           CASE WHEN unknown_kinds = 0 AND unpriced_kinds = 0 THEN known_cost END AS cost
+    FROM sums"""))
+def cost_per_call(spark, sf_dir):
+    """A call's cost, where all of it is known."""
+    return drift.call_costs(_cost_lines(spark, sf_dir), ["event_id"])
+
+
 @registered(sql_over("valid_ledger", body=f"""
     , d AS (SELECT model, day, count(score) AS n, {exact_mean('score')} AS mean_score, stddev_samp(score) AS sd_score
             FROM valid_ledger GROUP BY ALL)

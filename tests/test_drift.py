@@ -21,3 +21,22 @@ def test_a_batch_size_without_scores_or_calls_stays(spark):
 
 def test_no_request_quota_has_no_interval(value_of):
     assert value_of(request_interval(F.col("r")), r=0) is None and value_of(request_interval(F.col("r")), r=60) == 2
+
+
+def test_cost_by_kind(spark):
+    """Unknown counts and missing prices stay apart from zero, and each kind has its own history of prices."""
+    calls = spark.createDataFrame(
+        [(1, "m", 10, 100, 50, 0, 7, 0), (2, "m", 20, 100, 50, 0, 7, 0), (3, "m", 20, None, None, None, 7, None), (4, "m", 20, 1, 0, 2, 0, 0),
+         (5, "other", 20, 0, 0, 0, 0, 0)],
+        "id int, model string, micros bigint, input_uncached bigint, cached_read bigint, cache_write bigint, output_tokens bigint, reasoning_tokens bigint")
+    prices = spark.createDataFrame(
+        [("m", "input_uncached", 0, 1.0), ("m", "input_uncached", 15, 2.0), ("m", "cached_read", 15, 0.5), ("m", "output_tokens", 0, 3.0)],
+        "model string, kind string, effective_micros bigint, price double")
+    lines = drift.cost_by_kind(calls, prices, ["id"])
+    found = {(r.id, r.kind): r.cost for r in lines.collect()}
+    assert len(found) == 25
+    assert found[1, "input_uncached"] == 100 and found[2, "input_uncached"] == 200  # the price of its moment
+    assert found[1, "cached_read"] is None and found[2, "cached_read"] == 25 and found[4, "cached_read"] == 0
+    assert found[3, "input_uncached"] is None and found[3, "cache_write"] is None and found[4, "cache_write"] is None
+    totals = {r.id: (r.known_cost, r.unknown_kinds, r.unpriced_kinds, r.cost) for r in drift.call_costs(lines, ["id"]).collect()}
+    assert totals == {1: (121.0, 0, 1, None), 2: (246.0, 0, 0, 246.0), 3: (21.0, 4, 0, None), 4: (2.0, 0, 1, None), 5: (0.0, 0, 0, 0.0)}

@@ -7,7 +7,8 @@ word's insertion, deletion or substitution away; of shorter lines a word is too
 part for that. Lines with the same id and place are not earlier than each other; null
 ids come last.
 
-Equal lines are folded first. Of the distinct ones, those that share half of their
+Equal lines are folded first, by two unrelated 64-bit functions of their words: `hash`,
+from which the keys below are made, and `proof`; both must agree. Of the distinct ones, those that share half of their
 words with no other can't be near another and are left aside: two lines within one edit
 have the same first or the same last half. The others emit a hashed key for each word
 left out, alone (it meets the line that lacks the word) and with the place (it meets the
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,9 +55,17 @@ class Lines:
         self.words = ts.Sequence(found.hashes)
         self.hash = self.words.of(self.first, self.last)
         self.bytes = (data, starts[long], ends[long])
+        self.lowered = found.data
 
+    def proofs(self, which: slice | np.ndarray = slice(None)) -> np.ndarray:
+        """Of the lines' words as they are, without the arithmetic of the other hash."""
+        raw, (_, starts, ends) = self.lowered.tobytes(), self.bytes
+        words = (raw[a:b].split() for a, b in zip(starts[which].tolist(), ends[which].tolist(), strict=True))
+        return np.array([xxhash.xxh3_64_intdigest(b" ".join(w)) for w in words], U)
 
-PLACES = "id long, row long, line int, hash long, keys array<long>"
+
+LINE = ["hash", "proof"]  # the same words
+PLACES = "id long, row long, line int, hash long, proof long, keys array<long>"
 
 
 def places(equal_from: int):
@@ -72,23 +82,26 @@ def places(equal_from: int):
             at = pa.array(x.row)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id").take(at), batch.column("row").take(at), pa.array(x.number.astype(np.int32)), pa.array(ts.signed(x.hash)),
-                 ts.list_column(ts.signed(flat), np.concatenate([[0], np.cumsum(n)]))], ["id", "row", "line", "hash", "keys"])
+                 pa.array(ts.signed(x.proofs())), ts.list_column(ts.signed(flat), np.concatenate([[0], np.cumsum(n)]))],
+                ["id", "row", "line", "hash", "proof", "keys"])
 
     return scan
 
 
 def texts_of(held):
-    """The lines whose hash the bitmap may hold, each hash once per batch."""
+    """The lines whose hash the bitmap may hold, each once per batch."""
 
     def scan(batches: Arrow) -> Arrow:
         for batch in ts.slices(batches, "text"):
             x = Lines(batch.column("text"))
             which = np.flatnonzero(may_hold(held.value, x.hash))
-            hashes, at = np.unique(x.hash[which], return_index=True)
+            lines = np.stack([x.hash[which], x.proofs(which)], axis=1)
+            lines, at = np.unique(lines, axis=0, return_index=True)
             data, starts, ends = x.bytes
             raw = data.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ts.signed(hashes)), pa.array([raw[starts[k] : ends[k]].decode() for k in which[at]], pa.string())], ["hash", "text"])
+                [*(pa.array(ts.signed(lines[:, k])) for k in (0, 1)),
+                 pa.array([raw[starts[k] : ends[k]].decode() for k in which[at]], pa.string())], [*LINE, "text"])
 
     return scan
 
@@ -130,27 +143,27 @@ def verified(batches: Arrow) -> Arrow:
     split = lambda t: t.encode().translate(LOWER).split()  # noqa: E731  on the same white space
     for batch in batches:
         near = [one_edit(split(a), split(b)) for a, b in zip(batch.column("text").to_pylist(), batch.column("earlier_text").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("hash").filter(pa.array(near, pa.bool_()))], ["hash"])
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(near, pa.bool_())) for c in LINE], LINE)
 
 
 LOWER = bytes(ts.LOWER)
 
 
 def near_lines(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Hashes of lines with an earlier line one edit away. classes has (hash, place, keys)."""
+    """Lines with an earlier line one edit away. classes has (hash, proof, place, keys)."""
     spark = rows.sparkSession
     # Keys of first and last halves take turns.
-    halves = classes.select("hash", F.posexplode("keys").alias("side", "key"))
-    shared = halves.groupBy("key").agg(F.min("hash").alias("a"), F.max("hash").alias("b")).filter("a <> b").select("key")
-    sides = (halves.join(shared, "key").groupBy("hash")
+    halves = classes.select(*LINE, F.posexplode("keys").alias("side", "key"))
+    shared = halves.groupBy("key").agg(F.min(F.struct(*LINE)).alias("a"), F.max(F.struct(*LINE)).alias("b")).filter("a <> b").select("key")
+    sides = (halves.join(shared, "key").groupBy(*LINE)
              .agg(F.bool_or(F.col("side") % 2 == 0).alias("head"), F.bool_or(F.col("side") % 2 == 1).alias("tail")))
     sides = stored(sides, "line-candidates")
     held = spark.sparkContext.broadcast(bitmap(sides, "hash"))
     # A number for each candidate's place: one long to compare.
-    candidates = classes.join(sides, "hash").select("hash", "place", "head", "tail")
-    ranked = position_overall(candidates, [F.col("place"), F.col("hash")], "rank")
-    texts = rows.select("text").mapInArrow(texts_of(held), "hash long, text string").groupBy("hash").agg(F.min("text").alias("text"))
-    lines = stored(texts.join(ranked, "hash"), "line-texts")
+    candidates = classes.join(sides, LINE).select(*LINE, "place", "head", "tail")
+    ranked = position_overall(candidates, [F.col("place"), *map(F.col, LINE)], "rank")
+    texts = rows.select("text").mapInArrow(texts_of(held), "hash long, proof long, text string").groupBy(*LINE).agg(F.min("text").alias("text"))
+    lines = stored(texts.join(ranked, LINE), "line-texts")
     keys = lines.select("text", "rank", "head", "tail").mapInArrow(variants, "key long, kind int, rank long")
     # Kind 2 meets kind 2; kind 1 meets kind 0 and the other way round.
     side = keys.withColumn("space", F.col("kind") == 2)
@@ -161,12 +174,12 @@ def near_lines(rows: DataFrame, classes: DataFrame) -> DataFrame:
     met = side.join(first, ["space", "key"])
     earlier = F.when(F.col("kind") == 0, F.col("part")).otherwise(F.col("whole"))
     links = met.select("rank", earlier.alias("earlier")).filter("earlier < rank").distinct()
-    one = lines.select("rank", "hash", "place", "text")
+    one = lines.select("rank", *LINE, "place", "text")
     other = lines.select(F.col("rank").alias("earlier"), F.col("place").alias("earlier_place"), F.col("text").alias("earlier_text"))
     # The ranks of lines with the same id and number differ, but neither is earlier.
     before = (F.col("earlier_place.id") < F.col("place.id")) | (F.col("earlier_place.line") < F.col("place.line"))
     pairs = links.join(one, "rank").join(other, "earlier").filter(before)
-    return stored(pairs.select("hash", "text", "earlier_text").mapInArrow(verified, "hash long").distinct(), "near-lines")
+    return stored(pairs.select(*LINE, "text", "earlier_text").mapInArrow(verified, "hash long, proof long").distinct(), "near-lines")
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: Column | None = None,
@@ -178,14 +191,14 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", car
                        (carry if carry is not None else F.lit(None).cast("int")).alias("carry"))
     found = stored(rows.select("id", "row", "text").mapInArrow(places(equal_from), PLACES), "line-places")
     place = F.struct(F.coalesce("id", F.lit(LAST)).alias("id"), "line", "row").alias("place")
-    classes = stored(found.select("hash", place, "keys").groupBy("hash").agg(F.min("place").alias("place"), F.first("keys").alias("keys")), "line-classes")
+    classes = stored(found.select(*LINE, place, "keys").groupBy(*LINE).agg(F.min("place").alias("place"), F.first("keys").alias("keys")), "line-classes")
     near = near_lines(rows, classes)
-    flags = classes.select("hash", F.col("place").alias("first")).join(near.withColumn("near", F.lit(True)), "hash", "left")
+    flags = classes.select(*LINE, F.col("place").alias("first")).join(near.withColumn("near", F.lit(True)), LINE, "left")
     own = F.coalesce("id", F.lit(LAST))
     later = (own > F.col("first.id")) | (own == F.col("first.id")) & (F.col("line") > F.col("first.line"))
     gone = F.when(later, "e").when(F.col("near"), "n")
     # Repeated rows send equal lines: sets keep them once.
-    lines = (found.select("id", "row", "line", "hash").join(flags, "hash").withColumn("gone", gone)
+    lines = (found.select("id", "row", "line", *LINE).join(flags, LINE).withColumn("gone", gone)
              .groupBy("id", "row").agg(F.collect_set(F.struct("line", "gone")).alias("seen"))
              .select("id", "row", F.transform(F.filter("seen", lambda x: x["gone"].isNotNull()), lambda x: x["line"]).alias("drop"),
                      F.size("seen").alias("n_lines"), F.size(F.filter("seen", lambda x: x["gone"] == "e")).alias("n_equal"),

@@ -1,7 +1,10 @@
 """Vectorised scans of text columns: words, lines, n-gram hashes.
 
 Everything works on the UTF-8 bytes of a whole Arrow column at once. Hashes are
-64 bits: a polynomial over a random byte table, mixed at the end.
+64 bits: a polynomial over a random byte table, mixed at the end. A polynomial modulo
+2^64 is blind to some differences of a thousand places and more, so it is only used over
+CHUNK bytes, whose mixed hashes are added, and over few words; runs of any number of words
+are hashed modulo two primes.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 STEP = 2 << 20  # bytes of text looked at together
+CHUNK = 64  # bytes hashed by one polynomial
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,7 +34,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 GRAM_BASE = 0xD1342543DE82EF95
-GRAM_INVERSE = pow(GRAM_BASE, -1, 1 << 64)
+# Of runs of words: two primes below 2^31, a base and its inverse for each.
+PRIMES = (2147483647, 2147483629)
+RUN_BASES = (1270390397, 803184221)
+RUN_INVERSES = tuple(pow(b, -1, q) for b, q in zip(RUN_BASES, PRIMES, strict=True))
 BYTE = mix(np.arange(1, 257, dtype=U) * U(0xA24BAED4963EE407))
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -122,8 +129,18 @@ def byte_prefix(data: np.ndarray) -> np.ndarray:
 
 def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of each byte span, the same wherever the span stands."""
-    _, down = _Powers.of(len(prefix) - 1)
-    return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(U))
+    size = ends - starts
+    out = mix(plain_hash(prefix, starts, ends) + size.astype(U))
+    long = np.flatnonzero(size > CHUNK)
+    if len(long):
+        n = -(-size[long] // CHUNK)
+        first = np.cumsum(n) - n
+        k = np.arange(n.sum()) - np.repeat(first, n)
+        begin = np.repeat(starts[long], n) + k * CHUNK
+        end = np.minimum(begin + CHUNK, np.repeat(ends[long], n))
+        parts = mix(mix(plain_hash(prefix, begin, end) + (end - begin).astype(U)) + mix((k + 1).astype(U)))
+        out[long] = mix(np.add.reduceat(parts, first) + size[long].astype(U))
+    return out
 
 
 def unshift(n: int) -> np.ndarray:
@@ -224,28 +241,41 @@ def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.repeat(np.arange(len(offsets) - 1), per_row)
 
 
+def run_powers(base: int, prime: int, n: int) -> np.ndarray:
+    """The first n powers of the base modulo the prime."""
+    out, step = np.ones(1, U), base
+    while len(out) < n:
+        out = np.concatenate([out, out * U(step) % U(prime)])
+        step = step * step % prime
+    return out[:n]
+
+
 class Sequence:
-    """Hashes of any run of words, and of a run without one word, from prefix sums."""
+    """Hashes of any run of words, and of a run without one word, from prefix sums modulo two primes."""
 
     def __init__(self, hashes: np.ndarray) -> None:
-        n = len(hashes) + 1
-        self.up, self.down = np.full(n, GRAM_BASE, U), np.full(n, GRAM_INVERSE, U)
-        self.up[0] = self.down[0] = 1
-        np.cumprod(self.up, out=self.up)
-        np.cumprod(self.down, out=self.down)
-        self.prefix = np.zeros(n, U)
-        np.cumsum(hashes * self.up[:-1], out=self.prefix[1:])
+        n, self.fields = len(hashes) + 1, []
+        for part, prime, base, inverse in zip((hashes >> U(32), hashes & U(0xFFFFFFFF)), PRIMES, RUN_BASES, RUN_INVERSES, strict=True):
+            up = run_powers(base, prime, n)
+            prefix = np.zeros(n, U)
+            np.cumsum(part % U(prime) * up[:-1] % U(prime), out=prefix[1:])
+            self.fields.append((U(prime), up, run_powers(inverse, prime, n), prefix))
 
-    def _plain(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return (self.prefix[ends] - self.prefix[starts]) * self.down[starts]
+    @staticmethod
+    def _joined(parts: list[np.ndarray], size: np.ndarray) -> np.ndarray:
+        return mix(mix(parts[0] << U(31) | parts[1]) + size.astype(U))
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix(self._plain(starts, ends) + (ends - starts).astype(U))
+        return self._joined([(prefix[ends] - prefix[starts]) % q * down[starts] % q for q, _, down, prefix in self.fields], ends - starts)
 
     def without(self, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
         """As if the word at `at` weren't there."""
-        rest = self._plain(starts, at) + self._plain(at + 1, ends) * self.up[at - starts]
-        return mix(rest + (ends - starts - 1).astype(U))
+        parts = []
+        for q, up, down, prefix in self.fields:
+            head = (prefix[at] - prefix[starts]) % q * down[starts] % q
+            tail = (prefix[ends] - prefix[at + 1]) % q * down[at + 1] % q
+            parts.append((head + tail * up[at - starts]) % q)
+        return self._joined(parts, ends - starts - 1)
 
 
 def signed(values: np.ndarray) -> np.ndarray:

@@ -102,11 +102,13 @@ def private() -> str:
     parts = []
     for place, kind in enumerate(personal_data.KINDS):
         pattern = PLAIN.get(kind.name, kind.pattern)
-        near = rf"regexp_matches(lower(right(gaps[i], {personal_data.NEAR})), '\b(?:{kind.context})')"
+        before = f"right(substr(text, 1, start::BIGINT), {personal_data.NEAR})"
+        after = f"substr(text, start::BIGINT + length(m) + 1, {personal_data.NEAR})"
+        near = rf"regexp_matches(lower({before} || chr(10) || {after}), '\b(?:{kind.context})')"
         parts.append(rf"""
 SELECT doc_id, {place} AS place, '{kind.name}' AS kind, start, start + length(m) AS stop FROM (
-  SELECT doc_id, gaps, i, ms[i] AS m, coalesce(list_sum(list_transform(gaps[:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[:i - 1], lambda x: length(x))), 0) AS start
-  FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS ms, string_split_regex(text, '{pattern}') AS gaps FROM texts)))
+  SELECT doc_id, text, ms[i] AS m, coalesce(list_sum(list_transform(gaps[:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[:i - 1], lambda x: length(x))), 0) AS start
+  FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, text, regexp_extract_all(text, '{pattern}') AS ms, string_split_regex(text, '{pattern}') AS gaps FROM texts)))
 WHERE {TESTS[kind.name]} AND {kind.score} + CASE WHEN {near} THEN 0.3 ELSE 0 END >= {kind.least}""")
     count = ", ".join(f"count(*) FILTER (kind = '{k.name}') AS n_{k.name}" for k in personal_data.KINDS[: personal_data.BASE_KINDS])
     return rf"""

@@ -7,6 +7,9 @@ its ends with one vectorised comparison. A prefix scan over the blocks' summarie
 each its ordinal; it runs over groups of blocks first, so that no task sees all blocks
 of a file.
 
+Texts with very long runs of white space are cut around them where the pattern cuts anyway.
+A vocabulary that needs wider identifiers, or uses the end's, is refused.
+
 Null and empty texts are documents of no tokens. Tokens after a file's last end are one
 more document, with `ended` false. Repeated rows are documents of their own.
 """
@@ -14,6 +17,7 @@ more document, with `ended` false. Repeated rows are documents of their own.
 from __future__ import annotations
 
 import base64
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -33,6 +37,11 @@ BLOCK = 4 << 20  # bytes of a block
 GROUP = 512  # blocks scanned together
 # Fixed value: how this vocabulary splits text before its merges.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# The pattern tries a run of white space once per character and gives up on very long ones.
+# What it would find there is known: the run, but for its last character if more text follows.
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG_RUN = 2000
+RUNS = re.compile(f"(?<![{WHITE}])[{WHITE}]{{{LONG_RUN},}}")
 
 Arrow = Iterator[pa.RecordBatch]
 
@@ -43,8 +52,24 @@ def encoder(ranks: str) -> Callable[[str], np.ndarray]:
     system, path = fs.FileSystem.from_uri(ranks)
     lines = system.open_input_stream(path).read().split(b"\n")
     table = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x)}
-    encoding = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=table, special_tokens={})
-    return lambda text: encoding.encode_to_numpy(text, disallowed_special=()).astype("<u2")
+    if max(table.values(), default=0) >= 1 << (8 * WIDTH):
+        raise ValueError(f"identifiers of {ranks} don't fit {WIDTH} bytes")
+    if END in table.values():
+        raise ValueError(f"{END} is an identifier of {ranks}, so it can't end documents")
+    split = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=table, special_tokens={})
+    whole = tiktoken.Encoding("runs", pat_str="(?s).+", mergeable_ranks=table, special_tokens={})
+
+    def encode(text: str) -> np.ndarray:
+        parts, at = [], 0
+        for run in RUNS.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            parts += [split.encode_to_numpy(text[at : run.start()], disallowed_special=()),
+                      whole.encode_to_numpy(text[run.start() : end], disallowed_special=())]
+            at = end
+        parts.append(split.encode_to_numpy(text[at:], disallowed_special=()))
+        return np.concatenate(parts).astype("<u2")
+
+    return encode
 
 
 def writer(folder: str, ranks: str) -> Callable[[Arrow], Arrow]:

@@ -99,6 +99,44 @@ def test_sequence_hashes():
         assert x.without(at(2), at(25), at(k))[0] == rest.of(at(2), at(24))[0]
 
 
+def opposites(order, a, b):
+    """Two sequences whose difference as a polynomial is a product of 1 - x^(2^k)."""
+    x = [bin(i).count("1") % 2 for i in range(1 << order)]
+    return [b if k else a for k in x], [a if k else b for k in x]
+
+
+def test_long_words_and_lines_that_only_look_alike():
+    for order in range(5, 14):
+        for letters in (opposites(order, "a", "b"), opposites(order, "\u00e9", "z")):
+            found = ts.words(*ts.utf8(pa.array(["".join(x) for x in letters])), ts.SPACED)
+            assert found.hashes[0] != found.hashes[1]
+        found = ts.words(*ts.utf8(pa.array([" ".join(x) for x in opposites(order, "one", "two")])), ts.SPACED)
+        whole = ts.Sequence(found.hashes).of(found.first[:-1], found.first[1:])
+        assert whole[0] != whole[1]
+    same = ts.words(*ts.utf8(pa.array(["x" + "é" * 500 + " y", "p q\nx" + "é" * 500])), ts.SPACED)
+    assert same.hashes[0] == same.hashes[4] and len(set(same.hashes.tolist())) == 4
+
+
+def test_operators_tell_look_alikes_apart(spark):
+    """1,024 letters or words that a polynomial modulo 2^64 can't tell apart."""
+    one, two = ("".join(x) for x in opposites(10, "a", "b"))
+    three, four = (" ".join(x) for x in opposites(10, "one", "two"))
+    texts = [one, two, three, four, three, f"{one}\n{two}\n{one}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["id"]: r["text"] for r in line_dedup.dedup_lines(docs, equal_from=1).collect()}
+    assert [kept[i] for i in range(6)] == [one, two, three, four, "", ""]
+    rows = {r["doc_id"]: r for r in quality.repetition_coverage(docs).collect()}
+    assert rows[5]["n_dup_lines"] == 1
+    groups = {r["id"]: r["group_id"] for r in jaccard_join.jaccard_groups(docs.filter("doc_id in (0, 1)"), n=3, percent=90).collect()}
+    assert groups == {0: 0, 1: 1}
+    items = spark.createDataFrame([(1, one), (2, "unrelated")], "item_id long, text string")
+    hits = {r["doc_id"]: r["n_hit"] for r in contamination.decontaminate(docs, items).collect()}
+    assert [hits[i] for i in range(6)] == [1, 0, 0, 0, 0, 2]
+    known = {r["doc_id"]: r["n_known"] for r in suffix_tree.suffix_tree_scores(docs.filter("doc_id in (0, 1)")).collect()}
+    held = [i for i in (0, 1) if zlib.crc32(str(i).encode()) % 7 == 2]
+    assert all(known[i] == (1 if i in held else 2) for i in (0, 1))
+
+
 def test_bitmap_never_loses_a_key(spark):
     keys = ts.mix(np.arange(5000, dtype=np.uint64))
     bits = bitmap(spark.createDataFrame(pd.DataFrame({"k": ts.signed(keys)})), "k")
@@ -152,6 +190,27 @@ def test_token_counts(docs):
     assert sorted(rows_of(token_files.token_counts(docs)), key=key) == expected
 
 
+def test_very_long_runs(spark, monkeypatch):
+    encode = token_files.encoder(token_files.RANKS)
+    texts = [f"{a}{white * n}{b}" for a in ("", "word", "x\n") for b in ("", "word", ".", "7", "\u00e9") for white in (" ", "\n", " \t", "\u3000")
+             for n in (1, 2, 3, 5, 40)] + ["  a   b    c     ", "a" + " " * 30 + "\x1c" + " " * 30 + "b"]
+    plain = [encode(t).tolist() for t in texts]
+    monkeypatch.setattr(token_files, "RUNS", re.compile(f"(?<![{token_files.WHITE}])[{token_files.WHITE}]{{2,}}"))
+    assert [encode(t).tolist() for t in texts] == plain
+    monkeypatch.undo()
+    long = [" " * 1_000_000, "a" + "\n" * 1_000_000 + "b", "a" * 1_000_000, "7" * 1_000_000, "." * 1_000_000, " a" * 500_000]
+    docs = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")
+    found = {r["doc_id"]: r["n_tokens"] for r in token_files.token_counts(docs).collect()}
+    assert all(found[i] == len(encode(t)) > 0 for i, t in enumerate(long))
+
+
+def test_vocabularies_that_do_not_fit(tmp_path):
+    for number, says in ((1 << 16, "don't fit"), (token_files.END, "can't end")):
+        (tmp_path / "ranks").write_text(f"YQ== 0\nYg== {number}\n")
+        with pytest.raises(ValueError, match=says):
+            token_files.encoder(str(tmp_path / "ranks"))
+
+
 def test_documents_across_blocks_and_groups(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(token_files, "BLOCK", 16)
     monkeypatch.setattr(token_files, "GROUP", 3)
@@ -536,6 +595,23 @@ def test_context_on_both_sides_and_across_spans(spark):
     assert found[0] == "national_id:5:16,national_id:18:29" and found[1] == "national_id:0:11" and found[3] == found[5] == ""
 
 
+def test_context_on_both_sides_by_sql(spark):
+    """The SQL states the same rule: NEAR characters before and after, across other matches."""
+    duckdb = pytest.importorskip("duckdb")
+    from driftpanel.llm import oracles
+
+    near = personal_data.NEAR
+    texts = ["SSN: 123-45-6789, 987-65-4321", "123-45-6789 (SSN)", "123-45-6789" + " " * (near - 4) + "ssn", "123-45-6789" + " " * (near - 2) + "ssn",
+             "ssn" + "." * (near - 3) + "123-45-6789", "ssn" + "." * (near - 2) + "123-45-6789", "é" * 60 + " tax id 123-45-6789 é", "essn 123-45-6789", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = personal_data.digest(personal_data.find_personal_data(docs)).toPandas()
+    with duckdb.connect() as db:
+        db.register("documents", pd.DataFrame(enumerate(texts), columns=["doc_id", "text"]))
+        stated = db.sql(oracles.private()).df()
+    spans = lambda df: dict(zip(df["doc_id"], df["spans"], strict=True))
+    assert spans(found) == spans(stated) and spans(found)[0].count("national_id") == 2 and spans(found)[1] != "" and spans(found)[3] == ""
+
+
 def test_very_long_texts_take_linear_time(spark):
     texts = ["a" * 300_000, "1" * 300_000, "1.2.3" * 60_000, "+1" + "(" * 300_000, "a@b " * 50_000]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

@@ -31,17 +31,19 @@ def fields(value: Column, *names: str) -> Column:
     An object is opened once. Of names that differ in case only, the one that sorts
     last counts, so the lower-case one where it is there.
     """
-    entries = F.map_entries(F.try_variant_get(value, "$", "map<string, variant>"))
+    return lowered(F.try_variant_get(value, "$", "map<string, variant>"), *names)
 
-    def is_named(name: str):
-        return lambda entry: F.lower(entry["key"]) == name
 
-    def named(found: Column) -> Column:
+def lowered(opened: Column, *names: str) -> Column:
+    """Struct of a map's values by lower-case name; of several, the last."""
+    def named(parts: Column) -> Column:
+        # A position of 0, for a name that isn't there, reads as null.
         return F.struct(*[
-            F.try_element_at(F.filter(found, is_named(name)), F.lit(-1))["value"].alias(name) for name in names
+            F.get(parts["values"], (F.array_position(parts["names"], name) - 1).cast("int")).alias(name) for name in names
         ])
 
-    return bind(entries, named)
+    keys = F.transform(F.reverse(F.map_keys(opened)), F.lower)
+    return bind(F.struct(keys.alias("names"), F.reverse(F.map_values(opened)).alias("values")), named)
 
 
 def json_type(value: Column) -> Column:
@@ -50,7 +52,8 @@ def json_type(value: Column) -> Column:
     Meant for single items and their fields: the type of a whole document would
     spell out everything in it.
     """
-    return F.regexp_extract(F.coalesce(F.schema_of_variant(value), F.lit(ABSENT)), "^[A-Z]+", 0)
+    spelled = F.coalesce(F.schema_of_variant(value), F.lit(ABSENT))
+    return F.substring_index(F.substring_index(spelled, "<", 1), "(", 1)
 
 
 def has_type(value: Column, *kinds: str) -> Column:

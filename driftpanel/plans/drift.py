@@ -22,7 +22,7 @@ def exact(value: Column) -> Column:
 
 
 def mean_of(value: str) -> Column:
-    return F.sum(exact(F.col(value))).cast("double") / F.count(value)
+    return F.try_divide(F.sum(exact(F.col(value))).cast("double"), F.count(value))
 
 
 def spread_of(value: str) -> Column:
@@ -105,6 +105,32 @@ def drift_by_day(ledger: DataFrame) -> DataFrame:
     )
 
 
+def panel_drift(ledger: DataFrame, panel_jobs: DataFrame) -> DataFrame:
+    """Drift on fixed panels: each posting against itself.
+
+    A model's reference for a posting is its mean on the first day it scored it under that
+    panel, so a panel that changes starts anew and what differs between postings cancels.
+    Per panel, model and day: postings of the panel, those scored, those seen for the first
+    time (they have no pair yet), and mean, spread and standard error of the paired
+    differences. Null without a pair, or two for the spread. Scores of postings outside
+    the panel don't count. ``ledger`` has panel_id, stablekey, model, day, score.
+    """
+    key = ["panel_id", "stablekey"]
+    members = panel_jobs.select(*key).distinct()
+    sizes = members.groupBy("panel_id").agg(F.count("*").alias("panel_size"))
+    scored = ledger.filter(F.col("score").isNotNull()).join(members, key, "left_semi")
+    daily = scored.groupBy(*key, "model", "day").agg(mean_of("score").alias("mean"))
+    # One row per day is left of a posting, however often it was scored.
+    days = Window.partitionBy(*key, "model").orderBy("day")
+    against = daily.withColumn("nth", F.row_number().over(days)).withColumn("reference", F.first("mean").over(days))
+    pairs = against.withColumn("diff", F.when(F.col("nth") > 1, F.round(exact(F.col("mean")) - exact(F.col("reference")), 6).cast("double")))
+    summed = pairs.groupBy("panel_id", "model", "day").agg(
+        F.count("*").alias("scored"), F.count_if(F.col("nth") == 1).alias("first_seen"), F.count("diff").alias("pairs"),
+        mean_of("diff").alias("mean_diff"), spread_of("diff").alias("sd_diff"),
+    )
+    return summed.join(sizes, "panel_id").withColumn("se_diff", F.col("sd_diff") / F.sqrt("pairs"))
+
+
 def model_variance(ledger: DataFrame) -> DataFrame:
     """Spread between models on one posting and day; each model counts once."""
     per_model = ledger.groupBy("day", "composite_key", "model").agg(mean_of("score").alias("score"))

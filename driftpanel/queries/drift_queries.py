@@ -113,6 +113,49 @@ def drift_by_day(spark, sf_dir):
     )
 
 
+PANELS_SQL = """
+    , span AS (SELECT min(micros) + (max(micros) - min(micros)) // 2 AS middle FROM valid_ledger),
+    under AS (SELECT l.*, composite_key AS stablekey, CASE WHEN micros < middle THEN 'panel-1' ELSE 'panel-2' END AS panel_id
+              FROM valid_ledger l, span),
+    panel_jobs AS (
+        SELECT 'panel-1' AS panel_id, stablekey FROM under WHERE panel_id = 'panel-1' GROUP BY stablekey HAVING max(score) >= 50
+        UNION ALL SELECT 'panel-2', stablekey FROM under WHERE panel_id = 'panel-1' GROUP BY stablekey HAVING max(score) < 75)"""
+
+
+def _under_panels(spark, sf_dir):
+    """The ledger under a panel that changes midway, and both panels: postings picked by the first half's scores."""
+    rows = valid_ledger(spark, sf_dir)
+    low, high = rows.agg(F.min("micros"), F.max("micros")).first()
+    middle = 0 if low is None else low + (high - low) // 2
+    under = rows.withColumn("stablekey", F.col("composite_key")).withColumn(
+        "panel_id", F.when(F.col("micros") < middle, "panel-1").otherwise("panel-2"))
+    best = under.filter("panel_id = 'panel-1'").groupBy("stablekey").agg(F.max("score").alias("best"))
+    picks = F.array_compact(F.array(F.when(F.col("best") >= 50, "panel-1"), F.when(F.col("best") < 75, "panel-2")))
+    return under, best.select("stablekey", F.explode(picks).alias("panel_id"))
+
+
+@registered(sql_over("valid_ledger", body=PANELS_SQL + f"""
+    , daily AS (SELECT panel_id, stablekey, model, day, {exact_mean('score')} AS mean
+                FROM under SEMI JOIN panel_jobs USING (panel_id, stablekey) WHERE score IS NOT NULL GROUP BY ALL),
+    first_days AS (SELECT panel_id, stablekey, model, min(day) AS day FROM daily GROUP BY ALL),
+    pairs AS (
+        SELECT d.panel_id, d.model, d.day, d.day = f.day AS is_first,
+               CASE WHEN d.day > f.day THEN CAST(CAST(d.mean AS DECIMAL(18,6)) - CAST(r.mean AS DECIMAL(18,6)) AS DOUBLE) END AS diff
+        FROM daily d JOIN first_days f USING (panel_id, stablekey, model)
+        JOIN daily r ON r.panel_id = f.panel_id AND r.stablekey = f.stablekey AND r.model = f.model AND r.day = f.day),
+    sizes AS (SELECT panel_id, count(*) AS panel_size FROM panel_jobs GROUP BY ALL)
+    SELECT panel_id, model, day, panel_size, count(*) AS scored, count(*) FILTER (WHERE is_first) AS first_seen, count(diff) AS pairs,
+           round({exact_mean('diff')}, 5) AS mean_diff, round(stddev_samp(diff), 5) AS sd_diff,
+           round(stddev_samp(diff) / sqrt(count(diff)), 5) AS se_diff
+    FROM pairs JOIN sizes USING (panel_id) GROUP BY ALL"""))
+def panel_drift(spark, sf_dir):
+    """Paired drift of each model on panels of which the second replaces the first midway."""
+    found = drift.panel_drift(*_under_panels(spark, sf_dir))
+    for name in ("mean_diff", "sd_diff", "se_diff"):
+        found = found.withColumn(name, F.round(name, 5))
+    return found
+
+
 @registered(sql_over("valid_ledger", body=f"""
     , m AS (SELECT day, composite_key, model, {exact_mean('score')} AS score FROM valid_ledger GROUP BY ALL)
     SELECT day, composite_key, count(*) AS models, round(stddev_samp(score), 6) AS sd_between,

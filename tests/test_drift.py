@@ -40,3 +40,25 @@ def test_cost_by_kind(spark):
     assert found[3, "input_uncached"] is None and found[3, "cache_write"] is None and found[4, "cache_write"] is None
     totals = {r.id: (r.known_cost, r.unknown_kinds, r.unpriced_kinds, r.cost) for r in drift.call_costs(lines, ["id"]).collect()}
     assert totals == {1: (121.0, 0, 1, None), 2: (246.0, 0, 0, 246.0), 3: (21.0, 4, 0, None), 4: (2.0, 0, 1, None), 5: (0.0, 0, 0, 0.0)}
+
+
+def test_paired_drift_on_fixed_panels(spark):
+    """Each posting is compared with itself, from its first day under the panel at hand."""
+    panel = spark.createDataFrame([("p1", "a"), ("p1", "b"), ("p1", "never"), ("p2", "b"), ("p2", "b"), ("empty", "x")], "panel_id string, stablekey string")
+    rows = [
+        ("p1", "a", "m", "d1", 10.0), ("p1", "b", "m", "d1", 90.0), ("p1", "a", "m", "d2", 13.0), ("p1", "b", "m", "d2", 91.0),
+        ("p1", "a", "m", "d3", 20.0), ("p1", "a", "m", "d3", 30.0), ("p1", "outside", "m", "d3", 0.0), ("p1", "b", "m", "d3", None),
+        ("p2", "b", "m", "d4", 50.0), ("p2", "a", "m", "d4", 0.0), ("p2", "b", "m", "d5", 48.0), ("p1", "a", "other", "d2", 5.0),
+        (None, "a", "m", "d1", 5.0),
+    ]
+    ledger = spark.createDataFrame(rows, "panel_id string, stablekey string, model string, day string, score double")
+    found = {(r.panel_id, r.model, r.day): (r.panel_size, r.scored, r.first_seen, r.pairs, r.mean_diff, r.sd_diff, r.se_diff)
+             for r in drift.panel_drift(ledger, panel).collect()}
+    assert set(found) == {("p1", "m", "d1"), ("p1", "m", "d2"), ("p1", "m", "d3"), ("p1", "other", "d2"), ("p2", "m", "d4"), ("p2", "m", "d5")}
+    assert found["p1", "m", "d1"] == (3, 2, 2, 0, None, None, None)
+    size, scored, first, pairs, mean, sd, se = found["p1", "m", "d2"]
+    assert (size, scored, first, pairs, mean) == (3, 2, 0, 2, 2.0) and abs(sd - 2 ** 0.5) < 1e-12 and abs(se - 1) < 1e-12
+    assert found["p1", "m", "d3"] == (3, 1, 0, 1, 15.0, None, None)
+    assert found["p2", "m", "d4"] == (1, 1, 1, 0, None, None, None) and found["p2", "m", "d5"][:5] == (1, 1, 0, 1, -2.0)
+    # What a plain daily mean would call a drop of a panel's postings is none.
+    assert drift.panel_drift(ledger.limit(0), panel).count() == 0

@@ -8,46 +8,54 @@ from driftpanel.functions import variants as V
 from driftpanel.functions.binding import bind, bind_all
 
 
+# Wire names. Fixed values.
+TOTALS = ("prompt_tokens", "completion_tokens", "total_tokens")
+PROMPT, COMPLETION = "prompt_tokens_details", "completion_tokens_details"
+CACHED, REASONING = "cached_tokens", "reasoning_tokens"
+
+
 def itemised_usage(raw: Column) -> Column:
-    """Struct of token counts from a provider's usage blob.
+    """Struct of token counts from a provider's usage blob, whatever the case of its names.
 
     A null count says "the provider did not itemise this" and is never a zero.
     Each pair hangs on its own details object. A blob that cannot be read keeps
     only its raw text.
     """
+    def of_fields(blob: Column, top: Column, f: Column) -> Column:
+        return bind_all(
+            lambda inner: _counts(blob["raw"], blob["v"], top, f, inner["prompt"], inner["completion"],
+                                  V.lowered(inner["prompt"], CACHED)[CACHED], V.lowered(inner["completion"], REASONING)[REASONING]),
+            prompt=V.opened(f[PROMPT]), completion=V.opened(f[COMPLETION]),
+        )
+
     return bind_all(
-        lambda blob: bind_all(
-            lambda found: _counts(blob["raw"], blob["v"], found["prompt"], found["completion"]),
-            prompt=V.at(blob["v"], "$.prompt_tokens_details"),
-            completion=V.at(blob["v"], "$.completion_tokens_details"),
-        ),
+        lambda blob: bind(V.opened(blob["v"]), lambda top: bind(
+            V.lowered(top, *TOTALS, PROMPT, COMPLETION), lambda f: of_fields(blob, top, f))),
         raw=raw, v=F.try_parse_json(F.nullif(raw, F.lit(""))),
     )
 
 
-def _counts(raw: Column, v: Column, prompt: Column, completion: Column) -> Column:
+def _counts(raw: Column, v: Column, top: Column, f: Column, prompt: Column, completion: Column,
+            cached: Column, reasoning: Column) -> Column:
     readable = v.isNotNull() & V.all_of(
-        [V.has_type(v, V.OBJECT)]
-        + [V.has_type(V.at(v, f"$.{name}"), V.WHOLE)
-           for name in ("prompt_tokens", "completion_tokens", "total_tokens")]
-        + [V.has_type(prompt, V.OBJECT), V.has_type(completion, V.OBJECT)]
-        + [V.has_type(V.at(prompt, "$.cached_tokens"), V.WHOLE),
-           V.has_type(V.at(completion, "$.reasoning_tokens"), V.WHOLE)]
+        [top.isNotNull() | V.nothing(v)]
+        + [V.has_type(f[name], V.WHOLE) for name in TOTALS]
+        + [prompt.isNotNull() | V.nothing(f[PROMPT]), completion.isNotNull() | V.nothing(f[COMPLETION])]
+        + [V.has_type(cached, V.WHOLE), V.has_type(reasoning, V.WHOLE)]
     )
 
     def counts(r: Column) -> Column:
-        cached = V.whole_at(prompt, "$.cached_tokens")
-        reasoning = V.whole_at(completion, "$.reasoning_tokens")
         return F.struct(
-            F.when(r["prompt"], V.whole_at(v, "$.prompt_tokens") - cached).alias("input_uncached"),
-            F.when(r["prompt"], cached).alias("cached_read"),
+            F.when(r["prompt"], V.whole_at(f["prompt_tokens"], "$") - r["cached"]).alias("input_uncached"),
+            F.when(r["prompt"], r["cached"]).alias("cached_read"),
             F.lit(None).cast("bigint").alias("cache_write"),
-            F.when(r["completion"], V.whole_at(v, "$.completion_tokens") - reasoning).alias("output_tokens"),
-            F.when(r["completion"], reasoning).alias("reasoning_tokens"),
-            F.when(r["readable"], V.whole_at(v, "$.total_tokens")).otherwise(0).cast("double").alias("total"),
+            F.when(r["completion"], V.whole_at(f["completion_tokens"], "$") - r["reasoning"]).alias("output_tokens"),
+            F.when(r["completion"], r["reasoning"]).alias("reasoning_tokens"),
+            F.when(r["readable"], V.whole_at(f["total_tokens"], "$")).otherwise(0).cast("double").alias("total"),
             F.nullif(raw, F.lit("")).alias("raw"),
         )
 
     return bind(readable, lambda ok: bind_all(
-        counts, readable=ok, prompt=ok & (V.json_type(prompt) == V.OBJECT), completion=ok & (V.json_type(completion) == V.OBJECT),
+        counts, readable=ok, prompt=ok & prompt.isNotNull(), completion=ok & completion.isNotNull(),
+        cached=V.whole_at(cached, "$"), reasoning=V.whole_at(reasoning, "$"),
     ))

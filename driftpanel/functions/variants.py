@@ -31,7 +31,17 @@ def fields(value: Column, *names: str) -> Column:
     An object is opened once. Of names that differ in case only, the one that sorts
     last counts, so the lower-case one where it is there.
     """
-    return lowered(F.try_variant_get(value, "$", "map<string, variant>"), *names)
+    return lowered(opened(value), *names)
+
+
+def opened(value: Column) -> Column:
+    """An object's fields as a map; null if it is none."""
+    return F.try_variant_get(value, "$", "map<string, variant>")
+
+
+def nothing(value: Column) -> Column:
+    """Absent or null."""
+    return value.isNull() | F.is_variant_null(value)
 
 
 def lowered(opened: Column, *names: str) -> Column:

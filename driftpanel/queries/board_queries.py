@@ -21,39 +21,45 @@ from driftpanel.sources.boards import (
 ONE_SECOND_PAST = 250  # milliseconds that must round away
 
 
-def landing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents wrapped into the payload shapes of the three boards.
-
-    Every fifth date is unusable, every seventh posting unlisted, every
-    thirteenth payload cut off.
-    """
-    docs = text_postings(spark, sf_dir)
+def _payload(cased):
+    """A document as its board sends it."""
     doc, no_date = F.col("doc_id"), F.col("doc_id") % 5 == 0
     moment = F.timestamp_seconds("posted_at")
     utc = F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     east = F.concat(F.date_format(moment + F.expr("INTERVAL 2 HOURS"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit(".5+02:00"))
-    greenhouse = F.struct(
-        "title", F.col("description").alias("content"), F.col("url").alias("absolute_url"),
-        F.when(no_date, F.date_format(moment, "yyyy-MM-dd")).otherwise(east).alias("updated_at"),
-        F.struct(F.col("location").alias("name")).alias("location"),
+
+    def document(**fields):
+        return F.struct(*[(F.col(v) if isinstance(v, str) else v).alias(cased(k)) for k, v in fields.items()])
+
+    greenhouse = document(
+        title="title", content="description", absolute_url="url",
+        updated_at=F.when(no_date, F.date_format(moment, "yyyy-MM-dd")).otherwise(east), location=document(name="location"),
     )
-    ashby = F.struct(
-        "title", "location", F.col("description").alias("descriptionHtml"), F.col("url").alias("jobUrl"),
-        F.when(doc % 14 != 0, doc % 7 != 0).alias("isListed"), (doc % 2 == 0).alias("isRemote"),
-        F.when(~no_date, utc).alias("publishedAt"),
+    ashby = document(
+        title="title", location="location", descriptionHtml="description", jobUrl="url",
+        isListed=F.when(doc % 14 != 0, doc % 7 != 0), isRemote=doc % 2 == 0, publishedAt=F.when(~no_date, utc),
     )
-    lever = F.struct(
-        doc.cast("string").alias("id"), F.col("title").alias("text"), F.col("url").alias("hostedUrl"),
-        F.col("description").alias("descriptionPlain"),
-        F.when(doc % 2 == 0, "remote").otherwise("Remote-ish").alias("workplaceType"),
-        F.when(~no_date, F.col("posted_at") * 1000 + ONE_SECOND_PAST).alias("createdAt"),
-        F.struct("location").alias("categories"),
+    lever = document(
+        id=doc.cast("string"), text="title", hostedUrl="url", descriptionPlain="description",
+        workplaceType=F.when(doc % 2 == 0, "remote").otherwise("Remote-ish"),
+        createdAt=F.when(~no_date, F.col("posted_at") * 1000 + ONE_SECOND_PAST), categories=document(location="location"),
     )
-    payload = (
-        F.when(doc % 3 == 0, F.to_json(F.struct(F.array(greenhouse).alias("jobs"))))
-        .when(doc % 3 == 1, F.to_json(F.struct(F.array(ashby).alias("jobs"))))
+    return (
+        F.when(doc % 3 == 0, F.to_json(document(jobs=F.array(greenhouse))))
+        .when(doc % 3 == 1, F.to_json(document(jobs=F.array(ashby))))
         .otherwise(F.to_json(F.array(lever)))
     )
+
+
+def landing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents wrapped into the payload shapes of the three boards.
+
+    Every fifth date is unusable, every seventh posting unlisted, every
+    thirteenth payload cut off; every eleventh has its names in capitals.
+    """
+    docs = text_postings(spark, sf_dir)
+    doc = F.col("doc_id")
+    payload = F.when(doc % 11 == 0, _payload(str.upper)).otherwise(_payload(str))
     # Payloads that broke off on the way arrive beside the whole ones.
     arrived = F.when(doc % 13 == 0, F.array(payload, F.substring(payload, 1, 60))).otherwise(F.array(payload))
     return docs.select(

@@ -36,6 +36,30 @@ def test_three_shapes(spark):
     assert (v.location, v.posted_at, v.is_remote, v.stablekey) == ("Bonn", 1735689600, True, "CDevBonn")
 
 
+def in_case(value, change):
+    """The same document with other cases of every name."""
+    if isinstance(value, dict):
+        return {change(k): in_case(v, change) for k, v in value.items()}
+    return [in_case(v, change) for v in value] if isinstance(value, list) else value
+
+
+@pytest.mark.parametrize("change", [str.upper, str.lower, str.title, str.swapcase])
+def test_names_in_any_case(spark, change):
+    rows = [("greenhouse", "A Co", {"jobs": [GREENHOUSE]}), ("ashby", "B", {"jobs": [ASHBY]}), ("lever", "C", [LEVER])]
+    changed = [(p, c, in_case(body, change)) for p, c, body in rows]
+    key = lambda r: r.source
+    assert sorted(decode(spark, *changed), key=key) == sorted(decode(spark, *rows), key=key)
+    wrong = [("greenhouse", "A", {change("jobs"): [{change("title"): 7}]}), ("ashby", "B", {change("jobs"): {}}),
+             ("lever", "C", [{change("categories"): {change("team"): 1}}]),
+             ("greenhouse", "D", {"jobs": [{change("pay_input_ranges"): [{change("max_cents"): "1"}]}]})]
+    assert boards.quarantined(boards.parse_payloads(landing(spark, *wrong))).count() == len(wrong)
+
+
+def test_the_last_list_counts(spark):
+    body = json.dumps({"jobs": [{"title": "first"}]})[:-1] + ', "JOBS": [{"title": "second"}, {"title": "third"}]}'
+    assert [r.title for r in decode(spark, ("greenhouse", "A", body))] == ["second", "third"]
+
+
 def test_missing_and_null_fields(spark):
     g, = decode(spark, ("greenhouse", "A", {"jobs": [{"title": None, "location": None}]}))
     assert (g.title, g.location, g.description, g.posted_at, g.is_remote) == ("", "", "", NO_DATE_EPOCH, False)

@@ -241,3 +241,11 @@ def test_hash_seed_and_panel_name(value_of):
 @pytest.mark.parametrize("label,want", [("per-year-salary", "year"), ("per-month-salary", "month"), ("per-hour-wage", "hour"), ("x", "x")])
 def test_pay_period(value_of, label, want):
     assert value_of(pay.pay_period(F.col("p")), p=label) == want
+
+
+def test_usage_in_any_case(value_of):
+    blob = '{"PROMPT_TOKENS": 31, "Completion_Tokens": 12, "total_TOKENS": 43, "Prompt_Tokens_Details": {"CACHED_tokens": 8}, "completion_tokens_DETAILS": null}'
+    u = value_of(itemised_usage(F.col("x")), x=blob)
+    assert (u.input_uncached, u.cached_read, u.output_tokens, u.reasoning_tokens, u.total, u.raw) == (23, 8, None, None, 43.0, blob)
+    broken = value_of(itemised_usage(F.col("x")), x='{"Prompt_Tokens": "31", "TOTAL_TOKENS": 5}')
+    assert broken.total == 0 and broken.input_uncached is None and broken.raw is not None

@@ -1,19 +1,28 @@
 """Licence scans with a positional index of rare licence words.
 
-The words of the licence texts below are the index, with their places in the texts,
-however many files hold them. A licence text is looked for where the rarest word (highest
-IDF, over all files) of its mandatory phrases stands, as no file has the phrases without
-it; the phrases must stand in the file. Then all of the file's licence words vote: several
-of them must stand at the same distance from their places in the text. The index is as
-large as the texts below, whatever the corpus.
+A licence text stands at a place of a file if enough of its words stand there at their
+distances (SHARE of the text, VOTES at least) and its mandatory phrases stand in that
+stretch or within NEAR words of it. Candidates come from the index alone: of each text it
+holds the words of highest IDF (over all files), with their places, until they cover so
+many places that wherever a text stands, VOTES of them must agree on its begin. Rarer
+words are thus looked up first, whatever their share of the files, and nothing is lost by
+leaving out the common ones. The index is as large as the texts below, whatever the corpus.
+
+Openings and notices are looked for, as they name a licence; a file with the opening alone
+has its label. Words inserted into a text shift what follows, so the longer part must make
+up the share.
 
 Column expressions only; one pass counts the files that hold each licence word, a
 second scans. Null and empty texts have no words and no labels. Rows don't meet beyond
-these counts, so repeated rows give repeated results; other columns are not looked at.
+these counts, and these don't change results, so repeated rows give repeated results;
+other columns are not looked at. Time and memory are linear in a text's words.
 """
 
 from __future__ import annotations
 
+import math
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,15 +79,48 @@ TEXTS = (
      "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell "
      "or distribute this software",
      ("free and unencumbered software released into the public domain",)),
+    ("agpl-notice",
+     "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public "
+     "license as published by the free software foundation either version",
+     ("gnu affero general public license",)),
+    ("boost-text",
+     "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying "
+     "documentation covered by this license the software to use reproduce display distribute execute and transmit the software",
+     ("any person or organization obtaining a copy of the software",)),
+    ("zlib-text",
+     "in no event will the authors be held liable for any damages arising from the use of this software permission is granted to "
+     "anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely",
+     ("will the authors be held liable for any damages", "to alter it and redistribute it freely")),
+    ("epl-2-notice",
+     "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is "
+     "available at",
+     ("under the terms of the eclipse public license",)),
+    ("cc-by-sa-notice",
+     "this work is licensed under a creative commons attribution sharealike 4 0 international license",
+     ("creative commons attribution sharealike",)),
+    ("cc0-notice",
+     "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
+     ("waived all copyright and related or neighboring rights",)),
 )
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-VOTES = 3  # words that must agree on a place
+VOTES = 2  # indexed words that must agree on a begin
+SHARE = 0.4  # of a text's words that must stand at their places
+NEAR = 20  # words before and after a text among which its phrases may stand
 VOCABULARY = sorted({w for _, text, _ in TEXTS for w in text.split()})
 
 
+def needed(text: str) -> int:
+    """How many of a licence text's words must stand at their places."""
+    return max(VOTES, math.ceil(SHARE * len(text.split())))
+
+
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    given = F.coalesce(text, F.lit(""))
+    # Beyond ASCII, lower() knows more than A to Z.
+    low = F.when(F.length(given) == F.octet_length(given), F.lower(given)).otherwise(
+        F.translate(given, string.ascii_uppercase, string.ascii_lowercase))
+    return F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
 
 
 def stand_at(words: Column, phrase: str) -> Column:
@@ -104,67 +146,76 @@ def files_of(words: DataFrame) -> dict[str, int]:
     return {w: found.get(w, 0) for w in VOCABULARY}
 
 
-def index_of() -> dict[str, list[tuple[int, int]]]:
-    """word -> (text, place) of its places in the licence texts."""
+def index_of(files: dict[str, int]) -> dict[str, list[tuple[int, int]]]:
+    """word -> (text, place) of the rarest words of each text, as many as the text needs."""
     index: dict[str, list[tuple[int, int]]] = {}
     for t, (_, text, _) in enumerate(TEXTS):
-        for place, word in enumerate(text.split()):
-            index.setdefault(word, []).append((t, place))
+        words = text.split()
+        # At most `spare` places may go unmatched besides VOTES matching ones.
+        covered, spare = 0, len(words) - needed(text)
+        for word in sorted(set(words), key=lambda w: (files[w], w)):
+            if covered >= spare + VOTES:
+                break
+            places = [p for p, w in enumerate(words) if w == word]
+            index.setdefault(word, []).extend((t, p) for p in places)
+            covered += len(places)
     return index
 
 
+def texts_at(words: Column, held: Column, index: dict[str, list[tuple[int, int]]]) -> Column:
+    """(label, share) of the licence texts that stand in the words; `held` are the licence words among them."""
+    texts = F.array(*[F.struct(
+        F.lit(t).alias("text"), F.lit(label).alias("label"), F.lit(text.split()).alias("words"), F.lit(needed(text)).alias("need"),
+        F.lit(sorted(set(" ".join(must).split()))).alias("first"), F.lit([f" {p} " for p in must]).alias("must"))
+        for t, (label, text, must) in enumerate(TEXTS)])
+    postings = F.create_map(*[x for w, places in sorted(index.items()) for x in (F.lit(w), F.array(*[
+        F.struct(F.lit(t).alias("text"), F.lit(p).alias("place")) for t, p in places]))])
+    rare = sorted(index)
+
+    # Only texts all of whose phrases' words the file holds.
+    possible = F.transform(F.filter(texts, lambda t: F.size(F.array_except(t["first"], held)) == 0), lambda t: t["text"])
+
+    def votes(possible: Column) -> Column:
+        at = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: x["word"].isin(rare))
+        return F.array_sort(F.flatten(F.transform(at, lambda x: F.transform(
+            F.filter(F.element_at(postings, x["word"]), lambda p: F.array_contains(possible, p["text"])),
+            lambda p: F.struct(p["text"].alias("text"), (x["at"] - p["place"]).alias("begin"))))))
+
+    # Each place of a text votes once for a begin: of sorted votes, those that start a run long enough.
+    def begins(v: Column) -> Column:
+        return F.filter(v, lambda x, i: (F.get(v, i + (VOTES - 1)) == x) & ((i == 0) | (F.get(v, i - 1) != x)))
+
+    def checked(c: Column) -> Column:
+        text, begin = F.get(texts, c["text"]), c["begin"]
+        size = F.size(text["words"])
+        matched = F.size(F.filter(F.transform(text["words"], lambda w, k: F.get(words, begin + k) == w), lambda same: same))
+        start = F.greatest(begin - NEAR, F.lit(0))
+        stretch = F.concat(F.lit(" "), F.array_join(F.slice(words, start + 1, begin + size + NEAR - start), " "), F.lit(" "))
+        # The phrases are read only where enough words stand at their places.
+        stands = F.when(matched >= text["need"], bind(stretch, lambda s: F.forall(text["must"], lambda p: F.contains(s, p)))).otherwise(False)
+        return F.struct(stands.alias("stands"), text["label"].alias("label"), (matched / size).alias("share"))
+
+    none = F.array().cast("array<struct<stands:boolean,label:string,share:double>>")
+    found = bind(possible, lambda ts: F.when(F.size(ts) > 0, bind(votes(ts), lambda v: F.transform(begins(v), checked))).otherwise(none))
+    return F.filter(found, lambda c: c["stands"])
+
+
 def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: n_words, places (of the phrases), base_labels, text_labels, score."""
     prepared(docs.sparkSession)
     named = only(docs, doc_id=doc_id, text=text).select("doc_id", words_of(F.col("text")).alias("words"))
-    files = files_of(named)
-    index = index_of()
-    # The word of each text's mandatory phrases with the highest IDF.
-    rarest = [min(" ".join(must).split(), key=lambda w: (files[w], w)) for _, _, must in TEXTS]
-
+    index = index_of(files_of(named))
     places = [stand_at(F.col("words"), phrase) for phrase, _ in PHRASES]
-    seen = named.select("doc_id", "words", F.array(*places).alias("by_phrase"))
-    # Texts whose rarest word and then mandatory phrases stand in the file.
-    texts = F.array(*[F.struct(F.lit(t).alias("text"), F.lit(label).alias("label"), F.lit(word).alias("rarest"), F.lit(len(text.split())).alias("most"),
-                               F.lit([f" {p} " for p in must]).alias("must")) for t, ((label, text, must), word) in enumerate(zip(TEXTS, rarest, strict=True))])
-    seen = seen.withColumn("picked", F.array_intersect(F.array(*[F.lit(w) for w in sorted(set(rarest))]), F.col("words")))
-    spaced = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
-    verified = bind(spaced, lambda s: F.transform(F.filter(texts, lambda t: F.array_contains(F.col("picked"), t["rarest"]) & F.forall(
-        t["must"], lambda p: F.contains(s, p))), lambda t: t["text"]))
-    none = F.array().cast("array<int>")
-    seen = seen.withColumn("verified", F.when(F.size("picked") > 0, verified).otherwise(none))
-    # Of these, (text, begin) on which enough words agree.
-    listed = F.array(*[F.lit(w) for w in VOCABULARY])
-    postings = F.create_map(*[x for w in VOCABULARY for x in (F.lit(w), F.array(*[
-        F.struct(F.lit(t).alias("text"), F.lit(p).alias("place")) for t, p in index[w]]))])
-    at = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.array_contains(listed, F.get(F.col("words"), i)))
-    votes = F.flatten(F.transform(at, lambda i: F.transform(
-        F.filter(F.element_at(postings, F.get(F.col("words"), i)), lambda p: F.array_contains(F.col("verified"), p["text"])),
-        lambda p: F.struct(p["text"].alias("text"), (i - p["place"]).alias("begin")))))
-    # A word stands once at each distance, so equal votes are of different words or of a
-    # word's several places; runs of the sorted votes are counted in one go.
-    start = F.struct(F.lit(-1).alias("text"), F.lit(0).alias("begin"), F.lit(0).alias("n"),
-                     F.array().cast("array<struct<text:int,n:int>>").alias("done"))
-
-    def step(a: Column, v: Column) -> Column:
-        same = (a["text"] == v["text"]) & (a["begin"] == v["begin"])
-        closed = F.when(a["n"] >= VOTES, F.array_union(a["done"], F.array(F.struct(a["text"].alias("text"), a["n"].alias("n"))))).otherwise(a["done"])
-        return F.struct(v["text"].alias("text"), v["begin"].alias("begin"), F.when(same, a["n"] + 1).otherwise(1).alias("n"),
-                        F.when(same, a["done"]).otherwise(closed).alias("done"))
-
-    last = F.struct(F.lit(-1).alias("text"), F.lit(0).alias("begin"))
-    ended = F.concat(F.array_sort(votes), F.array(last))
-    found = F.when(F.size("verified") > 0, F.aggregate(ended, start, step, lambda a: a["done"])).otherwise(
-        F.array().cast("array<struct<text:int,n:int>>"))
-    seen = seen.withColumn("found", found)
-    labels = F.transform("found", lambda c: F.get(texts, c["text"])["label"])
-    share = F.array_max(F.transform("found", lambda c: F.least(F.lit(1.0), c["n"] / F.get(texts, c["text"])["most"])))
+    held = F.array_intersect("words", F.array(*[F.lit(w) for w in VOCABULARY]))
+    seen = named.select("doc_id", "words", F.array(*places).alias("by_phrase"), held.alias("held"))
+    seen = seen.withColumn("found", texts_at(F.col("words"), F.col("held"), index))
     base_labels = F.filter(F.array(*[F.when(F.size(F.get("by_phrase", F.lit(k))) > 0, F.lit(label)) for k, (_, label) in enumerate(PHRASES)]),
                            lambda x: x.isNotNull())
     every = F.flatten("by_phrase")
+    share = F.array_max(F.transform("found", lambda c: c["share"]))
     return seen.select("doc_id", F.size("words").cast("long").alias("n_words"), F.array_sort(every).alias("places"),
                        F.array_sort(F.array_distinct(base_labels)).alias("base_labels"),
-                       F.array_sort(F.array_distinct(labels)).alias("text_labels"),
+                       F.array_sort(F.array_distinct(F.transform("found", lambda c: c["label"]))).alias("text_labels"),
                        F.when(F.size(every) > 0, 1.0).otherwise(F.coalesce(share, F.lit(0.0))).alias("score"))
 
 

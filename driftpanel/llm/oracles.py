@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import string
 
-from driftpanel.llm import personal_data
+from driftpanel.llm import licenses, personal_data
 from driftpanel.llm.quality import GRAM_SHARE, LEAST_WORDS, LINE_SHARE, WINDOW, WINDOW_PERCENT
 from driftpanel.llm.vector_codes import ENTRIES, PARTS, ROUNDS, SCALE
 
@@ -120,6 +120,37 @@ SELECT doc_id, {count},
 FROM texts LEFT JOIN spans USING (doc_id) GROUP BY doc_id"""
 
 
+def license_texts() -> str:
+    """Every place of every licence text, without an index."""
+
+    def listed(words: list[str]) -> str:
+        return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+    phrases = ", ".join(f"('{label}', {listed(p.split())})" for p, label in licenses.PHRASES)
+    texts = ",\n".join(f"('{label}', {licenses.needed(text)}, {listed(text.split())}, {listed(must)})" for label, text, must in licenses.TEXTS)
+    near = licenses.NEAR
+    return rf"""
+WITH texts AS (SELECT doc_id, regexp_extract_all({LOWER}, '{ALNUM}') AS w FROM documents),
+phrases(label, p) AS (VALUES {phrases}),
+licences(label, need, l, must) AS (VALUES {texts}),
+base AS (
+  SELECT doc_id, label, unnest(list_filter(range(0, len(w) - len(p) + 1), lambda k: w[k + 1 : k + len(p)] = p)) AS k FROM texts, phrases),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM texts),
+places AS (SELECT label, need, len(l) AS size, must, unnest(l) AS word, generate_subscripts(l, 1) - 1 AS p FROM licences),
+begins AS (SELECT doc_id, label, need, size, must, i - p AS b, count(*) AS n FROM words JOIN places USING (word) GROUP BY ALL HAVING count(*) >= need),
+found AS (
+  SELECT doc_id, label, n / size AS share FROM begins JOIN texts USING (doc_id) WHERE list_bool_and(list_transform(must, lambda x:
+    contains(' ' || array_to_string(w[greatest(b - {near}, 0) + 1 : b + size + {near}], ' ') || ' ', ' ' || x || ' ')))),
+based AS (SELECT doc_id, count(*) AS n, min(k) AS first, max(k) AS last, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM base GROUP BY 1),
+labelled AS (
+  SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS share
+  FROM (SELECT doc_id, label, NULL AS share FROM base UNION ALL SELECT doc_id, label, share FROM found) GROUP BY 1)
+SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce(b.n, 0)::BIGINT AS n_base, b.first::BIGINT AS first_word, b.last::BIGINT AS last_word,
+  coalesce(b.labels, '') AS base_labels, coalesce(l.labels, '') AS labels,
+  CASE WHEN b.n > 0 THEN 1.0::DOUBLE ELSE coalesce(l.share, 0.0::DOUBLE) END AS score
+FROM texts t LEFT JOIN based b USING (doc_id) LEFT JOIN labelled l USING (doc_id)"""
+
+
 EXACT = r"""
 WITH texts AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS x FROM documents)
 SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = min(doc_id) OVER same AS kept, sha256(x) AS text_sha256

@@ -66,7 +66,7 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.digest(personal_data.find_personal_data(table(spark, sf_dir, "documents")))
 
 
-@query()
+@query(oracles.license_texts())
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan_licenses(table(spark, sf_dir, "documents")))
 

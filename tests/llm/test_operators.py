@@ -657,3 +657,51 @@ def test_all_licences_of_a_file(spark):
     labels = sorted({label for label, _, _ in licenses.TEXTS} | {"mit", "apache-2"})
     assert found[0]["labels"] == ",".join(labels)
     assert found[1]["labels"] == "mit,mit-notice" and found[40]["labels"] == ""
+
+
+def test_places_reject_texts_whose_phrases_stand(spark):
+    """Against SQL without an index: whole, edited, cut and shuffled licence texts."""
+    duckdb = pytest.importorskip("duckdb")
+    from driftpanel.llm import oracles
+
+    rng = np.random.default_rng(5)
+    mit = licenses.TEXTS[0][1]
+    a, b = licenses.TEXTS[0][2]
+    picnic = f"{b} said the invitation to our picnic and {a} the lemonade will be served until the bottles are empty"
+    texts = [picnic, f"{a} {b}", mit, f"x {mit} y", "", None, "MİT " + mit, "é " + mit.upper(), "license the software " * 3000]
+    for _, text, _ in licenses.TEXTS:
+        words = text.split()
+        texts.append(" ".join(words))
+        for _ in range(6):
+            edited = list(words)
+            for _ in range(rng.integers(1, 6)):
+                at = int(rng.integers(0, len(edited)))
+                match rng.integers(0, 3):
+                    case 0:
+                        edited[at] = "other"
+                    case 1:
+                        edited.insert(at, "more")
+                    case _:
+                        del edited[at]
+            texts.append(" ".join(edited))
+        texts.append(" ".join(words[: len(words) // 2]))
+        texts.append(" ".join(rng.permutation(words)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = licenses.digest(licenses.scan_licenses(docs)).toPandas().sort_values("doc_id")
+    with duckdb.connect() as db:
+        db.register("documents", pd.DataFrame(enumerate(texts), columns=["doc_id", "text"]))
+        stated = db.sql(oracles.license_texts()).df().sort_values("doc_id")
+    for column in stated.columns:
+        assert list(found[column].fillna(-1)) == list(stated[column].fillna(-1)), column
+    labels = list(found["labels"])
+    assert labels[:4] == ["", "", "mit-text", "mit-text"] and labels[6:9] == ["mit-text", "mit-text", ""]
+
+
+def test_indexed_words_are_enough():
+    """However common a word is: any `needed` places of a text hold VOTES indexed ones."""
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        index = licenses.index_of({w: int(rng.integers(0, 9)) for w in licenses.VOCABULARY})
+        for t, (_, text, _) in enumerate(licenses.TEXTS):
+            places = {p for postings in index.values() for u, p in postings if u == t}
+            assert licenses.needed(text) - (len(text.split()) - len(places)) >= licenses.VOTES

@@ -207,8 +207,9 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     index = index_of(files_of(named))
     places = [stand_at(F.col("words"), phrase) for phrase, _ in PHRASES]
     held = F.array_intersect("words", F.array(*[F.lit(w) for w in VOCABULARY]))
-    seen = named.select("doc_id", "words", F.array(*places).alias("by_phrase"), held.alias("held"))
-    seen = seen.withColumn("found", texts_at(F.col("words"), F.col("held"), index))
+    seen = named.select("doc_id", "words", F.array(*places).alias("by_phrase"))
+    # Bound, as a column of its own would be written out inside the lambdas and computed per text.
+    seen = seen.withColumn("found", bind(held, lambda held: texts_at(F.col("words"), held, index)))
     base_labels = F.filter(F.array(*[F.when(F.size(F.get("by_phrase", F.lit(k))) > 0, F.lit(label)) for k, (_, label) in enumerate(PHRASES)]),
                            lambda x: x.isNotNull())
     every = F.flatten("by_phrase")

@@ -1,17 +1,24 @@
 """Language identification by fusing evidence.
 
-A text's likelihood comes from byte trigrams counted per declared language in a bounded
-sample of declared rows (SAMPLE different ones, those of the least hashes). What declarations are
-worth, P(declared | language), how languages divide on an address suffix, and each
-host's prior, smoothed towards its domain's and that towards all rows', are grouped
-aggregates over all rows, counting what the text alone says. The posterior is their
-product. A row is rejected if nothing can be said about it: no letters, mostly trigrams
-that no language has, or no language above LEAST.
+Declarations are read by their first subtag in lower case, so `en`, `EN` and `en-US` are
+one language; what isn't of two or three letters declares nothing.
+
+A text's likelihood comes from byte trigrams counted per language in a bounded sample: of
+each of the LANGUAGES most declared languages (the lesser tag first where as many rows
+declare them) all different rows, or if there are more, those with the least hashes, about
+SAMPLE. A rare language thus is a candidate like any other. What a language's sample hasn't
+got comes from all languages' trigrams, in the same share for all, so that small samples
+don't attract strange texts. What declarations are worth, P(declared | language), how
+languages divide on an address suffix, and each host's prior, smoothed towards its domain's
+and that towards all rows', are grouped aggregates over all rows, counting what the text
+alone says. The posterior is their product; of equal ones the least language wins. A row is
+rejected if nothing can be said about it: no letters, mostly trigrams that no language has,
+or no language above LEAST.
 
 Null and empty texts are rejected. A null declaration or address is no evidence.
 Addresses may be URLs, host names or any name of a source. If no row declares a
 language, there is nothing to learn from: rows with letters are kept, without a language.
-Repeated rows give repeated results.
+Repeated rows give repeated results. Of a very long text all trigrams count.
 """
 
 from __future__ import annotations
@@ -28,10 +35,12 @@ from pyspark.sql import types as T
 from driftpanel.llm import textscan as ts
 from driftpanel.llm.common import prepared, stored
 
-SAMPLE = 4000
+SAMPLE = 1000  # different rows of each language, about
+LANGUAGES = 256  # a quarter of a megabyte each, at every worker
 BITS = 16  # of the trigram table
 GRAMS = 200  # a text counts as so many independent trigrams at most
-SMOOTH = 0.05
+SMOOTH = 0.05  # added to the counts of all languages together
+SHARED = 0.1  # share of all languages' trigrams in each language's
 HOST_WEIGHT = 20.0  # rows that the level above is worth
 LEAST = 0.5
 KNOWN = 0.5  # share of trigrams that some language has
@@ -76,7 +85,7 @@ class Model:
         weight = np.minimum(1.0, GRAMS / np.maximum(n, 1))
         total = np.zeros((len(n), len(self.languages)))
         for k in range(len(self.languages)):
-            run = np.concatenate([[0.0], np.cumsum(self.table[k][code])])
+            run = np.concatenate([[0.0], np.cumsum(self.table[k][code], dtype=float)])
             total[:, k] = (run[bounds[1:]] - run[bounds[:-1]]) * weight
         return total, n, ts.sums(self.known[code], bounds) / np.maximum(n, 1)
 
@@ -86,30 +95,45 @@ def shares(log: np.ndarray) -> np.ndarray:
     return p / p.sum(axis=1, keepdims=True)
 
 
+def tag_of(declared: Column) -> Column:
+    """The language that a declaration names, null where it names none."""
+    return F.nullif(F.regexp_extract(F.lower(F.trim(declared)), r"^([a-z]{2,3})(?:[-_].*)?$", 1), F.lit(""))
+
+
 def fitted(rows: DataFrame) -> Model:
-    """rows has (id, text, declared)."""
-    tagged = rows.filter("declared is not null").select(F.xxhash64("id", "text").alias("h"), "declared", "text")
-    # Only hashes meet in one task; the texts stay where they are.
-    most = tagged.select("h").distinct().orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
-    sample = tagged.filter(F.col("h") <= F.lit(most)).groupBy("h").agg(F.min("declared").alias("declared"), F.min("text").alias("text"))
+    """rows has (id, text, tag)."""
+    tagged = rows.filter("tag is not null").select(F.xxhash64("id", "text").alias("h"), "tag", "text")
+    # Only hashes are shuffled; the texts stay where they are. Tags are few, as they are so short.
+    different = tagged.select("tag", "h").distinct().groupBy("tag").count().orderBy(F.desc("count"), "tag").limit(LANGUAGES).collect()
+    if not different:
+        return Model([], np.zeros((0, 1 << BITS), np.float32), np.zeros(1 << BITS, bool))
+    shares = F.create_map(*[F.lit(x) for r in different for x in (r["tag"], min(1.0, SAMPLE / r["count"]))])
+    # A language's hashes are spread evenly over 2^32 values.
+    least = F.pmod(F.xxhash64("h"), F.lit(1 << 32)) < F.element_at(shares, F.col("tag")) * (1 << 32)
+    sample = tagged.filter(least).groupBy("tag", "h").agg(F.min("text").alias("text"))
 
     def count(batches: Arrow) -> Arrow:
         for batch in ts.slices(batches, "text"):
             code, bounds = trigrams(*ts.utf8(batch.column("text")))
             row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
             key, n = np.unique((row << BITS) | code, return_counts=True)
-            yield pa.RecordBatch.from_arrays([batch.column("declared").take(pa.array(key >> BITS)), pa.array(key & ((1 << BITS) - 1)),
-                                              pa.array(n)], ["declared", "code", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column("tag").take(pa.array(key >> BITS)), pa.array(key & ((1 << BITS) - 1)),
+                                              pa.array(n)], ["tag", "code", "n"])
 
-    counts = (sample.select("declared", "text").mapInArrow(count, "declared string, code long, n long")
-              .groupBy("declared", "code").agg(F.sum("n").alias("n")).toPandas())
-    languages = sorted(counts["declared"].unique())
+    counts = (sample.select("tag", "text").mapInArrow(count, "tag string, code long, n long")
+              .groupBy("tag", "code").agg(F.sum("n").alias("n")).toPandas())
+    languages = sorted(r["tag"] for r in different)
     n = np.zeros((len(languages), 1 << BITS))
-    for k, language in enumerate(languages):
-        own = counts[counts["declared"] == language]
-        n[k, own["code"].to_numpy(np.int64)] = own["n"]
-    table = np.log((n + SMOOTH) / (n.sum(axis=1, keepdims=True) + SMOOTH * n.shape[1]))
-    return Model(languages, table, n.sum(axis=0) > 0)
+    place = {language: k for k, language in enumerate(languages)}
+    n[counts["tag"].map(place).to_numpy(np.int64), counts["code"].to_numpy(np.int64)] = counts["n"]
+    return Model(languages, log_shares(n).astype(np.float32), n.sum(axis=0) > 0)
+
+
+def log_shares(n: np.ndarray) -> np.ndarray:
+    """log P(trigram | language) from counts by language and trigram."""
+    every = n.sum(axis=0) + SMOOTH
+    own = n / np.maximum(n.sum(axis=1, keepdims=True), 1)
+    return np.log((1 - SHARED) * own + SHARED * every / every.sum())
 
 
 def host_of(address: Column) -> Column:
@@ -135,7 +159,7 @@ class Evidence:
 
 
 def gathered(rows: DataFrame, model: Model, held) -> Evidence:
-    """rows has (text, declared, host, domain, suffix)."""
+    """rows has (text, tag, host, domain, suffix)."""
     size = len(model.languages)
 
     def by_text(batches: Arrow) -> Arrow:
@@ -148,7 +172,7 @@ def gathered(rows: DataFrame, model: Model, held) -> Evidence:
 
     kind = "declared string, host string, domain string, suffix string, " + ", ".join(f"p{k} double" for k in range(size))
     # One row per host and declaration of a known language: few, whatever the rows.
-    known = F.when(F.col("declared").isin(model.languages), F.col("declared"))
+    known = F.when(F.col("tag").isin(model.languages), F.col("tag"))
     p = [f"p{k}" for k in range(size)]
     cells = stored(rows.select("text", known.alias("declared"), "host", "domain", "suffix").mapInArrow(by_text, kind)
                    .groupBy("declared", "host", "domain", "suffix").agg(*[F.sum(x).alias(x) for x in p]), "language-cells")
@@ -180,9 +204,10 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", declar
              carry: Column | None = None) -> DataFrame:
     """Per row: id, declared, language, posterior, known_share, kept; `carry` travels along as it is."""
     spark = prepared(docs.sparkSession)
-    rows = docs.select(docs[doc_id].alias("id"), docs[text].alias("text"), docs[declared].cast("string").alias("declared"),
+    said = docs[declared].cast("string")
+    rows = docs.select(docs[doc_id].alias("id"), docs[text].alias("text"), said.alias("declared"), tag_of(said).alias("tag"),
                        *places(docs[address].cast("string")), (carry if carry is not None else F.lit(None).cast("int")).alias("carry"))
-    model = fitted(rows.select("id", "text", "declared"))
+    model = fitted(rows.select("id", "text", "tag"))
     languages = model.languages
     out = T.StructType([*rows.select("id", "carry", "declared").schema, T.StructField("language", T.StringType()),
                         T.StructField("posterior", T.DoubleType()), T.StructField("known_share", T.DoubleType()),
@@ -207,7 +232,7 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", declar
                 given[rows] = prior.drop_null().flatten().to_numpy().reshape(len(rows), len(overall))
             log = log + given
             place = {language: k for k, language in enumerate(model.languages)}
-            said = np.array([place.get(x, -1) for x in batch.column("declared").to_pylist()], int)
+            said = np.array([place.get(x, -1) for x in batch.column("tag").to_pylist()], int)
             log[said >= 0] += confusion.T[said[said >= 0]]
             p = shares(log) if len(log) else log
             best = p.argmax(axis=1) if len(log) else np.zeros(0, int)
@@ -217,4 +242,4 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", declar
                  pa.array(top), pa.array(known), pa.array((n > 0) & (known >= KNOWN) & (top >= LEAST))], names)
 
     # Spark broadcasts the hosts where they are few and splits hot hosts where they aren't.
-    return rows.join(evidence.hosts, "host", "left").select("id", "text", "declared", "carry", "prior").mapInArrow(fuse, out)
+    return rows.join(evidence.hosts, "host", "left").select("id", "text", "declared", "tag", "carry", "prior").mapInArrow(fuse, out)

@@ -43,7 +43,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pages_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same over web pages: markup language, address suffix and hosts as evidence."""
     text = F.regexp_replace("html", r"(?s)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]*>", " ")
-    declared = F.nullif(F.regexp_extract("html", r"<html[^>]*\blang=[\"']?([A-Za-z]+)", 1), F.lit(""))
+    declared = F.nullif(F.regexp_extract("html", r"(?i)<html[^>]*\slang\s*=\s*[\"']?\s*([A-Za-z][A-Za-z0-9_-]*)", 1), F.lit(""))
     pages = table(spark, sf_dir, "pages").select("page_id", "url", text.alias("text"), declared.alias("declared"))
     found = identify(pages, "page_id", "text", "declared", "url")
     return found.select(F.col("id").alias("page_id"), "declared", "language", F.round("posterior", 6).alias("posterior"), "kept")

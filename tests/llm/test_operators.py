@@ -705,3 +705,84 @@ def test_indexed_words_are_enough():
         for t, (_, text, _) in enumerate(licenses.TEXTS):
             places = {p for postings in index.values() for u, p in postings if u == t}
             assert licenses.needed(text) - (len(text.split()) - len(places)) >= licenses.VOTES
+
+
+def test_rare_languages_and_tags(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE", 200)
+    fi = "talossa asuu vanha mies joka kertoo lapsille tarinoita"
+    en = "the old man of the house tells a story to the children number"
+    rows = [(i, f"{en} {i}", ("en", "EN", "en-US", " en_GB ")[i % 4], "https://a.example.com") for i in range(4000)]
+    rows += [(9000 + i, f"{fi} {i} kertaa", "fi", f"https://{i}.lehti.fi/x") for i in range(3)]
+    rows += [(9100, fi, None, "https://uusi.fi"), (9101, "zzqx vvkj qqwz", "no idea", None), (9102, f"{en} x", "not-a-tag-of-anything", None)]
+    found = {r["id"]: r for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(found[i]["language"] == "en" and found[i]["kept"] and found[i]["declared"] == rows[i][2] for i in range(4000))
+    assert [found[i]["language"] for i in (9000, 9001, 9002, 9100)] == ["fi"] * 4 and found[9100]["kept"]
+    assert not found[9101]["kept"] and found[9102]["language"] == "en"
+
+
+def test_tags(spark):
+    said = ["en", "EN-us", " pt_BR", "zh-Hant-TW", "deu", "english", "", "e", "12", None, "no idea", "x-klingon"]
+    df = spark.createDataFrame([(x,) for x in said], "x string")
+    assert [r[0] for r in df.select(language.tag_of(F.col("x"))).collect()] == ["en", "en", "pt", "zh", "deu", *[None] * 7]
+
+
+def test_posterior_by_plain_loops(spark):
+    words = {"en": "the house and of story children tells man", "de": "das haus und von kinder erzaehlt mann alte", "nl": "het huis en van kinderen vertelt man oude"}
+    rng = random.Random(3)
+    rows = []
+    for i in range(90):
+        name = rng.choice(["en", "en", "de", "nl"])
+        text = " ".join(rng.choice(words[name].split() + ["man", "story"]) for _ in range(rng.randint(1, 6)))
+        said = rng.choice([name, name, None, "en", "xx1"])
+        place = rng.choice([f"https://{rng.choice('ab')}.site.{name}/p", f"http://user@shop.site.{name}:80?q", "books", None])
+        rows.append((i, rng.choice([text, text, text.upper(), "", None]), said, place))
+    found = {r["id"]: r for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+
+    def grams(text):
+        raw = [b if 97 <= b < 123 or b >= 128 else b + 32 if 65 <= b < 91 else 32 for b in (text or "").encode()]
+        return [((a << 16 | b << 8 | c) * 2654435761 % 2**32) >> 16 for a, b, c in zip(raw, raw[1:], raw[2:]) if b != 32 and (a != 32 or c != 32)]
+
+    tag = {i: said if said in words else None for i, _, said, _ in rows}
+    langs = sorted({t for t in tag.values() if t})
+    counts = {k: Counter(g for x in rows if tag[x[0]] == k for g in grams(x[1])) for k in langs}
+    every = Counter()
+    for c in counts.values():
+        every.update(c)
+    total = sum(every.values()) + 0.05 * 65536
+
+    def likelihood(text):
+        found = grams(text)
+        return [sum(math.log(0.9 * counts[k][g] / max(1, sum(counts[k].values())) + 0.1 * (every[g] + 0.05) / total) for g in found)
+                * min(1, 200 / max(1, len(found))) for k in langs]
+
+    def normal(logs):
+        p = [math.exp(x - max(logs)) for x in logs]
+        return [x / sum(p) for x in p]
+
+    def split(place):
+        host = {"https": "", "http:": ""}.get((place or "")[:5]) is not None and place.split("//")[1].split("/")[0].split("?")[0].split("@")[-1].split(":")[0] or place
+        return (host, ".".join(host.split(".")[-2:]), host.split(".")[-1] if "." in host else None) if host else (None, None, None)
+
+    soft = {i: normal(likelihood(text)) if grams(text) else [0.0] * len(langs) for i, text, _, _ in rows}
+    where = {i: split(place) for i, _, _, place in rows}
+    add = lambda ids: [sum(soft[i][k] for i in ids) for k in range(len(langs))]
+    top = [x + 1 for x in add(soft)]
+    top = [x / sum(top) for x in top]
+    toward = lambda n, above: [(x + 20 * q) / (sum(n) + 20) for x, q in zip(n, above)]
+    said = {t: [x + 0.5 for x in add([i for i in tag if tag[i] == t])] for t in langs}
+    for i, text, _, _ in rows:
+        logs = likelihood(text)
+        host, domain, suffix = where[i]
+        if host is None:
+            logs = [x + math.log(q) for x, q in zip(logs, top)]
+        else:
+            of = lambda k, v: add([j for j in where if where[j][k] == v])
+            by_host = toward(of(0, host), toward(of(1, domain), top))
+            by_suffix = toward(of(2, suffix), top) if suffix else top
+            logs = [x + math.log(h) + math.log(s / q) for x, h, s, q in zip(logs, by_host, by_suffix, top)]
+        if tag[i]:
+            logs = [x + math.log(said[tag[i]][k] / sum(said[t][k] for t in langs)) for k, x in enumerate(logs)]
+        p = normal(logs)
+        assert found[i]["posterior"] == pytest.approx(max(p), abs=1e-6), rows[i]
+        assert found[i]["language"] == langs[p.index(max(p))] and found[i]["kept"] == (bool(grams(text)) and max(p) >= 0.5 and sum(
+            every[g] > 0 for g in grams(text)) >= 0.5 * len(grams(text)))

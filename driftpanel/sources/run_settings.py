@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from dataclasses import dataclass, fields
+from dataclasses import dataclass
 from datetime import date
 from typing import Any
 
@@ -167,7 +167,9 @@ def config_of(documents: dict[str, str]) -> RunConfig:
         sources=sources, include=words.get("include", []), exclude=words.get("exclude", []), models=(*(m for _, m in models), *built_in()),
         instructions=documents.get("instructions.md", ""), bands=tuple(b for _, b in bands) or defaults.bands,
         targets=tuple(t for _, t in targets) or defaults.targets, **single)
-    for check in (config.validate, config.screener if config.panel_enabled and not config.active_panel_id else lambda: None):
+    # Whether a panel must be built at all is known only where panels are stored.
+    builds = config.screening_model or (config.panel_enabled and config.rebuild_panel)
+    for check in (config.validate, *([config.screener] if builds else [])):
         try:
             check()
         except ValueError as error:
@@ -179,6 +181,3 @@ def config_of(documents: dict[str, str]) -> RunConfig:
 
 def load_run(spark: SparkSession, folder: str) -> RunConfig:
     return config_of(documents_in(spark, folder))
-
-
-assert set(RUN) <= {f.name for f in fields(RunConfig)}

@@ -1,12 +1,13 @@
 """Runs from settings documents, and all that can be wrong with these."""
 
 import json
+from dataclasses import fields
 from datetime import date
 
 import pytest
 
-from driftpanel.config import DEFAULT_BANDS, DEFAULT_TARGETS
-from driftpanel.sources.run_settings import Fault, SettingsRefused, config_of, load_run
+from driftpanel.config import DEFAULT_BANDS, DEFAULT_TARGETS, RunConfig
+from driftpanel.sources.run_settings import RUN, Fault, SettingsRefused, config_of, load_run
 from driftpanel.sources.settings import BUILT_IN_MODELS, MODEL_COLUMNS, model_catalogue
 
 LEAST = {
@@ -78,8 +79,14 @@ def test_documents_of_another_shape(document):
     assert {f.document for f in refused.value.faults} == {"sources.json"}
 
 
-def test_no_screener_is_needed_for_a_chosen_panel():
-    single = json.dumps({"contributor_id": "c", "active_panel_id": "p"})
-    assert config_of({**LEAST, "run.json": single}).active_panel_id == "p"
-    with pytest.raises(SettingsRefused):
-        config_of({**LEAST, "run.json": json.dumps({"contributor_id": "c"})})
+def test_screeners():
+    """A stored panel needs none; one that is named must exist, and a rebuild needs one."""
+    said = lambda **single: {**LEAST, "run.json": json.dumps({"contributor_id": "c", **single})}
+    assert config_of(said(active_panel_id="p")).active_panel_id == "p" and config_of(said()).screening_model == ""
+    for single in ({"rebuild_panel": True}, {"screening_model": "t"}):
+        with pytest.raises(SettingsRefused):
+            config_of(said(**single))
+
+
+def test_values_are_those_of_a_run():
+    assert set(RUN) <= {f.name for f in fields(RunConfig)}

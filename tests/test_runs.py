@@ -24,6 +24,8 @@ from driftpanel.plans import runs
 from driftpanel.plans.runs import CallsFailed, EventsLost, grade_run, run_totals
 from driftpanel.queries.standin import offline_scorer
 from driftpanel.sources.boards import Boards
+from driftpanel.sources.run_settings import load_run
+from driftpanel.sources.settings import BUILT_IN_MODELS
 from driftpanel.streaming.landing import stream_landing, upsert_stream
 
 # Workers cannot import this file; the scorers below travel with their code.
@@ -349,3 +351,20 @@ def test_a_build_gives_its_own_panel_and_damage_is_an_error(spark, postings, tmp
     spark.range(1).write.parquet(broken)
     with pytest.raises(PySparkException):
         panels.load_panel(spark, CONFIG, broken)
+
+
+def test_run_from_documents_alone(spark, postings, tmp_path):
+    settings = tmp_path / "settings"
+    settings.mkdir()
+    for name, document in {
+        "sources.json": {"greenhouse": ["acme"]}, "filterKeywords.json": {},
+        "models.json": [{"name": m.name, "deployment": m.deployment, "tpm": m.tpm, "rpm": m.rpm, "protocol": m.protocol, "baseURL": m.base_url}
+                        for m in MODELS[:2]],
+        "run.json": {"contributor_id": "me", "panel_enabled": False},
+    }.items():
+        (settings / name).write_text(json.dumps(document))
+    (settings / "instructions.md").write_text("grade")
+    out = grade_run(spark, load_run(spark, str(settings)), lambda: postings, OFFLINE, NOW, str(tmp_path / "out"), "r1")
+    assert {r.model for r in out["calls"].select("model").distinct().collect()} == {m.name for m in MODELS[:2]}
+    # The built-in models were asked for, too, and nobody here speaks their protocols.
+    assert {r.model for r in out["refused"].collect()} == {name for name, *_ in BUILT_IN_MODELS}

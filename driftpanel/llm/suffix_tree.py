@@ -1,16 +1,25 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-Training counts every token (words, then one end per text). Contexts of one and more
-words are candidates while they make up `least_context` of all training tokens, so
-there are at most 1 / least_context of each length; a context keeps the symbols that
-follow it in `least_string` of all tokens, at most 1 / least_string strings of each
-length. These two bounds are what the workers hold. A candidate stays if its next-symbol
-distribution diverges from that of its own suffix, per occurrence and in total; the
-suffixes of a state stay with it. Distributions are smoothed by passing the mass of
-what a context doesn't keep to its suffix (Witten-Bell), down to add-one counts of
-single tokens. A token is scored in the longest suffix state of what stands before it.
-
-Counts of rare tokens are joined by token, never held whole anywhere.
+Training counts every token (words, then one end per text) and every string of two and
+more words. Any context that occurs is a candidate, however rare, up to `depth` words. A
+context passes one of each follower's occurrences on to its own suffix (absolute
+discounting), down to add-one counts of single tokens:
+
+    p(w | c) = (n(cw) - 1) / n(c) + kinds(c) / n(c) * p(w | suffix of c)
+
+A context stays if that explains what follows it better than its suffix does, per
+occurrence and in total; the suffixes of a state stay with it. A token is scored in the
+longest suffix state of what stands before it.
+
+Two things follow, so that nothing is left out that could count. A string seen once adds
+nothing of its own, and the number of those follows from the other counts. A context seen n
+times whose suffix is seen m times gains at most n * log(1 + m / n), so longer strings are
+counted only after contexts for which this reaches `evidence`.
+
+A text's score is a sum over its strings of one, two, ... words, each with one value. The
+values of strings that make up `least_string` of all tokens, at most 1 / least_string of
+each length, are held by the workers; those of all others are joined by string. Bitmaps of
+fixed size only leave out rows before these joins.
 
 Null texts read as empty: one token, the end. A null id belongs to the training texts.
 Repeated rows give repeated results, all of them counted. With nothing to learn from
@@ -21,15 +30,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftpanel.llm import textscan as ts
-from driftpanel.llm.common import only, prepared, stored
+from driftpanel.llm.bitmap import bitmap, may_hold
+from driftpanel.llm.common import prepared, stored
 from driftpanel.llm.lookup import Lookup
 
 U = np.uint64
@@ -41,10 +51,10 @@ HELD = 4 << 20  # entries a task gathers before it sends them on
 
 @dataclass(frozen=True)
 class Shape:
-    """Bounds and tests of the tree."""
+    """Tests of the tree, and the share of all tokens from which the workers hold a string."""
 
     depth: int = 2
-    least_context: float = 1e-4
+    least_context: float = 0.0  # not looked at: contexts of any share are candidates
     least_string: float = 1e-6
     divergence: float = 0.005  # nats per occurrence
     evidence: float = 20.0  # nats over all occurrences
@@ -52,15 +62,16 @@ class Shape:
 
 @dataclass
 class Tree:
-    """What the workers hold. Levels are contexts of one word, two words, ..."""
+    """What the workers hold of the frequent strings."""
 
     tokens: int = 0
     distinct: int = 0
     frequent: Lookup | None = None
     counts: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    contexts: list = field(default_factory=list)  # Lookup of (state one shorter, symbol), or symbols' states
-    states: list = field(default_factory=list)  # escape mass by state, NaN where pruned
-    strings: list = field(default_factory=list)  # (Lookup of (state, symbol), probability)
+    states: list = field(default_factory=list)  # escape mass by token, NaN where no state
+    strings: list = field(default_factory=list)  # (Lookup, probability): of (token, token) by number, then by hash
+    values: list = field(default_factory=list)  # what a string of one, two, ... words adds to a score
+    may_add: np.ndarray | None = None  # bitmap of longer strings that are not held
 
 
 def tokens_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -73,193 +84,246 @@ def tokens_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
-def counted(emit: Callable[[pa.RecordBatch], np.ndarray]) -> Callable:
-    """Sums of how often each key stands in a task's texts, gathered in bounded pieces."""
+def joined_key(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """The hash of a string, from those of all but its last and all but its first word."""
+    return ts.mix(ts.mix(context) + suffix)
+
+
+def strings_of(tokens: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the `n` tokens that end at each token; of no meaning where a text has fewer so far."""
+    keys = tokens
+    for _ in range(n - 1):
+        keys = np.concatenate([keys[:1], joined_key(keys[:-1], keys[1:])])
+    return keys
+
+
+def places(first: np.ndarray) -> np.ndarray:
+    """Each token's place in its text."""
+    return np.arange(first[-1]) - np.repeat(first[:-1], np.diff(first))
 
-    def total(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        keys, n = np.concatenate(keys), np.concatenate(n)
-        order = np.argsort(keys)
-        keys, n = keys[order], n[order]
+
+def counted(emit: Callable[[pa.RecordBatch], tuple[np.ndarray, ...]], names: list[str]) -> Callable:
+    """Sums of how often each key stands in a task's texts, gathered in bounded pieces.
+
+    `emit` gives keys and what else is said of them; the columns named are passed on.
+    """
+
+    def total(columns: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        order = np.argsort(columns[0])
+        keys = columns[0][order]
         begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
-        return keys[begin], np.add.reduceat(n, begin) if len(begin) else n
+        return [c[order[begin]] for c in columns], np.add.reduceat(n[order], begin) if len(begin) else n
+
+    def batch_of(columns: list[np.ndarray], n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*[pa.array(ts.signed(c)) for c in columns[-len(names):]], pa.array(n)], [*names, "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, n, held = [], [], 0
+        found, n, held = [], [], 0
         for batch in ts.slices(batches, "text"):
-            found = emit(batch)
-            keys.append(found)
-            n.append(np.ones(len(found), np.int64))
-            held += len(found)
+            columns = emit(batch)
+            found.append(columns)
+            n.append(np.ones(len(columns[0]), np.int64))
+            held += len(columns[0])
             if held > HELD:
-                keys, n = ([x] for x in total(keys, n))
-                held = len(keys[0])
+                columns, sizes = total([np.concatenate(c) for c in zip(*found, strict=True)], np.concatenate(n))
+                found, n, held = [columns], [sizes], len(sizes)
                 if held > HELD // 2:
-                    yield pa.RecordBatch.from_arrays([pa.array(ts.signed(keys[0])), pa.array(n[0])], ["key", "n"])
-                    keys, n, held = [], [], 0
-        if keys:
-            found, sizes = total(keys, n)
-            yield pa.RecordBatch.from_arrays([pa.array(ts.signed(found)), pa.array(sizes)], ["key", "n"])
+                    yield batch_of(columns, sizes)
+                    found, n, held = [], [], 0
+        if found:
+            yield batch_of(*total([np.concatenate(c) for c in zip(*found, strict=True)], np.concatenate(n)))
 
     return run
 
 
-def state_walk(tree: Tree, tokens: np.ndarray, first: np.ndarray, depth: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Each token's number among the frequent ones (-1: rare) and the candidate state of the
-    last 1, 2, ... tokens before it (-1: none)."""
-    symbol = tree.frequent(tokens)
-    start = np.zeros(len(tokens), bool)
-    start[first[:-1]] = True
-    states: list[np.ndarray] = []
-    for d in range(depth):
-        state = np.full(len(tokens), -1, np.int32)
-        before = symbol[:-1]
-        if d == 0:
-            state[1:] = np.where(before >= 0, tree.contexts[0][before], -1)
-        else:
-            shorter = states[d - 1][:-1]
-            ok = np.flatnonzero((shorter >= 0) & (before >= 0))
-            state[1 + ok] = tree.contexts[d]((shorter[ok].astype(np.int64) << SYMBOL_BITS) | before[ok])
-        state[start] = -1
-        states.append(state)
-    return symbol, states
+def followed(n: int, contexts=None, suffixes=None) -> Callable:
+    """Counts of strings of `n` tokens, by their context and suffix, where bitmaps allow these."""
+
+    def emit(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        tokens, first = tokens_of(batch)
+        shorter = strings_of(tokens, n - 1)
+        at = np.flatnonzero(places(first) >= n - 1)
+        if contexts is not None:
+            at = at[may_hold(contexts.value, shorter[at - 1])]
+            at = at[may_hold(suffixes.value, shorter[at])]
+        context, suffix = shorter[at - 1], shorter[at]
+        return joined_key(context, suffix), context, suffix
 
+    return counted(emit, ["context", "suffix"])
 
-def followers(tree, depth: int) -> Callable:
-    """Counts of (candidate state of `depth` words, frequent symbol)."""
 
-    def emit(batch: pa.RecordBatch) -> np.ndarray:
-        symbol, states = state_walk(tree.value, *tokens_of(batch), depth)
-        ok = (states[-1] >= 0) & (symbol >= 0)
-        return ((states[-1][ok].astype(np.int64) << SYMBOL_BITS) | symbol[ok]).view(U)
+def with_keys(strings: DataFrame) -> DataFrame:
+    """Adds the strings' own hashes."""
 
-    return counted(emit)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = [batch.column(c).to_numpy().view(U) for c in ("context", "suffix")]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ts.signed(joined_key(*both)))], [*batch.schema.names, "key"])
 
+    return strings.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in strings.schema) + ", key long")
 
-def grown(train: DataFrame, shape: Shape) -> tuple[Tree, DataFrame]:
-    """The tree and the counts of all tokens."""
-    spark = train.sparkSession
-    counts = stored(train.mapInArrow(counted(lambda b: tokens_of(b)[0]), COUNT).groupBy("key").agg(F.sum("n").alias("n")),
+
+def level(strings: DataFrame, contexts: DataFrame, suffixes: DataFrame, shape: Shape, name: str) -> DataFrame:
+    """Strings seen twice and more, with the probability of their last word and whether their context passes.
+
+    `contexts` and `suffixes` have (key, n) and (key, p) of what is one word shorter.
+    """
+    found = (strings.join(suffixes.select(F.col("key").alias("suffix"), F.col("p").alias("p_above"), F.col("n").alias("n_suffix")), "suffix")
+             .join(contexts.select(F.col("key").alias("context"), F.col("n").alias("n_context")), "context"))
+    once = F.col("n_context") - F.col("n_twice")
+    sizes = found.groupBy("context", "n_context").agg(F.sum("n").alias("n_twice"), F.count("*").alias("kinds")).select(
+        "context", once.alias("once"), ((F.col("kinds") + once) / F.col("n_context")).alias("escape"))
+    read = found.join(sizes, "context").withColumn(
+        "p", (F.col("n") - 1) / F.col("n_context") + F.col("escape") * F.col("p_above"))
+    gains = read.groupBy("context", "n_context", "escape").agg(
+        (F.sum(F.col("n") * F.log(F.col("p") / F.col("p_above"))) + F.max("once") * F.log("escape")).alias("gain"))
+    passes = (F.col("gain") >= shape.evidence) & (F.col("gain") >= shape.divergence * F.col("n_context"))
+    return stored(with_keys(read.drop("once").join(gains.select("context", passes.alias("passes")), "context")), name)
+
+
+def trained(train: DataFrame, shape: Shape) -> tuple[float, int, DataFrame, list[DataFrame], list[DataFrame]]:
+    """All tokens, distinct ones, the tokens' counts, strings by length from two on, states by length from one on."""
+    broadcast = train.sparkSession.sparkContext.broadcast
+    counts = stored(train.mapInArrow(counted(lambda b: (tokens_of(b)[0],), ["key"]), COUNT).groupBy("key").agg(F.sum("n").alias("n")),
                     "token-counts")
     total = counts.agg(F.sum("n"), F.count("*")).first()
-    tree = Tree(int(total[0] or 0), int(total[1]))
-    least = max(1.0, shape.least_string * tree.tokens)
-    # At most 1 / least_string rows, as their counts add up to all tokens.
-    frequent = counts.filter(F.col("n") >= least).toPandas().sort_values("key")
-    assert len(frequent) < 1 << SYMBOL_BITS
-    tree.frequent = Lookup(frequent["key"].to_numpy(np.int64).view(U))
-    tree.counts = frequent["n"].to_numpy(np.int64)
-    end = int(tree.frequent(np.array([END]))[0])
-    n_symbols, least_context = len(frequent), max(1.0, shape.least_context * tree.tokens)
-    root = (tree.counts + 1) / (tree.tokens + tree.distinct + 1)
-
-    usable = (tree.counts >= least_context) & (np.arange(n_symbols) != end)
-    by_symbol = np.where(usable, np.cumsum(usable) - 1, -1).astype(np.int32)
-    tree.contexts.append(by_symbol)
-    n_of, parent = tree.counts[usable], np.zeros(int(usable.sum()), np.int64)
-    last = np.flatnonzero(usable)
-    parents: list[np.ndarray] = []
-    kept: list[np.ndarray] = []
-    # Probabilities one level up: of the root at first.
-    above = spark.createDataFrame(pd.DataFrame({"parent": np.zeros(n_symbols, np.int64), "symbol": np.arange(n_symbols),
-                                                "p_above": root}), "parent long, symbol long, p_above double")
+    tokens, distinct = int(total[0] or 0), int(total[1])
+    contexts = suffixes = counts.withColumn("p", (F.col("n") + 1) / F.lit(float(tokens + distinct + 1)))
+    levels, allowed = [], ()
     for d in range(shape.depth):
-        if not len(n_of):
-            break
-        held = spark.sparkContext.broadcast(tree)
-        found = (train.mapInArrow(followers(held, d + 1), COUNT).groupBy("key").agg(F.sum("n").alias("n"))
-                 .filter(F.col("n") >= least)
-                 .select(F.shiftright("key", SYMBOL_BITS).alias("state"), F.col("key").bitwiseAND((1 << SYMBOL_BITS) - 1).alias("symbol"), "n"))
-        sizes = spark.createDataFrame(pd.DataFrame({"state": np.arange(len(n_of)), "n_state": n_of, "parent": parent}),
-                                      "state long, n_state long, parent long")
-        found = stored(found.join(sizes, "state").join(above, ["parent", "symbol"]), f"followers-{d + 1}")
-        rest, rest_above = 1 - F.col("n_kept") / F.col("n_state"), 1 - F.col("p_kept")
-        test = (found.groupBy("state", "n_state")
-                .agg(F.sum("n").alias("n_kept"), F.sum("p_above").alias("p_kept"), F.count("*").alias("kinds"),
-                     F.sum(F.col("n") / F.col("n_state") * F.log(F.col("n") / F.col("n_state") / F.col("p_above"))).alias("kl"))
-                .withColumn("kl", F.col("kl") + F.when((rest > 0) & (rest_above > 0), rest * F.log(rest / rest_above)).otherwise(0.0))
-                .withColumn("escape", (F.col("n_state") - F.col("n_kept") + F.col("kinds")) / (F.col("n_state") + F.col("kinds"))))
-        level = found.join(test.select("state", "kinds", "escape"), "state").select(
-            "state", "symbol", "n", (F.col("n") / (F.col("n_state") + F.col("kinds")) + F.col("escape") * F.col("p_above")).alias("p"))
-        states = test.select("state", "escape", "kl", "n_state").toPandas()
-        escape, keep = np.full(len(n_of), np.nan), np.zeros(len(n_of), bool)
-        at = states["state"].to_numpy(np.int64)
-        escape[at] = states["escape"]
-        keep[at] = (states["kl"] >= shape.divergence) & (states["kl"] * states["n_state"] >= shape.evidence)
-        tree.states.append(escape)
-        kept.append(keep)
-        parents.append(parent)
-        rows = level.toPandas()  # bounded as the strings are
-        tree.strings.append((rows["state"].to_numpy(np.int64), rows["symbol"].to_numpy(np.int64), rows["p"].to_numpy()))
-        # Candidates one word longer: frequent strings whose suffix is a candidate too.
+        found = train.mapInArrow(followed(d + 2, *allowed), "context long, suffix long, n long")
+        twice = found.groupBy("context", "suffix").agg(F.sum("n").alias("n")).filter("n >= 2")
+        suffixes = level(twice, contexts, suffixes, shape, f"strings-{d + 2}")
+        levels.append(suffixes)
         if d + 1 < shape.depth:
-            n = rows["n"].to_numpy(np.int64)
-            state, symbol = tree.strings[-1][0], tree.strings[-1][1]
-            longer = tree.contexts[0][symbol] if d == 0 else tree.contexts[d]((parent[state] << SYMBOL_BITS) | symbol)
-            ok = (n >= least_context) & (longer >= 0)
-            tree.contexts.append(Lookup((state[ok] << SYMBOL_BITS) | symbol[ok]))
-            n_of, parent, last = n[ok], longer[ok].astype(np.int64), symbol[ok]
-            above = level.select(F.col("state").alias("parent"), "symbol", F.col("p").alias("p_above"))
-    for d in range(len(kept) - 1, 0, -1):  # a state's suffixes stay
-        kept[d - 1][parents[d][kept[d]]] = True
-    for d, keep in enumerate(kept):
-        tree.states[d] = np.where(keep, tree.states[d], np.nan)
-        state, symbol, p = tree.strings[d]
-        ok = keep[state]
-        tree.strings[d] = (Lookup((state[ok] << SYMBOL_BITS) | symbol[ok]), p[ok])
-    return tree, counts
-
-
-PART = "id long, row long, held_out boolean, tokens long, known long, base double, score double, key long, times long"
+            most = F.col("n") * F.log1p(F.col("n_suffix") / F.col("n"))
+            contexts = suffixes.filter(most >= shape.evidence - 1e-6)
+            allowed = broadcast(bitmap(contexts, "key")), broadcast(bitmap(suffixes, "key"))
+    states: list[DataFrame] = []
+    for found in reversed(levels):
+        here = found.select(F.col("context").alias("state"), "escape", "passes").distinct()
+        if states:  # the suffixes of longer states stay
+            stays = found.join(states[0], found["key"] == states[0]["state"], "left_semi").select(
+                F.col("suffix").alias("state"), F.lit(True).alias("stays")).distinct()
+            here = here.join(stays, "state", "left").filter("passes or stays")
+        states.insert(0, stored(here.filter("passes") if not states else here, f"states-{len(states)}").select("state", "escape"))
+    return tokens, distinct, counts, levels, states
+
+
+def values_of(counts: DataFrame, levels: list[DataFrame], states: list[DataFrame]) -> list[DataFrame]:
+    """(key, n, known, base, score) by length: what a string adds to what a text's unseen tokens score.
+
+    A string brings in the probability of its last word, if its context is a state, and what
+    passes on to shorter ones behind it, if it is a state itself.
+    """
+    def passed_on(strings: DataFrame, to: DataFrame | None) -> DataFrame:
+        if to is None:
+            return strings.withColumn("behind", F.lit(0.0))
+        behind = to.select(F.col("state").alias("key"), F.log10("escape").alias("behind"))
+        return strings.join(behind, "key", "left").fillna(0.0, ["behind"])
+
+    base = F.log10(F.col("n") + 1)
+    out = [passed_on(counts, states[0] if states else None).select(
+        "key", "n", F.lit(1).alias("known"), base.alias("base"), (base + F.col("behind")).alias("score"))]
+    for d, found in enumerate(levels):
+        here = states[d].select(F.col("state").alias("context"), F.lit(True).alias("used"))
+        strings = passed_on(found.join(here, "context", "left"), states[d + 1] if d + 1 < len(states) else None)
+        own = F.when(F.col("used"), F.log10(F.col("p") / F.col("p_above") / F.col("escape"))).otherwise(0.0)
+        # What adds nothing is left out.
+        out.append(strings.select("key", "context", "suffix", "n", "p", F.lit(0).alias("known"), F.lit(0.0).alias("base"),
+                                  (own + F.col("behind")).alias("score")).filter("score != 0"))
+    return out
+
+
+def held_by_workers(tokens: int, distinct: int, counts: DataFrame, values: list[DataFrame], states: list[DataFrame], shape: Shape) -> Tree:
+    """Strings of at least `least_string` of all tokens: at most 1 / least_string rows of each length."""
+    tree = Tree(tokens, distinct)
+    often = F.col("n") >= max(1.0, shape.least_string * tokens)
+    frequent = values[0].filter(often).toPandas().sort_values("key")
+    assert len(frequent) < 1 << SYMBOL_BITS
+    keys = frequent["key"].to_numpy(np.int64)
+    tree.frequent, tree.counts = Lookup(keys.view(U)), frequent["n"].to_numpy(np.int64)
+    tree.values.append(frequent["score"].to_numpy() - frequent["base"].to_numpy())
+    for d, strings in enumerate(values[1:]):
+        rows = strings.filter(often).select("key", "context", "suffix", "p", "score").toPandas()
+        key = rows["key"].to_numpy(np.int64).view(U)
+        if d == 0:  # by the tokens' numbers
+            context, suffix = (tree.frequent(rows[c].to_numpy(np.int64).view(U)).astype(np.int64) for c in ("context", "suffix"))
+            key = ((context << SYMBOL_BITS) | suffix).view(U)
+            escape = np.full(len(keys), np.nan)
+            held = states[0].join(values[0].filter(often).select(F.col("key").alias("state")), "state").toPandas()
+            escape[tree.frequent(held["state"].to_numpy(np.int64).view(U))] = held["escape"]
+            tree.states.append(escape)
+        tree.strings.append((Lookup(key), rows["p"].to_numpy()))
+        tree.values.append(rows["score"].to_numpy())
+    return tree
+
+
+def grown(train: DataFrame, shape: Shape) -> tuple[Tree, DataFrame]:
+    """What the workers hold of the tree, and the counts of all tokens."""
+    tokens, distinct, counts, levels, states = trained(train, shape)
+    return held_by_workers(tokens, distinct, counts, values_of(counts, levels, states), states, shape), counts
+
+
+PART = ("id long, row long, held_out boolean, tokens long, known long, base double, score double, key long, times long")
+PART_NAMES = [x.split()[0] for x in PART.split(", ")]
 
 
 def scorer(held) -> Callable:
-    """For each text a row with what frequent tokens add, and a row for each of its rare tokens."""
+    """For each text a row with what the strings held add, and a row for each other string that may add something."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = held.value
-        root = np.log10((tree.counts + 1) / (tree.tokens + tree.distinct + 1))
+        unseen = -np.log10(tree.tokens + tree.distinct + 1)
+        root = unseen + np.log10(tree.counts + 1)
         for batch in ts.slices(batches, "text"):
             data, offsets = ts.utf8(batch.column("text"))
             row = ts.span_hash(ts.byte_prefix(data), offsets[:-1], offsets[1:])
             tokens, first = tokens_of(batch)
-            symbol, states = state_walk(tree, tokens, first, len(tree.strings))
+            n, place = len(first) - 1, places(first)
+            rows_of = np.repeat(np.arange(n), np.diff(first))
+            symbol = tree.frequent(tokens)
             often = symbol >= 0
-            base = np.zeros(len(tokens))
+            base = np.full(len(tokens), unseen)
             base[often] = root[symbol[often]]
-            p = 10.0 ** base
-            for state, escape, (strings, known) in zip(states, tree.states, tree.strings, strict=True):
-                ok = np.flatnonzero(state >= 0)
-                ok = ok[~np.isnan(escape[state[ok]])]
-                p[ok] *= escape[state[ok]]
-                ok = ok[often[ok]]
-                at = strings((state[ok].astype(np.int64) << SYMBOL_BITS) | symbol[ok])
-                p[ok[at >= 0]] = known[at[at >= 0]]
-            n = len(first) - 1
+            score = base.copy()
+            score[often] += tree.values[0][symbol[often]]
+            rare_rows, rare_keys = [rows_of[~often]], [tokens[~often]]
+            keys = tokens
+            for d, ((strings, _), value) in enumerate(zip(tree.strings, tree.values[1:], strict=True)):
+                keys = np.concatenate([keys[:1], joined_key(keys[:-1], keys[1:])])
+                at = np.flatnonzero(place > d)
+                if d == 0:
+                    known = np.full(len(at), -1, np.int32)
+                    both = np.flatnonzero(often[at] & often[at - 1])
+                    known[both] = strings(((symbol[at[both] - 1].astype(np.int64) << SYMBOL_BITS) | symbol[at[both]]).view(U))
+                else:
+                    known = strings(keys[at])
+                score[at[known >= 0]] += value[known[known >= 0]]
+                at = at[known < 0]
+                at = at[may_hold(tree.may_add, keys[at])]
+                rare_rows.append(rows_of[at])
+                rare_keys.append(keys[at])
             add = lambda x: np.add.reduceat(x, first[:-1]) if n else np.zeros(0)  # noqa: E731  no text is without its end
             ids, held_out = batch.column("id").cast(pa.int64()), batch.column("held_out")
-            none = pa.nulls(n, pa.int64())
+            # A text's own row meets no string: its key is none.
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(ts.signed(row)), held_out, pa.array(np.diff(first)), pa.array(add(often.astype(np.int64))),
-                 pa.array(add(base)), pa.array(add(np.log10(p))), none, none], PART_NAMES)
-            rare = ~often
-            if rare.any():
-                rows = np.repeat(np.arange(n), np.diff(first))[rare]
-                order = ts.order_by(rows, tokens[rare])
-                rows, keys = rows[order], tokens[rare][order]
+                 pa.array(add(base)), pa.array(add(score)), pa.array(ts.signed(ts.mix(row + END))), pa.nulls(n, pa.int64())], PART_NAMES)
+            rows, keys = np.concatenate(rare_rows), np.concatenate(rare_keys)
+            if len(rows):
+                order = ts.order_by(rows, keys)
+                rows, keys = rows[order], keys[order]
                 begin = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (keys[1:] != keys[:-1])]))
                 times = np.diff(np.concatenate([begin, [len(rows)]]))
-                rows, zero = rows[begin], pa.nulls(len(begin), pa.float64())
+                rows, none, zero = rows[begin], pa.nulls(len(begin), pa.int64()), pa.nulls(len(begin), pa.float64())
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(rows)), pa.array(ts.signed(row[rows])), held_out.take(pa.array(rows)),
-                     pa.nulls(len(begin), pa.int64()), pa.nulls(len(begin), pa.int64()), zero, zero,
+                    [ids.take(pa.array(rows)), pa.array(ts.signed(row[rows])), held_out.take(pa.array(rows)), none, none, zero, zero,
                      pa.array(ts.signed(keys[begin])), pa.array(times)], PART_NAMES)
 
     return scan
 
 
-PART_NAMES = [x.split()[0] for x in PART.split(", ")]
-
-
 def suffix_tree_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out: str | None = None,
                        shape: Shape = Shape()) -> DataFrame:
     """Scores of all texts; those with a true `held_out` column are not learnt from.
@@ -269,24 +333,22 @@ def suffix_tree_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     spark = prepared(docs.sparkSession)
     out = docs[held_out] if held_out else F.crc32(docs[doc_id].cast("string")) % 7 == 2
     named = docs.select(docs[doc_id].alias("id"), docs[text].alias("text"), F.coalesce(out, F.lit(False)).alias("held_out"))
-    tree, counts = grown(named.filter(~F.col("held_out")).select("text"), shape)
-    total = float(tree.tokens + tree.distinct + 1)
-    parts = stored(named.mapInArrow(scorer(spark.sparkContext.broadcast(tree)), PART), "scored-parts")
-    whole = parts.filter("key is null").groupBy("id", "row", "held_out").agg(
-        F.count("*").alias("rows"), F.max("tokens").alias("tokens"), F.max("known").alias("known"),
-        F.max("base").alias("base"), F.max("score").alias("score"))
-    # Equal rows send equal rare tokens: once each, as the results are equal.
-    known = F.coalesce("n", F.lit(0))
-    rare = (parts.filter("key is not null").join(counts.withColumnRenamed("key", "token"), F.col("key") == F.col("token"), "left")
-            .groupBy("id", "row", "held_out")
-            .agg(F.sum(F.when(known > 0, F.col("times")).otherwise(0)).alias("rare_known"),
-                 F.sum(F.col("times") * F.log10((known + 1) / F.lit(total))).alias("rare_score")))
-    joined = (whole.unionByName(rare, True).groupBy("id", "row", "held_out")
-              .agg(*[F.max(c).alias(c) for c in ("rows", "tokens", "known", "base", "score", "rare_known", "rare_score")]))
-    # Each of the equal rows has sent the rare ones, so their sums hold them `rows` times.
-    more = F.coalesce("rare_score", F.lit(0.0)) / F.col("rows")
+    tokens, distinct, counts, levels, states = trained(named.filter(~F.col("held_out")).select("text"), shape)
+    each = values_of(counts, levels, states)
+    each = [stored(rows, f"values-{d + 1}") for d, rows in enumerate(each)]
+    tree = held_by_workers(tokens, distinct, counts, each, states, shape)
+    values = reduce(DataFrame.unionByName, [rows.select("key", "n", "known", "base", "score") for rows in each])
+    rest = values.filter(F.col("n") < max(1.0, shape.least_string * tokens)).drop("n").withColumnsRenamed(
+        {"key": "string", "known": "is_known", "base": "adds_base", "score": "adds_score"})
+    tree.may_add = bitmap(rest.filter("is_known = 0"), "string")
+    parts = named.mapInArrow(scorer(spark.sparkContext.broadcast(tree)), PART)
+    # Texts come through with their strings, which add what the table says, as often as they stand.
+    joined = parts.join(rest, F.col("key") == F.col("string"), "left").groupBy("id", "row", "held_out").agg(
+        F.count("tokens").alias("rows"), *[F.max(c).alias(c) for c in ("tokens", "known", "base", "score")],
+        *[F.coalesce(F.sum(F.col("times") * F.col(c)), F.lit(0)).alias(c) for c in ("is_known", "adds_base", "adds_score")])
+    # Each of the equal rows has sent its strings, so their sums hold them `rows` times.
     return joined.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int")))).select(
         F.col("id").alias(doc_id), "held_out", F.col("tokens").alias("n_tokens"),
-        (F.col("known") + F.coalesce("rare_known", F.lit(0)) / F.col("rows")).cast("long").alias("n_known"),
-        F.lit(tree.tokens).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"),
-        (F.col("score") + more).alias("score"))
+        (F.col("known") + F.col("is_known") / F.col("rows")).cast("long").alias("n_known"),
+        F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base") + F.col("adds_base") / F.col("rows")).alias("base_score"),
+        (F.col("score") + F.col("adds_score") / F.col("rows")).alias("score"))

@@ -328,6 +328,64 @@ def test_contexts_help_on_held_out_texts(spark):
     assert found[1] > 0.6 * found[0]
 
 
+def tree_of_all_contexts(texts, depth, divergence, evidence):
+    """Every context tested and every follower counted, in plain loops; gives log10 of a text's probability."""
+    counts = [Counter() for _ in range(depth + 2)]
+    for words in texts:
+        for k in range(1, depth + 2):
+            counts[k].update(tuple(words[i : i + k]) for i in range(len(words) - k + 1))
+    total, distinct = sum(counts[1].values()), len(counts[1])
+    n, after = {}, {}
+    for k in range(2, depth + 2):
+        for gram, times in counts[k].items():
+            after.setdefault(gram[:-1], {})[gram[-1]] = times
+    n = {c: sum(a.values()) for c, a in after.items()}
+    escape = {c: len(a) / n[c] for c, a in after.items()}
+
+    def p(context, word):
+        if not context:
+            return (counts[1][(word,)] + 1) / (total + distinct + 1)
+        if context not in after:
+            return p(context[1:], word)
+        return max(after[context].get(word, 1) - 1, 0) / n[context] + escape[context] * p(context[1:], word)
+
+    kept = set()
+    for c, a in after.items():
+        gain = sum(times * math.log(p(c, w) / p(c[1:], w)) for w, times in a.items())
+        if gain >= evidence and gain >= divergence * n[c]:
+            kept.update(c[i:] for i in range(len(c)))
+
+    def score(words):
+        out = 0.0
+        for i, word in enumerate(words):
+            states = [tuple(words[i - k : i]) for k in range(min(i, depth), 0, -1)]
+            out += math.log10(p(next((s for s in states if s in kept), ()), word))
+        return out
+
+    return score, kept
+
+
+@pytest.mark.parametrize(("depth", "evidence"), [(1, 5.0), (2, 5.0), (3, 0.1)])
+def test_scores_use_every_context_however_rare(spark, depth, evidence):
+    words = [f"w{i}" for i in range(300)]
+    fixed = [[RANDOM.choice(words) for _ in range(5)] for _ in range(30)]
+    texts = [" ".join(w for _ in range(6) for w in (RANDOM.choice(fixed) if RANDOM.random() < 0.5 else [RANDOM.choice(words)])) for _ in range(400)]
+    # Far rarer than one in 10,000 tokens, but always followed alike.
+    texts += ["x y z"] * 3 + ["the " * 400] * 100 + ["u v"] * 3 + ["", " "]
+    held = [i % 7 == 3 for i in range(len(texts))]
+    docs = spark.createDataFrame([(i, t, h) for i, (t, h) in enumerate(zip(texts, held, strict=True))] + [(999, "x y z unseen x y", True)] * 2,
+                                 "doc_id long, text string, h boolean")
+    split = lambda t: [*t.split(), None]
+    wanted, kept = tree_of_all_contexts([split(t) for t, h in zip(texts, held, strict=True) if not h], depth, 0.005, evidence)
+    assert ("x",) in kept and (depth < 2 or any(len(c) == depth for c in kept))
+    for share in (0.0, 0.9):  # what the workers hold changes nothing
+        found = suffix_tree.suffix_tree_scores(docs, held_out="h", shape=suffix_tree.Shape(depth=depth, least_string=share, evidence=evidence)).collect()
+        assert len(found) == len(texts) + 2
+        for row in found:
+            text = texts[row["doc_id"]] if row["doc_id"] < 999 else "x y z unseen x y"
+            assert abs(row["score"] - wanted(split(text))) < 1e-6
+
+
 def test_scores_without_training_and_rows(spark, empty):
     held = spark.createDataFrame([(1, "a b", True)], "doc_id long, text string, h boolean")
     row = suffix_tree.suffix_tree_scores(held, held_out="h").first()

@@ -1,8 +1,9 @@
 """How far apart the sources of a language are, by the terms they use.
 
 Tokenizer: one `bytes.translate` lowers A-Z and blanks every separator, `bytes.split` cuts the
-terms, a `Counter` per document counts them. Tasks add documents up before anything is
-shuffled, so frequent terms and large sources travel as sums.
+terms, two `Counter`s per source count them: all of a document's, and each of its terms once.
+Tasks add documents up before anything is shuffled, so frequent terms and large sources travel
+as sums; these meet by language and term in one shuffle, for groups and languages alike.
 
 A language keeps the terms of at least `least_documents` of its documents. A group (language and
 source) gives each kept term a smoothed share in billionths, and so does the language as a whole.
@@ -34,7 +35,7 @@ from driftpanel.llm.common import prepared, stored
 
 LEAST_DOCUMENTS, SMOOTHING, UNIT, RANKS = 30, 5, 1_000_000_000, 50
 BLOCK_SOURCES, BLOCK_TERMS = 128, 1024
-HELD = 200_000  # terms a task adds up before it passes them on
+HELD = 500_000  # terms a task adds up before it passes them on
 SENT = 20_000  # rows passed on together
 
 # Letters stay, A-Z lowered, as do all bytes of characters beyond ASCII; all else separates.
@@ -53,11 +54,12 @@ def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = (batch.column(c).to_pylist() for c in ("lang", "source"))
         texts = batch.column("text").cast(pa.binary()).to_pylist()
         for lang, source, text in zip(*columns, texts, strict=True):
-            document = Counter(terms_of(text))
+            terms = terms_of(text)
             occurrences, documents = held.setdefault((lang, source), (Counter(), Counter()))
             size -= len(occurrences)
-            occurrences.update(document)
-            documents.update(document.keys())
+            # Lists and sets are counted by the interpreter's own loop, counters by one in Python.
+            occurrences.update(terms)
+            documents.update(set(terms))
             size += len(occurrences)
             if size > HELD:
                 yield from sums(held)
@@ -83,19 +85,28 @@ def share(count: Column, total: Column, kept: Column) -> Column:
     return F.when(kept > 0, 1 + F.call_function("div", top, below))
 
 
-def kept_terms(counts: DataFrame, least_documents: int) -> DataFrame:
-    """(lang, term, in_lang): the terms a language keeps, with their occurrences in it."""
-    totals = counts.groupBy("lang", "term").agg(F.sum("n").alias("in_lang"), F.sum("documents").alias("documents"))
+def kept_counts(counts: DataFrame, least_documents: int) -> DataFrame:
+    """(lang, source, term, n, in_lang, leads): the terms a language keeps, with their occurrences in it.
+
+    Sums meet by language and term, so that one shuffle serves groups and languages. Of a
+    term's rows one leads: there the term is counted.
+    """
+    rows = counts.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents"))
+    in_lang = Window.partitionBy("lang", "term")
+    totals = rows.select(
+        "lang", "source", "term", "n", F.sum("n").over(in_lang).alias("in_lang"), F.sum("documents").over(in_lang).alias("documents"),
+        (F.min("source").over(in_lang) == F.col("source")).alias("leads"))
     return totals.filter(F.col("documents") >= least_documents).drop("documents")
 
 
-def group_table(documents: DataFrame, kept: DataFrame, rows: DataFrame) -> DataFrame:
+def group_table(documents: DataFrame, rows: DataFrame) -> DataFrame:
     """Every occurring group: its number within the language, its total, the language's total and kept terms."""
     occurring = documents.select("lang", "source").distinct()
-    per_group = rows.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    per_lang = kept.groupBy("lang").agg(F.sum("in_lang").alias("lang_total"), F.count("*").alias("n_kept"))
+    per_group = rows.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count_if("leads").alias("leading"))
+    per_lang = per_group.groupBy("lang").agg(F.sum("total").alias("lang_total"), F.sum("leading").alias("n_kept"))
     number = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1
-    filled = occurring.join(per_group, ["lang", "source"], "left").join(per_lang, "lang", "left").fillna(0, ["total", "lang_total", "n_kept"])
+    filled = occurring.join(per_group.drop("leading"), ["lang", "source"], "left").join(per_lang, "lang", "left").fillna(
+        0, ["total", "lang_total", "n_kept"])
     sources = Window.partitionBy("lang")
     return filled.withColumn("no", number).withColumn("n_sources", F.count("*").over(sources)).withColumn(
         "unused", share(F.lit(0), F.col("total"), F.col("n_kept")))
@@ -153,12 +164,9 @@ def audit_sources(df: DataFrame, text_column: str = "text", lang_column: str = "
     prepared(df.sparkSession)
     named = {"lang": lang_column, "source": source_column, "text": text_column}
     documents = df.select(*[F.coalesce(df[theirs].cast("string"), F.lit("")).alias(ours) for ours, theirs in named.items()])
-    counts = stored(
-        documents.mapInArrow(count_terms, "lang string, source string, term string, n long, documents long")
-        .groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents")), "audit-counts")
-    kept = kept_terms(counts, least_documents)
-    rows = stored(counts.drop("documents").join(kept, ["lang", "term"]), "audit-kept")
-    groups = stored(group_table(documents, rows.select("lang", "term", "in_lang").distinct(), rows), "audit-groups")
+    counts = documents.mapInArrow(count_terms, "lang string, source string, term string, n long, documents long")
+    rows = stored(kept_counts(counts, least_documents), "audit-kept")
+    groups = stored(group_table(documents, rows), "audit-groups")
     shares = rows.join(groups.drop("unused"), ["lang", "source"]).withColumn("p", share(F.col("n"), F.col("total"), F.col("n_kept")))
     excess = F.col("p") - share(F.col("in_lang"), F.col("lang_total"), F.col("n_kept"))
     terms = ranked(shares.select("lang", "source", F.col("term").alias("item"), excess.alias("value")).filter("value > 0"), "term")

@@ -76,6 +76,15 @@ def test_audit(spark, monkeypatch, blocks):
     assert any(r[2] == "term" for r in found)
 
 
+def test_audit_moves_its_sums_once(spark):
+    counts = spark.createDataFrame(
+        [("en", "a", "x", 2, 1), ("en", "a", "x", 1, 1), ("en", "b", "x", 4, 2), ("en", "b", "y", 9, 3), ("de", "a", "x", 1, 3)],
+        "lang string, source string, term string, n long, documents long")
+    kept = source_audit.kept_counts(counts, 4)
+    assert kept._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(tuple(r) for r in kept.collect()) == [("en", "a", "x", 3, 7, True), ("en", "b", "x", 4, 7, False)]
+
+
 def test_audit_without_kept_terms_or_rows(spark):
     docs = spark.createDataFrame([("en", "a", "one"), ("en", "b", "two")], "lang string, source string, text string")
     found = sorted(tuple(r) for r in source_audit.audit_sources(docs).collect())

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from driftpanel.functions.payload import PROMPT_FIELDS, user_message
 from driftpanel.functions.quota import token_estimate
 from driftpanel.operators.ordering import position_overall
+from driftpanel.session import written_once
 
 # Arrival order means nothing, so postings are batched in key order; the other
 # columns only settle ties.
@@ -22,26 +23,25 @@ def row_key(columns: Sequence[str]) -> list[Column]:
     ]
 
 
-def numbered_keys(postings: DataFrame, order: Sequence[str]) -> DataFrame:
+def numbered_keys(keyed: DataFrame, order: Sequence[str]) -> DataFrame:
     """Position of the first of equal rows, by row key; texts take no part in the sorting."""
-    keys = position_overall(
-        postings.select(*order, *row_key(postings.columns)), (*order, "_row", "_row2"), "_place"
-    )
+    keys = position_overall(keyed.select(*order, "_row", "_row2"), (*order, "_row", "_row2"), "_place")
     return keys.groupBy("_row", "_row2").agg(F.min("_place").alias("_first"))
 
 
 def assign_batches(postings: DataFrame, batch_size: int, order: Sequence[str] = BATCH_ORDER) -> DataFrame:
     """Adds ``batch_index`` and ``pos``; the last batch may be short.
 
-    Only keys are sorted and materialised. The postings themselves move once, to meet
-    their positions; equal rows stand side by side and are counted there.
+    The postings are worked out once and written with their row keys: sampling and sorting
+    read the keys alone, and only these are sorted. The postings themselves move once, to
+    meet their positions; equal rows stand side by side and are counted there.
     """
     if batch_size <= 0:
         raise ValueError(f"batch size must be positive, not {batch_size}")
     copy = F.row_number().over(Window.partitionBy("_row", "_row2").orderBy(F.lit(1))) - 1
+    keyed = written_once(postings.select("*", *row_key(postings.columns)), "keyed")
     placed = (
-        postings.select("*", *row_key(postings.columns))
-        .join(numbered_keys(postings, order), ["_row", "_row2"])
+        keyed.join(numbered_keys(keyed, order), ["_row", "_row2"])
         .withColumn("_place", F.col("_first") + copy)
         .drop("_row", "_row2", "_first")
     )

@@ -21,7 +21,7 @@ from driftpanel.plans.runs import grade_run
 from driftpanel.queries.registry import registered
 from driftpanel.queries.standin import failing_from, offline_candidates, offline_scorer
 from driftpanel.queries.views import postings, sql_over, text_postings
-from driftpanel.session import scratch_path
+from driftpanel.session import scratch_path, written_once
 
 SEED = 20260729143005
 OTHER_SEED = 7
@@ -279,8 +279,10 @@ BUILT_SQL = f"""
 
 def _built(spark, sf_dir):
     config = RunConfig(models=(SCREENER, *GRADERS), screening_model="screener", max_per_company=3)
+    # Screening and drawing pass over the postings several times; a run writes them first, too.
+    collected = written_once(postings(spark, sf_dir), "collected")
     return active_panel(
-        build_panel(postings(spark, sf_dir), config, REGISTRY, BUILT_AT, scratch_path(spark, "panels"))
+        build_panel(collected, config, REGISTRY, BUILT_AT, scratch_path(spark, "panels"))
     )
 
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftpanel.operators.audit import attempted
+from driftpanel.operators.batching import assign_batches
 from driftpanel.operators.ordering import (
     position_in_group, position_overall, previous_value, sorted_slices, trailing_sum,
 )
@@ -106,3 +107,16 @@ def test_attempted(spark):
     df = spark.createDataFrame(rows, "model string, batch_index int, failed boolean")
     got = {(r.model, r.batch_index) for r in attempted(df, ["model"]).collect() if r.attempted}
     assert got == {("a", 0), ("a", 1), ("b", 0), ("b", 1)}
+
+
+def test_batching_works_out_its_postings_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(n):
+        seen.add(1)
+        return f"k{n:03d}"
+
+    rows = spark.range(200).select(F.udf(told, "string")("id").alias("stablekey"), F.lit(1).alias("posted_at"), F.lit("u").alias("url"))
+    placed = assign_batches(rows, 7).collect()
+    assert sorted((r["stablekey"], 7 * r["batch_index"] + r["pos"]) for r in placed) == [(f"k{n:03d}", n) for n in range(200)]
+    assert seen.value == 200

@@ -14,16 +14,16 @@ BITS = 24  # 2 MB
 U = np.uint64
 
 
-def bitmap(keys: DataFrame, column: str) -> np.ndarray:
-    """At most 2^(BITS - 6) words come to the driver."""
-    low = F.col(column).bitwiseAND((1 << BITS) - 1)
+def bitmap(keys: DataFrame, column: str, size: int = BITS) -> np.ndarray:
+    """At most 2^(size - 6) words come to the driver."""
+    low = F.col(column).bitwiseAND((1 << size) - 1)
     words = (keys.groupBy(F.shiftright(low, 6).cast("int").alias("word"))
-             .agg(F.bit_or(F.expr(f"shiftleft(1L, cast({column} & 63 as int))")).alias("bits")).toPandas())
-    out = np.zeros(1 << (BITS - 6), np.int64)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+             .agg(F.bit_or(F.expr(f"shiftleft(1L, cast({column} & 63 as int))")).alias("bits")).toArrow())
+    out = np.zeros(1 << (size - 6), np.int64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
     return out.view(np.uint8)
 
 
 def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    bit = keys & U((1 << BITS) - 1)
+    bit = keys & U(8 * len(bits) - 1)
     return (bits[(bit >> U(3)).astype(np.int64)] >> (bit & U(7)).astype(np.uint8)) & 1 > 0

@@ -17,9 +17,13 @@ times whose suffix is seen m times gains at most n * log(1 + m / n), so longer s
 counted only after contexts for which this reaches `evidence`.
 
 A text's score is a sum over its strings of one, two, ... words, each with one value. The
-values of strings that make up `least_string` of all tokens, at most 1 / least_string of
-each length, are held by the workers; those of all others are joined by string. Bitmaps of
-fixed size only leave out rows before these joins.
+workers hold the values of the most frequent strings, at most `most_held` of each length;
+those of all others meet the texts by string. Bitmaps of fixed size only leave out rows
+before that.
+
+Strings travel as arrays, a row for each bucket of their hashes; there are as many buckets
+as about BUCKET training tokens each make. Equal strings of a task travel once, so no
+bucket grows with the copies of a string.
 
 Null texts read as empty: one token, the end. A null id belongs to the training texts.
 Repeated rows give repeated results, all of them counted. With nothing to learn from
@@ -34,28 +38,32 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftpanel.llm import textscan as ts
 from driftpanel.llm.bitmap import bitmap, may_hold
-from driftpanel.llm.common import prepared, stored
+from driftpanel.llm.common import dropped, lean, prepared, stored
 from driftpanel.llm.lookup import Lookup
 
 U = np.uint64
 END = U(0xE7D1A3B5C96F8421)
 SYMBOL_BITS = 20
 COUNT = "key long, n long"
-HELD = 4 << 20  # entries a task gathers before it sends them on
+HELD = 3 << 19  # entries a task gathers before it sends them on
+BUCKET = 1 << 20  # training tokens to a bucket of strings
+MANY = 27  # bits of the bitmaps of strings: 16 MB
 
 
 @dataclass(frozen=True)
 class Shape:
-    """Tests of the tree, and the share of all tokens from which the workers hold a string."""
+    """Tests of the tree, and which strings the workers may hold."""
 
     depth: int = 2
     least_context: float = 0.0  # not looked at: contexts of any share are candidates
-    least_string: float = 1e-6
+    least_string: float = 0.0  # share of all tokens from which a string may be held
+    most_held: int = 1 << 19  # strings of a length that are held
     divergence: float = 0.005  # nats per occurrence
     evidence: float = 20.0  # nats over all occurrences
 
@@ -102,119 +110,174 @@ def places(first: np.ndarray) -> np.ndarray:
     return np.arange(first[-1]) - np.repeat(first[:-1], np.diff(first))
 
 
-def counted(emit: Callable[[pa.RecordBatch], tuple[np.ndarray, ...]], names: list[str]) -> Callable:
-    """Sums of how often each key stands in a task's texts, gathered in bounded pieces.
+def summed(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Rows of equal first column as one; the last column is added up."""
+    order = np.argsort(columns[0])
+    keys = columns[0][order]
+    begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
+    n = columns[-1][order]
+    return [*[c[order[begin]] for c in columns[:-1]], np.add.reduceat(n, begin) if len(begin) else n]
 
-    `emit` gives keys and what else is said of them; the columns named are passed on.
-    """
 
-    def total(columns: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-        order = np.argsort(columns[0])
-        keys = columns[0][order]
-        begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
-        return [c[order[begin]] for c in columns], np.add.reduceat(n[order], begin) if len(begin) else n
+def counted(emit: Callable[[pa.RecordBatch], list[np.ndarray]], send: Callable[[list[np.ndarray]], pa.RecordBatch]) -> Callable:
+    """How often each key stands in a task's texts, gathered in bounded pieces.
 
-    def batch_of(columns: list[np.ndarray], n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*[pa.array(ts.signed(c)) for c in columns[-len(names):]], pa.array(n)], [*names, "n"])
+    `emit` gives keys and what else is said of them, `send` makes rows of these and the counts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, n, held = [], [], 0
+        found, held = [], 0
         for batch in ts.slices(batches, "text"):
             columns = emit(batch)
-            found.append(columns)
-            n.append(np.ones(len(columns[0]), np.int64))
+            found.append([*columns, np.ones(len(columns[0]), np.int64)])
             held += len(columns[0])
             if held > HELD:
-                columns, sizes = total([np.concatenate(c) for c in zip(*found, strict=True)], np.concatenate(n))
-                found, n, held = [columns], [sizes], len(sizes)
+                found = [summed([np.concatenate(c) for c in zip(*found, strict=True)])]
+                held = len(found[0][0])
                 if held > HELD // 2:
-                    yield batch_of(columns, sizes)
-                    found, n, held = [], [], 0
-        if found:
-            yield batch_of(*total([np.concatenate(c) for c in zip(*found, strict=True)], np.concatenate(n)))
+                    yield send(found.pop())
+                    held = 0
+        if held:
+            yield send(summed([np.concatenate(c) for c in zip(*found, strict=True)]))
 
     return run
 
 
-def followed(n: int, contexts=None, suffixes=None) -> Callable:
-    """Counts of strings of `n` tokens, by their context and suffix, where bitmaps allow these."""
+def token_counts(train: DataFrame) -> DataFrame:
+    run = counted(lambda b: [tokens_of(b)[0]], lambda c: pa.RecordBatch.from_arrays([pa.array(ts.signed(c[0])), pa.array(c[1])], ["key", "n"]))
+    return train.mapInArrow(run, COUNT).groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def bucketed(keys: np.ndarray, columns: list[np.ndarray], names: list[str], buckets: int) -> pa.RecordBatch:
+    """A row for each bucket of the keys, with the columns as arrays, ordered by the first one."""
+    bucket = ((keys >> U(32)) * U(buckets) >> U(32)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+    order = np.argsort(columns[0], kind="stable")
+    order = order[np.argsort(bucket[order], kind="stable")]
+    first = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    there = np.flatnonzero(np.diff(first))
+    bounds = np.concatenate([first[there], first[-1:]])
+    return pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), *[ts.list_column(c[order], bounds) for c in columns]], ["bucket", *names])
+
+
+def gathered(table: pa.Table, name: str) -> np.ndarray:
+    """All elements of an array column."""
+    parts = [chunk.flatten().to_numpy(zero_copy_only=False) for chunk in table.column(name).chunks]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
+def followed(n: int, buckets: int, allowed: tuple = ()) -> Callable:
+    """Counts of strings of `n` tokens by bucket, with their context and suffix, where bitmaps allow these."""
 
-    def emit(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    def emit(batch: pa.RecordBatch) -> list[np.ndarray]:
         tokens, first = tokens_of(batch)
         shorter = strings_of(tokens, n - 1)
         at = np.flatnonzero(places(first) >= n - 1)
-        if contexts is not None:
-            at = at[may_hold(contexts.value, shorter[at - 1])]
-            at = at[may_hold(suffixes.value, shorter[at])]
+        if allowed:
+            at = at[may_hold(allowed[0].value, shorter[at - 1])]
+            at = at[may_hold(allowed[1].value, shorter[at])]
         context, suffix = shorter[at - 1], shorter[at]
-        return joined_key(context, suffix), context, suffix
+        return [joined_key(context, suffix), context, suffix]
 
-    return counted(emit, ["context", "suffix"])
+    def send(columns: list[np.ndarray]) -> pa.RecordBatch:
+        keys, context, suffix, times = columns
+        return bucketed(keys, [ts.signed(context), ts.signed(suffix), times.astype(np.int32)], ["context", "suffix", "n"], buckets)
 
+    return counted(emit, send)
 
-def with_keys(strings: DataFrame) -> DataFrame:
-    """Adds the strings' own hashes."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both = [batch.column(c).to_numpy().view(U) for c in ("context", "suffix")]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ts.signed(joined_key(*both)))], [*batch.schema.names, "key"])
+def repeated_strings(train: DataFrame, n: int, buckets: int, allowed: tuple) -> DataFrame:
+    """Strings of `n` tokens seen twice and more."""
+
+    def total(table: pa.Table) -> pa.Table:
+        context, suffix = (gathered(table, c).view(U) for c in ("context", "suffix"))
+        keys, context, suffix, times = summed([joined_key(context, suffix), context, suffix, gathered(table, "n").astype(np.int64)])
+        twice = times >= 2
+        return pa.table({"key": ts.signed(keys[twice]), "context": ts.signed(context[twice]), "suffix": ts.signed(suffix[twice]), "n": times[twice]})
 
-    return strings.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in strings.schema) + ", key long")
+    found = train.mapInArrow(followed(n, buckets, allowed), "bucket int, context array<long>, suffix array<long>, n array<int>")
+    return found.groupBy("bucket").applyInArrow(total, "key long, context long, suffix long, n long")
 
 
-def level(strings: DataFrame, contexts: DataFrame, suffixes: DataFrame, shape: Shape, name: str) -> DataFrame:
-    """Strings seen twice and more, with the probability of their last word and whether their context passes.
+def level(strings: DataFrame, contexts: DataFrame, suffixes: DataFrame, shape: Shape, name: str) -> tuple[DataFrame, DataFrame]:
+    """Strings with the probability of their last word and what it adds to the passed on one, and their contexts.
 
-    `contexts` and `suffixes` have (key, n) and (key, p) of what is one word shorter.
+    `contexts` and `suffixes` have (key, n) and (key, p, n) of what is one word shorter.
     """
-    found = (strings.join(suffixes.select(F.col("key").alias("suffix"), F.col("p").alias("p_above"), F.col("n").alias("n_suffix")), "suffix")
-             .join(contexts.select(F.col("key").alias("context"), F.col("n").alias("n_context")), "context"))
-    once = F.col("n_context") - F.col("n_twice")
-    sizes = found.groupBy("context", "n_context").agg(F.sum("n").alias("n_twice"), F.count("*").alias("kinds")).select(
-        "context", once.alias("once"), ((F.col("kinds") + once) / F.col("n_context")).alias("escape"))
-    read = found.join(sizes, "context").withColumn(
-        "p", (F.col("n") - 1) / F.col("n_context") + F.col("escape") * F.col("p_above"))
-    gains = read.groupBy("context", "n_context", "escape").agg(
-        (F.sum(F.col("n") * F.log(F.col("p") / F.col("p_above"))) + F.max("once") * F.log("escape")).alias("gain"))
-    passes = (F.col("gain") >= shape.evidence) & (F.col("gain") >= shape.divergence * F.col("n_context"))
-    return stored(with_keys(read.drop("once").join(gains.select("context", passes.alias("passes")), "context")), name)
+    strings = stored(strings, f"repeated-{name}")
+    sizes = strings.groupBy("context").agg(F.sum("n").alias("n_twice"), F.count("*").alias("kinds")).join(
+        contexts.select(F.col("key").alias("context"), F.col("n").alias("n_context")), "context")
+    sizes = stored(sizes.select("context", "n_context", (
+        (F.col("kinds") + F.col("n_context") - F.col("n_twice")) / F.col("n_context")).alias("escape")), f"sizes-{name}")
+    above = suffixes.select(F.col("key").alias("suffix"), F.col("p").alias("p_above"), F.col("n").alias("n_suffix"))
+    most = F.col("n") * F.log1p(F.col("n_suffix") / F.col("n"))
+    read = strings.join(above, "suffix").join(sizes, "context").withColumn("passed_on", F.col("escape") * F.col("p_above")).withColumn(
+        "p", (F.col("n") - 1) / F.col("n_context") + F.col("passed_on"))
+    found = stored(read.select("key", "context", "suffix", "n", "p", F.log10(F.col("p") / F.col("passed_on")).alias("own"),
+                               (most >= shape.evidence - 1e-6).alias("leads_on")), name)
+    dropped(strings)
+    # The sum over all followers of n log(p / p_above): strings seen once have p = escape * p_above.
+    gain = F.col("owns") * F.log(F.lit(10.0)) + F.col("n_context") * F.log("escape")
+    tested = found.groupBy("context").agg(F.sum(F.col("n") * F.col("own")).alias("owns")).join(sizes, "context").select(
+        F.col("context").alias("state"), "escape", ((gain >= shape.evidence) & (gain >= shape.divergence * F.col("n_context"))).alias("passes"))
+    tested = stored(tested, f"contexts-{name}")
+    dropped(sizes)
+    return found, tested
 
 
 def trained(train: DataFrame, shape: Shape) -> tuple[float, int, DataFrame, list[DataFrame], list[DataFrame]]:
     """All tokens, distinct ones, the tokens' counts, strings by length from two on, states by length from one on."""
     broadcast = train.sparkSession.sparkContext.broadcast
-    counts = stored(train.mapInArrow(counted(lambda b: (tokens_of(b)[0],), ["key"]), COUNT).groupBy("key").agg(F.sum("n").alias("n")),
-                    "token-counts")
+    counts = stored(token_counts(train), "token-counts")
     total = counts.agg(F.sum("n"), F.count("*")).first()
     tokens, distinct = int(total[0] or 0), int(total[1])
     contexts = suffixes = counts.withColumn("p", (F.col("n") + 1) / F.lit(float(tokens + distinct + 1)))
-    levels, allowed = [], ()
+    levels, tests, allowed = [], [], ()
     for d in range(shape.depth):
-        found = train.mapInArrow(followed(d + 2, *allowed), "context long, suffix long, n long")
-        twice = found.groupBy("context", "suffix").agg(F.sum("n").alias("n")).filter("n >= 2")
-        suffixes = level(twice, contexts, suffixes, shape, f"strings-{d + 2}")
+        strings = repeated_strings(train, d + 2, buckets_of(tokens), allowed)
+        suffixes, tested = level(strings, contexts, suffixes, shape, f"strings-{d + 2}")
         levels.append(suffixes)
+        tests.append(tested)
         if d + 1 < shape.depth:
-            most = F.col("n") * F.log1p(F.col("n_suffix") / F.col("n"))
-            contexts = suffixes.filter(most >= shape.evidence - 1e-6)
-            allowed = broadcast(bitmap(contexts, "key")), broadcast(bitmap(suffixes, "key"))
+            contexts = suffixes.filter("leads_on")
+            allowed = broadcast(bitmap(contexts, "key", MANY)), broadcast(bitmap(suffixes, "key", MANY))
     states: list[DataFrame] = []
-    for found in reversed(levels):
-        here = found.select(F.col("context").alias("state"), "escape", "passes").distinct()
+    for found, here in zip(reversed(levels), reversed(tests), strict=True):
         if states:  # the suffixes of longer states stay
-            stays = found.join(states[0], found["key"] == states[0]["state"], "left_semi").select(
-                F.col("suffix").alias("state"), F.lit(True).alias("stays")).distinct()
+            longer = states[0].select(F.col("state").alias("key"))
+            stays = found.join(longer, "key", "left_semi").select(F.col("suffix").alias("state"), F.lit(True).alias("stays")).distinct()
             here = here.join(stays, "state", "left").filter("passes or stays")
         states.insert(0, stored(here.filter("passes") if not states else here, f"states-{len(states)}").select("state", "escape"))
     return tokens, distinct, counts, levels, states
 
 
-def values_of(counts: DataFrame, levels: list[DataFrame], states: list[DataFrame]) -> list[DataFrame]:
-    """(key, n, known, base, score) by length: what a string adds to what a text's unseen tokens score.
+def buckets_of(tokens: int) -> int:
+    return 1 + tokens // BUCKET
+
+
+def thresholds(tokens: int, counts: DataFrame, levels: list[DataFrame], shape: Shape) -> list[int]:
+    """How often a string of each length must occur to be held; a held string's words are held, too."""
+    out, least = [], max(1, int(np.ceil(shape.least_string * tokens)))
+    for rows in [counts, *levels]:
+        # Counts in steps of an eighth of a doubling.
+        step = F.ceil(F.log2("n") * 8)
+        sizes = sorted(rows.groupBy(step.alias("step")).count().collect(), reverse=True)
+        held = 0
+        for at, n in sizes:
+            held += n
+            if held > shape.most_held:
+                # This step and those below stay out.
+                least = max(least, int(2 ** (at / 8)) + 1)
+                break
+        out.append(least)
+    return out
+
+
+def values_of(counts: DataFrame, levels: list[DataFrame], states: list[DataFrame], often: list[int]) -> list[DataFrame]:
+    """(key, n, base, score) by length: what a string adds to what a text's unseen tokens score.
 
     A string brings in the probability of its last word, if its context is a state, and what
-    passes on to shorter ones behind it, if it is a state itself.
+    passes on to shorter ones behind it, if it is a state itself. Of strings that are held
+    (`often`), context, suffix and p are told as well.
     """
     def passed_on(strings: DataFrame, to: DataFrame | None) -> DataFrame:
         if to is None:
@@ -223,62 +286,92 @@ def values_of(counts: DataFrame, levels: list[DataFrame], states: list[DataFrame
         return strings.join(behind, "key", "left").fillna(0.0, ["behind"])
 
     base = F.log10(F.col("n") + 1)
-    out = [passed_on(counts, states[0] if states else None).select(
-        "key", "n", F.lit(1).alias("known"), base.alias("base"), (base + F.col("behind")).alias("score"))]
+    out = [passed_on(counts, states[0] if states else None).select("key", "n", base.alias("base"), (base + F.col("behind")).alias("score"))]
     for d, found in enumerate(levels):
         here = states[d].select(F.col("state").alias("context"), F.lit(True).alias("used"))
         strings = passed_on(found.join(here, "context", "left"), states[d + 1] if d + 1 < len(states) else None)
-        own = F.when(F.col("used"), F.log10(F.col("p") / F.col("p_above") / F.col("escape"))).otherwise(0.0)
+        own = F.when(F.col("used"), F.col("own")).otherwise(0.0)
+        held = [F.when(F.col("n") >= often[d + 1], F.col(c)).alias(c) for c in ("context", "suffix", "p")]
         # What adds nothing is left out.
-        out.append(strings.select("key", "context", "suffix", "n", "p", F.lit(0).alias("known"), F.lit(0.0).alias("base"),
-                                  (own + F.col("behind")).alias("score")).filter("score != 0"))
-    return out
+        out.append(strings.select("key", "n", F.lit(0.0).alias("base"), (own + F.col("behind")).alias("score"), *held).filter("score != 0"))
+    return [stored(rows, f"values-{d + 1}") for d, rows in enumerate(out)]
 
 
-def held_by_workers(tokens: int, distinct: int, counts: DataFrame, values: list[DataFrame], states: list[DataFrame], shape: Shape) -> Tree:
-    """Strings of at least `least_string` of all tokens: at most 1 / least_string rows of each length."""
+def held_by_workers(tokens: int, distinct: int, values: list[DataFrame], states: list[DataFrame], often: list[int]) -> Tree:
+    """The values of strings that occur `often`."""
     tree = Tree(tokens, distinct)
-    often = F.col("n") >= max(1.0, shape.least_string * tokens)
-    frequent = values[0].filter(often).toPandas().sort_values("key")
+    held = [rows.filter(F.col("n") >= n) for rows, n in zip(values, often, strict=True)]
+    frequent = held[0].toArrow().sort_by("key")
     assert len(frequent) < 1 << SYMBOL_BITS
-    keys = frequent["key"].to_numpy(np.int64)
-    tree.frequent, tree.counts = Lookup(keys.view(U)), frequent["n"].to_numpy(np.int64)
+    keys = frequent["key"].to_numpy()
+    tree.frequent, tree.counts = Lookup(keys.view(U)), frequent["n"].to_numpy()
     tree.values.append(frequent["score"].to_numpy() - frequent["base"].to_numpy())
-    for d, strings in enumerate(values[1:]):
-        rows = strings.filter(often).select("key", "context", "suffix", "p", "score").toPandas()
-        key = rows["key"].to_numpy(np.int64).view(U)
+    for d, strings in enumerate(held[1:]):
+        rows = strings.toArrow()
+        key = rows["key"].to_numpy().view(U)
         if d == 0:  # by the tokens' numbers
-            context, suffix = (tree.frequent(rows[c].to_numpy(np.int64).view(U)).astype(np.int64) for c in ("context", "suffix"))
+            context, suffix = (tree.frequent(rows[c].to_numpy().view(U)).astype(np.int64) for c in ("context", "suffix"))
             key = ((context << SYMBOL_BITS) | suffix).view(U)
             escape = np.full(len(keys), np.nan)
-            held = states[0].join(values[0].filter(often).select(F.col("key").alias("state")), "state").toPandas()
-            escape[tree.frequent(held["state"].to_numpy(np.int64).view(U))] = held["escape"]
+            found = states[0].join(held[0].select(F.col("key").alias("state")), "state").toArrow()
+            escape[tree.frequent(found["state"].to_numpy().view(U))] = found["escape"].to_numpy()
             tree.states.append(escape)
         tree.strings.append((Lookup(key), rows["p"].to_numpy()))
         tree.values.append(rows["score"].to_numpy())
     return tree
 
 
+def planted(train: DataFrame, shape: Shape) -> tuple[Tree, DataFrame, list[DataFrame], list[int]]:
+    """What the workers hold of the tree, the counts of all tokens, the values of all strings, and how often held ones occur."""
+    tokens, distinct, counts, levels, states = trained(train, shape)
+    often = thresholds(tokens, counts, levels, shape)
+    values = values_of(counts, levels, states, often)
+    dropped(*levels)
+    return held_by_workers(tokens, distinct, values, states, often), counts, values, often
+
+
 def grown(train: DataFrame, shape: Shape) -> tuple[Tree, DataFrame]:
     """What the workers hold of the tree, and the counts of all tokens."""
-    tokens, distinct, counts, levels, states = trained(train, shape)
-    return held_by_workers(tokens, distinct, counts, values_of(counts, levels, states), states, shape), counts
+    return planted(train, shape)[:2]
+
+
+# Of a text, what the strings held add; or, without tokens, what other strings add to the texts of (id, row).
+PART = [("id", pa.int64()), ("row", pa.int64()), ("no_id", pa.bool_()), ("held_out", pa.bool_()), ("tokens", pa.int64()),
+        ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())]
+# The same as arrays; of the other strings, those of texts (with `times`) and what one adds (without).
+SENT = pa.schema([("bucket", pa.int32()), *[(n, pa.list_(t)) for n, t in PART], ("key", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
+
 
+def spark_schema(schema: pa.Schema) -> str:
+    names = {pa.int32(): "int", pa.int64(): "long", pa.bool_(): "boolean", pa.float64(): "double"}
+    return ", ".join(f"{f.name} array<{names[f.type.value_type]}>" if pa.types.is_list(f.type) else f"{f.name} {names[f.type]}" for f in schema)
 
-PART = ("id long, row long, held_out boolean, tokens long, known long, base double, score double, key long, times long")
-PART_NAMES = [x.split()[0] for x in PART.split(", ")]
 
+def with_nulls(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The batch with all columns of SENT."""
+    there = set(batch.schema.names)
+    return pa.RecordBatch.from_arrays(
+        [batch.column(f.name).cast(f.type) if f.name in there else pa.nulls(batch.num_rows, f.type) for f in SENT], schema=SENT)
 
-def scorer(held) -> Callable:
-    """For each text a row with what the strings held add, and a row for each other string that may add something."""
+
+def scorer(held, buckets: int) -> Callable:
+    """The texts with what the strings held add, and by bucket the other strings that may add something."""
+
+    def sent(rare: list) -> pa.RecordBatch:
+        keys, *columns = (np.concatenate(c) for c in zip(*rare, strict=True))
+        return with_nulls(bucketed(keys, [*columns, ts.signed(keys)], ["row", "id", "times", "key"], buckets))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = held.value
         unseen = -np.log10(tree.tokens + tree.distinct + 1)
         root = unseen + np.log10(tree.counts + 1)
+        rare, waiting = [], 0
         for batch in ts.slices(batches, "text"):
             data, offsets = ts.utf8(batch.column("text"))
-            row = ts.span_hash(ts.byte_prefix(data), offsets[:-1], offsets[1:])
+            ids, held_out = batch.column("id").cast(pa.int64()), batch.column("held_out")
+            no_id, ids = ids.is_null(), ids.fill_null(0)
+            id_, flags = ids.to_numpy(), 2 * no_id.cast(pa.uint64()).to_numpy() + held_out.cast(pa.uint64()).to_numpy()
+            row = ts.mix(ts.span_hash(ts.byte_prefix(data), offsets[:-1], offsets[1:]) + ts.mix(ts.mix(id_.view(U)) + flags))
             tokens, first = tokens_of(batch)
             n, place = len(first) - 1, places(first)
             rows_of = np.repeat(np.arange(n), np.diff(first))
@@ -288,7 +381,9 @@ def scorer(held) -> Callable:
             base[often] = root[symbol[often]]
             score = base.copy()
             score[often] += tree.values[0][symbol[often]]
-            rare_rows, rare_keys = [rows_of[~often]], [tokens[~often]]
+            at = np.flatnonzero(~often)
+            at = at[may_hold(tree.may_add, tokens[at])]
+            rare_rows, rare_keys = [rows_of[at]], [tokens[at]]
             keys = tokens
             for d, ((strings, _), value) in enumerate(zip(tree.strings, tree.values[1:], strict=True)):
                 keys = np.concatenate([keys[:1], joined_key(keys[:-1], keys[1:])])
@@ -305,25 +400,75 @@ def scorer(held) -> Callable:
                 rare_rows.append(rows_of[at])
                 rare_keys.append(keys[at])
             add = lambda x: np.add.reduceat(x, first[:-1]) if n else np.zeros(0)  # noqa: E731  no text is without its end
-            ids, held_out = batch.column("id").cast(pa.int64()), batch.column("held_out")
-            # A text's own row meets no string: its key is none.
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(ts.signed(row)), held_out, pa.array(np.diff(first)), pa.array(add(often.astype(np.int64))),
-                 pa.array(add(base)), pa.array(add(score)), pa.array(ts.signed(ts.mix(row + END))), pa.nulls(n, pa.int64())], PART_NAMES)
+            # These texts stay together, in any one bucket.
+            at, one = pa.array([int(row[0] % U(buckets))]), pa.array([0, n], pa.int32())
+            whole = [ids, pa.array(ts.signed(row)), no_id, held_out, pa.array(np.diff(first)), pa.array(add(often.astype(np.int64))),
+                     pa.array(add(base)), pa.array(add(score))]
+            yield with_nulls(pa.RecordBatch.from_arrays([at, *[pa.ListArray.from_arrays(one, c) for c in whole]], ["bucket", *[c for c, _ in PART]]))
             rows, keys = np.concatenate(rare_rows), np.concatenate(rare_keys)
-            if len(rows):
-                order = ts.order_by(rows, keys)
-                rows, keys = rows[order], keys[order]
-                begin = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (keys[1:] != keys[:-1])]))
-                times = np.diff(np.concatenate([begin, [len(rows)]]))
-                rows, none, zero = rows[begin], pa.nulls(len(begin), pa.int64()), pa.nulls(len(begin), pa.float64())
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(rows)), pa.array(ts.signed(row[rows])), held_out.take(pa.array(rows)), none, none, zero, zero,
-                     pa.array(ts.signed(keys[begin])), pa.array(times)], PART_NAMES)
+            if not len(rows):
+                continue
+            order = ts.order_by(rows, keys)
+            rows, keys = rows[order], keys[order]
+            begin = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (keys[1:] != keys[:-1])]))
+            times = np.diff(np.concatenate([begin, [len(rows)]]))
+            rows = rows[begin]
+            rare.append([keys[begin], ts.signed(row)[rows], id_[rows], times])
+            waiting += len(rows)
+            if waiting > HELD // 4:
+                yield sent(rare)
+                rare, waiting = [], 0
+        if rare:
+            yield sent(rare)
 
     return scan
 
 
+def adding(buckets: int) -> Callable:
+    """By bucket, what strings add that are not held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held = [], 0
+        for batch in batches:
+            found.append([batch.column(c).to_numpy() for c in ("key", "base", "score")])
+            held += batch.num_rows
+            if held > HELD // 4:
+                yield sent(found)
+                found, held = [], 0
+        if held:
+            yield sent(found)
+
+    def sent(found: list) -> pa.RecordBatch:
+        keys, base, score = (np.concatenate(c) for c in zip(*found, strict=True))
+        return with_nulls(bucketed(keys.view(U), [keys, base, score], ["key", "base", "score"], buckets))
+
+    return run
+
+
+def met(table: pa.Table) -> pa.Table:
+    """The texts of a bucket as rows, and what its strings add to texts, a row for each text."""
+    texts = table.filter(pc.is_valid(table["tokens"]))
+    strings = table.filter(pc.is_valid(table["times"]))
+    values = table.filter(pc.and_(pc.is_null(table["tokens"]), pc.is_null(table["times"])))
+    out = [pa.table({name: pa.array(gathered(texts, name), kind) for name, kind in PART})]
+    if len(strings) and len(values):
+        keys = gathered(values, "key")
+        order = np.argsort(keys)
+        wanted = gathered(strings, "key")
+        at = np.minimum(np.searchsorted(keys, wanted, sorter=order), len(keys) - 1)
+        hit = np.flatnonzero(keys[order[at]] == wanted)
+        at = order[at[hit]]
+        row, id_, times = (gathered(strings, c)[hit] for c in ("row", "id", "times"))
+        base, score = (gathered(values, c)[at] for c in ("base", "score"))
+        by = np.argsort(row, kind="stable")
+        begin = np.flatnonzero(np.concatenate([[True], row[by][1:] != row[by][:-1]])) if len(row) else np.zeros(0, int)
+        add = lambda x: np.add.reduceat(x[by], begin) if len(begin) else x
+        # Only tokens have a base.
+        sums = {"id": id_[by][begin], "row": row[by][begin], "known": add(times * (base > 0)), "base": add(times * base), "score": add(times * score)}
+        out.append(pa.table({n: pa.array(sums[n], t) if n in sums else pa.nulls(len(begin), t) for n, t in PART}))
+    return pa.concat_tables(out)
+
+
 def suffix_tree_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out: str | None = None,
                        shape: Shape = Shape()) -> DataFrame:
     """Scores of all texts; those with a true `held_out` column are not learnt from.
@@ -333,22 +478,17 @@ def suffix_tree_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     spark = prepared(docs.sparkSession)
     out = docs[held_out] if held_out else F.crc32(docs[doc_id].cast("string")) % 7 == 2
     named = docs.select(docs[doc_id].alias("id"), docs[text].alias("text"), F.coalesce(out, F.lit(False)).alias("held_out"))
-    tokens, distinct, counts, levels, states = trained(named.filter(~F.col("held_out")).select("text"), shape)
-    each = values_of(counts, levels, states)
-    each = [stored(rows, f"values-{d + 1}") for d, rows in enumerate(each)]
-    tree = held_by_workers(tokens, distinct, counts, each, states, shape)
-    values = reduce(DataFrame.unionByName, [rows.select("key", "n", "known", "base", "score") for rows in each])
-    rest = values.filter(F.col("n") < max(1.0, shape.least_string * tokens)).drop("n").withColumnsRenamed(
-        {"key": "string", "known": "is_known", "base": "adds_base", "score": "adds_score"})
-    tree.may_add = bitmap(rest.filter("is_known = 0"), "string")
-    parts = named.mapInArrow(scorer(spark.sparkContext.broadcast(tree)), PART)
-    # Texts come through with their strings, which add what the table says, as often as they stand.
-    joined = parts.join(rest, F.col("key") == F.col("string"), "left").groupBy("id", "row", "held_out").agg(
-        F.count("tokens").alias("rows"), *[F.max(c).alias(c) for c in ("tokens", "known", "base", "score")],
-        *[F.coalesce(F.sum(F.col("times") * F.col(c)), F.lit(0)).alias(c) for c in ("is_known", "adds_base", "adds_score")])
-    # Each of the equal rows has sent its strings, so their sums hold them `rows` times.
+    with lean(spark):
+        tree, _, values, often = planted(named.filter(~F.col("held_out")).select("text"), shape)
+        rest = reduce(DataFrame.unionByName, [rows.filter(F.col("n") < n).select("key", "base", "score") for rows, n in zip(values, often, strict=True)])
+        tree.may_add = bitmap(rest, "key", MANY)
+    buckets, sent = buckets_of(tree.tokens), spark_schema(SENT)
+    parts = named.mapInArrow(scorer(spark.sparkContext.broadcast(tree), buckets), sent).union(rest.mapInArrow(adding(buckets), sent))
+    # Each of equal rows has sent itself and its strings, so the sums hold them `rows` times.
+    joined = parts.groupBy("bucket").applyInArrow(met, spark_schema(pa.schema(PART))).groupBy("id", "row").agg(
+        F.count("tokens").alias("rows"), *[F.max(c).alias(c) for c in ("no_id", "held_out", "tokens")],
+        *[F.sum(c).alias(c) for c in ("known", "base", "score")])
     return joined.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int")))).select(
-        F.col("id").alias(doc_id), "held_out", F.col("tokens").alias("n_tokens"),
-        (F.col("known") + F.col("is_known") / F.col("rows")).cast("long").alias("n_known"),
-        F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base") + F.col("adds_base") / F.col("rows")).alias("base_score"),
-        (F.col("score") + F.col("adds_score") / F.col("rows")).alias("score"))
+        F.when(~F.col("no_id"), F.col("id")).alias(doc_id), "held_out", F.col("tokens").alias("n_tokens"),
+        (F.col("known") / F.col("rows")).cast("long").alias("n_known"), F.lit(tree.tokens).cast("long").alias("train_tokens"),
+        (F.col("base") / F.col("rows")).alias("base_score"), (F.col("score") / F.col("rows")).alias("score"))

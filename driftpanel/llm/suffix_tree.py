@@ -335,11 +335,12 @@ def grown(train: DataFrame, shape: Shape) -> tuple[Tree, DataFrame]:
     return planted(train, shape)[:2]
 
 
-# Of a text, what the strings held add; or, without tokens, what other strings add to the texts of (id, row).
+# Of a text, what the strings held add; or, without tokens, what other strings add to the texts of a row hash.
 PART = [("id", pa.int64()), ("row", pa.int64()), ("no_id", pa.bool_()), ("held_out", pa.bool_()), ("tokens", pa.int64()),
         ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())]
-# The same as arrays; of the other strings, those of texts (with `times`) and what one adds (without).
-SENT = pa.schema([("bucket", pa.int32()), *[(n, pa.list_(t)) for n, t in PART], ("key", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
+# The same as arrays, and with other strings: those of texts (with `times`) and what one adds (without).
+TOLD = pa.schema([("bucket", pa.int32()), *[(n, pa.list_(t)) for n, t in PART]])
+SENT = pa.schema([*TOLD, ("key", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
 
 
 def spark_schema(schema: pa.Schema) -> str:
@@ -347,11 +348,11 @@ def spark_schema(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} array<{names[f.type.value_type]}>" if pa.types.is_list(f.type) else f"{f.name} {names[f.type]}" for f in schema)
 
 
-def with_nulls(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """The batch with all columns of SENT."""
+def with_nulls(batch: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
+    """The batch with all columns of the schema."""
     there = set(batch.schema.names)
     return pa.RecordBatch.from_arrays(
-        [batch.column(f.name).cast(f.type) if f.name in there else pa.nulls(batch.num_rows, f.type) for f in SENT], schema=SENT)
+        [batch.column(f.name).cast(f.type) if f.name in there else pa.nulls(batch.num_rows, f.type) for f in schema], schema=schema)
 
 
 def scorer(held, buckets: int) -> Callable:
@@ -359,7 +360,7 @@ def scorer(held, buckets: int) -> Callable:
 
     def sent(rare: list) -> pa.RecordBatch:
         keys, *columns = (np.concatenate(c) for c in zip(*rare, strict=True))
-        return with_nulls(bucketed(keys, [*columns, ts.signed(keys)], ["row", "id", "times", "key"], buckets))
+        return with_nulls(bucketed(keys, [*columns, ts.signed(keys)], ["row", "times", "key"], buckets), SENT)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = held.value
@@ -404,7 +405,7 @@ def scorer(held, buckets: int) -> Callable:
             at, one = pa.array([int(row[0] % U(buckets))]), pa.array([0, n], pa.int32())
             whole = [ids, pa.array(ts.signed(row)), no_id, held_out, pa.array(np.diff(first)), pa.array(add(often.astype(np.int64))),
                      pa.array(add(base)), pa.array(add(score))]
-            yield with_nulls(pa.RecordBatch.from_arrays([at, *[pa.ListArray.from_arrays(one, c) for c in whole]], ["bucket", *[c for c, _ in PART]]))
+            yield with_nulls(pa.RecordBatch.from_arrays([at, *[pa.ListArray.from_arrays(one, c) for c in whole]], ["bucket", *[c for c, _ in PART]]), SENT)
             rows, keys = np.concatenate(rare_rows), np.concatenate(rare_keys)
             if not len(rows):
                 continue
@@ -413,7 +414,7 @@ def scorer(held, buckets: int) -> Callable:
             begin = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (keys[1:] != keys[:-1])]))
             times = np.diff(np.concatenate([begin, [len(rows)]]))
             rows = rows[begin]
-            rare.append([keys[begin], ts.signed(row)[rows], id_[rows], times])
+            rare.append([keys[begin], ts.signed(row)[rows], times])
             waiting += len(rows)
             if waiting > HELD // 4:
                 yield sent(rare)
@@ -440,33 +441,57 @@ def adding(buckets: int) -> Callable:
 
     def sent(found: list) -> pa.RecordBatch:
         keys, base, score = (np.concatenate(c) for c in zip(*found, strict=True))
-        return with_nulls(bucketed(keys.view(U), [keys, base, score], ["key", "base", "score"], buckets))
+        return with_nulls(bucketed(keys.view(U), [keys, base, score], ["key", "base", "score"], buckets), SENT)
 
     return run
 
 
-def met(table: pa.Table) -> pa.Table:
-    """The texts of a bucket as rows, and what its strings add to texts, a row for each text."""
-    texts = table.filter(pc.is_valid(table["tokens"]))
-    strings = table.filter(pc.is_valid(table["times"]))
-    values = table.filter(pc.and_(pc.is_null(table["tokens"]), pc.is_null(table["times"])))
-    out = [pa.table({name: pa.array(gathered(texts, name), kind) for name, kind in PART})]
-    if len(strings) and len(values):
-        keys = gathered(values, "key")
-        order = np.argsort(keys)
-        wanted = gathered(strings, "key")
-        at = np.minimum(np.searchsorted(keys, wanted, sorter=order), len(keys) - 1)
-        hit = np.flatnonzero(keys[order[at]] == wanted)
-        at = order[at[hit]]
-        row, id_, times = (gathered(strings, c)[hit] for c in ("row", "id", "times"))
-        base, score = (gathered(values, c)[at] for c in ("base", "score"))
-        by = np.argsort(row, kind="stable")
-        begin = np.flatnonzero(np.concatenate([[True], row[by][1:] != row[by][:-1]])) if len(row) else np.zeros(0, int)
-        add = lambda x: np.add.reduceat(x[by], begin) if len(begin) else x
-        # Only tokens have a base.
-        sums = {"id": id_[by][begin], "row": row[by][begin], "known": add(times * (base > 0)), "base": add(times * base), "score": add(times * score)}
-        out.append(pa.table({n: pa.array(sums[n], t) if n in sums else pa.nulls(len(begin), t) for n, t in PART}))
-    return pa.concat_tables(out)
+def meeting(buckets: int) -> Callable:
+    """From a bucket of strings, by bucket of texts: the texts that stood there, and what its strings add to texts."""
+
+    def told(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+        row = columns["row"]
+        return with_nulls(bucketed(row.view(U), [row, *[c for n, c in columns.items() if n != "row"]],
+                                   ["row", *[n for n in columns if n != "row"]], buckets), TOLD)
+
+    def met(table: pa.Table) -> pa.Table:
+        texts = table.filter(pc.is_valid(table["tokens"]))
+        strings = table.filter(pc.is_valid(table["times"]))
+        values = table.filter(pc.and_(pc.is_null(table["tokens"]), pc.is_null(table["times"])))
+        out = [told({name: gathered(texts, name) for name, _ in PART})] if len(texts) else []
+        if len(strings) and len(values):
+            keys = gathered(values, "key")
+            order = np.argsort(keys)
+            wanted = gathered(strings, "key")
+            at = np.minimum(np.searchsorted(keys, wanted, sorter=order), len(keys) - 1)
+            hit = np.flatnonzero(keys[order[at]] == wanted)
+            if len(hit):
+                at = order[at[hit]]
+                row, times = (gathered(strings, c)[hit] for c in ("row", "times"))
+                base, score = (gathered(values, c)[at] for c in ("base", "score"))
+                by = np.argsort(row, kind="stable")
+                begin = np.flatnonzero(np.concatenate([[True], row[by][1:] != row[by][:-1]]))
+                # Only tokens have a base.
+                out.append(told({"row": row[by][begin], **{n: np.add.reduceat((times * x)[by], begin) for n, x in (
+                    ("known", (base > 0).astype(np.int64)), ("base", base), ("score", score))}}))
+        return pa.Table.from_batches(out, TOLD)
+
+    return met
+
+
+def closed(table: pa.Table) -> pa.Table:
+    """The texts of a bucket, with all that strings add to them."""
+    texts, sums = table.filter(pc.is_valid(table["tokens"])), table.filter(pc.is_null(table["tokens"]))
+    rows, which, copies = np.unique(gathered(texts, "row"), return_inverse=True, return_counts=True)
+    at = np.searchsorted(rows, gathered(sums, "row"))
+
+    def whole(name: str) -> np.ndarray:
+        # Each of equal rows has sent its strings, so their sums hold them as often.
+        return gathered(texts, name) + (np.bincount(at, gathered(sums, name), len(rows)) / copies)[which]
+
+    return pa.table({"id": pa.array(gathered(texts, "id"), mask=gathered(texts, "no_id").astype(bool)), "held_out": gathered(texts, "held_out").astype(bool),
+                     "tokens": gathered(texts, "tokens"), "known": np.rint(whole("known")).astype(np.int64),
+                     "base": whole("base"), "score": whole("score")})
 
 
 def suffix_tree_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out: str | None = None,
@@ -482,13 +507,11 @@ def suffix_tree_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         tree, _, values, often = planted(named.filter(~F.col("held_out")).select("text"), shape)
         rest = reduce(DataFrame.unionByName, [rows.filter(F.col("n") < n).select("key", "base", "score") for rows, n in zip(values, often, strict=True)])
         tree.may_add = bitmap(rest, "key", MANY)
-    buckets, sent = buckets_of(tree.tokens), spark_schema(SENT)
+    # Half as many buckets as for counting, so that a text's strings stand together in them.
+    buckets, sent = buckets_of(tree.tokens // 2), spark_schema(SENT)
     parts = named.mapInArrow(scorer(spark.sparkContext.broadcast(tree), buckets), sent).union(rest.mapInArrow(adding(buckets), sent))
-    # Each of equal rows has sent itself and its strings, so the sums hold them `rows` times.
-    joined = parts.groupBy("bucket").applyInArrow(met, spark_schema(pa.schema(PART))).groupBy("id", "row").agg(
-        F.count("tokens").alias("rows"), *[F.max(c).alias(c) for c in ("no_id", "held_out", "tokens")],
-        *[F.sum(c).alias(c) for c in ("known", "base", "score")])
-    return joined.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int")))).select(
-        F.when(~F.col("no_id"), F.col("id")).alias(doc_id), "held_out", F.col("tokens").alias("n_tokens"),
-        (F.col("known") / F.col("rows")).cast("long").alias("n_known"), F.lit(tree.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") / F.col("rows")).alias("base_score"), (F.col("score") / F.col("rows")).alias("score"))
+    scores = parts.groupBy("bucket").applyInArrow(meeting(buckets), spark_schema(TOLD)).groupBy("bucket").applyInArrow(
+        closed, "id long, held_out boolean, tokens long, known long, base double, score double")
+    return scores.select(
+        F.col("id").alias(doc_id), "held_out", F.col("tokens").alias("n_tokens"), F.col("known").alias("n_known"),
+        F.lit(tree.tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")

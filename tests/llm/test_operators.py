@@ -386,6 +386,31 @@ def test_scores_use_every_context_however_rare(spark, depth, evidence):
             assert abs(row["score"] - wanted(split(text))) < 1e-6
 
 
+def test_what_workers_hold_and_send_is_bounded(spark, monkeypatch):
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(RANDOM.choice(words) for _ in range(30)) for _ in range(60)] + ["u v x"] * 3 + ["", "u v x"]
+    rows = [(i, t, i % 5 == 0) for i, t in enumerate(texts)] + [(None, "u v z", True)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h boolean")
+    train = docs.filter("not h").select("text")
+    counts = Counter(pair for _, t, h in rows if not h for pair in zip(t.split(), [*t.split()[1:], None]))
+    # Strings leave a task as arrays, a row for each bucket, and meet as counts of those seen twice.
+    sent = train.coalesce(1).mapInArrow(suffix_tree.followed(2, 7), "bucket int, context array<long>, suffix array<long>, n array<int>").collect()
+    assert len(sent) == 7 and sum(sum(r["n"]) for r in sent) == sum(counts.values())
+    assert sum(len(r["n"]) for r in sent) == len(counts)
+    found = suffix_tree.repeated_strings(train, 2, 7, ()).collect()
+    assert sorted(r["n"] for r in found) == sorted(n for n in counts.values() if n > 1)
+    # However few strings are held and however many buckets there are, the scores stay.
+    shape = {"evidence": 1.0, "divergence": 0.0}
+    scored = lambda **more: sorted(map(tuple, suffix_tree.suffix_tree_scores(docs, held_out="h", shape=suffix_tree.Shape(**shape, **more)).collect()), key=str)
+    whole = scored()
+    monkeypatch.setattr(suffix_tree, "BUCKET", 50)
+    tree, *_, often = suffix_tree.planted(train, suffix_tree.Shape(**shape, most_held=5))
+    assert len(tree.counts) <= 5 and all(len(p) <= 5 for _, p in tree.strings) and often == sorted(often)
+    few = scored(most_held=5)
+    assert len(few) == len(rows) and [r[:5] for r in few] == [r[:5] for r in whole]
+    assert np.allclose([r[5:] for r in few], [r[5:] for r in whole])
+
+
 def test_scores_without_training_and_rows(spark, empty):
     held = spark.createDataFrame([(1, "a b", True)], "doc_id long, text string, h boolean")
     row = suffix_tree.suffix_tree_scores(held, held_out="h").first()

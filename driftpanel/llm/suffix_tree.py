@@ -21,7 +21,7 @@ workers hold the values of the most frequent strings, at most `most_held` of eac
 those of all others meet the texts by string. Bitmaps of fixed size only leave out rows
 before that.
 
-Strings travel as arrays, a row for each bucket of their hashes; there are as many buckets
+Strings travel as arrays, a row for each bucket of their hashes; a bucket has a partition of its own, and there are as many
 as about BUCKET training tokens each make. Equal strings of a task travel once, so no
 bucket grows with the copies of a string.
 
@@ -119,6 +119,16 @@ def summed(columns: list[np.ndarray]) -> list[np.ndarray]:
     return [*[c[order[begin]] for c in columns[:-1]], np.add.reduceat(n, begin) if len(begin) else n]
 
 
+def joined(found: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """All pieces' columns as one; the pieces are given up column by column."""
+    out = []
+    for k in range(len(found[0])):
+        out.append(np.concatenate([piece[k] for piece in found]))
+        for piece in found:
+            piece[k] = None
+    return out
+
+
 def counted(emit: Callable[[pa.RecordBatch], list[np.ndarray]], send: Callable[[list[np.ndarray]], pa.RecordBatch]) -> Callable:
     """How often each key stands in a task's texts, gathered in bounded pieces.
 
@@ -132,13 +142,13 @@ def counted(emit: Callable[[pa.RecordBatch], list[np.ndarray]], send: Callable[[
             found.append([*columns, np.ones(len(columns[0]), np.int64)])
             held += len(columns[0])
             if held > HELD:
-                found = [summed([np.concatenate(c) for c in zip(*found, strict=True)])]
+                found = [summed(joined(found))]
                 held = len(found[0][0])
                 if held > HELD // 2:
                     yield send(found.pop())
                     held = 0
         if held:
-            yield send(summed([np.concatenate(c) for c in zip(*found, strict=True)]))
+            yield send(summed(joined(found)))
 
     return run
 
@@ -165,6 +175,17 @@ def gathered(table: pa.Table, name: str) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
+def pieces(table: pa.Table, name: str, rows: np.ndarray) -> list[np.ndarray]:
+    """The arrays of an array column in these rows, not copied."""
+    column = table.column(name)
+    return [column[int(i)].values.to_numpy(zero_copy_only=False) for i in rows]
+
+
+def by_bucket(rows: DataFrame, buckets: int):
+    """Groups of a bucket, each in a partition of its own, so that no task holds several."""
+    return rows.repartitionById(buckets, F.col("bucket")).groupBy("bucket")
+
+
 def followed(n: int, buckets: int, allowed: tuple = ()) -> Callable:
     """Counts of strings of `n` tokens by bucket, with their context and suffix, where bitmaps allow these."""
 
@@ -195,7 +216,7 @@ def repeated_strings(train: DataFrame, n: int, buckets: int, allowed: tuple) ->
         return pa.table({"key": ts.signed(keys[twice]), "context": ts.signed(context[twice]), "suffix": ts.signed(suffix[twice]), "n": times[twice]})
 
     found = train.mapInArrow(followed(n, buckets, allowed), "bucket int, context array<long>, suffix array<long>, n array<int>")
-    return found.groupBy("bucket").applyInArrow(total, "key long, context long, suffix long, n long")
+    return by_bucket(found, buckets).applyInArrow(total, "key long, context long, suffix long, n long")
 
 
 def level(strings: DataFrame, contexts: DataFrame, suffixes: DataFrame, shape: Shape, name: str) -> tuple[DataFrame, DataFrame]:
@@ -340,7 +361,7 @@ PART = [("id", pa.int64()), ("row", pa.int64()), ("no_id", pa.bool_()), ("held_o
         ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())]
 # The same as arrays, and with other strings: those of texts (with `times`) and what one adds (without).
 TOLD = pa.schema([("bucket", pa.int32()), *[(n, pa.list_(t)) for n, t in PART]])
-SENT = pa.schema([*TOLD, ("key", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
+SENT = pa.schema([*TOLD, ("key", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))])
 
 
 def spark_schema(schema: pa.Schema) -> str:
@@ -412,7 +433,7 @@ def scorer(held, buckets: int) -> Callable:
             order = ts.order_by(rows, keys)
             rows, keys = rows[order], keys[order]
             begin = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (keys[1:] != keys[:-1])]))
-            times = np.diff(np.concatenate([begin, [len(rows)]]))
+            times = np.diff(np.concatenate([begin, [len(rows)]])).astype(np.int32)
             rows = rows[begin]
             rare.append([keys[begin], ts.signed(row)[rows], times])
             waiting += len(rows)
@@ -455,25 +476,28 @@ def meeting(buckets: int) -> Callable:
                                    ["row", *[n for n in columns if n != "row"]], buckets), TOLD)
 
     def met(table: pa.Table) -> pa.Table:
-        texts = table.filter(pc.is_valid(table["tokens"]))
-        strings = table.filter(pc.is_valid(table["times"]))
-        values = table.filter(pc.and_(pc.is_null(table["tokens"]), pc.is_null(table["times"])))
-        out = [told({name: gathered(texts, name) for name, _ in PART})] if len(texts) else []
-        if len(strings) and len(values):
-            keys = gathered(values, "key")
-            order = np.argsort(keys)
-            wanted = gathered(strings, "key")
-            at = np.minimum(np.searchsorted(keys, wanted, sorter=order), len(keys) - 1)
-            hit = np.flatnonzero(keys[order[at]] == wanted)
+        texts, strings = (np.flatnonzero(table.column(c).is_valid().to_numpy()) for c in ("tokens", "times"))
+        values = np.setdiff1d(np.arange(len(table)), np.concatenate([texts, strings]))
+        out = [told({name: np.concatenate(pieces(table, name, texts)) for name, _ in PART})] if len(texts) else []
+        if not len(strings) or not len(values):
+            return pa.Table.from_batches(out, TOLD)
+        keys, base, score = (np.concatenate(pieces(table, c, values)) for c in ("key", "base", "score"))
+        order = np.argsort(keys)
+        keys, base, score = keys[order], base[order], score[order]
+        sums = []
+        # One array after the other: they make up most of a bucket.
+        for row, wanted, times in zip(*(pieces(table, c, strings) for c in ("row", "key", "times")), strict=True):
+            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            hit = np.flatnonzero(keys[at] == wanted)
             if len(hit):
-                at = order[at[hit]]
-                row, times = (gathered(strings, c)[hit] for c in ("row", "times"))
-                base, score = (gathered(values, c)[at] for c in ("base", "score"))
-                by = np.argsort(row, kind="stable")
-                begin = np.flatnonzero(np.concatenate([[True], row[by][1:] != row[by][:-1]]))
+                at, row, times = at[hit], row[hit], times[hit]
+                # They are in order of the texts.
+                begin = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
                 # Only tokens have a base.
-                out.append(told({"row": row[by][begin], **{n: np.add.reduceat((times * x)[by], begin) for n, x in (
-                    ("known", (base > 0).astype(np.int64)), ("base", base), ("score", score))}}))
+                added = (times * (base[at] > 0).astype(np.int64), times * base[at], times * score[at])
+                sums.append([row[begin], *[np.add.reduceat(x, begin) for x in added]])
+        if sums:
+            out.append(told(dict(zip(("row", "known", "base", "score"), (np.concatenate(c) for c in zip(*sums, strict=True)), strict=True))))
         return pa.Table.from_batches(out, TOLD)
 
     return met
@@ -510,7 +534,8 @@ def suffix_tree_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     # Half as many buckets as for counting, so that a text's strings stand together in them.
     buckets, sent = buckets_of(tree.tokens // 2), spark_schema(SENT)
     parts = named.mapInArrow(scorer(spark.sparkContext.broadcast(tree), buckets), sent).union(rest.mapInArrow(adding(buckets), sent))
-    scores = parts.groupBy("bucket").applyInArrow(meeting(buckets), spark_schema(TOLD)).groupBy("bucket").applyInArrow(
+    met = by_bucket(parts, buckets).applyInArrow(meeting(buckets), spark_schema(TOLD))
+    scores = by_bucket(met, buckets).applyInArrow(
         closed, "id long, held_out boolean, tokens long, known long, base double, score double")
     return scores.select(
         F.col("id").alias(doc_id), "held_out", F.col("tokens").alias("n_tokens"), F.col("known").alias("n_known"),

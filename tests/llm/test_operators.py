@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -411,6 +412,40 @@ def test_what_workers_hold_and_send_is_bounded(spark, monkeypatch):
     assert np.allclose([r[5:] for r in few], [r[5:] for r in whole])
 
 
+def test_strings_meet_texts_array_by_array():
+    known = np.random.default_rng(4).integers(-(1 << 62), 1 << 62, 50_000)
+    values = next(suffix_tree.adding(1)([pa.RecordBatch.from_arrays([pa.array(known), pa.array(known % 2 * 0.5), pa.array(known % 7 * 1.0)], ["key", "base", "score"])]))
+    sent, wanted = [values], defaultdict(lambda: np.zeros(3))
+    for k in range(100):
+        rows, keys, times = np.sort(np.arange(10_000) % 20 + 15 * k), np.roll(known, 501 * k)[:10_000] ^ (k % 2), np.arange(10_000) % 3 + 1
+        sent.append(suffix_tree.with_nulls(suffix_tree.bucketed(keys.astype(np.uint64), [rows, times, keys], ["row", "times", "key"], 1), suffix_tree.SENT))
+        there = np.isin(keys, known)
+        for row in np.unique(rows):
+            n, key = times[there & (rows == row)], keys[there & (rows == row)]
+            if len(n):
+                wanted[int(row)] += [n[key % 2 > 0].sum(), (n * (key % 2) * 0.5).sum(), (n * (key % 7)).sum()]
+    table = pa.Table.from_batches(sent)
+    tracemalloc.start()
+    try:
+        met = suffix_tree.meeting(1)(table)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    found = defaultdict(lambda: np.zeros(3))
+    for row, *sums in zip(*(suffix_tree.gathered(met, c).tolist() for c in ("row", "known", "base", "score")), strict=True):
+        found[row] += sums
+    assert found.keys() == wanted.keys() and all(np.allclose(found[r], wanted[r]) for r in wanted)
+    # Beside the bucket itself, which is mostly the texts' strings.
+    assert most < table.nbytes / 2
+
+
+def test_a_task_holds_one_bucket(spark):
+    texts = spark.range(400).selectExpr("concat_ws(' ', transform(sequence(1, 20), i -> hash(id, i))) as text").coalesce(1)
+    found = suffix_tree.repeated_strings(texts.union(texts), 2, 40, ())
+    per_task = found.groupBy(F.spark_partition_id().alias("task")).agg(F.collect_set(F.shiftrightunsigned("key", 32)).alias("top")).collect()
+    assert len(per_task) == 40 and all(len({int(top) * 40 >> 32 for top in r["top"]}) == 1 for r in per_task)
+
+
 def test_scores_without_training_and_rows(spark, empty):
     held = spark.createDataFrame([(1, "a b", True)], "doc_id long, text string, h boolean")
     row = suffix_tree.suffix_tree_scores(held, held_out="h").first()

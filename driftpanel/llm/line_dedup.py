@@ -65,6 +65,7 @@ class Lines:
 
 
 LINE = ["hash", "proof"]  # the same words
+PLACE = ["id", "row", "line"]
 PLACES = "id long, row long, line int, hash long, proof long, keys array<long>"
 
 
@@ -88,20 +89,28 @@ def places(equal_from: int):
     return scan
 
 
+def place_hash(row: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return ts.mix(row + ts.mix(line.astype(U)))
+
+
+def place_hashes(batches: Arrow) -> Arrow:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(ts.signed(place_hash(batch.column("row").to_numpy().view(U), batch.column("line").to_numpy())))], ["spot"])
+
+
 def texts_of(held):
-    """The lines whose hash the bitmap may hold, each once per batch."""
+    """The lines that stand where the bitmap may hold."""
 
     def scan(batches: Arrow) -> Arrow:
         for batch in ts.slices(batches, "text"):
-            x = Lines(batch.column("text"))
-            which = np.flatnonzero(may_hold(held.value, x.hash))
-            lines = np.stack([x.hash[which], x.proofs(which)], axis=1)
-            lines, at = np.unique(lines, axis=0, return_index=True)
-            data, starts, ends = x.bytes
-            raw = data.tobytes()
+            data, offsets = ts.utf8(batch.column("text"))
+            starts, ends, rows = ts.lines(data, offsets)
+            number = np.arange(len(rows)) - np.searchsorted(rows, rows)
+            which = np.flatnonzero(may_hold(held.value, place_hash(batch.column("row").to_numpy().view(U)[rows], number)))
+            at, raw = pa.array(rows[which]), data.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array(ts.signed(lines[:, k])) for k in (0, 1)),
-                 pa.array([raw[starts[k] : ends[k]].decode() for k in which[at]], pa.string())], [*LINE, "text"])
+                [batch.column("id").take(at), batch.column("row").take(at), pa.array(number[which].astype(np.int32)),
+                 pa.array([raw[a:b].decode() for a, b in zip(starts[which].tolist(), ends[which].tolist(), strict=True)], pa.string())], [*PLACE, "text"])
 
     return scan
 
@@ -157,13 +166,15 @@ def near_lines(rows: DataFrame, classes: DataFrame) -> DataFrame:
     shared = halves.groupBy("key").agg(F.min(F.struct(*LINE)).alias("a"), F.max(F.struct(*LINE)).alias("b")).filter("a <> b").select("key")
     sides = (halves.join(shared, "key").groupBy(*LINE)
              .agg(F.bool_or(F.col("side") % 2 == 0).alias("head"), F.bool_or(F.col("side") % 2 == 1).alias("tail")))
-    sides = stored(sides, "line-candidates")
-    held = spark.sparkContext.broadcast(bitmap(sides, "hash"))
+    candidates = stored(classes.join(sides, LINE).select(*LINE, "place", "head", "tail"), "line-candidates")
+    spots = candidates.select("place.row", "place.line").mapInArrow(place_hashes, "spot long")
+    held = spark.sparkContext.broadcast(bitmap(spots, "spot"))
     # A number for each candidate's place: one long to compare.
-    candidates = classes.join(sides, LINE).select(*LINE, "place", "head", "tail")
     ranked = position_overall(candidates, [F.col("place"), *map(F.col, LINE)], "rank")
-    texts = rows.select("text").mapInArrow(texts_of(held), "hash long, proof long, text string").groupBy(*LINE).agg(F.min("text").alias("text"))
-    lines = stored(texts.join(ranked, LINE), "line-texts")
+    # Only the earliest of equal lines is read again; repeated rows give it repeatedly.
+    texts = rows.select(F.coalesce("id", F.lit(LAST)).alias("id"), "row", "text").mapInArrow(
+        texts_of(held), "id long, row long, line int, text string").groupBy(*PLACE).agg(F.min("text").alias("text"))
+    lines = stored(ranked.select("*", *[F.col(f"place.{c}").alias(c) for c in PLACE]).join(texts, PLACE).drop(*PLACE), "line-texts")
     keys = lines.select("text", "rank", "head", "tail").mapInArrow(variants, "key long, kind int, rank long")
     # Kind 2 meets kind 2; kind 1 meets kind 0 and the other way round.
     side = keys.withColumn("space", F.col("kind") == 2)
@@ -205,8 +216,10 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", car
                      F.size(F.filter("seen", lambda x: x["gone"] == "n")).alias("n_near"))
              .withColumnRenamed("id", "theirs").withColumnRenamed("row", "their_row"))
     joined = rows.join(lines, F.col("id").eqNullSafe(F.col("theirs")) & (F.col("row") == F.col("their_row")), "left")
-    parts = F.split("text", "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "drop")
-    left = F.when(F.size("drop") > 0, F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n")).otherwise(F.col("text"))
+    # As an array of one, so that a text is split once, not for each of its lines.
+    split = F.array(F.split("text", "\n", -1))
+    kept = lambda parts: F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "drop")
+    whole = F.transform(split, lambda parts: F.array_join(F.transform(kept(parts), lambda i: F.get(parts, i)), "\n"))
+    left = F.when(F.size("drop") > 0, F.get(whole, 0)).otherwise(F.col("text"))
     n = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return joined.select("id", "carry", left.alias("text"), n("n_lines"), n("n_equal"), n("n_near"))

@@ -241,12 +241,15 @@ def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.repeat(np.arange(len(offsets) - 1), per_row)
 
 
+RUN_POWERS: dict[tuple[int, int], np.ndarray] = {}  # as many as the longest column needed so far
+
+
 def run_powers(base: int, prime: int, n: int) -> np.ndarray:
     """The first n powers of the base modulo the prime."""
-    out, step = np.ones(1, U), base
+    out = RUN_POWERS.get((base, prime), np.ones(1, U))
     while len(out) < n:
-        out = np.concatenate([out, out * U(step) % U(prime)])
-        step = step * step % prime
+        out = np.concatenate([out, out * U(pow(base, len(out), prime)) % U(prime)])
+    RUN_POWERS[base, prime] = out
     return out[:n]
 
 

@@ -278,6 +278,36 @@ def test_one_edit():
     assert not split("abc", "acb") and not split("abc", "a") and not split("abcd", "axyd")
 
 
+class Held:
+    """As a broadcast variable."""
+
+    def __init__(self, value):
+        self.value = value
+
+
+def test_only_earliest_lines_are_read_again(spark):
+    texts = ["a b c d e f g h\nother words", "X\na b c d e f g h\n\na b c d e f g h", None, "été a b c d e f g"]
+    row = np.array([11, -5, 42, 7])
+    spots = line_dedup.place_hash(row[[0, 3]].view(np.uint64), np.zeros(2, int))
+    held = bitmap(spark.createDataFrame([(int(x),) for x in ts.signed(spots)], "spot long"), "spot")
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array(row), pa.array(texts)], ["id", "row", "text"])
+    found = [tuple(r.values()) for b in line_dedup.texts_of(Held(held))([batch]) for r in b.to_pylist()]
+    assert found == [(1, 11, 0, texts[0].split("\n")[0]), (4, 7, 0, texts[3])]
+
+
+def test_a_text_is_split_once_for_all_its_lines(spark):
+    docs = spark.createDataFrame([(1, "\n".join([f"l{i}" for i in range(300)] + ["l7", "", "l8", "end"]))], "doc_id long, text string")
+    found = line_dedup.dedup_lines(docs, equal_from=1)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    row = found.first()
+    assert row["text"] == "\n".join([f"l{i}" for i in range(300)] + ["", "end"]) and (row["n_lines"], row["n_equal"]) == (303, 2)
+
+
+def test_powers_of_runs_of_any_order():
+    for n in (5, 1, 40, 7, 333):
+        assert ts.run_powers(3, 101, n).tolist() == [pow(3, k, 101) for k in range(n)]
+
+
 def test_lines_of_nothing(empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 

@@ -13,7 +13,8 @@ words with no other can't be near another and are left aside: two lines within o
 have the same first or the same last half. The others emit a hashed key for each word
 left out, alone (it meets the line that lacks the word) and with the place (it meets the
 lines that differ there). Each key is folded to its earliest line, so a group of any size
-gives one link per member; links are verified on the words.
+gives one link per member; links are verified on the words. Only the earliest of equal
+lines is read again for that, by its place.
 
 Null texts have no lines and stay null. Repeated rows give repeated results. Columns in
 `carry` are not looked at.

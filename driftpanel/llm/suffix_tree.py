@@ -33,13 +33,14 @@ every token has the same probability, one.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftpanel.llm import textscan as ts
@@ -52,8 +53,32 @@ END = U(0xE7D1A3B5C96F8421)
 SYMBOL_BITS = 20
 COUNT = "key long, n long"
 HELD = 3 << 19  # entries a task gathers before it sends them on
+SLICE = 1 << 18  # bytes of text a task looks at together
+SENT_AT_ONCE = 4 << 20  # bytes of a batch between Spark and its workers
 BUCKET = 1 << 20  # training tokens to a bucket of strings
 MANY = 27  # bits of the bitmaps of strings: 16 MB
+# Workers live on from stage to stage. Large arrays go back to the machine once they are freed;
+# small ones, of a slice of text, are used again.
+WORKERS = {"MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(16 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
+@contextmanager
+def frugal(spark: SparkSession) -> Iterator[None]:
+    """Functions made within it run in workers that keep little of what they freed, and get batches of bounded size."""
+    settings = spark.sparkContext.environment
+    before = dict(settings)
+    settings.update(WORKERS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(SENT_AT_ONCE))
+    try:
+        yield
+    finally:
+        settings.clear()
+        settings.update(before)
+
+
+def looked_up(unique: DataFrame) -> DataFrame:
+    """The side of a join that tasks hold: its keys are unique, so hot ones don't add to it, and no side is sorted."""
+    return unique.hint("shuffle_hash")
 
 
 @dataclass(frozen=True)
@@ -110,13 +135,15 @@ def places(first: np.ndarray) -> np.ndarray:
     return np.arange(first[-1]) - np.repeat(first[:-1], np.diff(first))
 
 
-def summed(columns: list[np.ndarray]) -> list[np.ndarray]:
-    """Rows of equal first column as one; the last column is added up."""
-    order = np.argsort(columns[0])
-    keys = columns[0][order]
+def summed(keys: np.ndarray, columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Rows of equal keys as one; the last column is added up."""
+    order = np.argsort(keys)
+    keys = keys[order]
     begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
+    del keys
     n = columns[-1][order]
-    return [*[c[order[begin]] for c in columns[:-1]], np.add.reduceat(n, begin) if len(begin) else n]
+    order = order[begin]
+    return [*[c[order] for c in columns[:-1]], np.add.reduceat(n, begin) if len(begin) else n]
 
 
 def joined(found: list[list[np.ndarray]]) -> list[np.ndarray]:
@@ -129,39 +156,53 @@ def joined(found: list[list[np.ndarray]]) -> list[np.ndarray]:
     return out
 
 
-def counted(emit: Callable[[pa.RecordBatch], list[np.ndarray]], send: Callable[[list[np.ndarray]], pa.RecordBatch]) -> Callable:
+def in_parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about SENT_AT_ONCE bytes, one row at least."""
+    rows = max(1, batch.num_rows * SENT_AT_ONCE // max(1, batch.nbytes))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
+def counted(emit: Callable[[pa.RecordBatch], list[np.ndarray]], key: Callable, send: Callable[[list[np.ndarray]], pa.RecordBatch]) -> Callable:
     """How often each key stands in a task's texts, gathered in bounded pieces.
 
-    `emit` gives keys and what else is said of them, `send` makes rows of these and the counts.
+    `emit` gives the columns that a `key` is made of, `send` makes rows of these and the counts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, held = [], 0
-        for batch in ts.slices(batches, "text"):
+
+        def whole() -> list[np.ndarray]:
+            columns = joined(found)
+            found.clear()
+            return summed(key(*columns[:-1]), columns)
+
+        for batch in ts.slices(batches, "text", SLICE):
             columns = emit(batch)
-            found.append([*columns, np.ones(len(columns[0]), np.int64)])
+            found.append([*columns, np.ones(len(columns[0]), np.int32)])
             held += len(columns[0])
             if held > HELD:
-                found = [summed(joined(found))]
+                found.append(whole())
                 held = len(found[0][0])
                 if held > HELD // 2:
-                    yield send(found.pop())
+                    yield from in_parts(send(found.pop()))
                     held = 0
         if held:
-            yield send(summed(joined(found)))
+            yield from in_parts(send(whole()))
 
     return run
 
 
 def token_counts(train: DataFrame) -> DataFrame:
-    run = counted(lambda b: [tokens_of(b)[0]], lambda c: pa.RecordBatch.from_arrays([pa.array(ts.signed(c[0])), pa.array(c[1])], ["key", "n"]))
+    run = counted(lambda b: [tokens_of(b)[0]], lambda key: key,
+                  lambda c: pa.RecordBatch.from_arrays([pa.array(ts.signed(c[0])), pa.array(c[1].astype(np.int64))], ["key", "n"]))
     return train.mapInArrow(run, COUNT).groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def bucketed(keys: np.ndarray, columns: list[np.ndarray], names: list[str], buckets: int) -> pa.RecordBatch:
     """A row for each bucket of the keys, with the columns as arrays, ordered by the first one."""
     bucket = ((keys >> U(32)) * U(buckets) >> U(32)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
-    order = np.argsort(columns[0], kind="stable")
+    order = np.argsort(columns[0])
     order = order[np.argsort(bucket[order], kind="stable")]
     first = np.searchsorted(bucket[order], np.arange(buckets + 1))
     there = np.flatnonzero(np.diff(first))
@@ -196,14 +237,13 @@ def followed(n: int, buckets: int, allowed: tuple = ()) -> Callable:
         if allowed:
             at = at[may_hold(allowed[0].value, shorter[at - 1])]
             at = at[may_hold(allowed[1].value, shorter[at])]
-        context, suffix = shorter[at - 1], shorter[at]
-        return [joined_key(context, suffix), context, suffix]
+        return [shorter[at - 1], shorter[at]]
 
     def send(columns: list[np.ndarray]) -> pa.RecordBatch:
-        keys, context, suffix, times = columns
-        return bucketed(keys, [ts.signed(context), ts.signed(suffix), times.astype(np.int32)], ["context", "suffix", "n"], buckets)
+        context, suffix, times = columns
+        return bucketed(joined_key(context, suffix), [ts.signed(context), ts.signed(suffix), times.astype(np.int32)], ["context", "suffix", "n"], buckets)
 
-    return counted(emit, send)
+    return counted(emit, joined_key, send)
 
 
 def repeated_strings(train: DataFrame, n: int, buckets: int, allowed: tuple) -> DataFrame:
@@ -211,9 +251,10 @@ def repeated_strings(train: DataFrame, n: int, buckets: int, allowed: tuple) ->
 
     def total(table: pa.Table) -> pa.Table:
         context, suffix = (gathered(table, c).view(U) for c in ("context", "suffix"))
-        keys, context, suffix, times = summed([joined_key(context, suffix), context, suffix, gathered(table, "n").astype(np.int64)])
+        context, suffix, times = summed(joined_key(context, suffix), [context, suffix, gathered(table, "n").astype(np.int64)])
         twice = times >= 2
-        return pa.table({"key": ts.signed(keys[twice]), "context": ts.signed(context[twice]), "suffix": ts.signed(suffix[twice]), "n": times[twice]})
+        context, suffix, times = context[twice], suffix[twice], times[twice]
+        return pa.table({"key": ts.signed(joined_key(context, suffix)), "context": ts.signed(context), "suffix": ts.signed(suffix), "n": times})
 
     found = train.mapInArrow(followed(n, buckets, allowed), "bucket int, context array<long>, suffix array<long>, n array<int>")
     return by_bucket(found, buckets).applyInArrow(total, "key long, context long, suffix long, n long")
@@ -225,20 +266,20 @@ def level(strings: DataFrame, contexts: DataFrame, suffixes: DataFrame, shape: S
     `contexts` and `suffixes` have (key, n) and (key, p, n) of what is one word shorter.
     """
     strings = stored(strings, f"repeated-{name}")
-    sizes = strings.groupBy("context").agg(F.sum("n").alias("n_twice"), F.count("*").alias("kinds")).join(
+    sizes = looked_up(strings.groupBy("context").agg(F.sum("n").alias("n_twice"), F.count("*").alias("kinds"))).join(
         contexts.select(F.col("key").alias("context"), F.col("n").alias("n_context")), "context")
     sizes = stored(sizes.select("context", "n_context", (
         (F.col("kinds") + F.col("n_context") - F.col("n_twice")) / F.col("n_context")).alias("escape")), f"sizes-{name}")
     above = suffixes.select(F.col("key").alias("suffix"), F.col("p").alias("p_above"), F.col("n").alias("n_suffix"))
     most = F.col("n") * F.log1p(F.col("n_suffix") / F.col("n"))
-    read = strings.join(above, "suffix").join(sizes, "context").withColumn("passed_on", F.col("escape") * F.col("p_above")).withColumn(
+    read = strings.join(looked_up(above), "suffix").join(looked_up(sizes), "context").withColumn("passed_on", F.col("escape") * F.col("p_above")).withColumn(
         "p", (F.col("n") - 1) / F.col("n_context") + F.col("passed_on"))
     found = stored(read.select("key", "context", "suffix", "n", "p", F.log10(F.col("p") / F.col("passed_on")).alias("own"),
                                (most >= shape.evidence - 1e-6).alias("leads_on")), name)
     dropped(strings)
     # The sum over all followers of n log(p / p_above): strings seen once have p = escape * p_above.
     gain = F.col("owns") * F.log(F.lit(10.0)) + F.col("n_context") * F.log("escape")
-    tested = found.groupBy("context").agg(F.sum(F.col("n") * F.col("own")).alias("owns")).join(sizes, "context").select(
+    tested = found.groupBy("context").agg(F.sum(F.col("n") * F.col("own")).alias("owns")).join(looked_up(sizes), "context").select(
         F.col("context").alias("state"), "escape", ((gain >= shape.evidence) & (gain >= shape.divergence * F.col("n_context"))).alias("passes"))
     tested = stored(tested, f"contexts-{name}")
     dropped(sizes)
@@ -265,8 +306,8 @@ def trained(train: DataFrame, shape: Shape) -> tuple[float, int, DataFrame, list
     for found, here in zip(reversed(levels), reversed(tests), strict=True):
         if states:  # the suffixes of longer states stay
             longer = states[0].select(F.col("state").alias("key"))
-            stays = found.join(longer, "key", "left_semi").select(F.col("suffix").alias("state"), F.lit(True).alias("stays")).distinct()
-            here = here.join(stays, "state", "left").filter("passes or stays")
+            stays = found.join(looked_up(longer), "key", "left_semi").select(F.col("suffix").alias("state"), F.lit(True).alias("stays")).distinct()
+            here = here.join(looked_up(stays), "state", "left").filter("passes or stays")
         states.insert(0, stored(here.filter("passes") if not states else here, f"states-{len(states)}").select("state", "escape"))
     return tokens, distinct, counts, levels, states
 
@@ -304,13 +345,13 @@ def values_of(counts: DataFrame, levels: list[DataFrame], states: list[DataFrame
         if to is None:
             return strings.withColumn("behind", F.lit(0.0))
         behind = to.select(F.col("state").alias("key"), F.log10("escape").alias("behind"))
-        return strings.join(behind, "key", "left").fillna(0.0, ["behind"])
+        return strings.join(looked_up(behind), "key", "left").fillna(0.0, ["behind"])
 
     base = F.log10(F.col("n") + 1)
     out = [passed_on(counts, states[0] if states else None).select("key", "n", base.alias("base"), (base + F.col("behind")).alias("score"))]
     for d, found in enumerate(levels):
         here = states[d].select(F.col("state").alias("context"), F.lit(True).alias("used"))
-        strings = passed_on(found.join(here, "context", "left"), states[d + 1] if d + 1 < len(states) else None)
+        strings = passed_on(found.join(looked_up(here), "context", "left"), states[d + 1] if d + 1 < len(states) else None)
         own = F.when(F.col("used"), F.col("own")).otherwise(0.0)
         held = [F.when(F.col("n") >= often[d + 1], F.col(c)).alias(c) for c in ("context", "suffix", "p")]
         # What adds nothing is left out.
@@ -388,7 +429,7 @@ def scorer(held, buckets: int) -> Callable:
         unseen = -np.log10(tree.tokens + tree.distinct + 1)
         root = unseen + np.log10(tree.counts + 1)
         rare, waiting = [], 0
-        for batch in ts.slices(batches, "text"):
+        for batch in ts.slices(batches, "text", SLICE):
             data, offsets = ts.utf8(batch.column("text"))
             ids, held_out = batch.column("id").cast(pa.int64()), batch.column("held_out")
             no_id, ids = ids.is_null(), ids.fill_null(0)
@@ -430,7 +471,8 @@ def scorer(held, buckets: int) -> Callable:
             rows, keys = np.concatenate(rare_rows), np.concatenate(rare_keys)
             if not len(rows):
                 continue
-            order = ts.order_by(rows, keys)
+            order = np.argsort(keys)
+            order = order[np.argsort(rows[order].astype(np.uint16), kind="stable")]
             rows, keys = rows[order], keys[order]
             begin = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (keys[1:] != keys[:-1])]))
             times = np.diff(np.concatenate([begin, [len(rows)]])).astype(np.int32)
@@ -438,10 +480,10 @@ def scorer(held, buckets: int) -> Callable:
             rare.append([keys[begin], ts.signed(row)[rows], times])
             waiting += len(rows)
             if waiting > HELD // 4:
-                yield sent(rare)
+                yield from in_parts(sent(rare))
                 rare, waiting = [], 0
         if rare:
-            yield sent(rare)
+            yield from in_parts(sent(rare))
 
     return scan
 
@@ -455,10 +497,10 @@ def adding(buckets: int) -> Callable:
             found.append([batch.column(c).to_numpy() for c in ("key", "base", "score")])
             held += batch.num_rows
             if held > HELD // 4:
-                yield sent(found)
+                yield from in_parts(sent(found))
                 found, held = [], 0
         if held:
-            yield sent(found)
+            yield from in_parts(sent(found))
 
     def sent(found: list) -> pa.RecordBatch:
         keys, base, score = (np.concatenate(c) for c in zip(*found, strict=True))
@@ -527,16 +569,17 @@ def suffix_tree_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     spark = prepared(docs.sparkSession)
     out = docs[held_out] if held_out else F.crc32(docs[doc_id].cast("string")) % 7 == 2
     named = docs.select(docs[doc_id].alias("id"), docs[text].alias("text"), F.coalesce(out, F.lit(False)).alias("held_out"))
-    with lean(spark):
-        tree, _, values, often = planted(named.filter(~F.col("held_out")).select("text"), shape)
-        rest = reduce(DataFrame.unionByName, [rows.filter(F.col("n") < n).select("key", "base", "score") for rows, n in zip(values, often, strict=True)])
-        tree.may_add = bitmap(rest, "key", MANY)
-    # Half as many buckets as for counting, so that a text's strings stand together in them.
-    buckets, sent = buckets_of(tree.tokens // 2), spark_schema(SENT)
-    parts = named.mapInArrow(scorer(spark.sparkContext.broadcast(tree), buckets), sent).union(rest.mapInArrow(adding(buckets), sent))
-    met = by_bucket(parts, buckets).applyInArrow(meeting(buckets), spark_schema(TOLD))
-    scores = by_bucket(met, buckets).applyInArrow(
-        closed, "id long, held_out boolean, tokens long, known long, base double, score double")
+    with frugal(spark):
+        with lean(spark):
+            tree, _, values, often = planted(named.filter(~F.col("held_out")).select("text"), shape)
+            rest = reduce(DataFrame.unionByName, [rows.filter(F.col("n") < n).select("key", "base", "score") for rows, n in zip(values, often, strict=True)])
+            tree.may_add = bitmap(rest, "key", MANY)
+        # Half as many buckets as for counting, so that a text's strings stand together in them.
+        buckets, sent = buckets_of(tree.tokens // 2), spark_schema(SENT)
+        parts = named.mapInArrow(scorer(spark.sparkContext.broadcast(tree), buckets), sent).union(rest.mapInArrow(adding(buckets), sent))
+        met = by_bucket(parts, buckets).applyInArrow(meeting(buckets), spark_schema(TOLD))
+        scores = by_bucket(met, buckets).applyInArrow(
+            closed, "id long, held_out boolean, tokens long, known long, base double, score double")
     return scores.select(
         F.col("id").alias(doc_id), "held_out", F.col("tokens").alias("n_tokens"), F.col("known").alias("n_known"),
         F.lit(tree.tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")

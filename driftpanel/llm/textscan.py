@@ -59,7 +59,7 @@ class _Powers:
     @classmethod
     def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(cls.up) < n + 1:
-            size = max(n + 1, STEP + 1)
+            size = max(n + 1, 2 * len(cls.up))
             for name, base in (("up", BASE), ("down", BASE_INVERSE)):
                 row = np.full(size, base, U)
                 row[0] = 1

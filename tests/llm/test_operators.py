@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import tracemalloc
@@ -476,6 +477,38 @@ def test_a_task_holds_one_bucket(spark):
     assert len(per_task) == 40 and all(len({int(top) * 40 >> 32 for top in r["top"]}) == 1 for r in per_task)
 
 
+def test_a_task_holds_and_sends_little():
+    texts = [" ".join(map(str, row)) for row in np.random.default_rng(5).integers(0, 1 << 40, (2000, 400))]
+    batches = pa.table({"text": texts}).to_batches(max_chunksize=1000)
+    list(suffix_tree.followed(2, 40)(iter(batches[:1])))
+    n, largest = 0, 0
+    tracemalloc.start()
+    try:
+        for sent in suffix_tree.followed(2, 40)(iter(batches)):
+            n, largest = n + len(sent["n"].flatten()), max(largest, sent.nbytes)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == 2000 * 400
+    # 16 MB of strings: never sent at once, and held no more than five times while they are put together.
+    assert largest < 5 << 20 and most < 80 << 20
+
+
+def test_workers_give_memory_back_and_get_small_batches(spark):
+    def told(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows], "trim": [os.environ.get("MALLOC_TRIM_THRESHOLD_")]})
+
+    arrays = spark.range(100).coalesce(1).selectExpr("array_repeat(id, 20000) as numbers")
+    before = dict(spark.sparkContext.environment)
+    with suffix_tree.frugal(spark):
+        inside = arrays.mapInArrow(told, "rows long, trim string")
+    assert dict(spark.sparkContext.environment) == before
+    found = inside.collect()
+    assert sum(r["rows"] for r in found) == 100 and len(found) > 2 and all(r["trim"] for r in found)
+    assert not any(r["trim"] for r in arrays.mapInArrow(told, "rows long, trim string").collect())
+
+
 def test_scores_without_training_and_rows(spark, empty):
     held = spark.createDataFrame([(1, "a b", True)], "doc_id long, text string, h boolean")
     row = suffix_tree.suffix_tree_scores(held, held_out="h").first()

@@ -23,6 +23,10 @@ class Lookup:
             self.keys[slot[free]] = keys[left[free]]
             wait = self.at[slot] != left
             left, slot = left[wait], (slot[wait] + U(1)) & self.mask
+        # A value that is no key tells free slots, so `at` is read for keys that are there alone.
+        free = np.arange(len(keys) + 1, dtype=U)
+        self.free = free[~np.isin(free, keys)][0]
+        self.keys[:] = self.free
         self.keys[self.at >= 0] = keys[self.at[self.at >= 0]]
 
     def slots(self, keys: np.ndarray) -> np.ndarray:
@@ -33,10 +37,11 @@ class Lookup:
         keys = keys.astype(U, copy=False)
         slot, left = self.slots(keys), None
         while len(slot):
-            at, same = self.at[slot], self.keys[slot] == keys
-            hit = same & (at >= 0)
-            out[hit if left is None else left[hit]] = at[hit]
-            go = ~same & (at >= 0)
-            left = np.flatnonzero(go) if left is None else left[go]
+            there = self.keys[slot]
+            same = there == keys
+            hit = np.flatnonzero(same)
+            out[hit if left is None else left[hit]] = self.at[slot[hit]]
+            go = np.flatnonzero(~same & (there != self.free))
+            left = go if left is None else left[go]
             keys, slot = keys[go], (slot[go] + U(1)) & self.mask
         return out

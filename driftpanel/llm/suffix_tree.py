@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftpanel.llm import textscan as ts
-from driftpanel.llm.bitmap import bitmap, may_hold
+from driftpanel.llm.bitmap import large_bitmap, may_hold
 from driftpanel.llm.common import dropped, lean, prepared, stored
 from driftpanel.llm.lookup import Lookup
 
@@ -107,9 +107,12 @@ class Tree:
     may_add: np.ndarray | None = None  # bitmap of longer strings that are not held
 
 
-def tokens_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+def words_of(batch: pa.RecordBatch) -> ts.Words:
+    return ts.words(*ts.utf8(batch.column("text")), ts.SPACED)
+
+
+def tokens_of(found: ts.Words) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes, one end after each text's words, and the first token of each text."""
-    found = ts.words(*ts.utf8(batch.column("text")), ts.SPACED)
     n = len(found.first) - 1
     first = found.first + np.arange(n + 1)
     out = np.full(int(first[-1]), END, U)
@@ -194,7 +197,7 @@ def counted(emit: Callable[[pa.RecordBatch], list[np.ndarray]], key: Callable, s
 
 
 def token_counts(train: DataFrame) -> DataFrame:
-    run = counted(lambda b: [tokens_of(b)[0]], lambda key: key,
+    run = counted(lambda b: [tokens_of(words_of(b))[0]], lambda key: key,
                   lambda c: pa.RecordBatch.from_arrays([pa.array(ts.signed(c[0])), pa.array(c[1].astype(np.int64))], ["key", "n"]))
     return train.mapInArrow(run, COUNT).groupBy("key").agg(F.sum("n").alias("n"))
 
@@ -231,7 +234,7 @@ def followed(n: int, buckets: int, allowed: tuple = ()) -> Callable:
     """Counts of strings of `n` tokens by bucket, with their context and suffix, where bitmaps allow these."""
 
     def emit(batch: pa.RecordBatch) -> list[np.ndarray]:
-        tokens, first = tokens_of(batch)
+        tokens, first = tokens_of(words_of(batch))
         shorter = strings_of(tokens, n - 1)
         at = np.flatnonzero(places(first) >= n - 1)
         if allowed:
@@ -301,7 +304,7 @@ def trained(train: DataFrame, shape: Shape) -> tuple[float, int, DataFrame, list
         tests.append(tested)
         if d + 1 < shape.depth:
             contexts = suffixes.filter("leads_on")
-            allowed = broadcast(bitmap(contexts, "key", MANY)), broadcast(bitmap(suffixes, "key", MANY))
+            allowed = broadcast(large_bitmap(contexts, "key", MANY)), broadcast(large_bitmap(suffixes, "key", MANY))
     states: list[DataFrame] = []
     for found, here in zip(reversed(levels), reversed(tests), strict=True):
         if states:  # the suffixes of longer states stay
@@ -430,12 +433,13 @@ def scorer(held, buckets: int) -> Callable:
         root = unseen + np.log10(tree.counts + 1)
         rare, waiting = [], 0
         for batch in ts.slices(batches, "text", SLICE):
-            data, offsets = ts.utf8(batch.column("text"))
+            found = words_of(batch)
             ids, held_out = batch.column("id").cast(pa.int64()), batch.column("held_out")
             no_id, ids = ids.is_null(), ids.fill_null(0)
             id_, flags = ids.to_numpy(), 2 * no_id.cast(pa.uint64()).to_numpy() + held_out.cast(pa.uint64()).to_numpy()
-            row = ts.mix(ts.span_hash(ts.byte_prefix(data), offsets[:-1], offsets[1:]) + ts.mix(ts.mix(id_.view(U)) + flags))
-            tokens, first = tokens_of(batch)
+            # Texts that differ in case alone have the same strings.
+            row = ts.mix(found.span_hash(found.offsets[:-1], found.offsets[1:]) + ts.mix(ts.mix(id_.view(U)) + flags))
+            tokens, first = tokens_of(found)
             n, place = len(first) - 1, places(first)
             rows_of = np.repeat(np.arange(n), np.diff(first))
             symbol = tree.frequent(tokens)
@@ -573,7 +577,7 @@ def suffix_tree_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         with lean(spark):
             tree, _, values, often = planted(named.filter(~F.col("held_out")).select("text"), shape)
             rest = reduce(DataFrame.unionByName, [rows.filter(F.col("n") < n).select("key", "base", "score") for rows, n in zip(values, often, strict=True)])
-            tree.may_add = bitmap(rest, "key", MANY)
+            tree.may_add = large_bitmap(rest, "key", MANY)
         # Half as many buckets as for counting, so that a text's strings stand together in them.
         buckets, sent = buckets_of(tree.tokens // 2), spark_schema(SENT)
         parts = named.mapInArrow(scorer(spark.sparkContext.broadcast(tree), buckets), sent).union(rest.mapInArrow(adding(buckets), sent))

@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from driftpanel.llm import contamination, jaccard_join, language, licenses, line_dedup, personal_data, piece_sampling, quality, suffix_tree, token_files
 from driftpanel.llm import textscan as ts
-from driftpanel.llm.bitmap import bitmap, may_hold
+from driftpanel.llm.bitmap import bitmap, large_bitmap, may_hold
 from driftpanel.llm.common import prepared
+from driftpanel.llm.lookup import Lookup
 
 SPACED = re.compile(rb"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -146,6 +147,21 @@ def test_bitmap_never_loses_a_key(spark):
     assert may_hold(bits, ts.mix(np.arange(10**6, 10**6 + 20000, dtype=np.uint64))).mean() < 0.01
 
 
+def test_large_bitmap_is_the_same(spark):
+    keys = ts.mix(np.arange(30_000, dtype=np.uint64))
+    rows = spark.createDataFrame(pd.DataFrame({"k": ts.signed(np.concatenate([keys, keys[:100]]))})).repartition(3)
+    assert (large_bitmap(rows, "k", 23) == bitmap(rows, "k", 23)).all()
+    assert not large_bitmap(rows.limit(0), "k", 23).any()
+
+
+def test_lookup_finds_each_key_and_no_other():
+    keys = np.concatenate([np.arange(40, dtype=np.uint64), ts.mix(np.arange(40, 5000, dtype=np.uint64))])
+    found = Lookup(keys)
+    assert (found(keys) == np.arange(len(keys))).all()
+    assert (found(np.concatenate([np.arange(40, 90, dtype=np.uint64), ts.mix(np.arange(5000, 9000, dtype=np.uint64))])) == -1).all()
+    assert (Lookup(keys[:0])(keys) == -1).all()
+
+
 # 1: language
 
 

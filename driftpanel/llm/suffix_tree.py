@@ -300,6 +300,8 @@ def trained(train: DataFrame, shape: Shape) -> tuple[float, int, DataFrame, list
     for d in range(shape.depth):
         strings = repeated_strings(train, d + 2, buckets_of(tokens), allowed)
         suffixes, tested = level(strings, contexts, suffixes, shape, f"strings-{d + 2}")
+        for bits in allowed:  # the strings are written
+            bits.destroy()
         levels.append(suffixes)
         tests.append(tested)
         if d + 1 < shape.depth:
@@ -383,6 +385,7 @@ def held_by_workers(tokens: int, distinct: int, values: list[DataFrame], states:
             tree.states.append(escape)
         tree.strings.append((Lookup(key), rows["p"].to_numpy()))
         tree.values.append(rows["score"].to_numpy())
+    pa.default_memory_pool().release_unused()
     return tree
 
 
@@ -528,13 +531,11 @@ def meeting(buckets: int) -> Callable:
         if not len(strings) or not len(values):
             return pa.Table.from_batches(out, TOLD)
         keys, base, score = (np.concatenate(pieces(table, c, values)) for c in ("key", "base", "score"))
-        order = np.argsort(keys)
-        keys, base, score = keys[order], base[order], score[order]
-        sums = []
+        known, sums = Lookup(keys.view(U)), []
         # One array after the other: they make up most of a bucket.
         for row, wanted, times in zip(*(pieces(table, c, strings) for c in ("row", "key", "times")), strict=True):
-            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-            hit = np.flatnonzero(keys[at] == wanted)
+            at = known(wanted.view(U))
+            hit = np.flatnonzero(at >= 0)
             if len(hit):
                 at, row, times = at[hit], row[hit], times[hit]
                 # They are in order of the texts.
